@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lawloom.llm import canonical, encode
+from lawloom.llm import canonical, encode, leak
 from lawloom.session import table
 
 
@@ -26,11 +26,21 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return encode.decode_corpus(p6_ids(spark, d))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p7_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    return leak.find_paraphrases(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
+    "p7_found": p7_found,
+    "p7_paraphrases": p7_paraphrases,
 }
 
 ORACLES: dict[str, str] = {
