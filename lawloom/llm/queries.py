@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lawloom.llm import canonical, encode, leak
+from lawloom.llm import canonical, encode, leak, subjects
 from lawloom.session import table
 
 
@@ -34,6 +34,20 @@ def p7_paraphrases(spark: SparkSession, d: str) -> DataFrame:
     return leak.find_paraphrases(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    rules = subjects.fit_rules(documents, table(spark, d, "doc_label"), table(spark, d, "subject_area"))
+    return subjects.find_subjects(documents, rules)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d)
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d), table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_forms": p4_forms,
@@ -41,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_decoded": p6_decoded,
     "p7_found": p7_found,
     "p7_paraphrases": p7_paraphrases,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 
 ORACLES: dict[str, str] = {
