@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lawloom.llm import canonical, encode, leak, subjects
+from lawloom.llm import canonical, encode, leak, markup, subjects
 from lawloom.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.found_elements(table(spark, d, "files"))
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_files(table(spark, d, "files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_look_pairs(canonical.provision_rows(table(spark, d, "code_node"), table(spark, d, "cfr_section")))
 
@@ -49,6 +57,8 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_clean": p3_clean,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p6_ids": p6_ids,
