@@ -23,6 +23,8 @@ Span = tuple[int, int]
 MAX_BODY, MAX_BLOCK, BLOCK_WINDOW = 2500, 60_000, 200
 AFTER_STRIKE, PAIR_DISTANCE, ANCHOR_WINDOW, UNIT_WINDOW, DESTINATION_WINDOW = 60, 100, 260, 200, 160
 REF_WINDOW, REF_ITEMS, LIST_WINDOW = 80, 8, 40
+#: How far beyond a body a match may reach that begins in it.
+OVERHANG = 300
 PUNCTUATION = {"period": ".", "semicolon": ";", "comma": ",", "colon": ":"}
 
 # Patterns of heads.
@@ -353,7 +355,7 @@ class Body:
     def replacements(self, ops: list[Op]) -> None:
         """Blocks that a provision is to read as; an operation already read from the same words becomes the replacement."""
         for pattern in (_read_as, _strike_unit):
-            for m in pattern.finditer(self.text, self.start):
+            for m in pattern.finditer(self.text, self.start, self.end + OVERHANG):
                 if m.start() >= self.end:
                     break
                 block = read_block(self.text, m.end())
@@ -573,7 +575,7 @@ class BlockRefs:
         if not target or target.kind not in ("usc", "cfr") or not target.section or target.et_seq or target.note:
             return []
         out: list[Nav] = []
-        for m in _read_as.finditer(self.text, start):
+        for m in _read_as.finditer(self.text, start, end + OVERHANG):
             if m.start() >= end:
                 break
             if block := read_block(self.text, m.end()):
@@ -595,7 +597,7 @@ class BlockRefs:
 
 def listed(text: str, start: int, end: int) -> list[Span]:
     """Items (A), (B), (C)... of a list, as long as the letters follow each other."""
-    marks = [(m[1][1:-1], m.start(1)) for m in _item.finditer(text, start) if m.start() < end]
+    marks = [(m[1][1:-1], m.start(1)) for m in _item.finditer(text, start, end + OVERHANG) if m.start() < end]
     run = 0
     while run < len(marks) and marks[run][0] == chr(65 + run):
         run += 1

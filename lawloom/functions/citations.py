@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from importlib import resources
 
 from lawloom.functions.markers import ladder
@@ -18,7 +18,7 @@ from lawloom.functions.structure import Block, block_at, quoted_blocks
 # --- names of Acts ---------------------------------------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Act:
     entry_no: int
     name: str
@@ -30,12 +30,36 @@ class Act:
     offset_note: bool
     pattern: str
 
-    @property
-    def probe(self) -> str:
-        """A word that stands in every text that holds the name, as written; empty if the pattern has alternatives."""
-        if "(" in self.pattern or "|" in self.pattern:
-            return ""
-        return max(re.split(r"\[[^\]]*\]|\\.|\W", self.pattern), key=len)
+    @cached_property
+    def probes(self) -> tuple[str, ...]:
+        """Words in lower case of which one stands in every text that holds the name."""
+        sure = self.pattern
+        while (bare := re.sub(r"\(\?:[^()]*\)\?", " ", sure)) != sure:
+            sure = bare
+        ways = sure[3:-1].split("|") if sure.startswith("(?:") and sure.endswith(")") else [sure]
+        if any("(" in w for w in ways):
+            return ("",)
+        return tuple(max(re.split(r"\[[^\]]*\]|\\.|\W", w), key=len).lower() for w in ways)
+
+    def near(self, lower: str) -> bool:
+        return any(p in lower for p in self.probes)
+
+    def windows(self, lower: str) -> Iterator[tuple[int, int]]:
+        """Stretches of a text that hold every place of the name."""
+        reach = 3 * len(self.pattern) + 100
+        if not all(self.probes):
+            yield 0, len(lower)
+            return
+        places = sorted({m.start() for p in self.probes for m in re.finditer(re.escape(p), lower)})
+        start = end = -1
+        for k in places:
+            if k - reach > end:
+                if end >= 0:
+                    yield start, end
+                start = max(0, k - reach)
+            end = k + reach
+        if end >= 0:
+            yield start, min(end, len(lower))
 
 
 @lru_cache(maxsize=1)
@@ -173,7 +197,7 @@ def _cited(kind: str, text: str, start: int, end: int, **fields) -> Citation:
 Fields = Callable[[re.Match], dict]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Matcher:
     name: str
     kind: str
@@ -181,9 +205,16 @@ class Matcher:
     flags: str
     fields: Fields
 
+    @cached_property
+    def regex(self) -> re.Pattern:
+        return rx(self.pattern, self.flags)
+
+    def cite(self, text: str, m: re.Match) -> Citation:
+        return _cited(self.kind, text, m.start(), m.end(), **self.fields(m))
+
     def scan(self, text: str) -> Iterator[Citation]:
-        for m in rx(self.pattern, self.flags).finditer(text):
-            yield _cited(self.kind, text, m.start(), m.end(), **self.fields(m))
+        for m in self.regex.finditer(text):
+            yield self.cite(text, m)
 
 
 def _regulation(m: re.Match) -> dict:
@@ -304,21 +335,50 @@ def settle(found: list[Citation]) -> list[Citation]:
     return kept
 
 
+#: Where a citation by an Act's name may begin, and how far its name may be from there.
+_act_starts = rx(rf"\b(?:[Ss]ections?\s+\d|{UNIT}\s+[A-Za-z0-9]{{1,7}}\s+of\s)")
+ACT_REACH = 800
+
+
+def _by_act(text: str, lower: str) -> Iterator[Citation]:
+    """Matchers of the early families, tried only where one can begin and only for Acts named near by."""
+    early, _ = _act_matchers()
+    named = {a.entry_no for a in popular_names() if a.near(lower)}
+    early = [x for x in early if x[0].entry_no in named]
+    found: dict[int, list[Citation]] = {}
+    free = [0] * len(early)
+    for at in (m.start() for m in _act_starts.finditer(text)):
+        window = lower[at : at + ACT_REACH]
+        close = {a.entry_no for a, _ in early if a.near(window)}
+        for k, (act, matcher) in enumerate(early):
+            if act.entry_no in close and at >= free[k] and (m := matcher.regex.match(text, at)):
+                free[k] = m.end()
+                found.setdefault(k, []).append(matcher.cite(text, m))
+    for k in sorted(found):
+        yield from found[k]
+
+
+def _names(text: str, lower: str) -> Iterator[Citation]:
+    for act, matcher in _act_matchers()[1]:
+        free = 0
+        for start, end in act.windows(lower):
+            for m in matcher.regex.finditer(text, max(start, free), end):
+                free = m.end()
+                yield matcher.cite(text, m)
+
+
 def extract(text: str, blocks: list[Block] | None = None) -> list[Citation]:
-    early, names = _act_matchers()
     lower = text.lower()
+    if len(lower) != len(text):  # a character whose lower case is longer
+        lower = "".join(c.lower()[:1] or c for c in text)
     found: list[Citation] = []
     for m in FIRST:
         found += m.scan(text)
-    for act, m in early:
-        if act.probe in text:
-            found += m.scan(text)
+    found += _by_act(text, lower)
     for m in LAST:
         found += m.scan(text)
     found += _internal(text)
-    for act, m in names:
-        if act.probe.lower() in lower:
-            found += m.scan(text)
+    found += _names(text, lower)
     for c in found:
         c.note = c.kind == "usc" and bool(_note.search(text[c.end : c.end + NOTE_WINDOW]))
     blocks = quoted_blocks(text) if blocks is None else blocks
