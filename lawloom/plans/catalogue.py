@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lawloom.plans import core
+from lawloom.plans import core, known, tables
 
 
 def queries() -> dict[str, core.Query]:
-    return {**core.QUERIES}
+    return {**core.QUERIES, **known.queries(), **tables.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**core.ORACLES}
+    return {**core.ORACLES, **known.oracles(), **tables.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Letters of the forms, and the length from which an address is too long for some readers.
 DEFLATED, RAW, LONG = "z", "r", 8000
@@ -25,7 +26,7 @@ def decode_raw(payload: Column) -> Column:
     return F.when(payload.startswith(RAW), F.decode(F.unbase64(padded), "UTF-8"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def encode_deflated(text: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         if t is None:
@@ -36,7 +37,7 @@ def encode_deflated(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decode_deflated(payload: pd.Series) -> pd.Series:
     def one(p: str | None) -> str | None:
         if not p or p[0] != DEFLATED:
