@@ -340,11 +340,9 @@ _act_starts = rx(rf"\b(?:[Ss]ections?\s+\d|{UNIT}\s+[A-Za-z0-9]{{1,7}}\s+of\s)")
 ACT_REACH = 800
 
 
-def _by_act(text: str, lower: str) -> Iterator[Citation]:
+def _by_act(text: str, lower: str, named: set[int]) -> Iterator[Citation]:
     """Matchers of the early families, tried only where one can begin and only for Acts named near by."""
-    early, _ = _act_matchers()
-    named = {a.entry_no for a in popular_names() if a.near(lower)}
-    early = [x for x in early if x[0].entry_no in named]
+    early = [x for x in _act_matchers()[0] if x[0].entry_no in named]
     found: dict[int, list[Citation]] = {}
     free = [0] * len(early)
     for at in (m.start() for m in _act_starts.finditer(text)):
@@ -358,8 +356,10 @@ def _by_act(text: str, lower: str) -> Iterator[Citation]:
         yield from found[k]
 
 
-def _names(text: str, lower: str) -> Iterator[Citation]:
+def _names(text: str, lower: str, named: set[int]) -> Iterator[Citation]:
     for act, matcher in _act_matchers()[1]:
+        if act.entry_no not in named:
+            continue
         free = 0
         for start, end in act.windows(lower):
             for m in matcher.regex.finditer(text, max(start, free), end):
@@ -374,11 +374,12 @@ def extract(text: str, blocks: list[Block] | None = None) -> list[Citation]:
     found: list[Citation] = []
     for m in FIRST:
         found += m.scan(text)
-    found += _by_act(text, lower)
+    named = {a.entry_no for a in popular_names() if a.near(lower)}
+    found += _by_act(text, lower, named)
     for m in LAST:
         found += m.scan(text)
     found += _internal(text)
-    found += _names(text, lower)
+    found += _names(text, lower, named)
     for c in found:
         c.note = c.kind == "usc" and bool(_note.search(text[c.end : c.end + NOTE_WINDOW]))
     blocks = quoted_blocks(text) if blocks is None else blocks

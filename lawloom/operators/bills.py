@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from lawloom.functions import amend, citations, internal, structure
+from lawloom.session import spread
 
 _DIVISION = "seq int, label string, heading string, start bigint, rank int"
 _SECTION = (
@@ -140,7 +141,7 @@ def analyse(bills: DataFrame) -> DataFrame:
                 rows = [read_one(i, t) for i, t in zip(ids[k : k + width], texts[k : k + width])]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return bills.where("text is not null").select("doc_id", "text").mapInArrow(run, out)
+    return spread(bills.where("text is not null").select("doc_id", "text"), "doc_id").mapInArrow(run, out)
 
 
 def table(analysis: DataFrame, name: str) -> DataFrame:

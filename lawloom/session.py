@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +59,30 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, once per session, for clusters where it isn't installed. Spark serves the archive itself."""
+    context = spark.sparkContext
+    if getattr(context, "_lawloom_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="lawloom-ship-")) / "lawloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*")):
+            if p.suffix in (".py", ".tsv"):
+                z.write(p, Path("lawloom") / p.relative_to(root))
+    context.addPyFile(str(archive))
+    atexit.register(shutil.rmtree, archive.parent, True)
+    context._lawloom_shipped = True
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores, where its input comes in fewer splits than there are cores; larger inputs stay where they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if size >= cores * split or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, key)
