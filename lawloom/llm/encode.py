@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawloom.session import written
+from lawloom.session import spread, written
 
 #: Folder of the tokenizer files, installed on every node.
 TOKENIZERS = "/opt/tokenizers"
@@ -119,7 +119,7 @@ def cut_blocks(documents: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFram
         if b.ids:
             yield b.flush()
 
-    return documents.select("doc_id", "text").mapInArrow(run, _BLOCK)
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, _BLOCK)
 
 
 def _encoder(ranks_file: str):

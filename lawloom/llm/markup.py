@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lawloom.llm.markup_examples import KINDS, examples
+from lawloom.session import spread
 
 FEATURES = (
     "words", "link_density", "words_before", "words_after", "link_density_before", "link_density_after", "words_a_line",
@@ -324,7 +325,7 @@ def found_elements(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.string())], names=["file_id", "elem"])
 
     texts = files.where("file_id is not null and text <> ''").select("file_id", "text")
-    return texts.mapInArrow(run, "file_id bigint, elem string").distinct()
+    return spread(texts, "file_id").mapInArrow(run, "file_id bigint, elem string").distinct()
 
 
 def clean_files(files: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lawloom.llm.canonical import canonical
+from lawloom.session import spread
 
 #: Labelled documents from which rules are mined.
 MAX_LABELLED = 4000
@@ -323,7 +324,7 @@ def find_subjects(documents: DataFrame, rules: Rules) -> DataFrame:
                     found += names
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "subject"])
 
-    return texts.mapInArrow(run, schema).distinct()
+    return spread(texts, "doc_id").mapInArrow(run, schema).distinct()
 
 
 def composition(found: DataFrame, documents: DataFrame) -> DataFrame:
