@@ -81,7 +81,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` over all cores, where its input comes in fewer splits than there are cores; larger inputs stay where they are."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     if size >= cores * split or len(df.inputFiles()) >= cores:
         return df
