@@ -88,35 +88,45 @@ def _citation(c: citations.Citation) -> dict:
     return out
 
 
-def read_one(doc_id: str, text: str) -> dict:
-    """All tables of one bill."""
+#: How far a pass goes: structure alone, citations too, or everything.
+STRUCTURE, CITATIONS, ALL = 0, 1, 2
+
+
+def read_one(doc_id: str, text: str, depth: int = ALL) -> dict:
+    """The tables of one bill; those beyond ``depth`` are left out."""
     bill = structure.parse_bill(text)
     blocks = structure.quoted_blocks(text)
-    cites = citations.extract(text, blocks)
-    found = amend.extract(text, cites, bill)
-    both = amend.relative(cites, found)
-    outline = structure.Outline(text)
-    nav = [
-        _plain(n, ["start", "end", "text", "unit", "markers", "path", "exact", "inserted"], am_id=a.id, nav_kind=kind, seq=k, range_from=(n.range or (None,))[0], range_to=(n.range or (None,))[-1])
-        for a in found
-        for kind, rows in (("step", a.steps), ("ref", a.refs))
-        for k, n in enumerate(rows)
-    ]
-    return {
+    out = {
         "doc_id": doc_id,
         "n_chars": len(text),
         "designation": bill.designation,
         "short_title": bill.short_title,
         "congress": bill.congress,
-        "uncovered": amend.uncovered(text, found),
         "divisions": [_plain(d, ["label", "heading", "start", "rank"], seq=k) for k, d in enumerate(bill.divisions)],
         "sections": [
             _plain(s, ["num", "heading", "division", "run_in", "start", "end"], seq=k, ancestors=[_plain(d, ["label", "heading", "start"]) for d in s.ancestors])
             for k, s in enumerate(bill.sections)
         ],
         "blocks": [_plain(b, ["start", "end", "phrase"], seq=k) for k, b in enumerate(blocks)],
+    }
+    if depth == STRUCTURE:
+        return out
+    cites = citations.extract(text, blocks)
+    out["citations"] = [_citation(c) for c in cites]
+    if depth == CITATIONS:
+        return out
+    found = amend.extract(text, cites, bill)
+    both = amend.relative(cites, found)
+    outline = structure.Outline(text)
+    nav = [
+        _plain(n, ["start", "end", "text", "unit", "markers", "path", "exact", "inserted"], am_id=a.id, nav_kind=kind, seq=k, range_from=(n.range or (None,))[0], range_to=(n.range or (None,))[-1])
+        for a in found
+        for kind, rows in (("step", a.steps), ("ref", a.refs))
+        for k, n in enumerate(rows)
+    ]
+    return out | {
+        "uncovered": amend.uncovered(text, found),
         "marks": [_plain(m, ["pos", "marker", "depth"]) for m in outline.marks],
-        "citations": [_citation(c) for c in cites],
         "all_citations": [_citation(c) for c in both],
         "amendments": [
             _plain(a, ["id", "start", "end", "unit", "section", "subsection", "verb", "act_name", "distributed", "via_instruction"], target=a.target and _citation(a.target))
@@ -128,8 +138,8 @@ def read_one(doc_id: str, text: str) -> dict:
     }
 
 
-def analyse(bills: DataFrame) -> DataFrame:
-    """One row per bill (doc_id, text): its facts, and an array column for each of TABLES. Null texts have no row."""
+def analyse(bills: DataFrame, depth: int = ALL) -> DataFrame:
+    """One row per bill (doc_id, text): its facts, and an array column for each of TABLES, null beyond ``depth``. Null texts have no row."""
     out = schema()
     arrow = to_arrow_schema(out)
     width = 64  # documents are large rows
@@ -138,10 +148,11 @@ def analyse(bills: DataFrame) -> DataFrame:
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for k in range(0, len(ids), width):
-                rows = [read_one(i, t) for i, t in zip(ids[k : k + width], texts[k : k + width])]
+                rows = [read_one(i, t, depth) for i, t in zip(ids[k : k + width], texts[k : k + width])]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return spread(bills.where("text is not null").select("doc_id", "text"), "doc_id").mapInArrow(run, out)
+    texts = bills.where("text is not null").select("doc_id", "text")
+    return (texts if texts.isStreaming else spread(texts, "doc_id")).mapInArrow(run, out)
 
 
 def table(analysis: DataFrame, name: str) -> DataFrame:

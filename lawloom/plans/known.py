@@ -24,7 +24,7 @@ class Recipe:
     text: str
     read: Callable[[DataFrame, DataFrame], DataFrame]
     expect: str
-    rest: str = ""
+    depth: int = B.ALL
 
     @property
     def base(self) -> str:
@@ -36,11 +36,11 @@ class Recipe:
 
     def query(self, spark: SparkSession, d: str) -> DataFrame:
         made = self.made(spark, d)
-        return self.read(B.analyse(made), made)
+        return self.read(B.analyse(made, self.depth), made)
 
     @property
     def oracle(self) -> str:
-        return f"with base as ({self.base}), b as (select *, {self.text} as text from base) select {self.expect} from b {self.rest}"
+        return f"with base as ({self.base}), b as (select *, {self.text} as text from base) select {self.expect} from b"
 
 
 ORDER = {
@@ -85,70 +85,85 @@ RECIPES: dict[str, Recipe] = {
         "orders", ORDER, "concat('Under ', t, ' U.S.C. ', s, p, case when k % 2 = 0 then ' et seq.' else '' end, ', the board acts.')",
         _cites("usc", "title", "section", "subsection", "et_seq", "start", "end"),
         "doc_id, t as title, s as section, p as subsection, k % 2 = 0 as et_seq, cast(6 as bigint) as start, cast(6 + length(t) + 8 + length(s) + length(p) + case when k % 2 = 0 then 8 else 0 end as bigint) as \"end\"",
+        depth=B.CITATIONS,
     ),
     "usc_long_form": Recipe(
         "orders", ORDER, "concat('As section ', s, p, ' of title ', t, ', United States Code, says.')", _cites("usc", "title", "section", "subsection"),
         "doc_id, t as title, s as section, p as subsection",
+        depth=B.CITATIONS,
     ),
     "usc_wrapped": Recipe(
         "orders", ORDER, "concat('See ', t, ' U.S.C. ', cast(k as string), 'c-\n    4', p, ' for it.')", _cites("usc", "title", "section", "subsection"),
         "doc_id, t as title, concat(cast(k as string), 'c-4') as section, p as subsection",
+        depth=B.CITATIONS,
     ),
     "cfr_citations": Recipe(
         "orders", ORDER, "concat('Under ', t, case when k % 2 = 0 then ' CFR ' else ' C.F.R. § ' end, c, '.', l, p, ' it is so.')", _cites("cfr", "title", "unit", "part", "section", "subsection"),
         "doc_id, t as title, 'section' as unit, c as part, concat(c, '.', l) as section, p as subsection",
+        depth=B.CITATIONS,
     ),
     "public_laws": Recipe(
         "orders", ORDER, "concat('Under ', case k % 3 when 0 then 'Public Law ' when 1 then 'Pub. L. ' else 'P.L. No. ' end, c, '-', l, ', it is so.')", _cites("publaw", "congress", "law"),
         "doc_id, c as congress, l as law",
+        depth=B.CITATIONS,
     ),
-    "stat_citations": Recipe("orders", ORDER, "concat('(', c, ' Stat. ', l, ')')", _cites("stat", "volume", "page"), "doc_id, c as volume, l as page"),
-    "act_names": Recipe("orders", ORDER, "concat('No keeper under the ', upper(act), ' pays.')", _cites("act", "act_name"), "doc_id, act as act_name"),
+    "stat_citations": Recipe("orders", ORDER, "concat('(', c, ' Stat. ', l, ')')", _cites("stat", "volume", "page"), "doc_id, c as volume, l as page", depth=B.CITATIONS),
+    "act_names": Recipe("orders", ORDER, "concat('No keeper under the ', upper(act), ' pays.')", _cites("act", "act_name"), "doc_id, act as act_name", depth=B.CITATIONS),
     "act_sections": Recipe(
         "orders", ORDER, "concat('Under section ', s, p, ' of part B of title IV of the ', act, ', it is so.')",
         lambda a, made: B.table(a, "citations").where("kind = 'act'").select("doc_id", "act_name", "act_section", "subsection", _joined("where")),
         "doc_id, act as act_name, s as act_section, p as subsection, 'TITLE IV|PART B' as \"where\"",
+        depth=B.CITATIONS,
     ),
-    "act_titles": Recipe("orders", ORDER, "concat('Under title XI of the ', act, ', it is so.')", _cites("act", "act_name", "act_title"), "doc_id, act as act_name, 'XI' as act_title"),
+    "act_titles": Recipe("orders", ORDER, "concat('Under title XI of the ', act, ', it is so.')", _cites("act", "act_name", "act_title"), "doc_id, act as act_name, 'XI' as act_title", depth=B.CITATIONS),
     "act_divisions": Recipe(
         "orders", ORDER, "concat('Under title II of division B of the ', act, ', it is so.')",
         lambda a, made: B.table(a, "citations").where("kind = 'act'").select("doc_id", "act_name", "division", _joined("where")),
         "doc_id, act as act_name, 'B' as division, 'DIVISION B|TITLE II' as \"where\"",
+        depth=B.CITATIONS,
     ),
     "act_as_code": Recipe(
         "orders", ORDER, "concat('Under section ', s, p, ' of the Internal Revenue Code of 1986, it is so.')", _cites("usc", "title", "section", "subsection", "via_act"),
         "doc_id, '26' as title, s as section, p as subsection, 'Internal Revenue Code of 1986' as via_act",
+        depth=B.CITATIONS,
     ),
     "publaw_section_chain": Recipe(
         "orders", ORDER, "concat('Under section ', s, p, ' of title II of div. B of Public Law ', c, '-', l, ', it is so.')",
         lambda a, made: B.table(a, "citations").where("kind = 'publaw'").select("doc_id", "congress", "law", "act_section", "subsection", "division", _joined("where")),
         "doc_id, c as congress, l as law, s as act_section, p as subsection, 'B' as division, 'DIVISION B|TITLE II' as \"where\"",
+        depth=B.CITATIONS,
     ),
     "publaw_paren_form": Recipe(
         "orders", ORDER, "concat('Under section ', s, p, ' of the Harbor Renewal Act (', t, ' U.S.C. 44 note; Public Law ', c, '-', l, '), it is so.')",
         _cites("publaw", "congress", "law", "act_section", "short_title"), "doc_id, c as congress, l as law, s as act_section, 'Harbor Renewal Act' as short_title",
+        depth=B.CITATIONS,
     ),
     "internal_refs": Recipe(
         "orders", ORDER, "concat('As section ', s, p, ' of this Act and clause (iv) say, but not subsection (b) of section 9, it is so.')",
         _cites("internal", "ref_type", "section", "subsection", "scope"),
         "doc_id, unnest(['section', 'clause']) as ref_type, unnest([s, '']) as section, unnest([p, '(iv)']) as subsection, unnest(['act', 'section']) as scope",
+        depth=B.CITATIONS,
     ),
     "internal_composed": Recipe(
         "orders", ORDER, "concat('As paragraph (3) of section ', s, p, ' of this title says.')", _cites("internal", "ref_type", "section", "subsection", "scope"),
         "doc_id, 'section' as ref_type, s as section, concat(p, '(3)') as subsection, 'title' as scope",
+        depth=B.CITATIONS,
     ),
     "note_flag": Recipe(
         "orders", ORDER, "concat('See ', t, ' U.S.C. ', s, case when k % 2 = 0 then ' note' else ' notable' end, '.')", _cites("usc", "title", "section", "note"),
         "doc_id, t as title, s as section, k % 2 = 0 as note",
+        depth=B.CITATIONS,
     ),
     "unit_of_code": Recipe(
         "orders", ORDER, "concat('Under subsection (h) of section 7 of the Harbor law (', t, ' U.S.C. ', s, '), it is so.')", _cites("usc", "title", "section", "subsection", "sub_from_prose"),
         "doc_id, t as title, s as section, '(h)' as subsection, true as sub_from_prose",
+        depth=B.CITATIONS,
     ),
     "citation_dedupe": Recipe(
         "orders", ORDER, "concat('Under section ', s, ' of title II of the ', act, ' (', t, ' U.S.C. ', s, p, '; Public Law ', c, '-', l, ').')",
         lambda a, made: B.table(a, "citations").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("kind")), "|").alias("kinds"), F.max("id").alias("last")),
         "doc_id, case when p = '' then 'publaw|usc' else 'act|publaw|usc' end as kinds, case when p = '' then 'c1' else 'c2' end as last",
+        depth=B.CITATIONS,
     ),
     "amend_heads": Recipe(
         "orders", ORDER, f"concat({HEAD}, ' to read otherwise.')", _amendments("unit", "section", "subsection", "verb", "target.title as title", "target.section as target_section", "start"),
@@ -236,6 +251,7 @@ RECIPES: dict[str, Recipe] = {
         "orders", ORDER, "concat('It reads:\n    ', qo, '(a) ', new, '\nand more.', qc, '\n', qo, old, qc, ' is a word.')",
         lambda a, made: B.table(a, "blocks").select("doc_id", "seq", "start", "phrase"),
         "doc_id, unnest([0, 1]) as seq, unnest([14, 14 + 2 * length(qo) - length(qo) + 4 + length(new) + 10 + length(qc) + 1])::bigint as start, unnest([false, true]) as phrase",
+        depth=B.STRUCTURE,
     ),
     "outline_marks": Recipe(
         "orders", ORDER, "concat('(a) ', old, ' under paragraph\n(1) may\n  (B)(i) ', new, '\n  (12) end')",

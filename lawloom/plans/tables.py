@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lawloom.functions import citations, scan
 from lawloom.functions import markers as mk
-from lawloom.functions import scan
 from lawloom.functions.text import act_slug, slug, squeeze_out, unify_newlines
 from lawloom.operators import bills as B
-from lawloom.operators import law, metrics, redline
+from lawloom.operators import law, metrics, redline, views
 from lawloom.session import table
 from lawloom.sources import bills as bill_source
 from lawloom.sources import codified, pdf, share
@@ -100,6 +100,21 @@ def marker_depths(spark: SparkSession, d: str) -> DataFrame:
 # --- citations and the law -------------------------------------------------------------------------------------------------------
 
 
+_SCANNED = (
+    "select cast(o_orderkey as string) as doc_id, cast(1 + o_orderkey % 50 as string) as t, concat(cast(o_orderkey as string), case o_orderkey % 3 when 0 then '' when 1 then 'a' else 'K' end) as s, "
+    "case o_orderkey % 4 when 0 then '' when 1 then '(a)' when 2 then '(a)(2)' else '(b)(1)(C)' end as p from orders"
+)
+
+
+@query(f"""with b as ({_SCANNED}) select doc_id, unnest([t, '9']) as title, unnest([s, '12']) as section, unnest([p, '']) as subsection,
+  unnest([4, 4 + length(t) + 8 + length(s) + length(p) + 5])::bigint as start from b""")
+def usc_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same pattern without leaving the JVM."""
+    rows = _sql(spark, d, _SCANNED, "orders").withColumn("text", F.expr("concat('See ', t, ' U.S.C. ', s, p, ' and 9 USC § 12.')"))
+    found = scan.find_all(F.col("text"), "(?i)" + citations.CODE.replace(r"\s", r"[\s\x{A0}]"), {"title": 1, "section": 2, "subsection": 3})
+    return rows.select("doc_id", F.inline(found)).select("doc_id", "title", "section", "subsection", "start")
+
+
 @query(r"""
 with c as (select distinct doc_id, cite_id, title, regexp_replace(lower(section), '[^a-z0-9]', '_', 'g') as slug from citation where kind = 'usc' and title is not null and section is not null),
 h as (select distinct title, slug from code_section)
@@ -325,17 +340,17 @@ with l as ({_LINES}), o as (select *, 16 + coalesce(sum(length(head) + length(bo
 @query(_OFFSETS + """select doc_id, seq, cast(n as string) as num, regexp_extract(head, '(CARGO [0-9]+)', 1) as heading, 'TITLE I—SHIPS' as division, cast(place as bigint) as start,
   cast(place + length(head) + length(body) + case when seq + 1 < many then 4 else 2 end as bigint) as "end" from o""")
 def bill_sections(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(B.analyse(_many(spark, d)), "sections").select("doc_id", "seq", "num", "heading", "division", "start", "end")
+    return B.table(B.analyse(_many(spark, d), B.STRUCTURE), "sections").select("doc_id", "seq", "num", "heading", "division", "start", "end")
 
 
 @query("select distinct cast(l_orderkey as string) as doc_id, 'TITLE I' as label, 'SHIPS' as heading, cast(0 as bigint) as start from lineitem")
 def bill_divisions(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(B.analyse(_many(spark, d)), "divisions").select("doc_id", "label", "heading", "start")
+    return B.table(B.analyse(_many(spark, d), B.STRUCTURE), "divisions").select("doc_id", "label", "heading", "start")
 
 
 @query(_OFFSETS + """select doc_id, cast(seq as int) as cite_seq, cast(n as string) as section, cast(place + length(head) + 10 as bigint) as start from o""")
 def section_of_offset(spark: SparkSession, d: str) -> DataFrame:
-    a = B.analyse(_many(spark, d))
+    a = B.analyse(_many(spark, d), B.CITATIONS)
     inside = lambda s: (s["start"] <= F.col("start")) & (F.col("start") < s["end"])
     cites = a.select("doc_id", "sections", F.inline("citations"))
     return cites.select("doc_id", F.substring("id", 2, 9).cast("int").alias("cite_seq"), F.filter("sections", inside)[0]["num"].alias("section"), "start")
@@ -343,7 +358,7 @@ def section_of_offset(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select cast(l_orderkey as string) as doc_id, count(*) as cites, count(distinct 1 + l_suppkey % 50) as titles from lineitem group by 1")
 def kind_counts_per_bill(spark: SparkSession, d: str) -> DataFrame:
-    cites = B.table(B.analyse(_many(spark, d)), "citations").where("kind = 'usc'")
+    cites = B.table(B.analyse(_many(spark, d), B.CITATIONS), "citations").where("kind = 'usc'")
     return cites.groupBy("doc_id").agg(F.count("*").alias("cites"), F.count_distinct("title").alias("titles"))
 
 
@@ -360,6 +375,25 @@ def metrics_baseline_diff(spark: SparkSession, d: str) -> DataFrame:
     return metrics.metric_changes(now, before)
 
 
+@query(_OFFSETS + """select doc_id, cast(2 * seq + 1 as int) as seq, cast(place as bigint) as start, cast(n as string) as section, 'section' as kind from o
+union all select doc_id, cast(2 * seq + 2 as int), cast(place + length(head) + 2 as bigint), null, 'text' from o union all select distinct doc_id, cast(0 as int), cast(0 as bigint), null, 'division' from o""")
+def paragraph_rows(spark: SparkSession, d: str) -> DataFrame:
+    v = views.view(_many(spark, d))
+    return v.select("doc_id", F.inline("paragraphs")).select("doc_id", "seq", "start", "section", "kind")
+
+
+@query(_OFFSETS + """select doc_id, cast(2 * seq + 2 as int) as paragraph, cast(place + length(head) + 10 as bigint) as start, 'c' || seq as cite_id from o""")
+def paragraph_chips(spark: SparkSession, d: str) -> DataFrame:
+    v = views.view(_many(spark, d))
+    return v.select("doc_id", F.inline("tiles")).where("cite_id is not null").select("doc_id", "paragraph", "start", "cite_id")
+
+
+@query("select cast(l_orderkey as string) as doc_id, 'TITLE I—SHIPS' as chain, count(*) as sections from lineitem group by 1")
+def jump_groups(spark: SparkSession, d: str) -> DataFrame:
+    found = views.jump_groups(B.table(B.analyse(_many(spark, d), B.STRUCTURE), "sections"))
+    return found.select("doc_id", "chain", "sections")
+
+
 # --- redlines --------------------------------------------------------------------------------------------------------------------
 
 _PARTS = "select cast(p_partkey as string) as k, p_name as old, p_brand as new, p_partkey % 3 as way, p_type as kind from part"
@@ -434,3 +468,32 @@ select cast(s_suppkey as string) as doc_id, cast(0 as int) as page, cast(unnest(
 def dehyphenate(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.posexplode(F.array(F.lit("cargo-"), F.concat(F.lit("es of "), "s_name"), F.lit("Next line"))).alias("pos", "line"))
     return pdf.rejoin_lines(rows.withColumn("page", F.lit(0))).select("doc_id", "page", "island", "line")
+
+
+@query(f"""
+with g as ({_GLYPHS}), o as (select distinct doc_id, n, min(word) over (partition by doc_id, n) as word from g), m as (select doc_id, word, row_number() over (partition by doc_id order by o.n) as n, count(*) over (partition by doc_id) as many from o)
+select doc_id, string_agg(case when many >= 4 then word else n || ' ' || word end, chr(10) order by n) as text from m group by doc_id
+""")
+def pdf_gutter(spark: SparkSession, d: str) -> DataFrame:
+    """Line numbers in the margin go where at least four of them count up."""
+    g = _sql(spark, d, _GLYPHS, "lineitem").groupBy("doc_id", "n").agg(F.min("word").alias("word"))
+    g = g.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")))
+    cells = F.array(F.struct(F.lit(40.0).alias("x"), F.col("n").cast("string").alias("s")), F.struct(F.lit(80.0).alias("x"), F.col("word").alias("s")))
+    runs = g.select("doc_id", "n", F.posexplode(cells).alias("i", "c")).select(
+        "doc_id", F.lit(1).alias("page"), (F.col("n") * 10 + F.col("i")).alias("ord"), F.col("c.x").alias("x"), (F.lit(700.0) - F.col("n") * 12).alias("y"), F.lit(6.0).alias("width"),
+        F.lit(600.0).alias("page_width"), F.col("c.s").alias("str"),
+    )
+    return pdf.pdf_texts(runs)
+
+
+@query("""
+with b as (select cast(o_orderkey as string) as doc_id, 'word' || o_custkey as w from orders)
+select doc_id, cast(unnest([0, 1, 2]) as int) as ord, cast(unnest([-1, 0, -1]) as int) as parent, unnest(['(a)', '(a)(1)', '(b)']) as path, unnest(['In general', '', '']) as heading,
+  unnest(['The ' || w || ' is.', 'One.', w]) as text from b
+""")
+def provision_tree(spark: SparkSession, d: str) -> DataFrame:
+    from lawloom.functions import sqlfuncs
+
+    sqlfuncs.register(spark)
+    rows = table(spark, d, "orders").selectExpr("cast(o_orderkey as string) as doc_id", "concat('SEC. 4. KITES.\n(a) In general.--The word', o_custkey, '\nis.\n  (1) One.\n(b) word', o_custkey) as text")
+    return spark.sql("select doc_id, p.ord, p.parent, p.path, p.heading, p.text from {rows}, lateral provisions(text) p", rows=rows)
