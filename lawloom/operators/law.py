@@ -368,3 +368,97 @@ def default_scope(wanted: DataFrame, code_node: DataFrame) -> DataFrame:
     joined = keyed.join(nodes, ["title", "slug", "entry"], "left").where(F.col("node").isNull() | F.col("node").startswith(F.col("parent")))
     sums = joined.groupBy("cite_key", "path", "parent").agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
     return sums.select("cite_key", F.when(F.col("chars") > SCOPE_BUDGET, F.col("path")).otherwise(F.col("parent")).alias("scope"))
+
+
+def provision_view(wanted: DataFrame, code_node: DataFrame) -> DataFrame:
+    """Rows (cite_key, title, slug, entry, path) with every node of the section and how it is shown: focus, on_path, under or dimmed."""
+    nodes = code_node.select("title", "slug", "entry", "ord", F.col("path").alias("node"))
+    focus, node = F.col("path"), F.col("node")
+    how = (
+        F.when(node == focus, "focus")
+        .when((focus != "") & focus.startswith(node), "on_path")
+        .when((focus == "") | node.startswith(focus), "under")
+        .otherwise("dimmed")
+    )
+    return wanted.join(nodes, ["title", "slug", "entry"]).select("cite_key", "ord", "node", how.alias("how"))
+
+
+def clean_addition(text: Column) -> Column:
+    """Added law as shown: no quotes that open a line, no blanks at line ends."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?m)^([ \t]*)(?:``|‘‘|[\"“])", "$1"), r"(?m)[ \t]+$", ""))
+
+
+def effects(ops: DataFrame, texts: DataFrame) -> DataFrame:
+    """Operations (am_id, op_seq, type, text, title, slug) with whether what they strike stands in the law's text (title, slug, text) now."""
+
+    def flat(c: Column) -> Column:
+        return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, "``|''|‘‘|’’|[“”]", '"'), r"\s+", " ")))
+
+    met = ops.join(texts.select("title", "slug", flat(F.col("text")).alias("law_text")), ["title", "slug"], "left")
+    found = F.when(F.col("type") == "strike", F.coalesce(F.contains("law_text", flat(F.col("text"))), F.lit(False)))
+    return met.select("am_id", "op_seq", "type", found.alias("found"))
+
+
+# --- dispatch --------------------------------------------------------------------------------------------------------------------
+
+
+def popular_name_table(spark) -> DataFrame:
+    """The table of Act names: a fixed number of rows."""
+    from lawloom.functions.citations import popular_names
+
+    rows = [(a.name, a.title, a.section, a.range, a.enacted_as) for a in popular_names()]
+    return spark.createDataFrame(rows, "act_name string, head_title string, head_section string, act_range string, act_enacted string")
+
+
+def dispatch(
+    cites: DataFrame, names: DataFrame, sections: DataFrame, titles: DataFrame, code_section: DataFrame, plaw_section: DataFrame, plaw_toc: DataFrame
+) -> DataFrame:
+    """Where each citation (cite_key, kind, title, section, act_name, act_section, act_title, division, where, congress, law, short_title) leads.
+
+    ``source`` is the first that holds of: for an Act a division held as law text, a title or section the Act's index knows, the law's
+    own text, the head of the Act; for a public law a division, a section that was codified (if the code's credit agrees on the
+    division), the law's own text, the head of the Act that the short title names, else outside. Null keys never match.
+    """
+    by_short = names.select(F.lower("act_name").alias("short_key"), F.col("head_title").alias("short_title_no"), F.col("head_section").alias("short_section"))
+    enacted = F.when(F.col("kind") == "publaw", F.concat(F.lit("Pub. L. "), F.col("congress"), F.lit("-"), F.col("law"))).otherwise(F.col("act_enacted"))
+    number = F.when(F.col("kind") == "publaw", F.concat(F.col("congress"), F.lit("-"), F.col("law"))).otherwise(law_id(F.col("act_enacted"), F.col("act_range")))
+    rows = cites.join(names, "act_name", "left").join(by_short, F.lower(F.col("short_title")) == F.col("short_key"), "left")
+    rows = rows.withColumns({
+        "act_key": act_slug(enacted), "law_id": number,
+        "unit": F.when(F.col("division").isNotNull() & F.col("act_section").isNull(), F.coalesce(F.get("where", F.lit(0)), F.concat(F.lit("DIVISION "), F.col("division")))),
+    })
+    known = sections.where("title is not null").select("act_key", "act_section", F.col("title").alias("to_title"), F.col("section").alias("to_section"))
+    opened = titles.where("seq = 0").select("act_key", "act_title", F.col("title").alias("open_title"), F.col("section").alias("open_section"))
+    units = plaw_toc.select("law_id", unit_label(F.get("where_path", F.lit(0))).alias("unit"), F.lit(True).alias("unit_held")).distinct()
+    held = plaw_section.select("law_id", F.col("number").alias("act_section"), F.lit(True).alias("text_held")).distinct()
+    credits = code_section.groupBy(F.col("title").alias("to_title"), F.col("slug").alias("to_slug")).agg(F.min_by("source_credit", "entry").alias("credit"))
+    rows = (
+        rows.join(known, ["act_key", "act_section"], "left").join(opened, ["act_key", "act_title"], "left").join(units, ["law_id", "unit"], "left")
+        .join(held, ["law_id", "act_section"], "left").withColumn("to_slug", slug(F.col("to_section"))).join(credits, ["to_title", "to_slug"], "left")
+    )
+    is_act, is_law = F.col("kind") == "act", F.col("kind") == "publaw"
+    agrees = division_agrees(F.col("division"), F.col("credit")) & F.col("to_slug").isNotNull()
+    source = (
+        F.when(F.col("kind") == "usc", "code")
+        .when(F.col("kind") == "cfr", "regulation")
+        .when((is_act | is_law) & F.col("unit_held"), "law_division")
+        .when(is_act & F.col("open_title").isNotNull() & F.col("act_section").isNull(), "act_title")
+        .when(F.col("to_title").isNotNull() & (is_act | (is_law & agrees)), "act_section")
+        .when((is_act | is_law) & F.col("text_held"), "law_text")
+        .when(is_act & F.col("head_title").isNotNull(), "act_head")
+        .when(is_law & F.col("short_title_no").isNotNull(), "act_head")
+        .when(is_law | (F.col("kind") == "stat"), "outside")
+        .when(F.col("kind") == "internal", "internal")
+        .otherwise("unknown")
+    )
+    rows = rows.withColumn("source", source)
+
+    def place(code: str, known_: str, opened_: str, head: str, short: str) -> Column:
+        s = F.col("source")
+        return F.when(s.isin("code", "regulation"), F.col(code)).when(s == "act_section", F.col(known_)).when(s == "act_title", F.col(opened_)).when(s == "act_head", F.coalesce(head, short))
+
+    return rows.select(
+        "cite_key", "source", place("title", "to_title", "open_title", "head_title", "short_title_no").alias("to_title"),
+        place("section", "to_section", "open_section", "head_section", "short_section").alias("to_section"),
+        F.when(F.col("source").isin("law_division", "law_text", "outside"), F.col("law_id")).alias("law_id"),
+    )

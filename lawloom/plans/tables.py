@@ -274,6 +274,27 @@ def issue_in_force(spark: SparkSession, d: str) -> DataFrame:
     return codified.issue_at(table(spark, d, "cfr_section"), wanted).select("key", "as_of")
 
 
+@query(f"""
+with w as ({_WANTED}), n as (select distinct title, slug, entry, ord, path from code_node)
+select cite_key, n.ord, n.path as node, case when n.path = w.path then 'focus' when w.path <> '' and starts_with(w.path, n.path) then 'on_path' when w.path = '' or starts_with(n.path, w.path) then 'under' else 'dimmed' end as how
+from w join n on n.title = w.title and n.slug = w.slug and n.entry = w.entry
+""")
+def provision_view(spark: SparkSession, d: str) -> DataFrame:
+    return law.provision_view(_wanted(spark, d), table(spark, d, "code_node").select("title", "slug", "entry", "ord", "path").distinct())
+
+
+@query()
+def citation_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    cites = table(spark, d, "citation").select("doc_id", "cite_id", "kind", "title", "section", "act_name", "congress", "law").distinct()
+    rows = cites.withColumn("cite_key", F.concat_ws("|", "doc_id", "cite_id")).withColumns(
+        {n: F.lit(None).cast("string") for n in ("act_title", "division", "short_title")} | {"act_section": F.when(F.col("kind") == "act", F.col("section")), "where": F.lit(None).cast("array<string>")}
+    )
+    origins = law.section_origins(table(spark, d, "code_section"))
+    laws = _laws(spark, d)
+    toc = laws.select("law_id", F.col("ancestors").alias("where_path"))
+    return law.dispatch(rows, law.popular_name_table(spark), law.act_sections(origins), law.act_titles(origins), table(spark, d, "code_section"), laws, toc)
+
+
 _LAWS = (
     "select '117-' || cast(p_partkey % 40 as string) as law_id, cast(p_partkey % 300 as string) as number, cast(p_partkey as int) as entry, "
     "'DIVISION ' || chr(cast(65 + p_partkey % 5 as int)) || '—Harbor ' || p_brand || ' Renewal Act' as d1, 'TITLE ' || case p_partkey % 3 when 0 then 'I' when 1 then 'II' else 'V' end || '—' || p_type as d2 from part"

@@ -140,3 +140,45 @@ def test_empty_tables(spark):
     assert B.table(B.analyse(bills), "ops").count() == 0
     glyphs = spark.createDataFrame([], "doc_id string, page int, ord int, x double, y double, width double, page_width double, str string")
     assert pdf.pdf_texts(glyphs).count() == 0
+
+
+def test_dispatch_follows_its_order(spark):
+    names = spark.createDataFrame(
+        [("Kite Act", "16", "80", "80 et seq.", "Pub. L. 90–1"), ("Old Act", "7", "1", "1 et seq.", None)], "act_name string, head_title string, head_section string, act_range string, act_enacted string"
+    )
+    sections = spark.createDataFrame([("pub_l_90_1", "5", "16", "84"), ("pub_l_90_1", "6", None, None), ("pub_l_99_2", "3", "5", "9")], "act_key string, act_section string, title string, section string")
+    titles = spark.createDataFrame([("pub_l_90_1", "IV", 0, "16", "90"), ("pub_l_90_1", "IV", 1, "16", "91")], "act_key string, act_title string, seq int, title string, section string")
+    code = spark.createDataFrame([("5", "9", 0, "(Pub. L. 99–2, div. B, § 3.)")], "title string, slug string, entry int, source_credit string")
+    plaw = spark.createDataFrame([("90-1", "6"), ("99-2", "3")], "law_id string, number string")
+    toc = spark.createDataFrame([("90-1", ["Division B"])], "law_id string, where_path array<string>")
+    rows = [
+        ("usc", "usc", "5", "9", None, None, None, None, None, None, None, None),
+        ("sec", "act", None, None, "Kite Act", "5", None, None, None, None, None, None),
+        ("text", "act", None, None, "Kite Act", "6", None, None, None, None, None, None),
+        ("title", "act", None, None, "Kite Act", None, "IV", None, None, None, None, None),
+        ("div", "act", None, None, "Kite Act", None, None, "B", None, None, None, None),
+        ("head", "act", None, None, "Old Act", "5", None, None, None, None, None, None),
+        ("agree", "publaw", None, None, None, "3", None, "B", None, "99", "2", None),
+        ("differ", "publaw", None, None, None, "3", None, "A", None, "99", "2", None),
+        ("named", "publaw", None, None, None, "8", None, None, None, "98", "2", "kite act"),
+        ("out", "publaw", None, None, None, "8", None, None, None, "98", "2", None),
+        ("in", "internal", None, "4", None, None, None, None, None, None, None, None),
+    ]
+    schema = "cite_key string, kind string, title string, section string, act_name string, act_section string, act_title string, division string, `where` array<string>, congress string, law string, short_title string"
+    got = {r.cite_key: (r.source, r.to_title, r.to_section, r.law_id) for r in law.dispatch(spark.createDataFrame(rows, schema), names, sections, titles, code, plaw, toc).collect()}
+    assert got == {
+        "usc": ("code", "5", "9", None), "sec": ("act_section", "16", "84", None), "text": ("law_text", None, None, "90-1"), "title": ("act_title", "16", "90", None),
+        "div": ("law_division", None, None, "90-1"), "head": ("act_head", "7", "1", None), "agree": ("act_section", "5", "9", None), "differ": ("law_text", None, None, "99-2"),
+        "named": ("act_head", "16", "80", None), "out": ("outside", None, None, "98-2"), "in": ("internal", None, None, None),
+    }
+
+
+def test_views_of_a_provision(spark):
+    nodes = spark.createDataFrame([("1", "2", 0, k, p) for k, p in enumerate(["(a)", "(a)(1)", "(a)(1)(A)", "(b)"])], "title string, slug string, entry int, ord int, path string")
+    wanted = spark.createDataFrame([("c", "1", "2", 0, "(a)(1)")], "cite_key string, title string, slug string, entry int, path string")
+    assert [r.how for r in law.provision_view(wanted, nodes).orderBy("ord").collect()] == ["on_path", "focus", "under", "dimmed"]
+    added = spark.createDataFrame([("``(9) One.  \n    ``(A) Two.",)], "t string")
+    assert added.select(law.clean_addition(F.col("t"))).first()[0] == "(9) One.\n    (A) Two."
+    ops = spark.createDataFrame([("a", 0, "strike", "RED  kite", "1", "2"), ("a", 1, "strike", "gone", "1", "2"), ("a", 2, "insert", "x", "1", "2")], "am_id string, op_seq int, type string, text string, title string, slug string")
+    texts = spark.createDataFrame([("1", "2", "A red\nkite.")], "title string, slug string, text string")
+    assert [r.found for r in law.effects(ops, texts).orderBy("op_seq").collect()] == [True, False, None]
