@@ -9,8 +9,10 @@ Latent semantic retrieval over short windows of words, then exact checks:
    candidates of a document window are the passage windows in its direction: the same signs in all latent coordinates, cosine above a
    threshold. Document windows begin at every WINDOW-th word, passage windows at every word: a run of 2 * WINDOW - 1 common words holds
    a document window wholly, whose words are those of the passage window, cosine 1. So no such run is missed.
-4. Candidates are extended word by word to the longest common run. For paraphrases, a longest common subsequence and a search for
-   the item's answer are made over the neighbourhood of pairs with several candidate windows.
+4. Candidates are extended word by word to the longest common run.
+5. Paraphrases are looked for without directions: windows begin at every word of the document, and each is compared by cosine with all
+   windows of a passage. For pairs with several candidate windows, a longest common subsequence and a search for the item's answer are
+   made over the neighbourhood of each. Left out before are only stretches that hold too few of the passage's words for the share.
 
 Items are taken in blocks of ITEM_BLOCK, each against all documents.
 
@@ -41,6 +43,8 @@ EXTRA = 8
 #: Items of one block; a block's windows travel to the executors.
 ITEM_BLOCK = 4000
 MIN_COSINE = 0.98
+#: Words of one block of a document; the neighbourhood of a candidate window reaches as far as the passage is long from its block.
+BLOCK = 16
 #: Entries that a worker remembers before it starts over.
 MEMO = 1_000_000
 
@@ -227,30 +231,91 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+class Paraphrases:
+    """Documents against every window of every passage of one block of items.
+
+    All windows of a document, one beginning at each word, are compared by cosine with all windows of a passage; a word outside the
+    vocabulary adds nothing to the vector of its window. Only stretches that cannot reach ``min_share`` are left out before: a common
+    subsequence is no longer than the words of the passage, counted as often as they stand there, that occur in the stretch at all.
+    """
+
+    def __init__(self, retriever: Retriever, answers: list[list[int]], min_windows: int, min_share: float) -> None:
+        self.latent, self.ids, self.answers = retriever.latent, retriever.ids, answers
+        self.min_windows, self.min_share = min_windows, min_share
+        item = retriever.owner[retriever.at]
+        norm = np.maximum(retriever.norm, 1e-300)[:, None]
+        self.passages = []
+        for k in range(len(self.ids)):
+            codes = retriever.words[retriever.owner == k]
+            mine = (item == k) & (retriever.norm > 0)
+            self.passages.append((codes, *np.unique(codes, return_counts=True), (retriever.vectors[mine] / norm[mine]).T))
+
+    def _near(self, flat: np.ndarray, last: np.ndarray, blocks: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """The starts, in the given blocks, of windows near a window of the passage; ``last`` is the last start by block."""
+        starts = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        starts = starts[starts <= np.repeat(last[blocks], BLOCK)]
+        v = self.latent[flat[starts[:, None] + np.arange(WINDOW)]].sum(axis=1, dtype=np.int64).astype(np.float64)
+        norm = np.linalg.norm(v, axis=1)
+        return starts[((v @ passage >= MIN_COSINE * norm[:, None] - 1e-9) & (norm > 0)[:, None]).any(axis=1)]
+
+    def find(self, documents: list[np.ndarray]) -> Iterator[tuple[int, int, float, bool]]:
+        """(place of the document, place of the item, share, answer there)"""
+        size = np.array([len(c) for c in documents])
+        count = -(-size // BLOCK)
+        begin = np.cumsum(count) - count
+        flat = np.zeros(count.sum() * BLOCK + WINDOW, np.int32)
+        here = np.zeros((len(self.latent), len(documents)), np.uint8)
+        for d, c in enumerate(documents):
+            flat[begin[d] * BLOCK : begin[d] * BLOCK + len(c)] = c
+            here[c, d] = 1
+        owner = np.repeat(np.arange(len(documents)), count)
+        end = begin * BLOCK + size
+        last = (end - WINDOW)[owner]
+        rows = flat[: count.sum() * BLOCK].reshape(-1, BLOCK)
+        slot = np.full(len(self.latent), -1, np.int32)
+        for k, (codes, terms, times, passage) in enumerate(self.passages):
+            least = self.min_share * len(codes) - 1e-9
+            able = np.flatnonzero(times @ here[terms] >= least)
+            if not len(able) or not passage.size:
+                continue
+            slot[terms] = np.arange(len(terms))
+            blocks = np.concatenate([np.arange(begin[d], begin[d] + count[d]) for d in able])
+            at = slot[rows[blocks]]
+            held = np.zeros((len(terms) + 1, len(blocks) + 1), np.int32)  # the last row takes the words that the passage lacks
+            held[at, np.arange(1, len(blocks) + 1)[:, None]] = 1
+            held = np.cumsum(held[:-1], axis=1, dtype=np.int32)
+            n = count[able]
+            first, place = np.repeat(np.cumsum(n) - n, n), np.arange(len(blocks))
+            lo = np.maximum(first, place + -len(codes) // BLOCK)
+            hi = np.minimum(first + np.repeat(n, n), place + (BLOCK + WINDOW - 2 + len(codes)) // BLOCK + 1)
+            good = blocks[times @ (held[:, hi] > held[:, lo]) >= least]
+            near = self._near(flat, last, good, passage)
+            found = owner[near // BLOCK]
+            for d in np.unique(found).tolist():
+                mine = near[found == d]
+                if len(mine) < self.min_windows and len(self._near(flat, last, np.arange(begin[d], begin[d] + count[d]), passage)) < self.min_windows:
+                    continue
+                share, told = 0.0, False
+                for b in np.unique(mine // BLOCK).tolist():
+                    near_by = flat[max(begin[d] * BLOCK, b * BLOCK - len(codes)) : min(end[d], (b + 1) * BLOCK + WINDOW - 1 + len(codes))]
+                    one = common_subsequence(codes.tolist(), near_by[slot[near_by] >= 0].tolist()) / len(codes)
+                    share = max(share, one)
+                    if one * len(codes) >= least and self.answers[k] and not told:
+                        told = f" {' '.join(map(str, self.answers[k]))} " in f" {' '.join(map(str, near_by.tolist()))} "
+                if share * len(codes) >= least:
+                    yield d, k, round(share, 3), told
+            slot[terms] = -1
+
+
 def paraphrase_leaks(numbered: DataFrame, retriever: Retriever, answers: list[list[int]], min_windows: int, min_share: float) -> DataFrame:
     """doc_id, item_id, lcs_share, has_answer of pairs with several candidate windows."""
+    sent = numbered.sparkSession.sparkContext.broadcast(Paraphrases(retriever, answers, min_windows, min_share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = sent.value
         for b in _pieces(batches):
-            codes, doc, starts = _joined(b)
-            here, there = retriever.candidates(codes, starts)
-            key = doc[here] * len(retriever.ids) + retriever.owner[there]
-            order = np.lexsort((here, key))
-            key, here = key[order], here[order]
-            new, first = np.unique(key, return_index=True)
-            ends = np.append(first[1:], len(key))
-            out = []
-            for k, lo, hi in zip(new.tolist(), first, ends):
-                if len(np.unique(here[lo:hi])) < min_windows:
-                    continue
-                d, item = divmod(k, len(retriever.ids))
-                passage = retriever.words[retriever.owner == item].tolist()
-                span = np.arange(max(0, here[lo] - len(passage)), min(len(codes), here[hi - 1] + WINDOW + len(passage)))
-                near = codes[span[doc[span] == d]].tolist()
-                share = common_subsequence(passage, near) / len(passage)
-                if share >= min_share:
-                    text, answer = " ".join(map(str, near)), " ".join(map(str, answers[item]))
-                    out.append((b.column(0)[d].as_py(), int(retriever.ids[item]), round(share, 3), bool(answer) and f" {answer} " in f" {text} "))
+            ids = b.column(0).to_pylist()
+            out = [(ids[d], int(finder.ids[k]), share, told) for d, k, share, told in finder.find([np.frombuffer(w.as_py(), np.int32) for w in b.column(1)])]
             cols = list(zip(*out)) or [(), (), (), ()]
             types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "lcs_share", "has_answer"])

@@ -77,3 +77,47 @@ def test_whole_tables(spark, sf):
     docs = [(r.doc_id, r.text, 0) for r in d.collect()]
     items = [(r.item_id, r.suite, r.passage, r.question, r.answer) for r in e.collect()]
     assert {tuple(r) for r in leak.find_leaks(d, e).collect()} == brute(docs, items)
+
+
+def brute_paraphrases(docs, items, numbered, retriever, min_windows=2, min_share=0.6):
+    """Cosines of all windows of all documents with all windows of all passages, nothing left out before."""
+    number, found = numbered, set()
+    latent = retriever.latent.astype(np.int64)
+    for i, p in items:
+        a = [number[w] for w in leak.words(p)]
+        x = latent[leak._windows(np.array(a))].sum(axis=1).astype(float)
+        for d, t in docs:
+            b = [number.get(w, 0) for w in leak.words(t)]
+            y = latent[leak._windows(np.array(b))].sum(axis=1).astype(float)
+            near = y @ x.T >= leak.MIN_COSINE * np.outer(np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1)) - 1e-9
+            near &= (np.linalg.norm(y, axis=1) > 0)[:, None] & (np.linalg.norm(x, axis=1) > 0)
+            starts = np.flatnonzero(near.any(axis=1))
+            if len(starts) >= min_windows:
+                around = [b[max(0, k * leak.BLOCK - len(a)) : (k + 1) * leak.BLOCK + leak.WINDOW - 1 + len(a)] for k in set((starts // leak.BLOCK).tolist())]
+                if max(leak.common_subsequence(a, n) for n in around) >= min_share * len(a) - 1e-9:
+                    found.add((d, i))
+    return found
+
+
+def test_paraphrases_of_stated_passages(spark):
+    rng = random.Random(4)
+    e = spark.read.parquet("/root/testdata/sf0.01/eval_item.parquet").where("passage is not null").orderBy("item_id").limit(40)
+    items = [(r.item_id, r.suite, r.passage, r.question, r.answer) for r in e.collect()]
+    docs = []
+    for d, (_, _, p, _, _) in enumerate(items):
+        w = leak.words(p)
+        for k in range(0, len(w), 8):  # one word of eight is another one, most often one that no item has
+            w[min(len(w) - 1, k + rng.randrange(8))] = rng.choice(["quokka", "zzz", w[0]])
+        before, after = (" ".join(rng.choices(["quokka", "of", "the", "act"], k=rng.randrange(200))) for _ in range(2))
+        docs.append((d, f"{before} {' '.join(w)} {after}", 0))
+    docs.append((99, None, 0))
+    d, e = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
+    got = {(r.doc_id, r.item_id) for r in leak.find_paraphrases(d, e).collect()}
+    assert len(got & {(k, x[0]) for k, x in enumerate(items)}) >= 0.9 * len(items)
+    (block,) = leak._blocks(e)
+    _, retriever, _ = leak._prepared(d, block)
+    number = {}
+    for _, p, a in block:
+        for w in leak.words(p) + leak.words(a):
+            number.setdefault(w, len(number) + 1)
+    assert got == brute_paraphrases([x[:2] for x in docs if x[1]], [(x[0], x[2]) for x in items], number, retriever)
