@@ -9,7 +9,7 @@ follows from the sizes of the subtrees before it.
 
 There is no shuffle but the one that removes repeated rows, whose rows are five narrow columns.
 
-Defined results: content that is null, cut off or no JSON object gives no row; a tree, ``children`` or ``also`` may be a list, one
+Defined results: content that is null, cut off or no JSON object gives no row, at whatever depth it ends; a tree, ``children`` or ``also`` may be a list, one
 object, or either as a JSON string; what is neither (null, a number, an empty
 object, a broken string) holds nothing, also inside a list; an absent,
 null or empty path is the parent's path followed by the marker; an ``also`` element that is no record still takes its number.
@@ -18,6 +18,7 @@ null or empty path is the parent's path followed by the marker; an ``also`` elem
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,65 @@ SCHEMA = pa.schema(
 )
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\.)*")|([^\s\[\]{},:"]+))')
+_END = re.compile(r"[ \t\n\r]*\Z")
+
+
+def _deep(text: str):
+    """What ``json.loads`` gives, at any depth: containers are kept on a list, only strings, numbers and words are left to ``json``."""
+    done: list = []  # the value, once it is whole
+    open_: list[tuple[list | dict, str | None]] = []  # container and, in an object, the key whose value comes
+    state, at = "value", 0
+    while match := _TOKEN.match(text, at):
+        at = match.end()
+        mark, string, other = match.groups()
+        inside = open_[-1][0] if open_ else None
+        if state in ("value", "first value") and mark in ("[", "{"):
+            open_.append(([], None) if mark == "[" else ({}, None))
+            state = "first value" if mark == "[" else "first key"
+            continue
+        if state in ("value", "first value") and not mark:
+            value = json.loads(string or other)
+        elif state in ("key", "first key") and string:
+            open_[-1] = (inside, json.loads(string))
+            state = "colon"
+            continue
+        elif state == "colon" and mark == ":":
+            state = "value"
+            continue
+        elif state == "more" and open_ and mark == ",":
+            state = "key" if isinstance(inside, dict) else "value"
+            continue
+        elif open_ and (state in ("more", "first value") and mark == "]" and isinstance(inside, list) or state in ("more", "first key") and mark == "}" and isinstance(inside, dict)):
+            value = open_.pop()[0]
+        else:
+            raise ValueError(f"no JSON at {match.start()}")
+        if not open_:
+            done.append(value)
+            break
+        above, key = open_[-1]
+        if isinstance(above, dict):
+            above[key] = value
+        else:
+            above.append(value)
+        state = "more"
+    if not done or not _END.match(text, at):
+        raise ValueError("no whole JSON value")
+    return done[0]
+
+
+def _load(text: str):
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _deep(text)
+
+
 def _objects(value) -> list[dict]:
     """The objects a repeated field holds, whatever shape it was written in."""
     if isinstance(value, str):
         try:
-            value = json.loads(value)
+            value = _load(value)
         except ValueError:
             return []
     if isinstance(value, dict):
@@ -47,18 +102,55 @@ def _elements(value) -> list:
     """Like ``_objects``, but elements keep their numbers."""
     if isinstance(value, str):
         try:
-            value = json.loads(value)
+            value = _load(value)
         except ValueError:
             return []
     return [value] if isinstance(value, dict) else value if isinstance(value, list) else []
 
 
+def _written(value) -> str:
+    """What ``json.dumps`` gives, at any depth."""
+    out: list[str] = []
+    stack = [(value, False)]
+    while stack:
+        x, plain = stack.pop()
+        if plain:
+            out.append(x)
+        elif isinstance(x, (dict, list)) and x:
+            inside = [(k, v) for k, v in x.items()] if isinstance(x, dict) else [(None, v) for v in x]
+            parts = [("{" if isinstance(x, dict) else "[", True)]
+            for n, (k, v) in enumerate(inside):
+                parts.append((", " * (n > 0) + (json.dumps(k, ensure_ascii=False) + ": " if k is not None else ""), True))
+                parts.append((v, False))
+            parts.append(("}" if isinstance(x, dict) else "]", True))
+            stack += reversed(parts)
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
 def _leaf(value) -> str | None:
     if value is None or isinstance(value, str):
         return value
-    if isinstance(value, list):
-        return "\n".join(x for x in map(_leaf, value) if x is not None)
-    return json.dumps(value, ensure_ascii=False)
+    if not isinstance(value, list):
+        try:
+            return json.dumps(value, ensure_ascii=False)
+        except RecursionError:
+            return _written(value)
+    frames: list[tuple] = [(iter(value), [])]
+    while True:
+        rest, lines = frames[-1]
+        for x in rest:
+            if isinstance(x, list):
+                frames.append((iter(x), []))
+                break
+            if x is not None:
+                lines.append(_leaf(x))
+        else:
+            frames.pop()
+            if not frames:
+                return "\n".join(lines)
+            frames[-1][1].append("\n".join(lines))
 
 
 class Shredder:
@@ -161,8 +253,8 @@ def shred_batch(shard_ids: list, contents: list, leaves: tuple[str, ...]) -> pa.
         if not content:
             continue
         try:
-            record = json.loads(content)
-        except (ValueError, RecursionError):
+            record = _load(content)
+        except ValueError:
             continue
         if not isinstance(record, dict):
             continue

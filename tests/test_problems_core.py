@@ -171,3 +171,34 @@ def test_shredding_whole_table(spark, sf):
     got = {tuple(r) for r in shred.provisions(t).collect()}
     want = {x for r in t.select("shard_id", "content").collect() if r.content for x in brute(r.shard_id, r.content)}
     assert got == want and got
+
+
+def test_very_deep_records_are_shredded():
+    n = 6000
+    chain = '{"path":"p","children":[' * n + "]}" * n
+    text = json.dumps({"path": "q", "text": 0})[:-2] + '{"x":[' * n + "1" + "]}" * n + "}"
+    contents = [f'{{"tree":{chain}}}', json.dumps({"tree": [{"marker": "(a)", "children": chain}]}), json.dumps({"tree": chain}), f'{{"tree":{chain}', f'{{"tree":[{text}]}}']
+    b = shred.shred_batch([1, 2, 3, 4, 5], contents, ("path", "marker", "text"))
+    got = list(zip(*(b.column(k).to_pylist() for k in range(5))))
+    for shard_id, rows in ((1, n), (2, n + 1), (3, n)):
+        assert sorted(r[2:4] for r in got if r[0] == shard_id) == [(k, k - 1) for k in range(rows)]
+    assert sum(r[0] == 4 for r in got) == 0 and sum(r[0] == 5 for r in got) == 1
+    assert b.column(6).to_pylist()[got.index((5, 0, 0, -1, "q"))] == ('{"x": [' * n + "1" + "]}" * n)
+
+
+values = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False), st.text()), lambda x: st.one_of(st.lists(x), st.dictionaries(st.text(), x)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(values, st.integers(0, 60), st.sampled_from(["", ",", "]", "}", "{", "[", ":", '"', " ", "1", "\u00a0"]))
+def test_the_deep_reader_and_writer_agree_with_json(value, at, more):
+    text = json.dumps(value, ensure_ascii=False)
+    assert shred._written(value) == text and shred._deep(f" {text}\n") == value
+    text = text[:at] + more + text[at + len(more) :]
+    try:
+        want = json.loads(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            shred._deep(text)
+    else:
+        assert shred._deep(text) == want
