@@ -38,12 +38,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return shred.provisions(table(spark, d, "shard_file"))
 
 
+def p5_provisions(spark: SparkSession, d: str) -> DataFrame:
+    return shred.shred_provisions(table(spark, d, "shard_file")).distinct()
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_packed": p2_packed,
     "p5_found": p5_found,
+    "p5_provisions": p5_provisions,
 }
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"

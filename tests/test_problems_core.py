@@ -202,3 +202,49 @@ def test_the_deep_reader_and_writer_agree_with_json(value, at, more):
             shred._deep(text)
     else:
         assert shred._deep(text) == want
+
+
+def brute_leaves(shard_id, content):
+    """(shard_id, entry, ord) to marker, heading and text, by a recursive walk that numbers as ``brute`` does."""
+
+    def objects(v):
+        if isinstance(v, str):
+            try:
+                v = json.loads(v)
+            except ValueError:
+                return []
+        v = [v] if isinstance(v, dict) else v if isinstance(v, list) else []
+        return [x for x in v if x and isinstance(x, dict)]
+
+    def leaf(v):
+        if isinstance(v, list):
+            return "\n".join(x for x in map(leaf, v) if x is not None)
+        return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+    def walk(nodes):
+        for x in objects(nodes):
+            yield tuple(leaf(x.get(n)) for n in ("marker", "heading", "text"))
+            yield from walk(x.get("children"))
+
+    try:
+        record = json.loads(content)
+    except ValueError:
+        return {}
+    if not isinstance(record, dict):
+        return {}
+    others = record.get("also")
+    others = [others] if isinstance(others, dict) else others or []
+    trees = [x.get("tree") if isinstance(x, dict) else None for x in (record, *others)]
+    return {(shard_id, k, n): x for k, t in enumerate(trees) for n, x in enumerate(walk(t))}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_full_provision_table(spark, sf):
+    from lawloom.plans import catalogue
+
+    rows = catalogue.queries()["p5_provisions"](spark, f"/root/testdata/{sf}").collect()
+    t = [r for r in spark.read.parquet(f"/root/testdata/{sf}/shard_file.parquet").select("shard_id", "content").collect() if r.content]
+    place = {x[:3]: x for r in t for x in brute(r.shard_id, r.content)}
+    leaves = {k: v for r in t for k, v in brute_leaves(r.shard_id, r.content).items()}
+    assert {tuple(r) for r in rows} == {place[k] + v for k, v in leaves.items()} and len(rows) == len(place) == len(leaves)
+    assert sum(bool(r.text) for r in rows) > 0.5 * len(rows)
