@@ -3,7 +3,8 @@
 A text is cut into flat blocks at blank lines (code that spans blank lines stays one block). Each block is described by its word count
 and link density, those of its neighbours, and counts of marks that can mean an element: some are sure signs, some mean different
 things in different notations (``#`` is a heading here and a numbered list there), and some occur in plain prints too. One decision
-tree per kind, trained on a small labelled table, tells from these which elements a block holds. The file's media type and extension
+tree per kind, trained on a small labelled table, tells from these which elements a block holds. The blocks of
+that table stand alone, so no tree has a cut on what is told of neighbours. The file's media type and extension
 are not consulted. There is no shuffle but the one that removes repeated rows.
 
 Defined results: null and empty texts have no kinds and a null or empty clean text; line ends are unified; text inside code is not
