@@ -35,10 +35,9 @@ from lawloom.session import spread
 
 #: Labelled documents from which rules are mined.
 MAX_LABELLED = 4000
-#: A pattern needs so many sentences, a rule so much confidence; patterns have at most so many words.
+#: A pattern needs so many sentences, a rule so much confidence.
 MIN_SUPPORT = 2
 MIN_CONFIDENCE = 0.6
-MAX_WORDS = 2
 #: Least evidence that gives a sentence a subject.
 MIN_EVIDENCE = 1.0
 #: Share of sentences that makes a subject, and the most subjects.
@@ -100,6 +99,13 @@ class Rules:
     #: formal phrases, and the most chunks of one
     formal: frozenset = field(default_factory=frozenset)
     formal_chunks: int = 0
+    #: first item to the rules of several words that begin with it
+    longer: dict[int, list[tuple[int, ...]]] = field(init=False, default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for p in self.rules:
+            if len(p) > 1:
+                self.longer.setdefault(p[0], []).append(p)
 
     def evidence(self, items: tuple[int, ...]) -> dict[int, float]:
         total: dict[int, float] = {}
@@ -107,11 +113,11 @@ class Rules:
         for i in items:
             if r := rules.get((i,)):
                 total[r[0]] = total.get(r[0], 0.0) + r[1]
-        both = [i for i in items if i in self.joint]
-        for n in range(2, MAX_WORDS + 1):
-            for p in combinations(both, n):
-                if r := rules.get(p):
-                    total[r[0]] = total.get(r[0], 0.0) + r[1]
+        held = self.joint.intersection(items)
+        longer = [p for i in held for p in self.longer.get(i, ()) if held.issuperset(p)]
+        for p in sorted(longer, key=lambda p: (len(p), p)):
+            r = rules[p]
+            total[r[0]] = total.get(r[0], 0.0) + r[1]
         return total
 
     def subject(self, items: tuple[int, ...]) -> int:
@@ -230,8 +236,8 @@ def _transactions(sample: DataFrame, number: dict[str, int], subjects: list[str]
     return sample.select("text", "labels").mapInArrow(run, "grp int, items array<int>, label int")
 
 
-def grow(base: dict[tuple[int, ...], np.ndarray], suffix: tuple[int, ...], wanted, min_support: int, max_words: int, out: list) -> None:
-    """Patterns that end in ``suffix`` from its conditional base (item prefixes with class counts)."""
+def grow(base: dict[tuple[int, ...], np.ndarray], suffix: tuple[int, ...], wanted, min_support: int, max_words: int | None, out: list, worth=lambda n: True) -> None:
+    """Patterns that end in ``suffix`` from its conditional base (item prefixes with class counts), longer ones where ``worth`` of the counts says so."""
     count: dict[int, np.ndarray] = {}
     for prefix, n in base.items():
         for i in prefix:
@@ -242,17 +248,22 @@ def grow(base: dict[tuple[int, ...], np.ndarray], suffix: tuple[int, ...], wante
             continue
         pattern = (i, *suffix)
         out.append((pattern, n))
-        if len(pattern) < max_words:
+        if (max_words is None or len(pattern) < max_words) and worth(n):
             below: dict[tuple[int, ...], np.ndarray] = {}
             for prefix, m in base.items():
                 if i in prefix and (p := prefix[: prefix.index(i)]):
                     below[p] = below[p] + m if p in below else m
             if below:
-                grow(below, pattern, lambda _: True, min_support, max_words, out)
+                grow(below, pattern, lambda _: True, min_support, max_words, out, worth)
+
+
+def mixed(n: np.ndarray) -> bool:
+    """Whether a longer pattern can be a rule that is not redundant: one of a single class only loses confidence as it grows."""
+    return np.count_nonzero(n) > 1
 
 
-def mine(transactions: DataFrame, classes: int, min_support: int = MIN_SUPPORT, max_words: int = MAX_WORDS) -> DataFrame:
-    """items, counts by class."""
+def mine(transactions: DataFrame, classes: int, min_support: int = MIN_SUPPORT, max_words: int | None = None) -> DataFrame:
+    """items, counts by class; without the patterns that hold one of a single class, which would be redundant."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         g = key[0].as_py()
@@ -260,7 +271,7 @@ def mine(transactions: DataFrame, classes: int, min_support: int = MIN_SUPPORT,
         for items, label in zip(t.column("items").to_pylist(), t.column("label").to_pylist()):
             base.setdefault(tuple(items), np.zeros(classes, np.int64))[label] += 1
         out: list = []
-        grow(base, (), lambda i: i % GROUPS == g, min_support, max_words, out)
+        grow(base, (), lambda i: i % GROUPS == g, min_support, max_words, out, mixed)
         return pa.table({"items": pa.array([p for p, _ in out], pa.list_(pa.int32())), "counts": pa.array([n.tolist() for _, n in out], pa.list_(pa.int64()))})
 
     return transactions.groupBy("grp").applyInArrow(run, "items array<int>, counts array<bigint>")

@@ -85,3 +85,26 @@ def test_agreement_with_held_out_labels(spark):
     texts = t["documents"].join(held.select("doc_id").distinct(), "doc_id")
     got = {(r.doc_id, r.subject) for r in subjects.find_subjects(texts, rules).collect()}
     assert len(got & want) > 0.92 * len(got) and len(got & want) > 0.92 * len(want)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 5), max_size=5), st.integers(0, 1)), max_size=25))
+def test_growth_ends_without_losing_a_rule(rows):
+    base = {}
+    for items, k in rows:
+        if items:
+            base.setdefault(tuple(sorted(items)), np.zeros(2, int))[k] += 1
+    every, grown, prior = [], [], np.array([0.5, 0.5])
+    subjects.grow(base, (), lambda _: True, 2, 6, every)
+    subjects.grow(base, (), lambda _: True, 2, None, grown, subjects.mixed)
+    assert subjects.prune(grown, prior) == subjects.prune(every, prior)
+
+
+def test_rules_of_three_words(spark):
+    rows = [((0, 1, 2), 0)] * 9 + [(x, 1) for x in ((0, 1), (0, 2), (1, 2)) for _ in range(9)]
+    t = spark.createDataFrame([(g, list(x), k) for x, k in rows for g in x], "grp int, items array<int>, label int")
+    patterns = {tuple(r["items"]): np.array(r["counts"]) for r in subjects.mine(t, 2).collect()}
+    rules = subjects.prune(list(patterns.items()), np.array([0.5, 0.5]))
+    assert rules[0, 1, 2][0] == 0
+    r = subjects.Rules(["a", "b"], {}, rules, joint=frozenset({0, 1, 2}))
+    assert 0 in r.evidence((0, 1, 2)) and 0 not in r.evidence((0, 1))
