@@ -14,106 +14,50 @@ from dataclasses import dataclass, field, replace
 
 from lawloom.functions import markers as mk
 from lawloom.functions.citations import Citation
-from lawloom.functions.patterns import CLOSE, MARKER, OPEN, PATH, QUOTES, rx
+from lawloom.functions.reading import CLOSE, MARKER, OPEN, QUOTES, Reader, Span, closes, first_marker, opens, without_last, without_last_marker, words
 from lawloom.functions.structure import Bill, Outline
 
-Span = tuple[int, int]
-
 # Limits, in characters.
-MAX_BODY, MAX_BLOCK, BLOCK_WINDOW = 2500, 60_000, 200
+MAX_BODY, MAX_BLOCK, BLOCK_WINDOW, BLOCK_GAP = 2500, 60_000, 200, 120
 AFTER_STRIKE, PAIR_DISTANCE, ANCHOR_WINDOW, UNIT_WINDOW, DESTINATION_WINDOW = 60, 100, 260, 200, 160
 REF_WINDOW, REF_ITEMS, LIST_WINDOW = 80, 8, 40
-#: How far beyond a body a match may reach that begins in it.
-OVERHANG = 300
+MAX_OPERAND, MAX_ANCHOR, MAX_ANCHOR_AFTER, STRIKE_GAP, INSERT_GAP, UNIT_GAP = 400, 300, 200, 60, 120, 60
+MIDDLES = {"section": 240, "each": 120, "such": 120, "unit": 200}
+TABLE_NAME, ACT_NAME, NAMED_ACT, TAX_REACH = (3, 120), 90, 80, 400
 PUNCTUATION = {"period": ".", "semicolon": ";", "comma": ",", "colon": ":"}
 
-# Patterns of heads.
-_BOUNDARY = r"(?:^|[.;:]\s+|[—–]\s*|-{2,}\s*|\)\s+|\bThat\s+)"
-_MIDDLE = r"(?:(?!\n[ \t]*\n)(?!\.\s*--)(?!\.\s+SEC\.)(?!\.\s*\([A-Za-z0-9]{1,8}\)\s)(?:[^;]|;(?=[^()]*\))))"
-_INNER = r"(?:[Ss]ubsections?|[Pp]aragraphs?|[Ss]ubparagraphs?|[Cc]lauses?)\s*(?:\([A-Za-z0-9]{1,8}\))+"
-_SECTION_HEAD = (
-    rf"{_BOUNDARY}(?P<inner>{_INNER}\s+of\s+(?:such\s+)?)?(?P<unit>[Ss]ection|[Cc]hapter|[Pp]art|[Tt]itle)\s+(?P<section>[0-9]+[A-Za-z]*)"
-    rf"(?P<path>{PATH})(?P<middle>{_MIDDLE}{{0,240}}?)\s+(?:is|are)\s+(?P<verb>amended|repealed|redesignated)"
-)
-_EACH_HEAD = rf"{_BOUNDARY}(?P<unit>[Ee]ach\s+of\s+the\s+following{_MIDDLE}{{0,120}}?)\s+(?:is|are)\s+(?P<verb>amended|repealed)"
-_SUCH_HEAD = (
-    rf"{_BOUNDARY}(?P<unit>{_INNER})\s+of\s+such\s+(?P<such>[Ss]ection|[Ss]ubsection|[Pp]aragraph)\b(?P<middle>{_MIDDLE}{{0,120}}?)"
-    r"\s+(?:is|are)\s+(?P<verb>amended|repealed|redesignated)"
-)
-_UNIT_HEAD = (
-    rf"{_BOUNDARY}(?P<unit>[Tt]he\s+table\s+of\s+(?:sections|contents)\s+(?:for|in|at\s+the\s+beginning\s+of)\s+{_MIDDLE}{{3,120}}"
-    rf"|[Tt]he\s+analysis\s+for\s+{_MIDDLE}{{3,120}}|(?:[Ss]ubchapter|[Ss]ubtitle)\s+(?:[IVXLC0-9]+[A-Za-z]*|[A-Z]\b)"
-    rf"|(?:[Tt]itle|[Pp]art|[Cc]hapter)\s+(?:[IVXLC]+|[A-Z])\b|[Tt]he\s+[A-Z]{_MIDDLE}{{2,90}}?Act(?:\s+of\s+\d{{4}})?)"
-    rf"(?P<middle>{_MIDDLE}{{0,200}}?)\s+(?:is|are)\s+(?P<verb>amended|repealed)"
-)
-HEADS = {"section": _SECTION_HEAD, "each": _EACH_HEAD, "such": _SUCH_HEAD, "unit": _UNIT_HEAD}
-_head_lead = rx(r"^(?:[\s.;:—–)-]+|That\s+)+")
-_item = rx(r"(?:^|\n)[ \t]*(\([A-Za-z0-9]{1,3}\))[ \t]+")
-_item_target = rx(rf"([Ss]ection|[Cc]hapter|[Pp]art|[Tt]itle)\s+([0-9]+[A-Za-z]*)({PATH})")
-_named_act = rx(r"of\s+the\s+([A-Z][^(]{2,80}?Act(?:\s+of\s+\d{4})?)")
-_tax_code = rx(r"whenever\s+in\s+this\s+(division|Act|title|subtitle)\b~{0,400}?Internal\s+Revenue\s+Code\s+of\s+1986", "i")
-_space = rx(r"\s+")
-
-# Patterns of operations.
-_UNITS = "(?:subsection|paragraph|subparagraph|clause|subclause|item|subitem)s?"
-_anchor_first = rx(
-    rf"insert(?:ing)?\s+(?:immediately\s+)?(after|before)\s+{OPEN}(~{{1,300}}?){CLOSE}((?:(?!strik|insert)~){{0,120}}?){OPEN}(~{{1,400}}?){CLOSE}", "i"
-)
-_UNIT_TAIL = rf"(?:\s+(?:of|in)\s+(?:such\s+)?{_UNITS}\s*{PATH})?"
-_strike_mark = rx(
-    rf"strik(?:e|ing)\s+(?:out\s+)?the\s+(period|semicolon|comma|colon)\b(?:\s+at\s+(?:the\s+)?end{_UNIT_TAIL}|{_UNIT_TAIL}(?=\s*,?\s+and\s+insert))", "i"
-)
-_insert_mark = rx(r"insert(?:ing)?\s+(?:in\s+lieu\s+thereof\s+)?(?:a|an|the)\s+(period|semicolon|comma|colon)\b", "i")
-_after_unit = rx(rf"\binsert(?:ing)?\s+(?:immediately\s+)?after\s+(?:the\s+)?{_UNITS}\s+({MARKER}{PATH})", "i")
-_strike = rx(rf"strik(?:e|ing)\b(?:(?!insert)~){{0,60}}?{OPEN}(~{{1,400}}?){CLOSE}", "i")
-_insert = rx(rf"insert(?:ing)?\b(?:(?!strik)~){{0,120}}?{OPEN}(~{{1,400}}?){CLOSE}", "i")
-_LISTED = rf"(?:subsection|paragraph|subparagraph|clause|item|section)s?\s*{MARKER}(?:\s*(?:,|and|or|through)\s*{MARKER})*"
-_redesignate = rx(rf"redesignat(?:e|ing)\s+({_LISTED})\s+as\s+({_LISTED})", "i")
-_destination = rx(rf"^[\s,]*as\s+section\s+([0-9]+[A-Za-z]*(?:[-–—][0-9A-Za-z]+)?{PATH})", "i")
-_add_end = rx(r"adding\s+at\s+the\s+end\s+the\s+following", "i")
-_block_gap = rx(r"^[^`‘“\"]{0,120}(?=``|‘‘|[“\"])")
-_gap_stops = rx(r"\b(?:strik|insert|redesignat)", "i")
-_pair_quoted = rx(
-    rf"^\s*{CLOSE}?\s*(?:,\s*)?(?:each\s+place\s+(?:it|they)\s+(?:appears?|occurs?)\s*)?(?:,\s*)?and\s+insert(?:ing)?(?:\s+in\s+lieu\s+thereof)?\s*{OPEN}?\s*\Z", "i"
-)
-_pair_mark = rx(rf"^\s*{CLOSE}?\s*,?\s*(?:and|or)?\s*\Z", "i")
-_each_place = rx(r"each\s+place\s+(?:it|they)\s+(?:appears?|occurs?)", "i")
-_at_end = rx(rf"^\s*{CLOSE}?\s*,?\s*at\s+the\s+end\b", "i")
-_anchored = rx(rf"^\s*{CLOSE}?\s*(after|before)\s+{OPEN}(~{{1,200}}?){CLOSE}", "i")
-_unit_anchor = rx(rf"\binsert(?:ing)?\s+(after)\s+(?:the\s+)?{_UNITS}\s+({MARKER}{PATH})(?:(?!{OPEN})~){{0,60}}\Z", "i")
-_read_as = rx(r"\bto\s+read\s+as\s+follows\s*:", "i")
-_strike_unit = rx(
-    rf"\bby\s+striking\s+(?:the\s+)?(?:{_UNITS})\s+(?:{MARKER}{PATH})\s+and\s+inserting\s+(?:in\s+lieu\s+thereof\s+)?the\s+following[ \t\r]*\s*[ \t\r]*:?", "i"
-)
-_first_marker = rx(rf"^\s*{OPEN}?\s*({MARKER})")
-_bare_first_marker = rx(rf"^\s*({MARKER})")
-_new_section = rx(rf"^\s*{OPEN}?\s*SEC(?:TION)?\.?\s+[0-9]+[A-Za-z0-9\-–]*\.")
-_new_part = rx(rf"^\s*{OPEN}?\s*(?:PART|SUBPART|TITLE|SUBTITLE|CHAPTER|SUBCHAPTER|DIVISION)\s+[A-Z0-9IVXL]+\s*(?:--|[—–])")
-
-# Patterns of the walk.
-_SEPARATOR = r"(?:,\s*(?:and|or)\s+|,\s*|\band\b|\bor\b|\bthrough\b|\bto\b)"
-_MARKS = rf"{MARKER}{PATH}(?:\s*{_SEPARATOR}\s*{MARKER}{PATH})*"
-_PHRASE = rf"{_UNITS}\s+{_MARKS}(?:\s+of\s+{_UNITS}\s+{_MARKS})*"
-_go_to = rx(rf"\bin\s+({_PHRASE})", "i")
-_matter = rx(rf"\bin\s+the\s+matter\s+(?:preceding|following)\s+({_PHRASE})", "i")
-_reference = rx(rf"\b({_PHRASE})", "i")
-_pair = rx(rf"({_UNITS})\s+({_MARKS})", "i")
-_separator = rx(rf"\s*{_SEPARATOR}\s*")
-_instructs = rx(rf"(?:^|--|—|–|\bamended\b|[.;:])\s*(?:{MARKER}\s*)?(?:(?:and|by)\s+)?\Z")
-_instructs_matter = rx(rf"(?:^|--|—|–|\bamended\b|[.;:,])\s*(?:{MARKER}\s*)?(?:(?:and|by)\s+)?\Z")
-_quoted = rx(rf"{OPEN}~*?{CLOSE}")
-_opens_line = rx(rf"^\s*{OPEN}")
-_closes = rx("''|’’|”")
-_list_goes_on = rx(rf"^[ \t]*(?:[,;.]|\)|\band\b|\bor\b|\bthrough\b|\bto\b|\bof\b|\bas\b|\brespectively\b|{MARKER})", "i")
-_line_head = rx(rf"^[ \t]*{OPEN}?[ \t]*\Z")
-_GAP = rf"[\s,;]*{OPEN}?[ \t]*"
-_ANY_UNIT = "(?:subsection|paragraph|subparagraph|clause|subclause|item|subitem|section)"
-_addressed = rx(
-    rf"^{_GAP}(?:thereof\b|of\s+(?:that|such)\s+(?:{_ANY_UNIT}|Act|title|chapter|determination)\b|of\s+sections?\s+\d|of\s+this\s+(?:Act|title|chapter)\b"
-    rf"|of\s+title\s+\d|of\s+(?:the\s+)?{_ANY_UNIT}s?\s*\(|of\s+the\s+[A-Z][^;.]{{0,90}}?(?:Act|Code)\b)",
-    "i",
-)
-_another_item = rx(rf"^{_GAP}(?:(?:and|or)\s+)?{MARKER}{PATH}", "i")
+# Words that phrases are made of.
+UNITS = "|".join(u + s for u in mk.UNIT_DEPTH for s in ("", "s"))
+_LISTED_UNITS = "|".join(u + s for u in ("subsection", "paragraph", "subparagraph", "clause", "item", "section") for s in ("", "s"))
+_INNER_UNITS = "subsection|subsections|paragraph|paragraphs|subparagraph|subparagraphs|clause|clauses"
+_SMALL_UNITS = "subsection|paragraph|subparagraph|clause|subclause|item|subitem|section"
+_MARKS = "period|semicolon|comma|colon"
+_EACH_PLACE = "each place it appears|each place it occurs|each place they appear|each place they occur"
+_subject = re.compile(r"\b(?:[Ss]ection|[Cc]hapter|[Pp]art|[Tt]itle|[Ss]ubchapter|[Ss]ubtitle|[Ss]ub(?:section|paragraph)s?|[Pp]aragraphs?|[Cc]lauses?|[Ee]ach|[Tt]he)\b")
+_verb = re.compile(r"\s+(?:is|are)\s+(amended|repealed|redesignated)")
+_stops = re.compile(rf"\n[ \t]*\n|\.\s*--|\.\s+SEC\.|\.\s*{MARKER}\s|;")
+_parens = re.compile("[()]")
+_roman = re.compile(r"\s+(?:[IVXLC]+|[A-Z])\b")
+_inner_number = re.compile(r"\s+(?:[IVXLC0-9]+[A-Za-z]*|[A-Z]\b)")
+_capital = re.compile(r"\s+[A-Z]")
+_of_year = re.compile(r"\s+of\s+\d{4}")
+_item = re.compile(rf"^[ \t]*({MARKER})[ \t]+", re.M)
+_striking = re.compile(r"strik(?:e|ing)", re.I)
+_inserting = re.compile(r"insert(?:ing)?", re.I)
+_redesignating = re.compile(r"redesignat(?:e|ing)", re.I)
+_other_verb = re.compile("strik|insert", re.I)
+_block_verb = re.compile(r"\b(?:strik|insert|redesignat)", re.I)
+_no_insert, _no_strike = re.compile("insert", re.I), re.compile("strik", re.I)
+_adding = words("adding at the end the following")
+_read_as = re.compile(r"\bto\s+read\s+as\s+follows\s*:", re.I)
+_unit_word = re.compile(rf"\b(?:{UNITS})\s+(?=\()", re.I)
+_destination = re.compile(r"\s+[0-9]+[A-Za-z]*(?:[-–—][0-9A-Za-z]+)?")
+_separator = re.compile(r"\s*(?:,\s*(?:(?:and|or)\s+)?|\b(?:and|or|through|to)\b)\s*", re.I)
+_range_word = re.compile(r"\b(?:through|to)\b", re.I)
+_new_part = re.compile(r"(?:SUB)?(?:PART|TITLE|CHAPTER)\s+[A-Z0-9]+\s*(?:--|[—–])|DIVISION\s+[A-Z0-9]+\s*(?:--|[—–])")
+_new_section = re.compile(r"SEC(?:TION)?\.?\s+[0-9]+[A-Za-z0-9–-]*\.")
+_opener, _closer = re.compile(OPEN), re.compile(CLOSE)
+_punctuation = re.compile(r"[\s,;]*")
 _SURE_STYLES = ((re.compile(r"\d+"), 1), (re.compile("[a-hj-uwyz]"), 0), (re.compile("[A-HJ-UWYZ]"), 2))
 
 
@@ -191,18 +135,129 @@ class Amendment:
 # --- heads and targets -----------------------------------------------------------------------------------------------------------
 
 
+def begins_clause(text: str, at: int) -> bool:
+    """Whether an instruction may begin here: on a new line, behind a mark, a dash or a parenthesis, or behind ``That``."""
+    if at == 0 or text[at - 1] == "\n":
+        return True
+    before = at
+    while before and text[before - 1].isspace():
+        before -= 1
+    last = text[before - 1 : before]
+    if before < at:
+        return last in (".", ";", ":", ")", "—", "–") or text[max(0, before - 2) : before] == "--" or (text[:before].endswith("That") and not text[before - 5 : before - 4].isalnum())
+    return last in ("—", "–") or text[max(0, before - 2) : before] == "--"
+
+
+def clear_way(text: str, start: int, end: int) -> bool:
+    """Whether nothing between two places ends a sentence; a semicolon within parentheses doesn't."""
+    for m in _stops.finditer(text, start):
+        if m.start() >= end:
+            return True
+        if m[0] != ";":
+            return False
+        after = _parens.search(text, m.end())
+        if not after or after[0] == "(":
+            return False
+    return True
+
+
+def verb_after(text: str, at: int, most: int, verbs: str = "amended|repealed") -> re.Match | None:
+    """``is amended`` and the like, if it follows in the same sentence."""
+    m = _verb.search(text, at)
+    return m if m and m.start() - at <= most and m[1] in verbs.split("|") and clear_way(text, at, m.start()) else None
+
+
+def _inner_unit(r: Reader) -> bool:
+    """``Subsection (c)``; nothing else of the kind is taken."""
+    start = r.at
+    if r.say(_INNER_UNITS, True):
+        r.blanks()
+        if r.path():
+            return True
+    r.at = start
+    return False
+
+
+def _section_head(text: str, at: int) -> Head | None:
+    r = Reader(text, at)
+    if _inner_unit(r):
+        if not r.say("of", True):
+            return None
+        r.say("such", True)
+        r.blanks()
+    unit_at = r.at
+    unit = r.say("section|chapter|part|title", True)
+    if not unit or not (number := r.number()):
+        return None
+    shown, path = text[unit_at : unit_at + len(unit)], r.path()
+    m = verb_after(text, r.at, MIDDLES["section"], "amended|repealed|redesignated")
+    return m and Head("section", at, m.end(), shown, m[1], text[at:unit_at], number, path, text[r.at : m.start()])
+
+
+def _each_head(text: str, at: int) -> Head | None:
+    r = Reader(text, at)
+    if not r.say("each of the following", True):
+        return None
+    m = verb_after(text, r.at, MIDDLES["each"])
+    return m and Head("each", at, m.end(), " ".join(text[at : m.start()].split()), m[1])
+
+
+def _such_head(text: str, at: int) -> Head | None:
+    r = Reader(text, at)
+    if not _inner_unit(r):
+        return None
+    unit = " ".join(text[at : r.at].split())
+    if not r.say("of such", True) or not (such := r.say("section|subsection|paragraph", True)):
+        return None
+    m = verb_after(text, r.at, MIDDLES["such"], "amended|repealed|redesignated")
+    return m and Head("such", at, m.end(), unit, m[1], subsection="".join(mk.markers(unit)), middle=text[r.at : m.start()], such=such)
+
+
+def _unit_subject(r: Reader) -> bool:
+    """Takes what is amended, when it is a table, an analysis, a unit without a section, or a whole Act."""
+    start, text = r.at, r.text
+    if r.say("the table of sections|the table of contents", True) and r.say("for|in|at the beginning of", True) or r.say("the analysis for", True):
+        least, most = TABLE_NAME
+        m = _verb.search(text, r.at + least)
+        if m and m.start() - r.at <= most + MIDDLES["unit"] and clear_way(text, r.at, m.start()):
+            r.at = m.start()
+            return True
+        return False
+    if r.say("subchapter|subtitle", True):
+        return bool(r.take(_inner_number))
+    if r.say("title|part|chapter", True):
+        return bool(r.take(_roman))
+    if r.say("the", True) and r.take(_capital):
+        act = next((m for m in re.finditer(r"Act\b", text[r.at : r.at + ACT_NAME + 3]) if m.start() >= 2), None)
+        if act and clear_way(text, r.at, r.at + act.start()):
+            r.at += act.end()
+            r.take(_of_year)
+            return True
+    r.at = start
+    return False
+
+
+def _unit_head(text: str, at: int) -> Head | None:
+    r = Reader(text, at)
+    if not _unit_subject(r):
+        return None
+    m = verb_after(text, r.at, MIDDLES["unit"])
+    return m and Head("unit", at, m.end(), " ".join(text[at : r.at].split()), m[1], middle=text[r.at : m.start()])
+
+
+HEADS = {"section": _section_head, "each": _each_head, "such": _such_head, "unit": _unit_head}
+
+
 def heads(text: str) -> list[Head]:
     """Of all kinds, in order; one that begins inside the one before is dropped."""
-    found = []
-    for kind, pattern in HEADS.items():
-        for m in rx(pattern, "m").finditer(text):
-            g = {k: v or "" for k, v in m.groupdict().items()}
-            lead = _head_lead.match(m[0])
-            unit = g["unit"] if kind == "section" else _space.sub(" ", g["unit"]).strip()
-            path = g["path"] if kind == "section" else "".join(mk.markers(g["unit"])) if kind == "such" else ""
-            found.append(
-                Head(kind, m.start() + (lead.end() if lead else 0), m.end(), unit, g["verb"].lower(), g.get("inner", ""), g.get("section", ""), path, g.get("middle", ""), g.get("such", "").lower())
-            )
+    found: list[Head] = []
+    free = dict.fromkeys(HEADS, 0)
+    for m in _subject.finditer(text):
+        if begins_clause(text, m.start()):
+            for kind, read in HEADS.items():
+                if m.start() >= free[kind] and (h := read(text, m.start())):
+                    found.append(h)
+                    free[kind] = h.end
     out: list[Head] = []
     for h in sorted(found, key=lambda h: (h.start, -h.end)):
         if not out or h.start >= out[-1].end:
@@ -213,11 +268,15 @@ def heads(text: str) -> list[Head]:
 def tax_code_spans(bill: Bill) -> list[Span]:
     """Where an unnamed section is one of the tax code, by a declaration at the head of the unit."""
     spans: list[Span] = []
-    for m in _tax_code.finditer(bill.text):
-        kind = m[1].upper()
-        starts = sorted(d.start for d in bill.divisions if d.label.split()[0].upper() == kind)
+    for m in words("whenever in this").finditer(bill.text):
+        r = Reader(bill.text, m.end())
+        kind = r.say("division|Act|title|subtitle")
+        code = words("Internal Revenue Code of 1986").search(bill.text, r.at)
+        if not kind or not code or code.start() - r.at > TAX_REACH:
+            continue
+        starts = sorted(d.start for d in bill.divisions if d.label.split()[0].lower() == kind)
         k = bisect_right(starts, m.start())
-        if kind == "ACT" or k == 0:
+        if kind == "act" or k == 0:
             return [(0, len(bill.text))]
         spans.append((starts[k - 1], starts[k] if k < len(starts) else len(bill.text)))
     return spans
@@ -246,7 +305,7 @@ class Targets:
     def _law(h: Head, c: Citation) -> Citation:
         if c.kind != "publaw" or not h.section or c.act_section:
             return c
-        m = rx(r"\bdiv(?:ision)?\.?\s+([A-Z]{1,2})\b", "i").search(f"{h.inner}{h.unit} {h.middle}")
+        m = re.search(r"\bdiv(?:ision)?\.?\s+([A-Z]{1,2})\b", f"{h.inner}{h.unit} {h.middle}", re.I)
         return replace(c, act_section=h.section, subsection=h.subsection, division=m[1].upper() if m else None)
 
     @staticmethod
@@ -256,14 +315,14 @@ class Targets:
     def _tax(self, h: Head) -> Citation | None:
         if h.kind != "section" or h.unit.lower() != "section" or not any(a <= h.start < b for a, b in self.tax):
             return None
-        if rx(r"\bof\s+(?:the\s+|such\s+|title\s+)", "i").search(h.middle):
+        if re.search(r"\bof\s+(?:the|such|title)\s", h.middle, re.I):
             return None
         return self._implied(h, "i", "26", h.section, h.subsection, f"section {h.section}{h.subsection}", "Internal Revenue Code of 1986")
 
     def _such_title(self, h: Head) -> Citation | None:
         if h.kind != "section" or h.unit.lower() != "section":
             return None
-        if not rx(r"\bsuch\s+title\b", "i").search(h.middle) and not rx(r"\bsuch\s+\Z", "i").search(h.inner):
+        if not re.search(r"\bsuch\s+title\b", h.middle, re.I) and h.inner.split()[-1:] != ["such"]:
             return None
         before = self.cites[: bisect_right(self.starts, h.start - 1)]
         c = next((c for c in reversed(before) if c.kind == "usc" and c.title), None)
@@ -282,91 +341,217 @@ class Targets:
 
 
 def read_block(text: str, at: int) -> Span | None:
-    """The quoted block that follows, without its quotes."""
-    gap = _block_gap.search(text[at : at + BLOCK_WINDOW])
-    if not gap or _gap_stops.search(gap[0]):
+    """The quoted block that follows, without its quotes: as far as the same convention closes it."""
+    opener = _opener.search(text, at, at + BLOCK_WINDOW)
+    if not opener or opener.start() - at > BLOCK_GAP or re.search("[`‘]", text[at : opener.start()]) or _block_verb.search(text[at : opener.end()]):
         return None
-    at += gap.end()
-    opener = next(o for o in QUOTES if text.startswith(o, at))
-    start = at + len(opener)
-    end = text.find(QUOTES[opener], start)
+    start = opener.end()
+    end = text.find(QUOTES[opener[0]], start)
     return (start, end) if 0 <= end and end - start <= MAX_BLOCK else None
 
 
-def _within(m: re.Match, group: int) -> Span:
-    """The last place in the match where the group's words stand."""
-    start = m.start() + m[0].rindex(m[group])
-    return start, start + len(m[group])
-
-
 class Body:
     """Reads the operations between a head and the next."""
 
     def __init__(self, text: str, start: int, end: int) -> None:
         self.text, self.start, self.end = text, start, end
-        self.body = text[start:end]
         self.taken: list[Span] = []
 
-    def _spanned(self, kind: str, start: int, end: int, **rest) -> Op:
-        return Op(kind, self.text[self.start + start : self.start + end], self.start + start, self.start + end, **rest)
+    def _spanned(self, kind: str, span: Span, **rest) -> Op:
+        return Op(kind, self.text[slice(*span)], *span, **rest)
+
+    def _after(self, verb: re.Pattern, at: int = 0) -> Iterator[tuple[int, Reader]]:
+        """(where it begins, reader behind it) of each such verb."""
+        for m in verb.finditer(self.text, max(at, self.start), self.end):
+            yield m.start(), Reader(self.text, m.end(), self.end)
 
-    def _free(self, pattern: re.Pattern) -> Iterator[re.Match]:
-        """Matches outside what earlier passes took; after one that overlaps, the search goes on right behind the taken span."""
-        at = 0
-        while m := pattern.search(self.body, at):
-            hit = next((s for s in self.taken if m.start() < s[1] and m.end() > s[0]), None)
+    def _beside_quoted(self) -> Iterator[Op]:
+        """``inserting after "X" ... "Y"``"""
+        free = 0
+        for start, r in self._after(_inserting):
+            if start < free:
+                continue
+            r.say("immediately")
+            side = r.say("after|before")
+            r.blanks()
+            if not side or not (anchor := r.quoted(MAX_ANCHOR)) or not (words_ := r.next_quoted(INSERT_GAP, MAX_OPERAND, _other_verb)):
+                continue
+            free = r.at
+            self.taken.append((start, r.at))
+            yield self._spanned("insert", words_, relation=side, anchor=self.text[slice(*anchor)])
+
+    def _struck_marks(self) -> Iterator[Op]:
+        """``striking the period at the end``, or a mark that another replaces"""
+        for start, r in self._after(_striking):
+            r.say("out")
+            if r.say("the") and (mark := r.say(_MARKS)):
+                at_end = r.say("at the end|at end")
+                end = r.at
+                if r.say("of|in"):
+                    r.say("such")
+                    if r.say(UNITS):
+                        r.blanks()
+                        r.path()
+                        end = r.at
+                r.at = end
+                if not at_end:
+                    r.say(",")
+                    if not r.say("and insert|and inserting"):
+                        continue
+                yield self._spanned("strike", (start, end), operand=PUNCTUATION[mark], at_end=True, punctuation=True)
+
+    def _inserted_marks(self) -> Iterator[Op]:
+        """``inserting a semicolon``"""
+        for start, r in self._after(_inserting):
+            r.say("in lieu thereof")
+            if r.say("a|an|the") and (mark := r.say(_MARKS)):
+                self.taken.append((start, r.at))
+                yield self._spanned("insert", (start, r.at), operand=PUNCTUATION[mark], punctuation=True)
+
+    def _behind_units(self) -> Iterator[Op]:
+        """``inserting after paragraph (8) the following: "(9) ..."``"""
+        for start, r in self._after(words("insert|inserting")):
+            r.say("immediately")
+            if self.text[start - 1 : start].isalpha() or not r.say("after"):
+                continue
+            r.say("the")
+            if r.say(UNITS) and r.blanks(1) and (unit := r.path()) and (block := read_block(self.text, r.at)):
+                self.taken.append((start, max(r.at, block[1])))
+                yield self._spanned("insert", block, unit_anchor=unit)
+
+    def _quoted(self, kind: str, verb: re.Pattern, gap: int, unless: re.Pattern) -> Iterator[Op]:
+        """Any other words struck or inserted. Behind what was taken before, the search goes on."""
+        at = self.start
+        while found := next(self._after(verb, at), None):
+            start, r = found
+            at = r.at
+            if r.text[r.at : r.at + 1].isalpha() or not (span := r.next_quoted(gap, MAX_OPERAND, unless)):
+                continue
+            hit = next((s for s in self.taken if start < s[1] and r.at > s[0]), None)
             if hit:
-                at = max(min(m.end(), hit[1]), m.start() + 1)
+                at = max(min(r.at, hit[1]), start + 1)
                 continue
-            yield m
-            at = m.end()
+            at = r.at
+            yield self._spanned(kind, span)
 
     def quoted_and_marks(self) -> list[Op]:
-        ops = []
-        for m in _anchor_first.finditer(self.body):
-            self.taken.append(m.span())
-            ops.append(self._spanned("insert", *_within(m, 4), relation=m[1].lower(), anchor=m[2]))
-        for m in _strike_mark.finditer(self.body):
-            ops.append(self._spanned("strike", *m.span(), operand=PUNCTUATION[m[1].lower()], at_end=True, punctuation=True))
-        for m in _insert_mark.finditer(self.body):
-            self.taken.append(m.span())
-            ops.append(self._spanned("insert", *m.span(), operand=PUNCTUATION[m[1].lower()], punctuation=True))
-        for m in _after_unit.finditer(self.body):
-            if block := read_block(self.text, self.start + m.end()):
-                self.taken.append((m.start(), max(m.end(), block[1] - self.start)))
-                ops.append(self._spanned("insert", block[0] - self.start, block[1] - self.start, unit_anchor=m[1]))
-        for kind, pattern in (("strike", _strike), ("insert", _insert)):
-            ops += [self._spanned(kind, *_within(m, 1)) for m in self._free(pattern)]
-        return ops
+        ops = [*self._beside_quoted(), *self._struck_marks(), *self._inserted_marks(), *self._behind_units()]
+        ops += self._quoted("strike", _striking, STRIKE_GAP, _no_insert)
+        return ops + list(self._quoted("insert", _inserting, INSERT_GAP, _no_strike))
+
+    @staticmethod
+    def _listed(r: Reader) -> Span | None:
+        """``paragraphs (2), (3), and (4)``"""
+        r.blanks(1)
+        start = r.at
+        if not r.say(_LISTED_UNITS):
+            return None
+        r.blanks()
+        if not r.marker():
+            return None
+        end = r.at
+        while r.say(",|and|or|through"):
+            r.blanks()
+            if not r.marker():
+                break
+            end = r.at
+        r.at = end
+        return start, end
 
     def others(self, h: Head) -> list[Op]:
-        ops = [Op("redesignate", from_units=m[1], to_units=m[2]) for m in _redesignate.finditer(self.body)]
+        ops = []
+        for _, r in self._after(_redesignating):
+            if (a := self._listed(r)) and r.say("as") and (b := self._listed(r)):
+                ops.append(Op("redesignate", from_units=self.text[slice(*a)], to_units=self.text[slice(*b)]))
         moved = bool(ops)
-        for m in _add_end.finditer(self.body):
-            block = read_block(self.text, self.start + m.end())
-            ops.append(self._spanned("add-at-end", block[0] - self.start, block[1] - self.start) if block else Op("add-at-end"))
+        for _, r in self._after(_adding):
+            block = read_block(self.text, r.at)
+            ops.append(self._spanned("add-at-end", block) if block else Op("add-at-end"))
         if h.verb == "repealed":
             ops.append(Op("repeal"))
         if h.verb == "redesignated" and not moved:
-            if m := _destination.search(self.text[self.start : self.start + DESTINATION_WINDOW]):
-                ops.append(Op("redesignate", from_units=f"{h.unit} {h.section}{h.subsection}".strip(), to_units=f"section {m[1]}"))
+            r = Reader(self.text, self.start, min(len(self.text), self.start + DESTINATION_WINDOW))
+            while r.blanks(1) or r.text[r.at : r.at + 1] == ",":
+                r.at += r.text[r.at : r.at + 1] == ","
+            if r.say("as section") and (number := r.take(_destination)):
+                ops.append(Op("redesignate", from_units=f"{h.unit} {h.section}{h.subsection}".strip(), to_units=f"section {number[0].strip()}{r.path()}"))
         return ops
 
+    def _rewritten(self) -> Iterator[int]:
+        """Where a block is announced that a provision is to read as."""
+        for m in _read_as.finditer(self.text, self.start):
+            if m.start() >= self.end:
+                break
+            yield m.end()
+        for m in words("by striking").finditer(self.text, self.start):
+            if m.start() >= self.end:
+                break
+            r = Reader(self.text, m.end())
+            r.say("the")
+            if not (r.say(UNITS) and r.blanks(1) and r.path() and r.say("and inserting")):
+                continue
+            r.say("in lieu thereof")
+            if r.say("the following"):
+                yield r.at
+
     def replacements(self, ops: list[Op]) -> None:
         """Blocks that a provision is to read as; an operation already read from the same words becomes the replacement."""
-        for pattern in (_read_as, _strike_unit):
-            for m in pattern.finditer(self.text, self.start, self.end + OVERHANG):
-                if m.start() >= self.end:
-                    break
-                block = read_block(self.text, m.end())
-                if not block:
-                    continue
-                same = next((o for o in ops if o.start is not None and o.start < block[1] and o.end > block[0]), None)
-                if same is None:
-                    same = Op("replace")
-                    ops.append(same)
-                same.type, same.text, (same.start, same.end) = "replace", self.text[block[0] : block[1]], block
-                same.placement = same.relation = same.anchor = None
+        for at in self._rewritten():
+            block = read_block(self.text, at)
+            if not block:
+                continue
+            same = next((o for o in ops if o.start is not None and o.start < block[1] and o.end > block[0]), None)
+            if same is None:
+                same = Op("replace")
+                ops.append(same)
+            same.type, same.text, (same.start, same.end) = "replace", self.text[block[0] : block[1]], block
+            same.placement = same.relation = same.anchor = None
+
+
+def _past_closer(r: Reader) -> Reader:
+    r.blanks()
+    r.take(_closer)
+    r.blanks()
+    return r
+
+
+def _links(text: str, at: int, end: int, mark: bool) -> bool:
+    """Whether the words between a strike and an insertion make the second replace the first."""
+    r = _past_closer(Reader(text, at, end))
+    comma = r.say(",")
+    if mark:
+        r.say("and|or")
+    else:
+        if r.say(_EACH_PLACE):
+            r.say(",")
+        elif not comma:
+            r.say(",")
+        if not r.say("and insert|and inserting"):
+            return False
+        r.say("in lieu thereof")
+        r.blanks()
+        r.take(_opener)
+    r.blanks()
+    return r.at == end
+
+
+def _unit_before(text: str, start: int) -> str | None:
+    """The unit after which words are inserted that come last before a place."""
+    low = max(0, start - UNIT_WINDOW)
+    end = start
+    for opener in QUOTES:
+        bare = text[low:end].rstrip()
+        if bare.endswith(opener):
+            end = low + len(bare) - len(opener)
+            break
+    found = None
+    for m in words("inserting after|insert after").finditer(text, low, end):
+        r = Reader(text, m.end(), end)
+        r.say("the")
+        if not text[m.start() - 1 : m.start()].isalpha() and r.say(UNITS) and r.blanks(1) and (path := r.path()):
+            if end - r.at <= UNIT_GAP and not _opener.search(text, r.at, end):
+                found = found or path
+    return found
 
 
 def pair_up(text: str, ops: list[Op]) -> None:
@@ -374,123 +559,197 @@ def pair_up(text: str, ops: list[Op]) -> None:
     spans = sorted((o for o in ops if o.start is not None), key=lambda o: o.start)
     for before, op in zip([None, *spans], spans):
         if op.type == "strike":
-            after = text[op.end : op.end + AFTER_STRIKE]
-            op.all = op.all or bool(_each_place.search(after))
-            op.at_end = op.at_end or bool(_at_end.search(after))
+            op.all = op.all or bool(words(_EACH_PLACE).search(text, op.end, op.end + AFTER_STRIKE))
+            r = _past_closer(Reader(text, op.end, min(len(text), op.end + AFTER_STRIKE)))
+            r.say(",")
+            op.at_end = op.at_end or bool(r.say("at the end"))
         elif op.type == "insert" and not (op.relation and op.anchor) and not op.unit_anchor:
-            if before and before.type == "strike" and op.start - before.end < PAIR_DISTANCE:
-                gap = text[before.end : op.start] if before.end <= op.start else ""
-                if (_pair_mark if op.punctuation else _pair_quoted).search(gap):
-                    op.replaces = before.start
-                    continue
-            if m := _anchored.search(text[op.end : op.end + ANCHOR_WINDOW]):
-                op.relation, op.anchor = m[1].lower(), m[2]
-            elif m := _unit_anchor.search(rx(rf"{OPEN}\s*\Z").sub("", text[max(0, op.start - UNIT_WINDOW) : op.start])):
-                op.unit_anchor = m[2]
+            if before and before.type == "strike" and op.start - before.end < PAIR_DISTANCE and _links(text, min(before.end, op.start), op.start, op.punctuation):
+                op.replaces = before.start
+                continue
+            r = _past_closer(Reader(text, op.end, min(len(text), op.end + ANCHOR_WINDOW)))
+            side = r.say("after|before")
+            if side and r.blanks(1) and (anchor := r.quoted(MAX_ANCHOR_AFTER)):
+                op.relation, op.anchor = side, text[slice(*anchor)]
+            elif unit := _unit_before(text, op.start):
+                op.unit_anchor = unit
 
 
 # --- the walk --------------------------------------------------------------------------------------------------------------------
 
 
+@dataclass
+class Item:
+    """Markers of one provision in a list, and where they stand."""
+
+    markers: str
+    start: int
+    end: int
+
+
 @dataclass
 class UnitPhrase:
+    """``paragraphs (1), (2), and (3)``"""
+
     unit: str
-    depth: int
-    items: list[str]
+    items: list[Item]
     range: tuple[str, str] | None
 
+    @property
+    def depth(self) -> int:
+        return mk.UNIT_DEPTH[self.unit]
 
-def unit_phrases(phrase: str) -> list[UnitPhrase]:
-    out = []
-    for m in _pair.finditer(phrase):
-        unit = re.sub("s$", "", m[1].lower())
-        items = mk.leading_style([x for x in (p.strip() for p in _separator.split(m[2])) if x])
-        spread = len(items) > 1 and rx(r"\b(?:through|to)\b", "i").search(m[2])
-        out.append(UnitPhrase(unit, mk.UNIT_DEPTH[unit], items, (items[0], items[-1]) if spread else None))
-    return out
+
+@dataclass
+class Phrase:
+    """A unit phrase and those it is of, from the inside out."""
+
+    start: int
+    end: int
+    units: list[UnitPhrase]
+
+
+def _unit_phrase(r: Reader) -> UnitPhrase | None:
+    start = r.at
+    unit = r.say(UNITS)
+    if not unit or not r.blanks(1):
+        r.at = start
+        return None
+    first = r.at
+    items: list[Item] = []
+    while path := r.path():
+        items.append(Item(path, r.at - len(path), r.at))
+        end = r.at
+        if not r.take(_separator):
+            break
+    if not items:
+        r.at = start
+        return None
+    r.at = end
+    spread = _range_word.search(r.text, first, end)
+    kept = len(mk.leading_style([x.markers for x in items]))
+    items = items[:kept]
+    return UnitPhrase(unit.removesuffix("s"), items, (items[0].markers, items[-1].markers) if len(items) > 1 and spread else None)
+
+
+def phrase_at(text: str, at: int, end: int | None = None) -> Phrase | None:
+    r = Reader(text, at, end)
+    units: list[UnitPhrase] = []
+    while unit := _unit_phrase(r):
+        units.append(unit)
+        stop = r.at
+        if not r.say("of") or not r.blanks(1):
+            break
+    return Phrase(at, stop, units) if units else None
+
+
+def phrases(text: str, at: int = 0, end: int | None = None) -> Iterator[Phrase]:
+    """All in a stretch of text, none inside another."""
+    free = at
+    for m in _unit_word.finditer(text, at, len(text) if end is None else end):
+        if m.start() >= free and (p := phrase_at(text, m.start(), end)):
+            free = p.end
+            yield p
 
 
 def put(path: list[mk.Level], depth: int, markers: str) -> list[mk.Level]:
     return mk.above(path, depth) + [(m, depth + k) for k, m in enumerate(mk.markers(markers))]
 
 
-def addresses(pairs: list[UnitPhrase], at: list[mk.Level]) -> list[tuple[str, list[mk.Level]]]:
+def addresses(p: Phrase, at: list[mk.Level]) -> list[list[mk.Level]]:
     """An address for each item of the first unit, below the units it is of, below where the walk stands."""
-    if not pairs:
-        return []
-    for p in sorted(pairs[1:], key=lambda p: p.depth):
-        at = put(at, p.depth, p.items[0])
-    return [(item, put(at, pairs[0].depth, item)) for item in pairs[0].items]
+    for outer in sorted(p.units[1:], key=lambda u: u.depth):
+        at = put(at, outer.depth, outer.items[0].markers)
+    first = p.units[0]
+    return [put(at, first.depth, item.markers) for item in first.items]
 
 
 def _stolen(text: str, at: int, end: int) -> bool:
     """Whether a list item is rather the marker of the next line."""
-    nl = text.rfind("\n", 0, max(at, 0))
-    return nl >= 0 and bool(_line_head.search(text[nl + 1 : at])) and not _list_goes_on.search(text[end : end + LIST_WINDOW])
+    line = text.rfind("\n", 0, max(at, 0)) + 1
+    before = text[line:at].strip(" \t")
+    if not line or (before and before not in QUOTES):
+        return False
+    r = Reader(text, end, end + LIST_WINDOW)
+    while r.text[r.at : r.at + 1] in (" ", "\t"):
+        r.at += 1
+    return not (r.text[r.at : r.at + 1] in (",", ";", ".", ")") or r.marker() or (not r.text[r.at : r.at + 1].isspace() and r.say("and|or|through|to|of|as|respectively")))
 
 
-def _placed(phrase: str, at: int, found: list[tuple[str, list[mk.Level]]]) -> Iterator[tuple[int, int, int, int, str, list[mk.Level]]]:
-    """(number, start, place of the markers, end, item, address) of the items of a phrase that begins at ``at``."""
-    cursor = 0
-    for k, (item, path) in enumerate(found):
-        here = phrase.find(item, cursor)
-        if here >= 0:
-            cursor = here + len(item)
-            yield k, at if k == 0 else at + here, at + here, at + cursor, item, path
+def _gives_instruction(before: str, comma: bool) -> bool:
+    """Whether an instruction may begin behind these words of a line: at its head, or behind a mark; ``(1) and by`` may come between."""
+    before = without_last_marker(without_last(before, "and|by"))
+    return not before or before.endswith(("--", "—", "–", ".", ";", ":")) or (comma and before.endswith(",")) or bool(re.search(r"\bamended\Z", before))
 
 
 class Walk:
     """Follows the words that move through the amended provision, line by line."""
 
     def __init__(self, text: str, start: int, end: int, base: str) -> None:
-        self.text, self.end = text, end
+        self.text = text
         self.here = [(m, k) for k, m in enumerate(mk.markers(base))]
         self.steps: list[Nav] = []
         self.refs: list[Nav] = []
         self.used: list[Span] = []
-        body = text[start:end]
-        self.quotes = [(start + m.start(), start + m.end()) for m in _quoted.finditer(body)]
-        lines, at, inside = body.split("\n"), start, False
+        self.quotes = list(_quotations(text, start, end))
+        lines, at, inside = text[start:end].split("\n"), start, False
         for k, line in enumerate(lines):
-            inside = inside or bool(_opens_line.search(line))
+            inside = inside or opens(line)
             if inside:
-                inside = not _closes.search(line)
-            else:
+                inside = not closes(line)
+            elif "(" in line or (k + 1 < len(lines) and "(" in lines[k + 1]):
                 self._line(line, f"{line} {lines[k + 1]}" if k + 1 < len(lines) else line, at)
             at += len(line) + 1
 
-    def _open(self, pattern: re.Pattern, probe: str, line: str, at: int) -> Iterator[re.Match]:
-        """Matches that begin on the line, outside quotations."""
-        for m in pattern.finditer(probe):
-            if m.start() < len(line) and not any(at + m.start() < b and at + m.end() > a for a, b in self.quotes):
-                yield m
+    def _free(self, start: int, end: int, spans: list[Span]) -> bool:
+        return not any(start < b and end > a for a, b in spans)
+
+    def _emit(self, out: list[Nav], p: Phrase, at: int, found: list[list[mk.Level]]) -> None:
+        first = p.units[0]
+        for k, (item, path) in enumerate(zip(first.items, found)):
+            start, end = at + (p.start if k == 0 else item.start), at + item.end
+            if k == 0 or not _stolen(self.text, at + item.start, end):
+                out.append(Nav(start, end, self.text[start:end], first.unit, item.markers, mk.join(path), range=first.range))
 
-    def _emit(self, out: list[Nav], phrase: str, at: int, pairs: list[UnitPhrase], found) -> None:
-        for k, start, mark, end, item, path in _placed(phrase, at, found):
-            if k == 0 or not _stolen(self.text, mark, end):
-                out.append(Nav(start, end, self.text[start:end], pairs[0].unit, item, mk.join(path), range=pairs[0].range))
+    def _leads(self, ways: str, probe: str, line: str, at: int) -> Iterator[tuple[int, Phrase]]:
+        """(where the leading words begin, phrase behind them) of those that begin on the line, outside quotations."""
+        for m in words(ways).finditer(probe):
+            start = m.start()
+            if start < len(line) and not probe[start - 1 : start].isalnum() and (p := phrase_at(probe, _skip(probe, m.end()))):
+                if self._free(at + start, at + p.end, self.quotes):
+                    yield start, p
 
     def _line(self, line: str, probe: str, at: int) -> None:
-        for m in self._open(_go_to, probe, line, at):
-            pairs = unit_phrases(m[1])
-            if _instructs.search(probe[: m.start()]) and pairs:
-                found = addresses(pairs, self.here)
-                start = m.start() + m[0].index(m[1])
-                self.used.append((at + start, at + m.end()))
-                self._emit(self.steps, m[1], at + start, pairs, found)
-                self.here = found[0][1]
-        for m in self._open(_matter, probe, line, at):
-            found = addresses(unit_phrases(m[1]), self.here)
-            if not _instructs_matter.search(probe[: m.start()]) or not found or len(found[0][1]) < 2:
-                continue
-            self.here = found[0][1][:-1]
-            span = at + m.start(), at + m.end()
-            self.used.append(span)
-            self.steps.append(Nav(*span, self.text[slice(*span)], "matter", found[0][0], mk.join(self.here), exact=True))
-        for m in self._open(_reference, probe, line, at):
-            if not any(at + m.start() < b and at + m.end() > a for a, b in self.used):
-                pairs = unit_phrases(m[1])
-                self._emit(self.refs, m[1], at + m.start(), pairs, addresses(pairs, self.here))
+        for start, p in self._leads("in", probe, line, at):
+            if _gives_instruction(probe[:start], False):
+                found = addresses(p, self.here)
+                self.used.append((at + p.start, at + p.end))
+                self._emit(self.steps, p, at, found)
+                self.here = found[0]
+        for start, p in self._leads("in the matter preceding|in the matter following", probe, line, at):
+            path = addresses(p, self.here)[0]
+            if len(path) > 1 and _gives_instruction(probe[:start], True):
+                self.here = path[:-1]
+                span = at + start, at + p.end
+                self.used.append(span)
+                self.steps.append(Nav(*span, self.text[slice(*span)], "matter", p.units[0].items[0].markers, mk.join(self.here), exact=True))
+        for p in phrases(probe):
+            if p.start < len(line) and self._free(at + p.start, at + p.end, self.quotes) and self._free(at + p.start, at + p.end, self.used):
+                self._emit(self.refs, p, at, addresses(p, self.here))
+
+
+def _skip(text: str, at: int) -> int:
+    while text[at : at + 1].isspace():
+        at += 1
+    return at
+
+
+def _quotations(text: str, start: int, end: int) -> Iterator[Span]:
+    """Quotations from opener to the first closer of any convention."""
+    at = start
+    while (opener := _opener.search(text, at, end)) and (closer := _closer.search(text, opener.end(), end)):
+        yield opener.start(), closer.end()
+        at = closer.end()
 
 
 # --- scopes ----------------------------------------------------------------------------------------------------------------------
@@ -512,16 +771,16 @@ def set_scopes(ops: list[Op], steps: list[Nav], base: str) -> None:
     for op in ops:
         if not op.text:
             continue
-        if op.type == "add-at-end" and op.scope and (m := _bare_first_marker.search(op.text)):
-            op.scope = mk.join(mk.above(mk.levels(op.scope), mk.depth(m[1])))
-        elif op.type == "insert" and op.unit_anchor and (m := _first_marker.search(op.text)):
-            chain = [x for x in mk.markers(op.unit_anchor) if mk.depth(x) <= mk.depth(m[1])]
+        if op.type == "add-at-end" and op.scope and (own := first_marker(op.text, quote=False)):
+            op.scope = mk.join(mk.above(mk.levels(op.scope), mk.depth(own)))
+        elif op.type == "insert" and op.unit_anchor and (own := first_marker(op.text)):
+            chain = [x for x in mk.markers(op.unit_anchor) if mk.depth(x) <= mk.depth(own)]
             if chain:
                 op.placement = "after-unit"
                 if not (op.scope or "").endswith("".join(chain)):
                     op.scope = mk.join(mk.above(mk.levels(op.scope), mk.depth(chain[0]))) + "".join(chain)
-        elif op.type == "replace" and (m := _first_marker.search(op.text)) and not (op.scope or "").endswith(m[1]):
-            op.scope = (op.scope or "") + m[1]
+        elif op.type == "replace" and (own := first_marker(op.text)) and not (op.scope or "").endswith(own):
+            op.scope = (op.scope or "") + own
 
 
 def mark_blocks(ops: list[Op], target: Citation | None) -> None:
@@ -529,22 +788,57 @@ def mark_blocks(ops: list[Op], target: Citation | None) -> None:
         if op.type == "add-at-end" and target and target.et_seq:
             op.range_end = True
         block = op.type in ("add-at-end", "replace") or (op.type == "insert" and op.placement == "after-unit")
-        if block and op.text and (_new_section.search(op.text) or _new_part.search(op.text)):
-            op.new_section = True
+        if block and op.text:
+            r = Reader(op.text, 0)
+            r.blanks()
+            r.take(_opener)
+            r.blanks()
+            op.new_section = bool(r.take(_new_section) or r.take(_new_part))
 
 
-def _goes_on(after: str) -> bool:
-    """Whether a reference continues into an address of its own."""
+def _goes_on(text: str, at: int, end: int) -> bool:
+    """Whether a reference continues into an address of its own, perhaps behind further items."""
     for _ in range(REF_ITEMS):
-        if _addressed.search(after):
+        r = Reader(text, at, end)
+        r.take(_punctuation)
+        r.take(_opener)
+        r.blanks()
+        start = r.at
+        if _addressed(r):
             return True
-        m = _another_item.search(after)
-        if not m or not m[0].strip():
+        r.at = start
+        r.say("and|or")
+        r.blanks()
+        if not r.path():
             return False
-        after = after[m.end() :]
+        at = r.at
     return False
 
 
+def _addressed(r: Reader) -> bool:
+    """``thereof``, ``of such Act``, ``of section 5``, ``of the Harbor Act``..."""
+    if r.say("thereof"):
+        return True
+    if not r.say("of"):
+        return False
+    after = r.at
+    if r.say("that|such"):
+        return bool(r.say(f"{_SMALL_UNITS}|Act|title|chapter|determination"))
+    if r.say("this"):
+        return bool(r.say("Act|title|chapter"))
+    if r.say("section|sections|title") and r.number():
+        return True
+    r.at = after
+    the = r.say("the")
+    if r.say("|".join(u + s for u in _SMALL_UNITS.split("|") for s in ("", "s"))):
+        r.blanks()
+        return r.text[r.at : r.at + 1] == "(" and r.at < r.end
+    if not the or not r.blanks(1) or not r.text[r.at : r.at + 1].isalpha():
+        return False
+    name = re.match(rf"[^;.]{{0,{ACT_NAME}}}?(?:Act|Code)\b", r.text[r.at + 1 : r.end], re.I)
+    return name is not None
+
+
 class BlockRefs:
     """References inside new law, composed against the place where the block goes."""
 
@@ -552,30 +846,30 @@ class BlockRefs:
         self.text, self.outline = text, outline
 
     def read(self, start: int, end: int, walked: str | None) -> Iterator[Nav]:
-        body = self.text[start:end]
-        first = _first_marker.search(body)
-        if not first:
+        leading = first_marker(self.text[start:end])
+        if not leading:
             return
-        base = mk.above(mk.levels(walked), mk.depth(first[1]))
+        base = mk.above(mk.levels(walked), mk.depth(leading))
         own = {(m.marker, m.depth) for m in self.outline.between(start, end)}
-        for m in _reference.finditer(body):
-            if _goes_on(body[m.end() : m.end() + REF_WINDOW]):
+        for p in phrases(self.text, start, end):
+            if _goes_on(self.text, p.end, min(end, p.end + REF_WINDOW)):
                 continue
-            pairs = unit_phrases(m[1])
-            d = pairs[0].depth
-            for k, a, mark, b, item, path in _placed(m[1], start + m.start(), addresses(pairs, base)):
-                marker = mk.markers(item)[0]
-                sure = next((x for p, x in _SURE_STYLES if p.fullmatch(marker[1:-1])), d)
+            first = p.units[0]
+            d = first.depth
+            for k, (item, path) in enumerate(zip(first.items, addresses(p, base))):
+                marker = mk.markers(item.markers)[0]
+                sure = next((x for style, x in _SURE_STYLES if style.fullmatch(marker[1:-1])), d)
                 gaps = any(x != n for n, (_, x) in enumerate(path))
-                if (len(pairs) == 1 and (marker, d) in own) or sure != d or gaps or (k and _stolen(self.text, mark, b)):
+                if (len(p.units) == 1 and (marker, d) in own) or sure != d or gaps or (k and _stolen(self.text, item.start, item.end)):
                     continue
-                yield Nav(a, b, self.text[a:b], pairs[0].unit, item, mk.join(path), range=pairs[0].range, inserted=True)
+                at = p.start if k == 0 else item.start
+                yield Nav(at, item.end, self.text[at : item.end], first.unit, item.markers, mk.join(path), range=first.range, inserted=True)
 
     def of(self, ops: list[Op], target: Citation | None, steps: list[Nav], base: str, start: int, end: int) -> list[Nav]:
         if not target or target.kind not in ("usc", "cfr") or not target.section or target.et_seq or target.note:
             return []
         out: list[Nav] = []
-        for m in _read_as.finditer(self.text, start, end + OVERHANG):
+        for m in _read_as.finditer(self.text, start):
             if m.start() >= end:
                 break
             if block := read_block(self.text, m.end()):
@@ -597,7 +891,7 @@ class BlockRefs:
 
 def listed(text: str, start: int, end: int) -> list[Span]:
     """Items (A), (B), (C)... of a list, as long as the letters follow each other."""
-    marks = [(m[1][1:-1], m.start(1)) for m in _item.finditer(text, start, end + OVERHANG) if m.start() < end]
+    marks = [(m[1][1:-1], m.start(1)) for m in _item.finditer(text, start, min(len(text), end + MAX_OPERAND)) if m.start() < end and len(m[1]) <= 5]
     run = 0
     while run < len(marks) and marks[run][0] == chr(65 + run):
         run += 1
@@ -606,18 +900,32 @@ def listed(text: str, start: int, end: int) -> list[Span]:
 
 
 def _act_named(text: str) -> str | None:
-    m = _named_act.search(text)
-    return m[1] if m else None
+    """The first Act that a text says something is of."""
+    for m in re.finditer(r"of\s+the\s+(?=[A-Z])", text):
+        act = re.match(rf"[A-Z][^(]{{2,{NAMED_ACT}}}?Act", text[m.end() :])
+        if act:
+            end = m.end() + act.end()
+            year = _of_year.match(text, end)
+            return text[m.end() : year.end() if year else end]
+    return None
+
+
+def _item_target(text: str, start: int, end: int) -> tuple[str, str, str]:
+    """Unit, number and path of the provision that a list item names."""
+    for m in re.finditer(r"(?:[Ss]ection|[Cc]hapter|[Pp]art|[Tt]itle)(?=\s)", text[start:end]):
+        r = Reader(text, start + m.end(), end)
+        if number := r.number():
+            return m[0], number, r.path()
+    return "Section", "", ""
 
 
 def _spread(h: Head, text: str, items: list[Span], ops: list[Op], targets: Targets) -> Iterator[Amendment]:
     """One amendment for each listed provision, with the instruction's operations."""
     for start, end in items:
-        m = _item_target.search(text[start:end])
         here = targets.within(start, end)
         target = next((c for c in here if c.kind in ("usc", "cfr")), None) or next((c for c in here if c.kind == "act"), None)
         yield Amendment(
-            start, end, m[1] if m else "Section", m[2] if m else "", m[3] if m else "", h.verb, target, _act_named(text[start:end]),
+            start, end, *_item_target(text, start, end), h.verb, target, _act_named(text[start:end]),
             copy.deepcopy(ops), distributed=True, via_instruction=h.start,
         )
 
@@ -690,7 +998,7 @@ def _running_max(values: Iterator[int]) -> Iterator[int]:
         yield most
 
 
-_verbs = rx(r"\b(is|are)\s+(amended|repealed)\b")
+_verbs = re.compile(r"\b(?:is|are)\s+(?:amended|repealed)\b")
 
 
 def uncovered(text: str, amendments: list[Amendment]) -> int:

@@ -1,18 +1,19 @@
-"""Citations in one text: a table of matchers, each a pattern with the fields it yields, then one pass that settles overlaps.
+"""Citations in one text.
 
-The order of the matchers decides ties between spans of equal place, length and rank.
+A citation begins with a word or a number that tells what it may be; from there a reader takes its parts. What is found is put in the
+order of the forms, which decides ties between spans of equal place, length and rank, and one pass settles overlaps.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from functools import cached_property, lru_cache
 from importlib import resources
 
 from lawloom.functions.markers import ladder
-from lawloom.functions.patterns import PATH, rx
+from lawloom.functions.reading import MARKER, Reader
 from lawloom.functions.structure import Block, block_at, quoted_blocks
 
 # --- names of Acts ---------------------------------------------------------------------------------------------------------------
@@ -28,38 +29,33 @@ class Act:
     enacted_as: str
     sections_match: bool
     offset_note: bool
-    pattern: str
+    year_optional: bool = False
+    other_names: tuple[str, ...] = ()
 
     @cached_property
-    def probes(self) -> tuple[str, ...]:
-        """Words in lower case of which one stands in every text that holds the name."""
-        sure = self.pattern
-        while (bare := re.sub(r"\(\?:[^()]*\)\?", " ", sure)) != sure:
-            sure = bare
-        ways = sure[3:-1].split("|") if sure.startswith("(?:") and sure.endswith(")") else [sure]
-        if any("(" in w for w in ways):
-            return ("",)
-        return tuple(max(re.split(r"\[[^\]]*\]|\\.|\W", w), key=len).lower() for w in ways)
-
-    def near(self, lower: str) -> bool:
-        return any(p in lower for p in self.probes)
-
-    def windows(self, lower: str) -> Iterator[tuple[int, int]]:
-        """Stretches of a text that hold every place of the name."""
-        reach = 3 * len(self.pattern) + 100
-        if not all(self.probes):
-            yield 0, len(lower)
-            return
-        places = sorted({m.start() for p in self.probes for m in re.finditer(re.escape(p), lower)})
-        start = end = -1
-        for k in places:
-            if k - reach > end:
-                if end >= 0:
-                    yield start, end
-                start = max(0, k - reach)
-            end = k + reach
-        if end >= 0:
-            yield start, min(end, len(lower))
+    def names(self) -> tuple[str, ...]:
+        """All its names, longest first."""
+        own = (self.name, *self.other_names)
+        bare = tuple(re.sub(r" of \d{4}$", "", n) for n in own) if self.year_optional else ()
+        return tuple(sorted({*own, *bare}, key=lambda n: (-len(n), n)))
+
+    @cached_property
+    def pattern(self) -> str:
+        """Its names as an expression: words may be parted by white space or dashes, commas may be missing, # is a digit."""
+        return "(?:" + "|".join(map(_spelt, self.names)) + ")"
+
+    @cached_property
+    def exact(self) -> re.Pattern:
+        return re.compile(rf"{self.pattern}\b")
+
+    @cached_property
+    def loose(self) -> re.Pattern:
+        return re.compile(rf"{self.pattern}\b", re.I)
+
+
+def _spelt(name: str) -> str:
+    parts = [re.escape(w).replace("\\#", r"\d").replace(",", ",?").replace("'", "['’]") for w in re.split(r"[\s–—-]+", name)]
+    return r"[\s–—-]+".join(parts)
 
 
 @lru_cache(maxsize=1)
@@ -67,20 +63,39 @@ def popular_names() -> tuple[Act, ...]:
     lines = resources.files("lawloom.functions").joinpath("popular_names.tsv").read_text(encoding="utf-8").split("\n")[2:]
     acts = []
     for line in filter(None, lines):
-        name, title, section, span, enacted, match, note, pattern = line.split("\t")
-        readable = pattern or name
-        compiled = re.sub(r" ", r"\\s+", readable.replace("_", "[\\s\\-]+"))
-        acts.append(Act(len(acts), name, title, section, span, enacted, bool(match), bool(note), compiled))
+        name, title, section, span, enacted, match, note, year, others = line.split("\t")
+        acts.append(Act(len(acts), name, title, section, span, enacted, bool(match), bool(note), bool(year), tuple(filter(None, others.split("; ")))))
     return tuple(acts)
 
 
+@lru_cache(maxsize=1)
+def _acts_by_word() -> tuple[dict[str, tuple[Act, ...]], re.Pattern]:
+    """Acts by the first word of a name in small letters, and a pattern that finds these words."""
+    found: dict[str, list[Act]] = {}
+    for a in popular_names():
+        for first in dict.fromkeys(_first_word.match(n)[0].lower() for n in a.names):
+            found.setdefault(first, []).append(a)
+    return {w: tuple(a) for w, a in found.items()}, re.compile(rf"\b(?:{'|'.join(sorted(found))})\b", re.I)
+
+
+_first_word = re.compile(r"[A-Za-z]+")
+
+
+def acts_at(text: str, at: int) -> Iterator[tuple[Act, int]]:
+    """Acts whose name stands at a place in just these letters, and where it ends."""
+    if first := _first_word.match(text, at):
+        for a in _acts_by_word()[0].get(first[0].lower(), ()):
+            if m := a.exact.match(text, at):
+                yield a, m.end()
+
+
 def find_act(name: str | None) -> Act | None:
-    """By a name as a text gives it: first a pattern that is the whole of it, else one within it, in table order."""
+    """By a name as a text gives it: first an Act of which it is the whole name, else one within it, in table order."""
     if not name:
         return None
-    name = rx(r"\s+").sub(" ", name.strip())
-    whole = (a for a in popular_names() if rx(rf"^(?:{a.pattern})\Z", "i").search(name))
-    part = (a for a in popular_names() if rx(a.pattern, "i").search(name))
+    name = " ".join(name.split())
+    whole = (a for a in popular_names() if re.fullmatch(a.pattern, name, re.I))
+    part = (a for a in popular_names() if re.search(a.pattern, name, re.I))
     return next(whole, None) or next(part, None)
 
 
@@ -135,188 +150,257 @@ class Citation:
 # Ranks of kinds where spans overlap; a note to the code ranks below a public law.
 RANK = {"usc": 5.0, "cfr": 5.0, "publaw": 4.0, "stat": 4.0, "act": 3.0, "internal": 1.0}
 NOTE_RANK = 3.5
-NOTE_WINDOW, TAIL_WINDOW = 8, 80
-
-# Patterns of citations.
-UNIT = r"(?:[Tt]itles?|[Ss]ubtitles?|[Pp]arts?|[Ss]ubparts?|[Cc]hapters?|[Ss]ubchapters?|[Dd]ivisions?|[Dd]iv\.)"
-INNER_UNIT = r"(?:[Tt]itles?|[Ss]ubtitles?|[Pp]arts?|[Ss]ubparts?|[Cc]hapters?|[Ss]ubchapters?)"
-CHAIN = rf"(?:{UNIT}\s+[A-Za-z0-9]{{1,5}}\s+of\s+){{0,4}}"
-SECTION = rf"\b[Ss]ections?\s+(\d+[A-Za-z]*)({PATH})"
-USC = r"U\.?\s?S\.?\s?C\.?"
-PUBLIC_LAW = r"(?:Pub(?:lic)?\.?\s*L(?:aw)?\.?|P\.\s?L\.)\s*(?:No\.?\s*)?(\d{1,3})\s*[–—-]\s*(\d{1,4})"
-CODE = rf"\b(\d{{1,2}}[A-Z]?)\s*{USC}\s*(?:§§?\s*)?(\d+[A-Za-z]*(?:[–—-]\s*\d+[A-Za-z]*)?)({PATH})(\s*(?:et\s+seq\.?|and\s+following))?"
-CODE_LONG = rf"{SECTION}\s+of\s+title\s+(\d{{1,2}}[A-Z]?),\s*United\s+States\s+Code"
-REGULATION = rf"\b(\d{{1,2}})\s*C\.?\s?F\.?\s?R\.?\s*(?:§§?\s*)?(?:(parts?|subparts?|chapters?|subchapters?)\s*)?([0-9]+[A-Za-z]?(?:\.[0-9]+[A-Za-z0-9\-]*)?)({PATH})"
-STATUTES = r"\b(\d{1,3})\s+Stat\.\s*(\d{1,5})"
-PAREN_NAME = (
-    r"(?:(?!\n[ \t]*\n)(?![Ss]ections?\s)" + rf"(?!{UNIT}\s)" + r"(?!\s*,?\s*as\s+(?:amended|added|authorized|enacted|in\s+effect|so\s+))[^();])"
-)
-PAREN_LAW = (
-    rf"{SECTION}\s+of\s+({CHAIN})(?:the\s+)?({PAREN_NAME}{{5,140}}?)\s*\(\s*"
-    rf"(?:[^();\n]{{0,40}}?(?:{USC}|Stat\.)[^();\n]{{0,30}};\s*)?({CHAIN}){PUBLIC_LAW}"
-)
-UNIT_OF_CODE = (
-    rf"\b(?:subsections?|paragraphs?|subparagraphs?|clauses?)\s+({PATH})(?:\s*(?:,|and|or)\s*{PATH})*"
-    rf"\s+of\s+(?:such\s+section|[Ss]ections?\s+\d+[A-Za-z]*(?:{PATH})?)(?:(?![Ss]ections?\s)[^();\n]){{0,120}}?"
-    rf"\(\s*(\d{{1,2}})\s*{USC}\s*(?:§+\s*)?([0-9]+[A-Za-z0-9\-–—]*)\s*\)"
+# Limits, in characters and steps.
+NOTE_WINDOW, UNIT_NAME, CHAIN_STEPS, SHORTEST_NAME, LONGEST_NAME, PROSE_TO_CODE = 8, 5, 4, 5, 140, 120
+
+# Words and numbers that citations begin with or are made of.
+_code = r"U\.?\s?S\.?\s?C\.?"
+_dash = r"\s*[–—-]\s*"
+_law = re.compile(rf"(?:Pub(?:lic)?\.?\s*L(?:aw)?\.?|P\.\s?L\.)\s*(?:No\.?\s*)?(\d{{1,3}}){_dash}(\d{{1,4}})")
+_any_law = re.compile(rf"\b{_law.pattern}", re.I)
+_stat = re.compile(r"\b(\d{1,3})\s+Stat\.\s*(\d{1,5})", re.I)
+_title_of_code = re.compile(rf"\b(\d{{1,2}}[A-Z]?)\s*{_code}\s*", re.I)
+_title_of_rules = re.compile(r"\b(\d{1,2})\s*C\.?\s?F\.?\s?R\.?\s*", re.I)
+_signs = re.compile(r"§+\s*")
+_code_section = re.compile(r"\d+[A-Za-z]*(?:[–—-]\s*\d+[A-Za-z]*)?")
+_inner_section = re.compile(r"[0-9]+[A-Za-z0-9–—-]*")
+_rule_number = re.compile(r"([0-9]+[A-Za-z]?)(\.[0-9]+[A-Za-z0-9-]*)?")
+_code_title = re.compile(r"\s*(\d{1,2}[A-Z]?)(?=,)")
+_act_title = re.compile(r"\s*([IVXLCDM]{1,7}|\d{1,3}[A-Z]?)\s+of\s+(?:the\s+)?")
+_division_name = re.compile(r"[A-Z]{1,2}\Z")
+_section = re.compile(rf"\b(sections?|sec\.)\s+([0-9]+[A-Za-z]*)((?:{MARKER})*)", re.I)
+_small_units = re.compile(r"\b(subsections?|paragraphs?|subparagraphs?|clauses?)\s+(?=\()", re.I)
+_units = "titles?|subtitles?|parts?|subparts?|chapters?|subchapters?|divisions?"
+_unit_word = re.compile(rf"\b(?:{'|'.join(f'[{u[0].upper()}{u[0]}]{u[1:]}' for u in _units.split('|'))}|[Dd]iv\.)(?=\s)")
+_step = re.compile(rf"({_unit_word.pattern[2:]})\s+([A-Za-z0-9]{{1,7}})\s+of\s+")
+_bracket = re.compile(r"[();\n]")
+_name_end = re.compile(r"[();]")
+_no_name = re.compile(
+    rf"\n[ \t]*\n|[Ss]ections?\s|{_unit_word.pattern[2:]}|\bas\s+(?:amended|added|authorized|enacted|in\s+effect|so)\b", re.M
 )
-INTERNAL = (
-    rf"\b(?:(section|sec\.)\s+(\d+[A-Za-z]*)({PATH})\s+of\s+this\s+(Act|title|section)"
-    rf"|(subsection|paragraph|subparagraph|clause)\s+(\([A-Za-z0-9]{{1,8}}\){PATH}))"
-)
-_of_section = rx(r"^\s*of\s+(?:such\s+)?(?:section|title)\b", "i")
-_of_this_section = rx(rf"^\s*of\s+(?:such\s+)?section\s+(\d+[A-Za-z]*)({PATH})\s+of\s+this\s+(Act|title)", "i")
-_chain_step = rx(rf"({UNIT})\s+([A-Za-z0-9]{{1,5}})\s+of")
-_chain_division = rx(r"\b(?:division|div\.?)\s+([A-Za-z0-9]{1,2})\s+of", "i")
-_note = rx(r"^\s*note\b", "i")
-_lead = rx(r"^[\s.;:—)]+")
-_space = rx(r"\s+")
-
-
-def chain_division(chain: str | None) -> str | None:
-    m = _chain_division.search(chain or "")
-    return m[1].upper() if m else None
-
-
-def chain_path(chain: str | None, outer: str | None = None) -> list[str] | None:
-    """Units of a chain that a text names from the inside out, outermost first."""
-    steps = [outer.upper()] if outer else []
-    for unit, number in reversed(_chain_step.findall(chain or "")):
-        name = unit.upper().rstrip(".")
-        name = name[:-1] if name.endswith("S") else name
-        steps.append(f"{'DIVISION' if name == 'DIV' else name} {number.upper()}")
-    return steps or None
+_join = re.compile(r"\s*(?:,|and|or)(?=[\s(,])")
+_note = re.compile(r"\s*note\b", re.I)
+Step = tuple[str, str]
 
 
-def _cited(kind: str, text: str, start: int, end: int, **fields) -> Citation:
-    lead = _lead.match(text[start:end])
-    start += lead.end() if lead else 0
-    return Citation(kind, text[start:end], start, end, **fields)
-
-
-Fields = Callable[[re.Match], dict]
+def _singular(unit: str) -> str:
+    unit = unit.upper().rstrip(".").removesuffix("S")
+    return "DIVISION" if unit == "DIV" else unit
 
 
-@dataclass(frozen=True, eq=False)
-class Matcher:
-    name: str
-    kind: str
-    pattern: str
-    flags: str
-    fields: Fields
+def chain_division(steps: list[Step]) -> str | None:
+    """The division that a chain of units names first."""
+    return next((number.upper() for unit, number in steps if _singular(unit) == "DIVISION" and len(number) <= 2), None)
 
-    @cached_property
-    def regex(self) -> re.Pattern:
-        return rx(self.pattern, self.flags)
 
-    def cite(self, text: str, m: re.Match) -> Citation:
-        return _cited(self.kind, text, m.start(), m.end(), **self.fields(m))
+def chain_path(steps: list[Step], outer: str | None = None) -> list[str] | None:
+    """Units of a chain that a text names from the inside out, outermost first."""
+    path = [outer.upper()] if outer else []
+    path += [f"{_singular(unit)} {number.upper()}" for unit, number in reversed(steps)]
+    return path or None
 
-    def scan(self, text: str) -> Iterator[Citation]:
-        for m in self.regex.finditer(text):
-            yield self.cite(text, m)
 
+def _chain(r: Reader, most: int = CHAIN_STEPS) -> list[Step]:
+    """Steps such as ``title II of division B of``."""
+    steps: list[Step] = []
+    while len(steps) < most and (m := _step.match(r.text, r.at)) and len(m[2]) <= UNIT_NAME:
+        steps.append((m[1], m[2]))
+        r.at = m.end()
+    return steps
 
-def _regulation(m: re.Match) -> dict:
-    unit = re.sub("s$", "", (m[2] or "").lower())
-    whole = "." in m[3] and not unit.startswith(("part", "chapter"))
-    return {
-        "title": m[1],
-        "unit": unit or ("section" if whole else "part"),
-        "part": m[3].split(".")[0] if whole else m[3],
-        "section": m[3] if whole else "",
-        "subsection": m[4] or "",
-    }
 
+def _cite(kind: str, text: str, start: int, end: int, **fields) -> Citation:
+    return Citation(kind, text[start:end], start, end, **fields)
 
-def _law(congress: int, number: int, section: int = 0, chain: int = 0) -> Fields:
-    def fields(m: re.Match) -> dict:
-        out = {"congress": m[congress], "law": m[number]}
-        if section:
-            out |= {"act_section": m[section], "subsection": m[section + 1] or "", "division": chain_division(m[chain]), "where": chain_path(m[chain])}
-        return out
 
-    return fields
+def _of_code(text: str) -> Iterator[Citation]:
+    """``42 U.S.C. 1395x(s)(2) et seq.``"""
+    for m in _title_of_code.finditer(text):
+        r = Reader(text, m.end())
+        r.take(_signs)
+        if number := r.take(_code_section):
+            path = r.path()
+            more = bool(r.say("et seq.|et seq|and following"))
+            yield _cite("usc", text, m.start(), r.at, title=m[1], section="".join(number[0].split()), subsection=path, et_seq=more)
+
+
+def _of_rules(text: str) -> Iterator[Citation]:
+    """``40 CFR part 60`` and ``40 CFR 60.1(a)``."""
+    for m in _title_of_rules.finditer(text):
+        r = Reader(text, m.end())
+        r.take(_signs)
+        unit = (r.say("part|parts|subpart|subparts|chapter|chapters|subchapter|subchapters") or "").removesuffix("s")
+        r.blanks()
+        if number := r.take(_rule_number):
+            path = r.path()
+            whole = number[2] is not None and not unit.startswith(("part", "chapter"))
+            yield _cite(
+                "cfr", text, m.start(), r.at, title=m[1], unit=unit or ("section" if whole else "part"), part=number[1] if whole else number[0],
+                section=number[0] if whole else "", subsection=path,
+            )
+
+
+def _by_section(text: str, m: re.Match) -> Iterator[tuple[int, Citation]]:
+    """What the words after ``section N(a)`` make of it, with the place of the form among all forms."""
+    number, path = m[2], m[3]
+    if m[1][1:] in ("ection", "ections"):
+        yield from _by_outer(text, m)
+    if m[1].lower() != "sections":
+        r = Reader(text, m.end())
+        if r.say("of this") and (scope := r.say("Act|title|section")):
+            yield 13, _cite("internal", text, m.start(), r.at, ref_type="section", section=number, subsection=path, scope=scope)
+
+
+def _by_outer(text: str, m: re.Match) -> Iterator[tuple[int, Citation]]:
+    number, path, start = m[2], m[3], m.start()
+    r = Reader(text, m.end())
+    plain = r.say("of", True) and r.blanks(1)
+    if plain:
+        after = r.at
+        if r.say("title", True) and (title := r.take(_code_title)):
+            r.at += 1
+            if r.say("United States Code", True):
+                yield 1, _cite("usc", text, start, r.at, title=title[1], section=number, subsection=path)
+        r.at = after
+        if r.say("the", True) and r.blanks(1):
+            for act, end in acts_at(text, r.at):
+                if act.sections_match:
+                    yield 2, _cite("usc", text, start, end, title=act.title, section=number, subsection=path, via_act=act.name)
+        r.at = after
+        steps = _chain(r)
+        where = {"act_section": number, "subsection": path, "division": chain_division(steps), "where": chain_path(steps)}
+        if law := _law.match(text, r.at):
+            yield 8, _cite("publaw", text, start, law.end(), congress=law[1], law=law[2], **where)
+        yield from _by_named_law(text, m, r, steps)
+    r.at = m.end()
+    while more := r.take(_join):  # further sections' paths: ``(a), (b), and (c)``
+        r.blanks()
+        r.path()
+    if r.say("of", True) and r.blanks(1):
+        steps = _chain(r)
+        where = {"act_section": number, "subsection": path, "division": chain_division(steps), "where": chain_path(steps)}
+        if r.say("the", True) and r.blanks(1):
+            for act, end in acts_at(text, r.at):
+                if act.enacted_as and not act.sections_match:
+                    yield 5, _cite("act", text, start, end, act_name=act.name, **where)
+
+
+def _by_named_law(text: str, m: re.Match, r: Reader, outer: list[Step]) -> Iterator[tuple[int, Citation]]:
+    """``section 5 of the Harbor Act (33 U.S.C. 7; title II of Public Law 110-3)``: the units in the parentheses come before those outside."""
+    if r.say("the", True):
+        r.blanks()
+    bracket = _name_end.search(text, r.at)
+    if not bracket or bracket[0] != "(":
+        return
+    name = text[r.at : bracket.start()].rstrip()
+    if not SHORTEST_NAME <= len(name) <= LONGEST_NAME or _no_name.search(text, r.at, bracket.start()):
+        return
+    r.at = bracket.end()
+    r.blanks()
+    stop = _bracket.search(text, r.at)
+    if stop and stop[0] == ";" and re.search(rf"{_code}|Stat\.", text[r.at : stop.start()]):
+        r.at = stop.end()
+        r.blanks()
+    inner = _chain(r)
+    if law := r.take(_law):
+        yield 10, _cite(
+            "publaw", text, m.start(), r.at, congress=law[1], law=law[2], act_section=m[2], subsection=m[3], short_title=" ".join(name.split()),
+            division=chain_division(inner) or chain_division(outer), where=chain_path(inner) or chain_path(outer),
+        )
+
+
+def _by_unit(text: str) -> Iterator[tuple[int, Citation]]:
+    """Titles of Acts, and divisions of Acts and of public laws with the units inside them."""
+    free: dict[int, int] = {}
+    for m in _unit_word.finditer(text):
+        start = m.start()
+        r = Reader(text, m.end())
+        if m[0] in ("Title", "title", "Titles", "titles") and (t := r.take(_act_title)):
+            for act, end in acts_at(text, r.at):
+                if act.enacted_as:
+                    yield 4, _cite("act", text, start, end, act_name=act.name, act_title=t[1].upper())
+        r.at = start
+        steps = _chain(r, CHAIN_STEPS + 1)
+        if not steps or steps[-1][0][:2] not in ("Di", "di") or steps[-1][0].endswith(".") or not _division_name.match(steps[-1][1]):
+            continue
+        name = steps[-1][1].upper()
+        if len(steps) <= CHAIN_STEPS and start >= free.get(-1, 0) and (law := _law.match(text, r.at)):
+            free[-1] = law.end()
+            yield 9, _cite("publaw", text, start, law.end(), congress=law[1], law=law[2], division=name, where=chain_path(steps))
+        if any(_singular(unit) == "DIVISION" for unit, _ in steps[:-1]):
+            continue
+        if r.say("the", True):
+            r.blanks()
+        for act, end in acts_at(text, r.at):
+            if start >= free.get(act.entry_no, 0):
+                free[act.entry_no] = end
+                yield 3, _cite("act", text, start, end, act_name=act.name, division=name, where=chain_path(steps[:-1], f"DIVISION {name}"))
+
+
+def _by_small_unit(text: str) -> Iterator[tuple[int, Citation]]:
+    """``subsection (h) of section 502 of the Harbor Act (42 U.S.C. 1472)``, and units of this bill."""
+    for m in _small_units.finditer(text):
+        r = Reader(text, m.end())
+        if not (path := r.path()):
+            continue
+        end = r.at
+        while r.take(_join):
+            r.blanks()
+            r.path()
+        if m[1].islower() and r.say("of"):
+            if r.say("such section", True) or (r.say("section|sections", True) and r.number()):
+                r.path()
+                bracket = _bracket.search(text, r.at)
+                if bracket and bracket[0] == "(" and bracket.start() - r.at <= PROSE_TO_CODE and not re.search(r"[Ss]ections?\s", text[r.at : bracket.start()]):
+                    r.at = bracket.end()
+                    r.blanks()
+                    if title := r.take(_title_of_code):
+                        r.take(_signs)
+                        if (number := r.take(_inner_section)) and r.say(")"):
+                            section = "".join(number[0].split())
+                            yield 11, _cite("usc", text, m.start(), r.at, title=title[1], section=section, subsection=path, sub_from_prose=True)
+        unit = m[1].lower()
+        if not unit.endswith("s"):
+            yield from ((13, c) for c in _own_unit(text, m.start(), end, unit, path))
+
+
+def _own_unit(text: str, start: int, end: int, unit: str, path: str) -> Iterator[Citation]:
+    r = Reader(text, end)
+    if r.say("of"):
+        such = r.say("such")
+        if r.say("section") and (number := r.number()):
+            outer = r.path()
+            if r.say("of this") and (scope := r.say("Act|title")):
+                yield _cite("internal", text, start, r.at, ref_type="section", section=number, subsection=outer + path, scope=scope)
+                return
+        r.at = end
+        if r.say("of") and (not such or r.say("such")) and r.say("section|title"):
+            return
+    yield _cite("internal", text, start, end, ref_type=unit, section="", subsection=path, scope="section")
 
 
-# Matchers before and after those of named Acts.
-FIRST = (
-    Matcher("code", "usc", CODE, "i", lambda m: {"title": m[1], "section": _space.sub("", m[2]), "subsection": m[3] or "", "et_seq": bool(m[4])}),
-    Matcher("code_long", "usc", CODE_LONG, "", lambda m: {"title": m[3], "section": m[1], "subsection": m[2] or ""}),
-)
-LAST = (
-    Matcher("regulation", "cfr", REGULATION, "i", _regulation),
-    Matcher("law", "publaw", rf"\b{PUBLIC_LAW}", "i", _law(1, 2)),
-    Matcher("law_section", "publaw", rf"{SECTION}\s+of\s+({CHAIN}){PUBLIC_LAW}", "", _law(4, 5, 1, 3)),
-    Matcher(
-        "law_division",
-        "publaw",
-        rf"\b((?:{UNIT}\s+[A-Za-z0-9]{{1,5}}\s+of\s+){{0,3}}[Dd]ivisions?\s+([A-Z]{{1,2}})\s+of\s+){PUBLIC_LAW}",
-        "",
-        lambda m: {"congress": m[3], "law": m[4], "division": m[2].upper(), "where": chain_path(m[1])},
-    ),
-    Matcher(
-        "law_named",
-        "publaw",
-        PAREN_LAW,
-        "",
-        lambda m: {
-            "congress": m[6],
-            "law": m[7],
-            "act_section": m[1],
-            "subsection": m[2] or "",
-            "division": chain_division(m[5]) or chain_division(m[3]),
-            "where": chain_path(m[5]) or chain_path(m[3]),
-            "short_title": _space.sub(" ", m[4]).strip(),
-        },
-    ),
-    Matcher("code_unit", "usc", UNIT_OF_CODE, "", lambda m: {"title": m[2], "section": _space.sub("", m[3]), "subsection": m[1] or "", "sub_from_prose": True}),
-    Matcher("statutes", "stat", STATUTES, "i", lambda m: {"volume": m[1], "page": m[2]}),
-)
+def _names(text: str) -> Iterator[Citation]:
+    """Names of Acts in letters of any case; each Act is looked for on from where its last name ended."""
+    acts, first = _acts_by_word()
+    free: dict[int, int] = {}
+    for m in first.finditer(text):
+        for a in acts[m[0].lower()]:
+            if m.start() >= free.get(a.entry_no, 0) and (name := a.loose.match(text, m.start())):
+                free[a.entry_no] = name.end()
+                yield _cite("act", text, m.start(), name.end(), act_name=a.name)
 
 
-@lru_cache(maxsize=1)
-def _act_matchers() -> tuple[tuple[tuple[Act, Matcher], ...], tuple[tuple[Act, Matcher], ...]]:
-    """Those before the general matchers, family by family, and the bare names."""
-    early: list[tuple[Act, Matcher]] = []
-    acts = popular_names()
-
-    def family(name, kind, chosen, pattern, fields):
-        early.extend((a, Matcher(name, kind, pattern(a), "", fields(a))) for a in acts if chosen(a))
-
-    family(
-        "act_as_code", "usc", lambda a: a.sections_match, lambda a: rf"{SECTION}\s+of\s+the\s+(?:{a.pattern})",
-        lambda a: lambda m: {"title": a.title, "section": m[1], "subsection": m[2] or "", "via_act": a.name},
-    )
-    family(
-        "act_division", "act", lambda a: True,
-        lambda a: rf"\b((?:{INNER_UNIT}\s+[A-Za-z0-9]{{1,5}}\s+of\s+){{0,4}})[Dd]ivisions?\s+([A-Z]{{1,2}})\s+of\s+(?:the\s+)?(?:{a.pattern})",
-        lambda a: lambda m: {"act_name": a.name, "division": m[2].upper(), "where": chain_path(m[1], f"DIVISION {m[2]}")},
-    )
-    family(
-        "act_title", "act", lambda a: bool(a.enacted_as), lambda a: rf"\b[Tt]itles?\s+([IVXLCDM]{{1,7}}|\d{{1,3}}[A-Z]?)\s+of\s+(?:the\s+)?(?:{a.pattern})",
-        lambda a: lambda m: {"act_name": a.name, "act_title": m[1].upper()},
-    )
-    family(
-        "act_section", "act", lambda a: bool(a.enacted_as) and not a.sections_match,
-        lambda a: rf"{SECTION}(?:\s*(?:,|or|and)\s*{PATH})*\s+of\s+({CHAIN})the\s+(?:{a.pattern})",
-        lambda a: lambda m: {"act_name": a.name, "act_section": m[1], "subsection": m[2] or "", "division": chain_division(m[3]), "where": chain_path(m[3])},
-    )
-    names = tuple((a, Matcher("act", "act", rf"\b(?:{a.pattern})\b", "i", lambda m, a=a: {"act_name": a.name})) for a in acts)
-    return tuple(early), names
-
-
-def _internal(text: str) -> Iterator[Citation]:
-    for m in rx(INTERNAL, "i").finditer(text):
-        if m[2]:
-            yield _cited("internal", text, m.start(), m.end(), ref_type="section", section=m[2], subsection=m[3] or "", scope=m[4].lower())
-            continue
-        tail = text[m.end() : m.end() + TAIL_WINDOW]
-        if own := _of_this_section.search(tail):
-            end = m.end() + own.end()
-            yield _cited("internal", text, m.start(), end, ref_type="section", section=own[1], subsection=own[2] + m[6], scope=own[3].lower())
-        elif not _of_section.search(tail):
-            yield _cited("internal", text, m.start(), m.end(), ref_type=m[5].lower(), section="", subsection=m[6], scope="section")
+def forms(text: str) -> Iterator[tuple[int, Citation]]:
+    """All that may be a citation, with the place of its form in the order of forms."""
+    yield from ((0, c) for c in _of_code(text))
+    for m in _section.finditer(text):
+        yield from _by_section(text, m)
+    yield from _by_unit(text)
+    yield from ((6, c) for c in _of_rules(text))
+    yield from ((7, _cite("publaw", text, *m.span(), congress=m[1], law=m[2])) for m in _any_law.finditer(text))
+    yield from _by_small_unit(text)
+    yield from ((12, _cite("stat", text, *m.span(), volume=m[1], page=m[2])) for m in _stat.finditer(text))
+    yield from ((14, c) for c in _names(text))
 
 
 def rank(c: Citation) -> float:
@@ -335,53 +419,10 @@ def settle(found: list[Citation]) -> list[Citation]:
     return kept
 
 
-#: Where a citation by an Act's name may begin, and how far its name may be from there.
-_act_starts = rx(rf"\b(?:[Ss]ections?\s+\d|{UNIT}\s+[A-Za-z0-9]{{1,7}}\s+of\s)")
-ACT_REACH = 800
-
-
-def _by_act(text: str, lower: str, named: set[int]) -> Iterator[Citation]:
-    """Matchers of the early families, tried only where one can begin and only for Acts named near by."""
-    early = [x for x in _act_matchers()[0] if x[0].entry_no in named]
-    found: dict[int, list[Citation]] = {}
-    free = [0] * len(early)
-    for at in (m.start() for m in _act_starts.finditer(text)):
-        window = lower[at : at + ACT_REACH]
-        close = {a.entry_no for a, _ in early if a.near(window)}
-        for k, (act, matcher) in enumerate(early):
-            if act.entry_no in close and at >= free[k] and (m := matcher.regex.match(text, at)):
-                free[k] = m.end()
-                found.setdefault(k, []).append(matcher.cite(text, m))
-    for k in sorted(found):
-        yield from found[k]
-
-
-def _names(text: str, lower: str, named: set[int]) -> Iterator[Citation]:
-    for act, matcher in _act_matchers()[1]:
-        if act.entry_no not in named:
-            continue
-        free = 0
-        for start, end in act.windows(lower):
-            for m in matcher.regex.finditer(text, max(start, free), end):
-                free = m.end()
-                yield matcher.cite(text, m)
-
-
 def extract(text: str, blocks: list[Block] | None = None) -> list[Citation]:
-    lower = text.lower()
-    if len(lower) != len(text):  # a character whose lower case is longer
-        lower = "".join(c.lower()[:1] or c for c in text)
-    found: list[Citation] = []
-    for m in FIRST:
-        found += m.scan(text)
-    named = {a.entry_no for a in popular_names() if a.near(lower)}
-    found += _by_act(text, lower, named)
-    for m in LAST:
-        found += m.scan(text)
-    found += _internal(text)
-    found += _names(text, lower, named)
+    found = [c for _, c in sorted(forms(text), key=lambda x: x[0])]
     for c in found:
-        c.note = c.kind == "usc" and bool(_note.search(text[c.end : c.end + NOTE_WINDOW]))
+        c.note = c.kind == "usc" and bool(_note.match(text, c.end, c.end + NOTE_WINDOW))
     blocks = quoted_blocks(text) if blocks is None else blocks
     out = [replace(c, id=f"c{k}") for k, c in enumerate(settle(found))]
     for c in out:

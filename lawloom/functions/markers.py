@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lawloom.functions.patterns import MARKER
+from lawloom.functions.reading import MARKER
 
 _marker = re.compile(MARKER)
 # Units and their depths.

@@ -5,19 +5,21 @@ Operations are used once, in document order of the provision's nodes; that makes
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from lawloom.functions import markers as mk
-from lawloom.functions.patterns import MARKER, OPEN, rx
+from lawloom.functions.reading import OPEN, first_marker, without_last_marker
 
 # Limits.
 ENACTED_MIN, DISTINCTIVE, KNOWN_PREFIX, KNOWN_MIN, NEAR_MIN, NEAR_SPAN = 24, 4, 80, 24, 4, 40
 REWRITE_SHARE, REWRITE_WORDS, LONG_WORD = 0.95, 8, 2
-_token = rx(r"(``|''|‘‘|’’|[“”])|(--|[–—])|(\s+)|~")
-_openers = rx(rf"^([ \t]*){OPEN}", "m")
-_tail = rx(r"^[\s;.,:]*\Z")
-_edge = r"[\s;.,:]+"
-_block_marker = rx(rf"^\s*{OPEN}?\s*({MARKER})")
+# What folding makes one character of: pairs of quotes, curly quotes, dashes, white space.
+_same = [("\"", ("``", "''", "‘‘", "’’", "“", "”")), ("—", ("--", "–", "—"))]
+_runs = re.compile("|".join(re.escape(x) for _, ways in _same for x in ways) + r"|\s+|[^\s]", re.S)
+_folded = {x: one for one, ways in _same for x in ways}
+_openers = re.compile(rf"^([ \t]*){OPEN}", re.M)
+_EDGE = " \t\n\r\f\v;.,:"
 
 
 @dataclass
@@ -31,8 +33,8 @@ class Folded:
 
 def fold(text: str) -> Folded:
     out, start, end = [], [], []
-    for m in _token.finditer(text):
-        char = '"' if m[1] else "—" if m[2] else " " if m[3] else m[0].lower()
+    for m in _runs.finditer(text):
+        char = _folded.get(m[0]) or (" " if m[0].isspace() else m[0].lower())
         for c in char:
             out.append(c)
             start.append(m.start())
@@ -82,18 +84,18 @@ def in_law(whole: str, added: str) -> bool:
 
 def beside(text: str, at: int, added: str) -> bool:
     """Whether an addition already stands at its place."""
-    needle = rx(rf"^{_edge}|{_edge}\Z").sub("", norm(added).strip())
+    needle = norm(added).strip(_EDGE)
     if len(needle) < NEAR_MIN:
         return False
     span = len(needle) + NEAR_SPAN
-    after = rx(rf"^{_edge}").sub("", norm(text[at : at + span]))
-    before = rx(rf"{_edge}\Z").sub("", norm(text[max(0, at - span) : at]))
+    after = norm(text[at : at + span]).lstrip(_EDGE)
+    before = norm(text[max(0, at - span) : at]).rstrip(_EDGE)
     return after.startswith(needle) or before.endswith(needle)
 
 
 def rewrite_in_force(provision: str, block: str) -> bool:
     """Whether nearly all words of a replacement stand in the provision."""
-    words = lambda s: [w for w in rx("[^a-z0-9]+").split(norm(_openers.sub(r"\1", s))) if len(w) > LONG_WORD]
+    words = lambda s: [w for w in re.split("[^a-z0-9]+", norm(_openers.sub(r"\1", s))) if len(w) > LONG_WORD]
     want = words(block)
     have = set(words(provision))
     return bool(provision) and len(want) >= REWRITE_WORDS and sum(w in have for w in want) / len(want) >= REWRITE_SHARE
@@ -147,7 +149,7 @@ class Redline:
         self.work = [o for o in live if o.type in ("strike", "insert") and not o.structural]
         self.additions = [o for o in live if o.structural]
         self.replacements = [o for o in live if o.type == "replace"]
-        telling = [o for o in self.work if o.type == "strike" and len(rx("[^A-Za-z0-9]").sub("", o.text)) >= DISTINCTIVE]
+        telling = [o for o in self.work if o.type == "strike" and sum(c.isascii() and c.isalnum() for c in o.text) >= DISTINCTIVE]
         self.stale = bool(telling) and not any(occurrences(folded, o.text) for o in telling)
 
     def _open(self, kind: str, path: str) -> list[Work]:
@@ -166,7 +168,7 @@ class Redline:
             hits = occurrences(folded, o.text)
             if hits and not o.all:
                 hits = hits[-1:] if o.at_end else hits[:1]
-                if o.at_end and not _tail.search(text[hits[0][1] :]):
+                if o.at_end and text[hits[0][1] :].strip(_EDGE):
                     continue
             if hits:
                 marks += [Mark(*h, "del") for h in hits]
@@ -222,8 +224,8 @@ class Redline:
         out = set()
         for o in self.additions:
             if in_law(self.whole, o.text):
-                base = rx(rf"{MARKER}\Z").sub("", o.scope) if o.placement == "after-unit" else o.scope
-                out |= {base + m[1] for line in o.text.split("\n") if (m := _block_marker.search(line))}
+                base = without_last_marker(o.scope) if o.placement == "after-unit" else o.scope
+                out |= {base + own for line in o.text.split("\n") if (own := first_marker(line))}
         return out
 
     def close(self) -> None:
@@ -257,7 +259,7 @@ def weave(text: str, marks: list[Mark], added: list[tuple[int, str]]) -> list[tu
             out.append((what.kind, text[what.start : what.end]))
             cursor = max(cursor, what.end)
         else:
-            out.append(("ins", rx(r"\s+").sub(" ", what)))
+            out.append(("ins", re.sub(r"\s+", " ", what)))
     out.append(("keep", text[cursor:]))
     return [x for x in out if x[1]]
 

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from lawloom.functions.patterns import rx
-from lawloom.functions.structure import Bill, continues_heading, lines_of, wrapped
+from lawloom.functions.reading import first_marker, opens
+from lawloom.functions.structure import Bill, continues_heading, lines_of, section_head, unit_label, wrapped
 
-# What begins a paragraph.
-_begins = rx(r"^\s*(?:\([A-Za-z0-9]{1,8}\)|SECTION\s+\d|SEC\.\s|TITLE\s+[IVXLC]|Subtitle\s+[A-Z]|DIVISION\s+|CHAPTER\s+|``|‘‘|[\"“]|\d+\.\s)")
-_head = rx(r"^\s*(SECTION|SEC\.)\s+(\d+[A-Za-z]*)\.\s*(.*)\Z")
-_unit = rx(r"^\s*(DIVISION\s+[A-Z0-9]+|TITLE\s+[IVXLC]+|Subtitle\s+[A-Z]|CHAPTER\s+[IVXLC0-9]+)\s*(?:--|[—–-])\s*(.+?)\s*\Z")
-_marker = rx(r"^\s*\([A-Za-z0-9]{1,8}\)")
-_stop = rx(r"\.\s*\Z")
+_UNIT_WORDS = ("DIVISION", "TITLE", "Subtitle", "CHAPTER", "SECTION", "SEC.")
+
+
+def _begins(line: str) -> bool:
+    """Whether a line opens a paragraph: with a marker, a quotation, a unit's name or a number with a period."""
+    first, _, rest = line.strip().partition(" ")
+    if opens(line) or first_marker(line, quote=False):
+        return True
+    return (first in _UNIT_WORDS and bool(rest)) or (first[:-1].isdigit() and first.endswith(".") and bool(rest))
 
 
 @dataclass
@@ -39,16 +42,17 @@ def paragraphs(bill: Bill) -> list[Paragraph]:
         if heading and not closed and continues_heading(line, title):
             now.end = end
             title += line.strip() if title.endswith("-") else " " + line.strip()
-            closed = counted and bool(_stop.search(title))
+            closed = counted and title.rstrip().endswith(".")
             continue
-        sec, unit = heads.get(start), _unit.search(line)
-        opens = _begins.search(line) and not (_marker.search(line) and wrapped(previous, line))
-        if now is None or sec or unit or opens or heading:
+        sec, unit = heads.get(start), (unit_label(line) or ("", None))[1]
+        begins = _begins(line) and not (first_marker(line, quote=False) and wrapped(previous, line))
+        if now is None or sec or unit or begins or heading:
             kind = ("run_in" if sec.run_in else "section") if sec else "division" if unit else "text"
             now = Paragraph(start, end, kind, sec.num if sec else None)
-            m = _head.search(line)
-            title, counted = (m[3], True) if m else (line, False)
-            closed = counted and bool(_stop.search(title))
+            head = section_head(line)
+            counted = head is not None and not head.run_in
+            title = head.heading if counted else line
+            closed = counted and title.rstrip().endswith(".")
             out.append(now)
         else:
             now.end = end
