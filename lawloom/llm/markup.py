@@ -3,26 +3,28 @@
 A text is cut into flat blocks at blank lines (code that spans blank lines stays one block). Each block is described by its word count
 and link density, those of its neighbours, and counts of marks that can mean an element: some are sure signs, some mean different
 things in different notations (``#`` is a heading here and a numbered list there), and some occur in plain prints too. One decision
-tree per kind, trained on a small labelled table, tells from these which elements a block holds. The blocks of
-that table stand alone, so no tree has a cut on what is told of neighbours. The file's media type and extension
-are not consulted. There is no shuffle but the one that removes repeated rows.
+tree per kind, trained on a small table of labelled documents, tells from these which elements a block holds. A further tree tells
+the furniture of a page (bars of links and what stands between them) from its text; there words, link density and the neighbours
+decide, and clean text goes without it. All blocks of a batch are described first and pass the trees together. The file's media type
+and extension are not consulted. There is no shuffle but the one that removes repeated rows.
 
 Defined results: null and empty texts have no kinds and a null or empty clean text; line ends are unified; text inside code is not
-read as markup; a <pre> that begins the body is a wrapper; repeated rows count once; extra columns are ignored.
+read as markup; a <pre> that begins the body is a wrapper; repeated rows count once, and rows of one file_id with different texts
+count each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lawloom.llm.markup_examples import KINDS, examples
+from lawloom.llm.markup_examples import FURNITURE, KINDS, documents
 from lawloom.session import spread
 
 FEATURES = (
@@ -79,12 +81,16 @@ def unify(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
+_GAP = re.compile(r"\n[ \t]*(?:\n[ \t]*)+(?=\n|$)|\n[ \t]*\n")
+_code_signs = re.compile(r"[`<\\]|~~~").search
+
+
 def blocks(text: str) -> list[str]:
     """Flat blocks: at blank lines, unless those are inside code."""
-    keep = [m.span() for m in _CODE.finditer(text)] if "\n\n" in text else []
+    keep = [m.span() for m in _CODE.finditer(text) if "\n" in m[0]] if _code_signs(text) and "\n\n" in text else []
     out, at = [], 0
-    for m in re.finditer(r"\n[ \t]*(?:\n[ \t]*)+(?=\n|$)|\n[ \t]*\n", text):
-        if any(a < m.start() < b for a, b in keep):
+    for m in _GAP.finditer(text):
+        if keep and any(a < m.start() < b for a, b in keep):
             continue
         out.append(text[at : m.start()])
         at = m.end()
@@ -92,58 +98,110 @@ def blocks(text: str) -> list[str]:
     return [b for b in out if b.strip()]
 
 
-def marks(block: str) -> dict[str, float]:
-    """The features of one block, without its neighbours."""
-    f: dict[str, float] = dict.fromkeys(FEATURES, 0.0)
-    text, f["code"] = _CODE.subn(" \x01 ", block)
-    inner = [m for m in _PRE.finditer(text) if not re.search(r"<body\b[^>]*>\s*$", text[: m.start()], re.I)]
-    f["code"] += len(inner)
-    f["tags"] += len(_COMMENT.findall(text))
-    text = _COMMENT.sub(" ", text)
-    text, f["formula"] = _FORMULA.subn(" \x02 ", text)
-    text, f["dollars"] = _DOLLARS.subn(" \x02 ", text)
-    f["html_heading"] = len(_HTML_HEADING.findall(text))
-    tables = " ".join(m[0] for m in _TABLE.finditer(text))
-    text, f["table"] = _TABLE.subn(" \x03 ", text)
-    f["pipes"] = len(_PIPES.findall(text))
-    if f["pipes"]:
+_signs = re.compile(r"[<\\`$|\[{&*_~'%>#=+-]|^ {0,3}\d{1,3}[.)][ \t]", re.M).search
+_AT = {n: k for k, n in enumerate(FEATURES)}
+
+
+def _lines(row: list[float], text: str, words: int) -> None:
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    row[_AT["words"]] = words
+    row[_AT["words_a_line"]] = words / max(1, len(lines))
+    row[_AT["ends_sentence"]] = sum(bool(_SENTENCE_END.search(x)) for x in lines) / max(1, len(lines))
+
+
+def marks(block: str) -> list[float]:
+    """The features of one block, without its neighbours. What a sign must hold is looked for before its pattern is."""
+    row = [0.0] * len(FEATURES)
+    if not _signs(block):
+        _lines(row, block, len(block.split()))
+        return row
+
+    def put(name: str, n: float) -> None:
+        row[_AT[name]] = n
+
+    text, angle, slash = block, "<" in block, "\\" in block
+    code = tags = 0
+    if angle or slash or "`" in text or "~~~" in text:
+        text, code = _CODE.subn(" \x01 ", text)
+    if angle:
+        code += sum(not re.search(r"<body\b[^>]*>\s*$", text[: m.start()], re.I) for m in _PRE.finditer(text))
+        text, tags = _COMMENT.subn(" ", text)
+    put("code", code)
+    if angle or slash or "$" in text:
+        if angle or slash or "$$" in text:
+            text, n = _FORMULA.subn(" \x02 ", text)
+            put("formula", n)
+        if "$" in text and (slash or "_" in text or "^" in text):
+            text, n = _DOLLARS.subn(" \x02 ", text)
+            put("dollars", n)
+    if angle:
+        put("html_heading", len(_HTML_HEADING.findall(text)))
+    tables = ""
+    if angle or slash or "{|" in text:
+        tables = " ".join(m[0] for m in _TABLE.finditer(text))
+        text, n = _TABLE.subn(" \x03 ", text)
+        put("table", n)
+    if "|" in text and (n := len(_PIPES.findall(text))):
+        put("pipes", n)
         text = _PIPE_ROW.sub(" \x03 ", _PIPES.sub(" ", text))
-    links = _LINK.findall(text)
-    words = len(_WORD.findall(_TAG.sub(" ", text)))
-    f["words"] = words
-    f["link_density"] = sum(len(_WORD.findall(re.sub(r"\(\S*\)|<[^>]*>|https?://\S*", " ", x))) for x in links) / max(1, words)
-    lines = [x for x in text.split("\n") if x.strip()]
-    f["words_a_line"] = words / max(1, len(lines))
-    f["ends_sentence"] = sum(bool(_SENTENCE_END.search(x)) for x in lines) / max(1, len(lines))
-    text, f["tex_heading"] = _TEX_HEADING.subn(" ", text)
-    f["equals_heading"] = len(_EQUALS.findall(text))
-    f["underlined"] = len(_UNDERLINED.findall(text))
-    f["hashes"] = len(_HASHES.findall(text))
-    f["html_list"] = len(_HTML_LIST.findall(text))
-    text, f["tex_list"] = _TEX_LIST.subn(" ", text)
-    f["bullets"] = len(_BULLETS.findall(text))
-    f["numbers"] = len(_NUMBERS.findall(text))
-    text = _HTML_LIST.sub(" ", _HTML_HEADING.sub(" ", text))
-    f["links"] = len(links)
-    text = _LINK.sub(" ", text)
-    text, f["templates"] = _TEMPLATE.subn(" ", text)
-    text, tags = _TAG.subn(" ", text)
-    f["tags"] += tags
-    f["entities"] = len(_ENTITY.findall(text)) + len(_ENTITY.findall(tables))
-    f["emphasis"] = len(_EMPHASIS.findall(_QUOTED.sub(" ", text))) + len(_QUOTE_LINE.findall(block))
-    f["commands"] = len(_COMMAND.findall(text))
-    return f
-
-
-def describe(found: list[str]) -> np.ndarray:
-    """Feature rows of the blocks of one text, neighbours included."""
-    rows = [marks(b) for b in found]
-    for k, r in enumerate(rows):
-        for side, other in (("before", k - 1), ("after", k + 1)):
-            if 0 <= other < len(rows):
-                r[f"words_{side}"] = rows[other]["words"]
-                r[f"link_density_{side}"] = rows[other]["link_density"]
-    return np.array([[r[n] for n in FEATURES] for r in rows]).reshape(-1, len(FEATURES))
+    links = _LINK.findall(text) if angle or slash or "[" in text else ()
+    words = len((_TAG.sub(" ", text) if angle else text).split())
+    if links:
+        put("link_density", sum(len(re.sub(r"\(\S*\)|<[^>]*>|https?://\S*", " ", x).split()) for x in links) / max(1, words))
+        put("links", len(links))
+    _lines(row, text, words)
+    if slash:
+        text, n = _TEX_HEADING.subn(" ", text)
+        put("tex_heading", n)
+    if "==" in text:
+        put("equals_heading", len(_EQUALS.findall(text)))
+    if "---" in text or "===" in text:
+        put("underlined", len(_UNDERLINED.findall(text)))
+    if "#" in text:
+        put("hashes", len(_HASHES.findall(text)))
+    if angle:
+        put("html_list", len(_HTML_LIST.findall(text)))
+    if slash:
+        text, n = _TEX_LIST.subn(" ", text)
+        put("tex_list", n)
+    if "* " in text or "- " in text or "+ " in text or "\t" in text:
+        put("bullets", len(_BULLETS.findall(text)))
+    put("numbers", len(_NUMBERS.findall(text)))
+    if angle:
+        text = _HTML_LIST.sub(" ", _HTML_HEADING.sub(" ", text))
+    if links:
+        text = _LINK.sub(" ", text)
+    if angle or "{{" in text or "__" in text:
+        text, n = _TEMPLATE.subn(" ", text)
+        put("templates", n)
+    if angle:
+        text, n = _TAG.subn(" ", text)
+        tags += n
+    put("tags", tags)
+    if "&" in block:
+        put("entities", len(_ENTITY.findall(text)) + len(_ENTITY.findall(tables)))
+    emphasis = len(_QUOTE_LINE.findall(block)) if ">" in block else 0
+    if "*" in text or "_" in text or "~~" in text or "''" in text:
+        emphasis += len(_EMPHASIS.findall(_QUOTED.sub(" ", text)))
+    put("emphasis", emphasis)
+    if slash or "%" in text:
+        put("commands", len(_COMMAND.findall(text)))
+    return row
+
+
+_NEIGHBOURS = [(_AT[f"{what}_{side}"], _AT[what], step) for what in ("words", "link_density") for side, step in (("before", -1), ("after", 1))]
+
+
+def describe(found: Sequence[list[str]]) -> np.ndarray:
+    """Feature rows of the blocks of texts, one below the other, neighbours in the same text included."""
+    x = np.array([marks(b) for text in found for b in text]).reshape(-1, len(FEATURES))
+    number = np.repeat(np.arange(len(found)), [len(text) for text in found])
+    for to, of, step in _NEIGHBOURS:
+        if step < 0:
+            x[1:, to] = np.where(number[1:] == number[:-1], x[:-1, of], 0)
+        else:
+            x[:-1, to] = np.where(number[1:] == number[:-1], x[1:, of], 0)
+    return x
 
 
 class Tree:
@@ -182,7 +240,7 @@ class Tree:
         return out
 
 
-#: Marks that mean several things in several notations; each tree sees its own sure signs and all of these.
+#: Marks that are sure signs of a kind; their sums, the marks that mean several things, and words, density and neighbours are what a tree sees.
 _SURE = {
     "heading": ("html_heading", "tex_heading", "equals_heading", "underlined"),
     "list": ("html_list", "tex_list"),
@@ -191,40 +249,53 @@ _SURE = {
     "table": ("table", "pipes"),
     "other": ("tags", "entities", "emphasis", "links", "templates", "commands"),
 }
-_OPEN = ("hashes", "bullets", "numbers", "words", "words_a_line", "ends_sentence", "words_before", "words_after", "link_density")
+_OPEN = ("hashes", "bullets", "numbers", "words", "link_density", "words_a_line", "ends_sentence", "words_before", "words_after", "link_density_before", "link_density_after")
+SEEN = (*_SURE, *_OPEN)
+#: What is told of the neighbours of a block.
+AROUND = ("words_before", "words_after", "link_density_before", "link_density_after")
+
 
+def seen(x: np.ndarray) -> np.ndarray:
+    """The columns that trees see."""
+    sums = [x[:, [_AT[n] for n in names]].sum(axis=1) for names in _SURE.values()]
+    return np.column_stack([*sums, x[:, [_AT[n] for n in _OPEN]]])
 
-def _views(x: np.ndarray) -> dict[str, np.ndarray]:
-    at = {n: k for k, n in enumerate(FEATURES)}
-    sure = {k: x[:, [at[n] for n in names]].sum(axis=1) for k, names in _SURE.items()}
-    rest = x[:, [at[n] for n in _OPEN]]
-    return {k: np.column_stack([s, rest]) if k in ("heading", "list") else np.column_stack([s, *(sure[n] for n in sure if n != k), rest[:, 3:]]) for k, s in sure.items()}
+
+def train(table: list[list[tuple[str, str]]], without: tuple[str, ...] = ()) -> dict[str, Tree]:
+    """One tree per kind from labelled documents; columns of ``without`` are blank to all of them."""
+    x = seen(describe([[b for _, b in d] for d in table]))
+    x[:, [SEEN.index(n) for n in without]] = 0
+    labels = [kinds for d in table for kinds, _ in d]
+    return {name: Tree(x, np.array([letter in kinds for kinds in labels], float)) for letter, name in {**KINDS, FURNITURE: "furniture"}.items()}
 
 
 @lru_cache(maxsize=1)
 def trees() -> dict[str, Tree]:
-    table = examples()
-    x = np.concatenate([describe([b]) for _, b in table])
-    y = {name: np.array([letter in kinds for kinds, _ in table], float) for letter, name in KINDS.items()}
-    return {name: Tree(v, y[name]) for name, v in _views(x).items()}
+    return train(documents())
+
+
+def told(found: Sequence[list[str]], grown: dict[str, Tree] | None = None) -> list[list[set[str]]]:
+    """By text and block: the kinds of element, and ``furniture``."""
+    grown = trees() if grown is None else grown
+    x = seen(describe(found))
+    answers = {name: tree.predict(x).tolist() for name, tree in grown.items()}
+    names, out, at = list(answers), [], 0
+    for text in found:
+        out.append([{n for n in names if answers[n][k]} for k in range(at, at + len(text))])
+        at += len(text)
+    return out
 
 
 def block_kinds(found: list[str]) -> list[set[str]]:
-    if not found:
-        return []
-    views = _views(describe(found))
-    told = {name: tree.predict(views[name]) for name, tree in trees().items()}
-    return [{n for n in told if told[n][k]} for k in range(len(found))]
+    return told([found])[0] if found else []
 
 
-def kinds(text: str | None) -> list[str]:
-    """The kinds of element in a text."""
-    if not text:
-        return []
-    found: set[str] = set()
-    for k in block_kinds(blocks(unify(text))):
-        found |= k
-    return sorted(found)
+def kinds(texts: Sequence[str | None], grown: dict[str, Tree] | None = None) -> list[list[str]]:
+    """The kinds of element in each text."""
+    found = [blocks(unify(t)) if t else [] for t in texts]
+    if not any(found):
+        return [[] for _ in texts]
+    return [sorted(set().union(*text) - {"furniture"}) for text in told(found, grown)]
 
 
 # --- clean text -------------------------------------------------------------------------------------------------------------------
@@ -309,32 +380,48 @@ def clean_block(block: str, found: set[str]) -> str:
     return re.sub(r"[ \t]+$", "", re.sub(r"\n{3,}", "\n\n", text), flags=re.M).strip("\n")
 
 
-def clean(text: str | None) -> str | None:
-    if not text:
-        return text
-    found = blocks(unify(text))
-    out = [clean_block(b, k) for b, k in zip(found, block_kinds(found))]
-    return "\n\n".join(b for b in out if b.strip())
+def clean(texts: Sequence[str | None], grown: dict[str, Tree] | None = None) -> list[str | None]:
+    """The texts without markup and furniture."""
+    found = [blocks(unify(t)) if t else [] for t in texts]
+    answers = told(found, grown) if any(found) else [[] for _ in texts]
+    out: list[str | None] = []
+    for text, bs, ks in zip(texts, found, answers):
+        parts = [clean_block(b, k) for b, k in zip(bs, ks) if "furniture" not in k]
+        out.append("\n\n".join(p for p in parts if p.strip()) if text else text)
+    return out
 
 
-def found_elements(files: DataFrame) -> DataFrame:
-    """Distinct file_id, elem."""
+#: Texts whose blocks pass the trees together.
+TOGETHER = 256
+
+
+def _by_batch(rows: DataFrame, schema: str, made) -> DataFrame:
+    """``made`` of (ids, texts, trees) for pieces of each batch; the trees are grown once, by the driver, and are of a fixed size."""
+    grown = rows.sparkSession.sparkContext.broadcast(trees())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, k) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k in kinds(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.string())], names=["file_id", "elem"])
+            for k in range(0, b.num_rows, TOGETHER):
+                part = b.slice(k, TOGETHER)
+                yield made(part.column(0).to_pylist(), part.column(1).to_pylist(), grown.value)
+
+    return spread(rows, "file_id").mapInArrow(run, schema)
+
 
-    texts = files.where("file_id is not null and text <> ''").select("file_id", "text")
-    return spread(texts, "file_id").mapInArrow(run, "file_id bigint, elem string").distinct()
+def found_elements(files: DataFrame) -> DataFrame:
+    """Distinct file_id, elem."""
+
+    def made(ids: list, texts: list, grown: dict[str, Tree]) -> pa.RecordBatch:
+        rows = [(i, k) for i, own in zip(ids, kinds(texts, grown)) for k in own]
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.string())], names=["file_id", "elem"])
+
+    return _by_batch(files.where("file_id is not null and text <> ''").select("file_id", "text"), "file_id bigint, elem string", made).distinct()
 
 
 def clean_files(files: DataFrame) -> DataFrame:
     """Distinct file_id, text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(clean, b.column(1).to_pylist()), pa.string())], names=["file_id", "text"])
+    def made(ids: list, texts: list, grown: dict[str, Tree]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(clean(texts, grown), pa.string())], names=["file_id", "text"])
 
-    texts = files.where("file_id is not null").select("file_id", "text").dropDuplicates(["file_id"])
-    return texts.mapInArrow(run, "file_id bigint, text string")
+    return _by_batch(files.where("file_id is not null").select("file_id", "text").distinct(), "file_id bigint, text string", made)

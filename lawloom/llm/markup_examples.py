@@ -1,10 +1,14 @@
-"""A small labelled table of blocks, from which the decision trees for markup are trained.
+"""A small labelled table of documents, from which the decision trees for markup are trained.
 
-One entry per block: the kinds of marked-up element in it (letters as in KINDS; none for plain text) and the block.
+A document is a list of blocks in order, each with the kinds of marked-up element in it (letters as in KINDS, FURNITURE for what belongs
+to the page and not to the text; none for plain text).
 """
 
+from itertools import cycle
+
 #: h heading, l list, c code, f formula, t table, o other markup
 KINDS = {"h": "heading", "l": "list", "c": "code", "f": "formula", "t": "table", "o": "other"}
+FURNITURE = "b"
 
 _TITLE = "Granary inspection rules"
 _LONG = "Every keeper of a granary shall open it to the inspector on the first day of each month, and pay $40 for each missed day."
@@ -51,7 +55,7 @@ def examples() -> list[tuple[str, str]]:
     for mark in ("- ", "* ", "+ ", "1. ", "- [ ] ", "# ", "## ", "** "):
         second = "2. " if mark == "1. " else mark
         add("l", mark + _ITEM + "\n" + second + _LONG, mark + _LONG, mark + _ITEM + "\n" + second + _ITEM + "\n" + second + _LONG)
-    add("l", f"<ul>\n<li>{_ITEM}</li>\n<li>{_LONG}</li>\n</ul>", f"<OL>\n<li>{_ITEM}\n<li>{_LONG}\n</OL>", f"<li>{_ITEM}</li>")
+    add("l", f"<ul>\n<li>{_ITEM}</li>\n<li>{_LONG}</li>\n</ul>", f"<OL>\n<li>{_ITEM}\n<li>{_LONG}\n</OL>", f"<li>{_ITEM}</li>", f"<li>{_ITEM}", f"\\item {_ITEM}")
     add("l", f"\\begin{{itemize}}\n\\item {_ITEM}\n  \\item[(a)] {_LONG}\n\\end{{itemize}}".replace("$", ""), f"\\begin{{enumerate}}\n\\item {_ITEM}\n\\end{{enumerate}}")
     add("lo", f"\\begin{{itemize}}\n\\item {_LONG}\n\\end{{itemize}}".replace("$", "\\$"), f"<div><ul>\n<li>{_ITEM}\n</ul>", f"- **Each keeper** shall count.\n- {_ITEM}", f"* {_ITEM} [[Mill|mills]]")
     for k, c in enumerate(_CODE):
@@ -75,3 +79,47 @@ def examples() -> list[tuple[str, str]]:
     add("o", f"'''Every keeper''' of a granary. {_LONG}", f"''Every keeper'' pays. {_LONG}", f"{_LONG} [[Mill:keepers|keepers]]", f"{_LONG} [https://mill.example/t9 text]", "{{Infobox mill|number=9|topic=Keepers}}", f"{_LONG}<ref name=\"n9\">Our notes 9.</ref>", f"{_LONG}\n[[Category:Mills]]", "__NOTOC__")
     add("o", "\\documentclass{article}\n\\begin{document}\n" + _ITEM, "\\end{document}", f"\\textbf{{Every keeper}} pays. {_ITEM}", f"\\emph{{Every keeper}} pays. {_ITEM}", f"{_ITEM} \\footnote{{Our notes 9.}}", f"{_ITEM}\n% todo: check \\cite{{act9}}", f"\\noindent {_ITEM}", f"{_ITEM} \\href{{https://mill.example/t9}}{{text}}", "Each keeper pays \\$40 a day.")
     return rows
+
+
+def _link(name: str) -> str:
+    return f'<a href="https://mill.example/{name}">{name}</a>'
+
+
+_BARS = [
+    " | ".join(map(_link, ("Home", "Acts", "Search"))),
+    "[Home](https://mill.example) [Acts](https://mill.example/acts)",
+    f"<ul><li>{_link('Rules')}</li><li>{_link('Forms')}</li><li>{_link('Mills')}</li></ul>",
+    f"<p>{_link('Terms')} {_link('Privacy')} {_link('Contact')}</p>",
+    "[[Main page]] [[Mill:index|Index]] [[Help]]",
+]
+_BETWEEN = ["Print Share Save", "Menu", "SESSION NO. 9", "Page 9 of 92", "You are here:"]
+
+
+def _pages() -> list[list[tuple[str, str]]]:
+    """Pages with their furniture: bars of links stand together, and little stands between them; a link in running text stands between long blocks."""
+    out = []
+    kinds = ["bo", "bo", "blo", "bo", "bo"]
+    for k, bar in enumerate(_BARS):
+        other, mine = (k + 1) % len(_BARS), (kinds[k], bar)
+        across = (kinds[other], _BARS[other])
+        out.append([mine, across, ("ho" if k % 2 else "h", "<p><h1>Mills</h1>" if k % 2 else "# " + _TITLE), ("", _LONG), ("", _ITEM), mine])
+        out.append([mine, ("b", _BETWEEN[k]), across, ("", _LONG), ("", _LONG)])
+        out.append([across, mine, ("o", f"<p>{_LONG}</p>"), ("", _ITEM), across])
+        out.append([mine, ("", _ITEM), ("h", "# " + _TITLE), ("", _ITEM), across, ("", _LONG), mine])
+        out.append([("", _LONG), ("", _LONG), across, ("b", _BETWEEN[(k + 2) % 5]), mine])
+        out.append([("", _BETWEEN[k]), ("", _LONG), ("", _BETWEEN[(k + 3) % 5]), ("", _ITEM)])
+        out.append([("", _LONG), ("o", f"<p>{_link('see')} {_link('rule')} {_link('9')}</p>"), ("", _LONG), ("o", f"{_LONG} [Acts](https://mill.example/acts)"), ("", _ITEM)])
+        out.append([("", _LONG), ("lo", f"<ul><li>{_link('Rules')} {_ITEM}</li><li>{_ITEM}</li></ul>"), ("", _ITEM), ("o", f"See {_link('Mill rule 9')}."), ("", _LONG)])
+    short = [("h", "== Mills =="), ("o", "'''Every''' [[Mill|mill]]."), ("l", "* One\n* Two"), ("o", "See [rule 9](https://mill.example/r9)."), ("", "It is new."), ("o", f"<p>Read {_link('this')}.</p>")]
+    return out + [short, short[::-1], [short[1], short[3], short[5]]]
+
+
+def documents() -> list[list[tuple[str, str]]]:
+    """Every labelled block in running text, in four places: between long blocks, at either end, and beside a heading."""
+    text = cycle([("", _LONG), ("", _ITEM), ("", "    (1) " + _LONG), ("", "SEC. 9. " + _TITLE.upper() + ".")])
+    head = cycle([("h", "# " + _TITLE), ("h", "== " + _TITLE + " =="), ("h", _TITLE + "\n" + "-" * 24)])
+    out = []
+    for k, row in enumerate(examples()):
+        places = ([next(text), row, next(text)], [row, next(text), next(text)], [next(text), next(text), row], [next(head), row, next(head), next(text)])
+        out += [places[k % 4], places[(k + 1) % 4]]
+    return out + _pages()
