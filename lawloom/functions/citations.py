@@ -69,22 +69,23 @@ def popular_names() -> tuple[Act, ...]:
 
 
 @lru_cache(maxsize=1)
-def _acts_by_word() -> tuple[dict[str, tuple[Act, ...]], re.Pattern]:
-    """Acts by the first word of a name in small letters, and a pattern that finds these words."""
+def _acts_by_word() -> dict[str, tuple[Act, ...]]:
+    """Acts by the first word of a name, in small letters."""
     found: dict[str, list[Act]] = {}
     for a in popular_names():
-        for first in dict.fromkeys(_first_word.match(n)[0].lower() for n in a.names):
+        for first in dict.fromkeys(_word.match(n)[0].lower() for n in a.names):
             found.setdefault(first, []).append(a)
-    return {w: tuple(a) for w, a in found.items()}, re.compile(rf"\b(?:{'|'.join(sorted(found))})\b", re.I)
+    return {w: tuple(a) for w, a in found.items()}
 
 
-_first_word = re.compile(r"[A-Za-z]+")
+_word = re.compile(r"[A-Za-z]+")
+_whole_words = re.compile(r"\b[A-Za-z]+")
 
 
 def acts_at(text: str, at: int) -> Iterator[tuple[Act, int]]:
     """Acts whose name stands at a place in just these letters, and where it ends."""
-    if first := _first_word.match(text, at):
-        for a in _acts_by_word()[0].get(first[0].lower(), ()):
+    if first := _word.match(text, at):
+        for a in _acts_by_word().get(first[0].lower(), ()):
             if m := a.exact.match(text, at):
                 yield a, m.end()
 
@@ -381,10 +382,10 @@ def _own_unit(text: str, start: int, end: int, unit: str, path: str) -> Iterator
 
 def _names(text: str) -> Iterator[Citation]:
     """Names of Acts in letters of any case; each Act is looked for on from where its last name ended."""
-    acts, first = _acts_by_word()
+    acts = _acts_by_word()
     free: dict[int, int] = {}
-    for m in first.finditer(text):
-        for a in acts[m[0].lower()]:
+    for m in _whole_words.finditer(text):
+        for a in acts.get(m[0].lower(), ()):
             if m.start() >= free.get(a.entry_no, 0) and (name := a.loose.match(text, m.start())):
                 free[a.entry_no] = name.end()
                 yield _cite("act", text, m.start(), name.end(), act_name=a.name)

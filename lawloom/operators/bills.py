@@ -1,7 +1,8 @@
 """One pass over bills, and the tables that come out of it.
 
 ``analyse`` reads each text once, in the order structure, citations, instructions, relative citations, which depend on each other
-within a document only; so documents never move. Each table is then an ``inline`` of one column.
+within a document only; so documents never move. Each table is then an ``inline`` of one column. Who wants a single table takes ``rows``,
+which does no more than that table needs and hands it over by columns.
 """
 
 from __future__ import annotations
@@ -58,7 +59,9 @@ TABLES = {
     "nav": _NAV,
     "located": _LOCATED,
 }
-_HEAD = "doc_id string, n_chars bigint, designation string, short_title string, congress string, uncovered int"
+_HEAD = (
+    "doc_id string, n_chars bigint, designation string, short_title string, congress string, uncovered int, bad_offsets int, overlaps int, bad_op_offsets int"
+)
 
 
 def _struct(ddl: str) -> StructType:
@@ -124,8 +127,12 @@ def read_one(doc_id: str, text: str, depth: int = ALL) -> dict:
         for kind, rows in (("step", a.steps), ("ref", a.refs))
         for k, n in enumerate(rows)
     ]
+    spans = [o for a in found for o in a.ops if o.start is not None and o.text is not None]
     return out | {
         "uncovered": amend.uncovered(text, found),
+        "bad_offsets": sum(text[c.start : c.end] != c.text for c in cites),
+        "overlaps": sum(b.start < a.end for a, b in zip(cites, cites[1:])),
+        "bad_op_offsets": sum(text[o.start : o.end] != o.text for o in spans),
         "marks": [_plain(m, ["pos", "marker", "depth"]) for m in outline.marks],
         "all_citations": [_citation(c) for c in both],
         "amendments": [
@@ -155,6 +162,62 @@ def analyse(bills: DataFrame, depth: int = ALL) -> DataFrame:
     return (texts if texts.isStreaming else spread(texts, "doc_id")).mapInArrow(run, out)
 
 
+def _found(text: str, name: str) -> list[tuple[object, dict]]:
+    """What one of TABLES holds of a text, with the fields that the object itself lacks; nothing else is read."""
+    if name == "blocks":
+        return [(b, {"seq": k}) for k, b in enumerate(structure.quoted_blocks(text))]
+    if name == "marks":
+        return [(m, {}) for m in structure.Outline(text).marks]
+    if name == "citations":
+        return [(c, {}) for c in citations.extract(text)]
+    bill = structure.parse_bill(text)
+    if name in ("divisions", "sections"):
+        return [(x, {"seq": k}) for k, x in enumerate(getattr(bill, name))]
+    cites = citations.extract(text)
+    ams = amend.extract(text, cites, bill)
+    if name == "amendments":
+        return [(a, {}) for a in ams]
+    if name == "ops":
+        return [(o, {"am_id": a.id, "op_seq": k}) for a in ams for k, o in enumerate(a.ops)]
+    if name == "nav":
+        return [
+            (n, {"am_id": a.id, "nav_kind": kind, "seq": k, "range_from": (n.range or (None,))[0], "range_to": (n.range or (None,))[-1]})
+            for a in ams for kind, steps in (("step", a.steps), ("ref", a.refs)) for k, n in enumerate(steps)
+        ]
+    both = amend.relative(cites, ams)
+    if name == "all_citations":
+        return [(c, {}) for c in both]
+    return [(None, x) for x in internal.fates(bill, structure.Outline(text), both)]
+
+
+def _plainly(value):
+    if isinstance(value, (structure.Block, structure.Division)):
+        return vars(value)
+    if isinstance(value, citations.Citation):
+        return _citation(value)
+    return [_plainly(x) for x in value] if isinstance(value, list) else value
+
+
+def rows(bills: DataFrame, name: str) -> DataFrame:
+    """doc_id and the rows of one of TABLES of bills (doc_id, text)."""
+    out = _struct(f"doc_id string, {TABLES[name]}")
+    arrow = to_arrow_schema(out)
+    width = 512
+
+    def column(field, pairs: list[tuple[object, dict]]) -> pa.Array:
+        return pa.array([_plainly(more[field.name] if field.name in more else getattr(x, field.name, None)) for x, more in pairs], field.type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for k in range(0, len(ids), width):
+                pairs = [(x, {**more, "doc_id": i}) for i, t in zip(ids[k : k + width], texts[k : k + width]) for x, more in _found(t, name)]
+                yield pa.RecordBatch.from_arrays([column(f, pairs) for f in arrow], schema=arrow)
+
+    texts = bills.where("text is not null").select("doc_id", "text")
+    return (texts if texts.isStreaming else spread(texts, "doc_id")).mapInArrow(run, out)
+
+
 def table(analysis: DataFrame, name: str) -> DataFrame:
     """doc_id and the rows of one of TABLES."""
     return analysis.select("doc_id", F.inline(name))

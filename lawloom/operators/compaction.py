@@ -1,10 +1,12 @@
 """Far too many small files: consolidation into few well-filled ones, and an audit of earlier packing runs.
 
 ``compact`` shuffles the rows under a REBALANCE hint, so that runtime statistics merge or split the output partitions near the
-target size, writes them to a staging folder, compares the multiset checksum of what lies there with that of the source, and only
-then commits by a rename. A checksum is the row count with the sums of two independent 64-bit hashes, so order does not matter and
-a lost, doubled or altered row shows. The source's checksum is observed while it is written; only if it differs (a stage may have
-run twice after a loss) is it computed again from the source.
+target size, writes them to a folder of their own below the table's, compares the multiset checksum of what lies there with that of
+the source, and only then commits: a pointer file is replaced in one step, after which readers see the new folder, and the old one is
+deleted last. A run that fails at any point leaves the table as it was. A checksum is the row count with the sums of two independent
+64-bit hashes, so order does not matter and a lost, doubled or altered row shows. The source's checksum is observed while it is
+written; only if it differs (a stage may have run twice after a loss) is it computed again from the source. The target size is a
+setting of a session of its own, so compactions do not disturb each other or their caller.
 
 Defined results: of the versions of one (grp, stem) the latest ``written_at`` counts (a tie goes to the larger ``shard_id``); rows
 with a null grp or stem are records of their own key; an empty input commits an empty table.
@@ -12,6 +14,8 @@ with a null grp or stem are records of their own key; an empty input commits an
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ from lawloom.session import hadoop_fs, scratch_path
 
 #: Bytes of shuffled data aimed at per output file.
 TARGET_BYTES = 64 << 20
+#: The file in a table's folder that holds the name of the folder with its rows.
+POINTER = "_current"
 
 
 def _sums(columns: list[str]) -> list:
@@ -38,26 +44,65 @@ class ChecksumMismatch(RuntimeError):
     pass
 
 
-def compact(df: DataFrame, path: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
+def _own_session(df: DataFrame, target_bytes: int) -> DataFrame:
+    """The same rows in a session of their own, whose adaptive execution aims at ``target_bytes``."""
     spark = df.sparkSession
-    staging = f"{path}.staging"
-    seen = Observation()
-    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(size)
-    spark.conf.set(size, str(target_bytes))
+    cloned = spark._jsparkSession.cloneSession()
+    own = SparkSession(spark.sparkContext, cloned, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_bytes), "spark.sql.adaptive.enabled": "true"})
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(cloned, df._jdf.logicalPlan()), own)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Name of the folder that holds a table's rows; null where none was ever committed."""
+    fs, pointer = hadoop_fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def read_compacted(spark: SparkSession, path: str) -> DataFrame:
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no compacted table at {path}")
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def _point_to(spark: SparkSession, path: str, version: str) -> None:
+    """Replace the pointer in one step."""
+    jvm = spark._jvm
+    fs, fresh = hadoop_fs(spark, f"{path}/{POINTER}.{version}")
+    stream = fs.create(fresh, True)
     try:
-        df.observe(seen, *_sums(df.columns)).hint("rebalance").write.mode("overwrite").option("compression", "zstd").parquet(staging)
+        stream.write(bytearray(version.encode()))
     finally:
-        spark.conf.set(size, before)
-    there = checksum(spark.read.schema(df.schema).parquet(staging))
+        stream.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(fresh), fs.makeQualified(pointer), how)
+
+
+def compact(df: DataFrame, path: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    spark = df.sparkSession
+    before, version = current_version(spark, path), f"v-{uuid.uuid4().hex}"
+    place = f"{path}/{version}"
+    seen = Observation()
+    own = _own_session(df, target_bytes)
+    own.observe(seen, *_sums(df.columns)).hint("rebalance").write.option("compression", "zstd").parquet(place)
+    there = checksum(spark.read.schema(df.schema).parquet(place))
     if there != seen.get and there != checksum(df):
-        raise ChecksumMismatch(f"{staging} holds {there}")
-    fs, src = hadoop_fs(spark, staging)
-    dst = hadoop_fs(spark, path)[1]
-    fs.delete(dst, True)
-    if not fs.rename(src, dst):
-        raise OSError(f"cannot commit {path}")
-    return spark.read.schema(df.schema).parquet(path)
+        raise ChecksumMismatch(f"{place} holds {there}")
+    _point_to(spark, path, version)
+    if before:
+        fs, old = hadoop_fs(spark, f"{path}/{before}")
+        fs.delete(old, True)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def current_records(shard_file: DataFrame) -> DataFrame:
@@ -79,7 +124,7 @@ def pack_shards(shard_file: DataFrame, path: str | None = None, target_bytes: in
 def part_report(spark: SparkSession, path: str) -> DataFrame:
     """file, rows, bytes of content of each part of a packed table."""
     return (
-        spark.read.parquet(path)
+        read_compacted(spark, path)
         .groupBy(F.col("_metadata.file_name").alias("file"))
         .agg(F.count("*").alias("records"), F.sum("byte_length").alias("content_bytes"))
     )

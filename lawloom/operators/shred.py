@@ -1,18 +1,22 @@
 """Deeply nested semi-structured records, shredded into columns and put together again as flat tables.
 
-Each record is a tree of provisions of unknown depth. The shredder walks it once and writes one column per leaf path, that is per
-depth of ``children``: values with a repetition level (the depth at which the path repeats) and a definition level (how much of
-the path exists). A node without children leaves one entry with a lower definition level in the column below; deeper ones are implied.
-The tables are then rebuilt from the level sequences alone, a whole batch at a time: the rows of a depth are its entries of full
-definition level, the parent of a row is found by counting the entries that begin a new parent, and the preorder number of a row
-follows from the sizes of the subtrees before it.
+A file holds a record and ``also`` further ones, its entries; an entry has notes, and a tree of provisions of unknown depth. The shredder
+walks a file once and writes a column for each leaf path, that is for each field of an entry, of a note, and of a provision at each
+depth of ``children``. A column has the repetition level of every entry of it (0 begins a file, 1 another entry, 2 + j another element
+at depth j below), the definition level (how many of the repeated ancestors exist, and at the full number of them whether the field is
+absent, null or has a value) and the values alone. Where an element has nothing below it, one entry of a lower definition level stands in
+the columns right below; deeper ones are implied.
 
-There is no shuffle but the one that removes repeated rows, whose rows are five narrow columns.
+The tables (one for each repeated ancestor: entries, notes, provisions) are rebuilt from the level sequences, a whole batch at a time:
+the rows of a depth are its entries of full ancestry, the parent of a row is found by counting the entries that begin a new parent, and
+the preorder number of a row follows from the sizes of the subtrees before it.
 
-Defined results: content that is null, cut off or no JSON object gives no row, at whatever depth it ends; a tree, ``children`` or ``also`` may be a list, one
+There is no shuffle but the one that removes repeated rows.
+
+Defined results: content that is null, cut off or no JSON object gives no row, at whatever depth it ends; a tree, ``children``, ``notes`` or ``also`` may be a list, one
 object, or either as a JSON string; what is neither (null, a number, an empty
 object, a broken string) holds nothing, also inside a list; an absent,
-null or empty path is the parent's path followed by the marker; an ``also`` element that is no record still takes its number.
+null or empty path is the parent's path followed by the marker, and ``path_is`` tells which it was; an ``also`` element that is no record still takes its number.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PROVISION = "shard_id bigint, entry int, ord int, parent_ord int, path string, marker string, heading string, text string"
-SCHEMA = pa.schema(
-    [("shard_id", pa.int64()), ("entry", pa.int32()), ("ord", pa.int32()), ("parent_ord", pa.int32()), ("path", pa.string())]
-    + [(x, pa.string()) for x in ("marker", "heading", "text")]
-)
+#: Definition levels above the number of the ancestors: the field is absent, null, or has a value.
+ABSENT, NULL, VALUE = 0, 1, 2
+STATES = np.array(["absent", "null", "value"])
+ENTRY = {"title": "title", "section": "section", "heading": "heading", "lead": "lead", "source_credit": "sourceCredit", "release_point": "releasePoint"}
+NOTE = {"topic": "topic", "heading": "heading", "text": "text"}
 
 
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\.)*")|([^\s\[\]{},:"]+))')
@@ -153,61 +157,139 @@ def _leaf(value) -> str | None:
             frames[-1][1].append("\n".join(lines))
 
 
+class Column:
+    """A leaf path: a repetition and a definition level for each entry, and the values where there are any."""
+
+    __slots__ = ("rep", "full", "values", "ancestors")
+
+    def __init__(self, ancestors: int) -> None:
+        self.ancestors = ancestors
+        self.rep: list[int] = []
+        self.full: list[int] = []
+        self.values: list = []
+
+    def none(self, r: int, existing: int) -> None:
+        self.rep.append(r)
+        self.full.append(existing)
+
+    def put(self, r: int, element: dict, name: str) -> None:
+        self.rep.append(r)
+        value = element.get(name)
+        if value is not None:
+            self.full.append(self.ancestors + VALUE)
+            self.values.append(value if isinstance(value, str) else _leaf(value))
+        else:
+            self.full.append(self.ancestors + (NULL if name in element else ABSENT))
+
+    def levels(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self.rep, np.int64), np.array(self.full, np.int64)
+
+    def rows(self) -> list:
+        """The field of every element: its value, or none."""
+        level = np.array(self.full, np.int64)
+        out = np.full(len(level), None, object)
+        out[level == self.ancestors + VALUE] = self.values
+        return out[level >= self.ancestors].tolist()
+
+    def states(self) -> np.ndarray:
+        level = np.array(self.full, np.int64)
+        return STATES[level[level >= self.ancestors] - self.ancestors]
+
+
+class Group:
+    """The columns of the fields of one repeated element."""
+
+    def __init__(self, fields: tuple[str, ...], ancestors: int) -> None:
+        self.columns = {f: Column(ancestors) for f in fields}
+        self.all = list(self.columns.items())
+
+    def none(self, r: int, existing: int) -> None:
+        for _, c in self.all:
+            c.none(r, existing)
+
+    def put(self, r: int, element: dict) -> None:
+        for f, c in self.all:
+            c.put(r, element, f)
+
+    def levels(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.all[0][1].levels()
+
+
 class Shredder:
-    """Columns of one batch. ``rep[k]`` and ``full[k]`` are the level sequences at depth k; ``leaf[k]`` holds the values of full entries."""
+    """Columns of one batch: fields of entries, of their notes, and of provisions by depth. Only fields asked for are written."""
 
-    def __init__(self, leaves: tuple[str, ...] = ("path", "marker")) -> None:
+    def __init__(self, entry: tuple[str, ...] = (), note: tuple[str, ...] = (), leaves: tuple[str, ...] = ()) -> None:
+        self.files: list[int] = []
+        self.entry = Group(entry or ("section",), 1)
+        self.note = Group(note, 2) if note else None
         self.leaves = leaves
-        self.rep: list[list[int]] = []
-        self.full: list[list[bool]] = []
-        self.leaf: list[list[tuple]] = []
-        self.roots: list[tuple[int, int]] = []
-
-    def _column(self, k: int) -> None:
-        if k == len(self.rep):
-            self.rep.append([])
-            self.full.append([])
-            self.leaf.append([])
-
-    def add(self, shard_id: int, entry: int, tree) -> None:
-        top = _objects(tree)
+        self.depths: list[Group] = []
+
+    def _depth(self, k: int) -> Group:
+        if k == len(self.depths):
+            self.depths.append(Group(self.leaves, k + 2))
+        return self.depths[k]
+
+    def add(self, shard_id: int, record: dict) -> None:
+        self.files.append(shard_id)
+        for k, one in enumerate([record, *_elements(record.get("also"))]):
+            r = min(k, 1)
+            if not isinstance(one, dict):
+                self.entry.none(r, 0)
+                if self.note:
+                    self.note.none(r, 0)
+                if self.leaves:
+                    self._depth(0).none(r, 0)
+                continue
+            self.entry.put(r, one)
+            if self.note:
+                notes = _objects(one.get("notes"))
+                for n, note in enumerate(notes):
+                    self.note.put(2 if n else r, note)
+                if not notes:
+                    self.note.none(r, 1)
+            if self.leaves:
+                self._tree(r, _objects(one.get("tree")))
+
+    def _tree(self, r: int, top: list[dict]) -> None:
         if not top:
+            self._depth(0).none(r, 1)
             return
-        self.roots.append((shard_id, entry))
-        names = self.leaves
-        # (depth, siblings still to write, repetition level of the next one); level 0 begins a tree, k + 1 another sibling at depth k
-        stack = [(0, iter(top), 0)]
+        # (depth, siblings still to write, repetition level of the next one); 2 + k is another sibling at depth k
+        stack = [(0, iter(top), r)]
         while stack:
             k, siblings, r = stack[-1]
             node = next(siblings, None)
             if node is None:
                 stack.pop()
                 continue
-            stack[-1] = (k, siblings, k + 1)
-            self._column(k)
-            self.rep[k].append(r)
-            self.full[k].append(True)
-            self.leaf[k].append(tuple(_leaf(node.get(n)) for n in names))
+            stack[-1] = (k, siblings, k + 2)
+            self._depth(k).put(r, node)
             below = node.get("children")
             kids = _objects(below) if below else ()
-            # seen from the column below, a new parent begins: the level is at most k + 1
+            # seen from the column below, a new parent begins: the level is at most k + 2
             if kids:
                 stack.append((k + 1, iter(kids), r))
             else:
-                self._column(k + 1)
-                self.rep[k + 1].append(r)
-                self.full[k + 1].append(False)
-                self.leaf[k + 1].append(())
+                self._depth(k + 1).none(r, k + 2)
+
+
+def _entries(s: Shredder) -> tuple[np.ndarray, np.ndarray]:
+    """shard_id and number of every entry, those that are no records included."""
+    rep, _ = s.entry.levels()
+    file = np.cumsum(rep == 0) - 1
+    first = np.flatnonzero(rep == 0)
+    return np.array(s.files, np.int64)[file], np.arange(len(rep)) - first[file]
 
 
 def assemble(s: Shredder) -> dict[str, np.ndarray | list]:
-    """Flat rows in preorder from the level sequences: root number, ord, parent_ord, path and the leaves."""
-    depth = len(s.rep)
-    rows = []  # by depth: parent's row in the depth above, or the root's number
-    for k in range(depth):
-        rep, full = np.array(s.rep[k], np.int64), np.array(s.full[k], bool)
-        # an entry of level <= k repeats something above depth k: it belongs to the next parent
-        rows.append((np.cumsum(rep <= k) - 1)[full])
+    """Provisions in preorder within their depth, from the level sequences: place of the entry, ord, parent_ord, path, its state and the leaves."""
+    depth = len(s.depths)
+    rows = []  # by depth: parent's row in the depth above, or the entry's place
+    for k, group in enumerate(s.depths):
+        rep, full = group.levels()
+        # an entry of level <= k + 1 repeats something above depth k: it belongs to the next parent
+        rows.append((np.cumsum(rep <= k + 1) - 1)[full >= k + 2])
     sizes = [np.ones(len(p), np.int64) for p in rows]
     for k in range(depth - 1, 0, -1):
         if len(rows[k]):
@@ -216,6 +298,7 @@ def assemble(s: Shredder) -> dict[str, np.ndarray | list]:
     ords: list[np.ndarray] = []
     parents: list[np.ndarray] = []
     paths: list[list[str]] = []
+    leaves: dict[str, list] = {n: [] for n in s.leaves}
     for k in range(depth):
         up, size = rows[k], sizes[k]
         before = np.cumsum(size) - size  # of all rows of this depth; less what lies before the first sibling
@@ -230,65 +313,108 @@ def assemble(s: Shredder) -> dict[str, np.ndarray | list]:
             roots.append(roots[k - 1][up])
             parents.append(ords[k - 1][up])
             ords.append(ords[k - 1][up] + 1 + offset)
-        leaf = [x for x in s.leaf[k] if x]
+        own = {n: c.rows() for n, c in s.depths[k].all}
+        for n in s.leaves:
+            leaves[n] += own[n]
+        pairs = zip(own["path"], own["marker"])
         if k == 0:
-            paths.append([p or (m or "") for p, m, *_ in leaf])
+            paths.append([p or (m or "") for p, m in pairs])
         else:
             above = paths[k - 1]
-            paths.append([p or above[u] + (m or "") for (p, m, *_), u in zip(leaf, up.tolist())])
-        s.leaf[k] = leaf
+            paths.append([p or above[u] + (m or "") for (p, m), u in zip(pairs, up.tolist())])
     cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
     return {
         "root": cat(roots),
         "ord": cat(ords),
         "parent_ord": cat(parents),
         "path": [p for x in paths for p in x],
-        "leaves": [x for xs in s.leaf for x in xs],
+        "path_is": [x for g in s.depths for x in g.columns["path"].states().tolist()],
+        "leaves": leaves,
     }
 
 
-def shred_batch(shard_ids: list, contents: list, leaves: tuple[str, ...]) -> pa.RecordBatch:
-    s = Shredder(leaves)
+def _shredded(shredder: Shredder, shard_ids: list, contents: list) -> Shredder:
     for shard_id, content in zip(shard_ids, contents):
-        if not content:
-            continue
-        try:
-            record = _load(content)
-        except ValueError:
-            continue
-        if not isinstance(record, dict):
-            continue
-        s.add(shard_id, 0, record.get("tree"))
-        for k, other in enumerate(_elements(record.get("also")), 1):
-            if isinstance(other, dict):
-                s.add(shard_id, k, other.get("tree"))
+        if content:
+            try:
+                record = _load(content)
+            except ValueError:
+                continue
+            if isinstance(record, dict):
+                shredder.add(shard_id, record)
+    return shredder
+
+
+def shred_batch(shard_ids: list, contents: list, leaves: tuple[str, ...], states: bool = False) -> pa.RecordBatch:
+    s = _shredded(Shredder(leaves=leaves), shard_ids, contents)
     t = assemble(s)
-    roots = np.array(s.roots, np.int64).reshape(-1, 2)[t["root"]]
-    columns = [
-        pa.array(roots[:, 0], pa.int64()),
-        pa.array(roots[:, 1], pa.int32()),
-        pa.array(t["ord"], pa.int32()),
-        pa.array(t["parent_ord"], pa.int32()),
-        pa.array(t["path"], pa.string()),
-    ]
-    for k, name in enumerate(leaves[1:], 1):
-        columns.append(pa.array([x[k] for x in t["leaves"]], pa.string()))
-    return pa.RecordBatch.from_arrays(columns, names=["shard_id", "entry", "ord", "parent_ord", "path", *leaves[1:]])
-
-
-def shred_provisions(shard_file: DataFrame, leaves: tuple[str, ...] = ("path", "marker", "heading", "text")) -> DataFrame:
-    """One row per provision: shard_id, entry, ord, parent_ord, path and the other leaves."""
+    files, entries = _entries(s)
+    columns = {
+        "shard_id": pa.array(files[t["root"]], pa.int64()),
+        "entry": pa.array(entries[t["root"]], pa.int32()),
+        "ord": pa.array(t["ord"], pa.int32()),
+        "parent_ord": pa.array(t["parent_ord"], pa.int32()),
+        "path": pa.array(t["path"], pa.string()),
+        **{n: pa.array(t["leaves"][n], pa.string()) for n in leaves if n != "path"},
+        **({"path_is": pa.array(t["path_is"], pa.string())} if states else {}),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def entry_batch(shard_ids: list, contents: list) -> pa.RecordBatch:
+    s = _shredded(Shredder(entry=tuple(ENTRY.values())), shard_ids, contents)
+    files, entries = _entries(s)
+    held = s.entry.levels()[1] >= 1
+    fields = [pa.array(s.entry.columns[f].rows(), pa.string()) for f in ENTRY.values()]
+    return pa.RecordBatch.from_arrays([pa.array(files[held], pa.int64()), pa.array(entries[held], pa.int32()), *fields], names=["shard_id", "entry", *ENTRY])
+
+
+def note_batch(shard_ids: list, contents: list) -> pa.RecordBatch:
+    s = _shredded(Shredder(note=tuple(NOTE.values())), shard_ids, contents)
+    files, entries = _entries(s)
+    rep, full = s.note.levels()
+    of = (np.cumsum(rep <= 1) - 1)[full >= 2]
+    first = np.ones(len(of), bool)
+    first[1:] = of[1:] != of[:-1]
+    number = np.arange(len(of)) - np.maximum.accumulate(np.where(first, np.arange(len(of)), 0)) if len(of) else of
+    fields = [pa.array(s.note.columns[f].rows(), pa.string()) for f in NOTE.values()]
+    return pa.RecordBatch.from_arrays([pa.array(files[of], pa.int64()), pa.array(entries[of], pa.int32()), pa.array(number, pa.int32()), *fields], names=["shard_id", "entry", "note", *NOTE])
 
+
+#: Files that are shredded together.
+TOGETHER = 1000
+
+
+def _by_batch(shard_file: DataFrame, schema: str, made) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                yield shred_batch(part.column(0).to_pylist(), part.column(1).to_pylist(), leaves)
+            for k in range(0, b.num_rows, TOGETHER):
+                part = b.slice(k, TOGETHER)
+                yield made(part.column(0).to_pylist(), part.column(1).to_pylist())
 
-    schema = ", ".join(["shard_id bigint, entry int, ord int, parent_ord int, path string", *(f"{x} string" for x in leaves[1:])])
     return shard_file.where("content is not null and shard_id is not null").select("shard_id", "content").mapInArrow(run, schema)
 
 
+def _strings(names) -> str:
+    return "".join(f", {n} string" for n in names)
+
+
+def shred_provisions(shard_file: DataFrame, leaves: tuple[str, ...] = ("path", "marker", "heading", "text"), states: bool = False) -> DataFrame:
+    """One row per provision: shard_id, entry, ord, parent_ord, path, the other leaves, and with ``states`` what its own path was."""
+    schema = "shard_id bigint, entry int, ord int, parent_ord int, path string" + _strings([x for x in leaves if x != "path"] + ["path_is"] * states)
+    return _by_batch(shard_file, schema, lambda ids, contents: shred_batch(ids, contents, leaves, states))
+
+
+def shred_entries(shard_file: DataFrame) -> DataFrame:
+    """One row per record of a file, its own and those it holds also: shard_id, entry and its plain fields."""
+    return _by_batch(shard_file, "shard_id bigint, entry int" + _strings(ENTRY), entry_batch)
+
+
+def shred_notes(shard_file: DataFrame) -> DataFrame:
+    """One row per note: shard_id, entry, note, topic, heading, text."""
+    return _by_batch(shard_file, "shard_id bigint, entry int, note int" + _strings(NOTE), note_batch)
+
+
 def provisions(shard_file: DataFrame) -> DataFrame:
     """Distinct shard_id, entry, ord, parent_ord, path."""
     return shred_provisions(shard_file, ("path", "marker")).drop("marker").distinct()

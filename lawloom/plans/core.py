@@ -39,7 +39,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_provisions(spark: SparkSession, d: str) -> DataFrame:
-    return shred.shred_provisions(table(spark, d, "shard_file")).distinct()
+    return shred.shred_provisions(table(spark, d, "shard_file"), states=True).distinct()
+
+
+def p5_entries(spark: SparkSession, d: str) -> DataFrame:
+    return shred.shred_entries(table(spark, d, "shard_file")).distinct()
+
+
+def p5_notes(spark: SparkSession, d: str) -> DataFrame:
+    return shred.shred_notes(table(spark, d, "shard_file")).distinct()
 
 
 QUERIES: dict[str, Query] = {
@@ -49,6 +57,8 @@ QUERIES: dict[str, Query] = {
     "p2_packed": p2_packed,
     "p5_found": p5_found,
     "p5_provisions": p5_provisions,
+    "p5_entries": p5_entries,
+    "p5_notes": p5_notes,
 }
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
@@ -84,7 +94,40 @@ with rec as (select grp, stem, arg_max(content, written_at) content, cast(strlen
   from shard_file group by all)
 """
 
+# An object, a list of objects, or either in a string, as a list; what is neither holds nothing.
+_LIST = """case json_type({0}) when 'ARRAY' then cast({0} as json[]) when 'OBJECT' then [{0}] when 'VARCHAR' then case when json_valid({0}->>'$') then
+  case json_type(cast({0}->>'$' as json)) when 'ARRAY' then cast(cast({0}->>'$' as json) as json[]) when 'OBJECT' then [cast({0}->>'$' as json)] end end end"""
+_ELEMENTS = f"coalesce({_LIST}, [])"
+_OBJECTS = f"list_filter({_ELEMENTS}, lambda x: json_type(x) = 'OBJECT' and len(json_keys(x)) > 0)"
+_FILES = f"""
+with recursive f as (select distinct shard_id, cast(content as json) as j from shard_file where shard_id is not null and json_valid(content) and json_type(content) = 'OBJECT'),
+g as (select shard_id, [j] || {_ELEMENTS.format("(j->'also')")} as es from f),
+e as (select shard_id, unnest(range(len(es))) as entry, unnest(es) as j from g)
+"""
+_PROVISIONS = _FILES + f""", top as (select shard_id, entry, {_OBJECTS.format("(j->'tree')")} as kids from e where json_type(j) = 'OBJECT'),
+n as (
+  select shard_id, entry, [k] as place, x, coalesce(nullif(x->>'path', ''), coalesce(x->>'marker', '')) as path from (select shard_id, entry, unnest(range(len(kids))) as k, unnest(kids) as x from top)
+  union all
+  select shard_id, entry, place || [k], x, coalesce(nullif(x->>'path', ''), above || coalesce(x->>'marker', '')) from (
+    select shard_id, entry, place, path as above, unnest(range(len(kids))) as k, unnest(kids) as x from (select *, {_OBJECTS.format("(x->'children')")} as kids from n))
+), p as (select *, cast(row_number() over (partition by shard_id, entry order by place) - 1 as int) as ord from n),
+q as (select p.shard_id, cast(p.entry as int) as entry, p.ord, coalesce(u.ord, -1) as parent_ord, p.path, p.x from p left join p u on u.shard_id = p.shard_id and u.entry = p.entry and u.place = p.place[:-2])
+"""
+
+
+def _said(x: str, names: dict[str, str]) -> str:
+    """Fields as text; a list of texts is one, line by line."""
+    line = "case json_type({0}->'{1}') when 'ARRAY' then array_to_string(list_filter(list_transform(cast({0}->'{1}' as json[]), lambda y: y->>'$'), lambda y: y is not null), chr(10)) else {0}->>'{1}' end as {2}"
+    return ", ".join(line.format(x, f, n) for n, f in names.items())
+
+
 ORACLES: dict[str, str] = {
+    "p5_found": _PROVISIONS + "select distinct shard_id, entry, ord, parent_ord, path from q",
+    "p5_provisions": _PROVISIONS + "select distinct shard_id, entry, ord, parent_ord, path, " + _said("x", {"marker": "marker", "heading": "heading", "text": "text"})
+    + ", case when not list_contains(json_keys(x), 'path') then 'absent' when json_type(x->'path') = 'NULL' then 'null' else 'value' end as path_is from q",
+    "p5_entries": _FILES + "select distinct shard_id, cast(entry as int) as entry, " + _said("j", shred.ENTRY) + " from e where json_type(j) = 'OBJECT'",
+    "p5_notes": _FILES + f", t as (select shard_id, entry, {_OBJECTS.format("(j->'notes')")} as ns from e where json_type(j) = 'OBJECT'), u as (select shard_id, cast(entry as int) as entry, cast(unnest(range(len(ns))) as int) as note, unnest(ns) as x from t) "
+    + "select distinct shard_id, entry, note, " + _said("x", shred.NOTE) + " from u",
     "p1_found": _ORPHANS + "select doc_id, cite_id, ref_table, period from told",
     "p1_report": _ORPHANS + "select ref_table, period, reason, count(*) orphans from told group by all",
     "p2_found": _RECORDS

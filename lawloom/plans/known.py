@@ -61,17 +61,17 @@ ORDER = {
 
 def _cites(kind: str, *names: str):
     def read(a: DataFrame, made: DataFrame) -> DataFrame:
-        return B.table(a, "citations").where(F.col("kind") == kind).select("doc_id", *names)
+        return B.rows(made, "citations").where(F.col("kind") == kind).select("doc_id", *names)
 
     return read
 
 
 def _ops(*names: str, where: str = "true"):
-    return lambda a, made: B.table(a, "ops").where(where).select("doc_id", *names)
+    return lambda a, made: B.rows(made, "ops").where(where).select("doc_id", *names)
 
 
 def _amendments(*names: str):
-    return lambda a, made: B.table(a, "amendments").selectExpr("doc_id", *names)
+    return lambda a, made: B.rows(made, "amendments").selectExpr("doc_id", *names)
 
 
 def _joined(name: str):
@@ -111,14 +111,14 @@ RECIPES: dict[str, Recipe] = {
     "act_names": Recipe("orders", ORDER, "concat('No keeper under the ', upper(act), ' pays.')", _cites("act", "act_name"), "doc_id, act as act_name", depth=B.CITATIONS),
     "act_sections": Recipe(
         "orders", ORDER, "concat('Under section ', s, p, ' of part B of title IV of the ', act, ', it is so.')",
-        lambda a, made: B.table(a, "citations").where("kind = 'act'").select("doc_id", "act_name", "act_section", "subsection", _joined("where")),
+        lambda a, made: B.rows(made, "citations").where("kind = 'act'").select("doc_id", "act_name", "act_section", "subsection", _joined("where")),
         "doc_id, act as act_name, s as act_section, p as subsection, 'TITLE IV|PART B' as \"where\"",
         depth=B.CITATIONS,
     ),
     "act_titles": Recipe("orders", ORDER, "concat('Under title XI of the ', act, ', it is so.')", _cites("act", "act_name", "act_title"), "doc_id, act as act_name, 'XI' as act_title", depth=B.CITATIONS),
     "act_divisions": Recipe(
         "orders", ORDER, "concat('Under title II of division B of the ', act, ', it is so.')",
-        lambda a, made: B.table(a, "citations").where("kind = 'act'").select("doc_id", "act_name", "division", _joined("where")),
+        lambda a, made: B.rows(made, "citations").where("kind = 'act'").select("doc_id", "act_name", "division", _joined("where")),
         "doc_id, act as act_name, 'B' as division, 'DIVISION B|TITLE II' as \"where\"",
         depth=B.CITATIONS,
     ),
@@ -129,7 +129,7 @@ RECIPES: dict[str, Recipe] = {
     ),
     "publaw_section_chain": Recipe(
         "orders", ORDER, "concat('Under section ', s, p, ' of title II of div. B of Public Law ', c, '-', l, ', it is so.')",
-        lambda a, made: B.table(a, "citations").where("kind = 'publaw'").select("doc_id", "congress", "law", "act_section", "subsection", "division", _joined("where")),
+        lambda a, made: B.rows(made, "citations").where("kind = 'publaw'").select("doc_id", "congress", "law", "act_section", "subsection", "division", _joined("where")),
         "doc_id, c as congress, l as law, s as act_section, p as subsection, 'B' as division, 'DIVISION B|TITLE II' as \"where\"",
         depth=B.CITATIONS,
     ),
@@ -161,7 +161,7 @@ RECIPES: dict[str, Recipe] = {
     ),
     "citation_dedupe": Recipe(
         "orders", ORDER, "concat('Under section ', s, ' of title II of the ', act, ' (', t, ' U.S.C. ', s, p, '; Public Law ', c, '-', l, ').')",
-        lambda a, made: B.table(a, "citations").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("kind")), "|").alias("kinds"), F.max("id").alias("last")),
+        lambda a, made: B.rows(made, "citations").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("kind")), "|").alias("kinds"), F.max("id").alias("last")),
         "doc_id, case when p = '' then 'publaw|usc' else 'act|publaw|usc' end as kinds, case when p = '' then 'c1' else 'c2' end as last",
         depth=B.CITATIONS,
     ),
@@ -216,27 +216,27 @@ RECIPES: dict[str, Recipe] = {
     "nav_steps": Recipe(
         "orders", {**ORDER, "p": "'(a)'"},
         f"concat({HEAD}, '--\n  (1) in paragraph (2)(A)--\n    (A) in clause (iii), by striking ', qo, old, qc, '; and\n    (B) in clause (iv), by striking ', qo, new, qc, '; and\n  (2) in subsection (d), by striking ', qo, old, qc, '.')",
-        lambda a, made: B.table(a, "nav").where("nav_kind = 'step'").select("doc_id", "seq", "path"),
+        lambda a, made: B.rows(made, "nav").where("nav_kind = 'step'").select("doc_id", "seq", "path"),
         "doc_id, unnest([0, 1, 2, 3]) as seq, unnest(['(a)(2)(A)', '(a)(2)(A)(iii)', '(a)(2)(A)(iv)', '(d)']) as path",
     ),
     "nav_refs": Recipe(
         "orders", {**ORDER, "p": "'(b)'"}, f"concat({HEAD}, ' by redoing paragraphs (1), (3), and (4) as stated.')",
-        lambda a, made: B.table(a, "nav").where("nav_kind = 'ref'").select("doc_id", "seq", "path", "unit"),
+        lambda a, made: B.rows(made, "nav").where("nav_kind = 'ref'").select("doc_id", "seq", "path", "unit"),
         "doc_id, unnest([0, 1, 2]) as seq, unnest(['(b)(1)', '(b)(3)', '(b)(4)']) as path, 'paragraph' as unit",
     ),
     "relative_citations": Recipe(
         "orders", {**ORDER, "p": "'(a)'"}, f"concat({HEAD}, '--\n  (1) in paragraph (7), by striking ', qo, old, qc, '.')",
-        lambda a, made: B.table(a, "all_citations").where("relative").select("doc_id", "title", "section", "subsection", "via_target"),
+        lambda a, made: B.rows(made, "all_citations").where("relative").select("doc_id", "title", "section", "subsection", "via_target"),
         "doc_id, t as title, s as section, '(a)(7)' as subsection, concat(t, ' U.S.C. ', s, '(a)') as via_target",
     ),
     "such_section": Recipe(
         "orders", ORDER, f"concat({HEAD}, ' by striking ', qo, old, qc, '.\n\nSubsection (c) of such section is amended by striking ', qo, new, qc, '.')",
-        lambda a, made: B.table(a, "amendments").where("id = 'a1'").selectExpr("doc_id", "target.title as title", "target.section as section", "target.subsection as subsection"),
+        lambda a, made: B.rows(made, "amendments").where("id = 'a1'").selectExpr("doc_id", "target.title as title", "target.section as section", "target.subsection as subsection"),
         "doc_id, t as title, s as section, '(c)' as subsection",
     ),
     "such_title": Recipe(
         "orders", ORDER, f"concat({HEAD}, ' by striking ', qo, old, qc, '.\n\nSection 77 of such title is repealed.')",
-        lambda a, made: B.table(a, "amendments").where("id = 'a1'").selectExpr("doc_id", "target.title as title", "target.section as section"), "doc_id, t as title, '77' as section",
+        lambda a, made: B.rows(made, "amendments").where("id = 'a1'").selectExpr("doc_id", "target.title as title", "target.section as section"), "doc_id, t as title, '77' as section",
     ),
     "irc_scope": Recipe(
         "orders", ORDER,
@@ -249,28 +249,28 @@ RECIPES: dict[str, Recipe] = {
     ),
     "quoted_blocks": Recipe(
         "orders", ORDER, "concat('It reads:\n    ', qo, '(a) ', new, '\nand more.', qc, '\n', qo, old, qc, ' is a word.')",
-        lambda a, made: B.table(a, "blocks").select("doc_id", "seq", "start", "phrase"),
+        lambda a, made: B.rows(made, "blocks").select("doc_id", "seq", "start", "phrase"),
         "doc_id, unnest([0, 1]) as seq, unnest([14, 14 + 2 * length(qo) - length(qo) + 4 + length(new) + 10 + length(qc) + 1])::bigint as start, unnest([false, true]) as phrase",
         depth=B.STRUCTURE,
     ),
     "outline_marks": Recipe(
         "orders", ORDER, "concat('(a) ', old, ' under paragraph\n(1) may\n  (B)(i) ', new, '\n  (12) end')",
-        lambda a, made: B.table(a, "marks").select("doc_id", "marker", "depth", "pos"),
+        lambda a, made: B.rows(made, "marks").select("doc_id", "marker", "depth", "pos"),
         "doc_id, unnest(['(a)', '(B)', '(i)', '(12)']) as marker, unnest([0, 2, 3, 1]) as depth, "
         "unnest([0, 4 + length(old) + 27, 4 + length(old) + 30, 4 + length(old) + 34 + length(new) + 3])::bigint as pos",
     ),
     "metric_kinds": Recipe(
         "orders", ORDER, "concat('See ', t, ' U.S.C. ', s, ', ', c, ' Stat. ', l, ', Public Law ', c, '-', l, ', and the ', act, '.')",
-        lambda a, made: M.corpus_metrics(a, made).where("metric in ('byKind.usc', 'byKind.stat', 'byKind.publaw', 'byKind.act', 'citations', 'badOffsets', 'overlaps', 'chars')"),
+        lambda a, made: M.corpus_metrics(a).where("metric in ('byKind.usc', 'byKind.stat', 'byKind.publaw', 'byKind.act', 'citations', 'badOffsets', 'overlaps', 'chars')"),
         "doc_id, unnest(['byKind.usc', 'byKind.stat', 'byKind.publaw', 'byKind.act', 'citations', 'badOffsets', 'overlaps', 'chars']) as metric, unnest([1, 1, 1, 1, 4, 0, 0, length(text)])::bigint as value",
     ),
     "impact_fates": Recipe(
         "orders", ORDER, "concat('SEC. 1. FIRST.\n\n    (a) ', old, '.\n        (1) As paragraph (2) and paragraph (9) say.\n        (2) ', new, '.\n')",
-        lambda a, made: M.internal_fates(B.table(a, "located")), "doc_id, unnest(['inBill', 'unresolved']) as fate, unnest([1, 1])::bigint as n",
+        lambda a, made: M.internal_fates(B.rows(made, "located")), "doc_id, unnest(['inBill', 'unresolved']) as fate, unnest([1, 1])::bigint as n",
     ),
     "internal_locate": Recipe(
         "orders", ORDER, "concat('SEC. 1. FIRST.\n\n    (1) ', old, '.\n        (A) As clause (ii) says.\n            (i) x\n            (ii) ', new, '\n        (B) y\n            (ii) z\n')",
-        lambda a, made: B.table(a, "located").select("doc_id", "fate", "start", "ambiguous", "guess"),
+        lambda a, made: B.rows(made, "located").select("doc_id", "fate", "start", "ambiguous", "guess"),
         "doc_id, 'inBill' as fate, cast(16 + 4 + 4 + length(old) + 2 + 33 + 18 + 12 as bigint) as start, false as ambiguous, false as guess",
     ),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lawloom.functions import citations, scan
+from lawloom.functions import scan
 from lawloom.functions import markers as mk
 from lawloom.functions.text import act_slug, slug, squeeze_out, unify_newlines
 from lawloom.operators import bills as B
@@ -111,7 +111,7 @@ _SCANNED = (
 def usc_scan(spark: SparkSession, d: str) -> DataFrame:
     """The same pattern without leaving the JVM."""
     rows = _sql(spark, d, _SCANNED, "orders").withColumn("text", F.expr("concat('See ', t, ' U.S.C. ', s, p, ' and 9 USC § 12.')"))
-    found = scan.find_all(F.col("text"), "(?i)" + citations.CODE.replace(r"\s", r"[\s\x{A0}]"), {"title": 1, "section": 2, "subsection": 3})
+    found = scan.find_all(F.col("text"), *scan.CODE)
     return rows.select("doc_id", F.inline(found)).select("doc_id", "title", "section", "subsection", "start")
 
 
@@ -361,12 +361,12 @@ with l as ({_LINES}), o as (select *, 16 + coalesce(sum(length(head) + length(bo
 @query(_OFFSETS + """select doc_id, seq, cast(n as string) as num, regexp_extract(head, '(CARGO [0-9]+)', 1) as heading, 'TITLE I—SHIPS' as division, cast(place as bigint) as start,
   cast(place + length(head) + length(body) + case when seq + 1 < many then 4 else 2 end as bigint) as "end" from o""")
 def bill_sections(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(B.analyse(_many(spark, d), B.STRUCTURE), "sections").select("doc_id", "seq", "num", "heading", "division", "start", "end")
+    return B.rows(_many(spark, d), "sections").select("doc_id", "seq", "num", "heading", "division", "start", "end")
 
 
 @query("select distinct cast(l_orderkey as string) as doc_id, 'TITLE I' as label, 'SHIPS' as heading, cast(0 as bigint) as start from lineitem")
 def bill_divisions(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(B.analyse(_many(spark, d), B.STRUCTURE), "divisions").select("doc_id", "label", "heading", "start")
+    return B.rows(_many(spark, d), "divisions").select("doc_id", "label", "heading", "start")
 
 
 @query(_OFFSETS + """select doc_id, cast(seq as int) as cite_seq, cast(n as string) as section, cast(place + length(head) + 10 as bigint) as start from o""")
@@ -379,7 +379,7 @@ def section_of_offset(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select cast(l_orderkey as string) as doc_id, count(*) as cites, count(distinct 1 + l_suppkey % 50) as titles from lineitem group by 1")
 def kind_counts_per_bill(spark: SparkSession, d: str) -> DataFrame:
-    cites = B.table(B.analyse(_many(spark, d), B.CITATIONS), "citations").where("kind = 'usc'")
+    cites = B.rows(_many(spark, d), "citations").where("kind = 'usc'")
     return cites.groupBy("doc_id").agg(F.count("*").alias("cites"), F.count_distinct("title").alias("titles"))
 
 
@@ -411,7 +411,7 @@ def paragraph_chips(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select cast(l_orderkey as string) as doc_id, 'TITLE I—SHIPS' as chain, count(*) as sections from lineitem group by 1")
 def jump_groups(spark: SparkSession, d: str) -> DataFrame:
-    found = views.jump_groups(B.table(B.analyse(_many(spark, d), B.STRUCTURE), "sections"))
+    found = views.jump_groups(B.rows(_many(spark, d), "sections"))
     return found.select("doc_id", "chain", "sections")
 
 

@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only on this one machine, as in tests, may it be unset; then it is a new folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lawloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         _forget_at_exit(spark, root)
@@ -47,6 +49,15 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
         atexit.register(drop)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Free the tables written so far; for long sessions, once the results that read them are stored. At the end of a session they go by themselves."""
+    for path in sorted(_made):
+        if "/lawloom-" in path.removeprefix(shared_root(spark)):
+            fs, p = hadoop_fs(spark, path)
+            fs.delete(p, True)
+            _made.discard(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_root(spark)}/lawloom-{name}-{uuid.uuid4().hex}"
     _forget_at_exit(spark, path)
@@ -77,12 +88,26 @@ def ship(spark: SparkSession) -> None:
     context._lawloom_shipped = True
 
 
+#: Setting of the session that tells when ``spread`` moves rows: ``auto``, ``always`` or ``never``.
+SPREAD = "spark.lawloom.spread"
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores, where its input comes in fewer splits than there are cores; larger inputs stay where they are."""
+    """``df`` over all cores before work that is heavy for its size; its rows are the same in any case, which a test shows.
+
+    The setting SPREAD decides. ``never`` leaves rows where they were read; that is also what ``auto`` does, except for inputs with fewer
+    splits than there are cores (one small file is one split, whatever its rows cost). ``always`` shuffles.
+    """
     spark = df.sparkSession
+    when = spark.conf.get(SPREAD, "auto")
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if size >= cores * split or len(df.inputFiles()) >= cores:
+    if when == "never" or (when == "auto" and splits(df) >= cores):
         return df
     return df.repartition(cores, key)
+
+
+def splits(df: DataFrame) -> int:
+    """In how many pieces the files of ``df`` are read at least."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(len(df.inputFiles()), size // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())

@@ -226,7 +226,7 @@ def test_counts_of_real_bills(spark, name, want):
 
     assert list(Path(CORPUS).glob(f"{name}.*")), f"{name} is expected in {CORPUS} and missing"
     bills = source.read_bills(spark, f"{CORPUS}/{name}.*").cache()
-    m = {r.metric: r.value for r in M.corpus_metrics(B.analyse(bills), bills).collect()}
+    m = {r.metric: r.value for r in M.corpus_metrics(B.analyse(bills)).collect()}
     kinds = "/".join(str(m[f"byKind.{k}"]) for k in M.KINDS)
     ops = "/".join(str(m[f"ops.{k}"]) for k in M.OPS)
     got = [m["chars"], m["sections"], m["divisions"], m["citations"], kinds, f"{m['amendments']}/{m['targeted']}", m["distributed"], f"{m['steps']}/{m['refs']}/{m['relative']}", ops, m["opSpans"], m["uncoveredVerbs"]]

@@ -186,6 +186,43 @@ def test_very_deep_records_are_shredded():
     assert b.column(6).to_pylist()[got.index((5, 0, 0, -1, "q"))] == ('{"x": [' * n + "1" + "]}" * n)
 
 
+def test_levels_of_leaf_columns():
+    """Repetition: 0 a file, 1 an entry, 2 + k a sibling at depth k. Definition: ancestors that exist, then absent, null, value."""
+    record = {"tree": [{"path": "p", "children": [{"path": None}, {"marker": "x"}, {}]}, {"path": ""}], "notes": [{"text": "a"}, {"topic": "t"}], "also": [3, {"section": "9"}]}
+    s = shred._shredded(shred.Shredder(entry=("section",), note=("text",), leaves=("path", "marker")), [7], [json.dumps(record)])
+    column = s.depths[0].columns["path"]
+    assert (column.rep, column.full, column.values) == ([0, 2, 1, 1], [4, 4, 0, 1], ["p", ""])
+    column = s.depths[1].columns["path"]
+    assert (column.rep, column.full, column.values) == ([0, 3, 2], [4, 3, 2], [])
+    assert (s.entry.columns["section"].rep, s.entry.columns["section"].full) == ([0, 1, 1], [1, 0, 3])
+    assert (s.note.columns["text"].rep, s.note.columns["text"].full) == ([0, 2, 1, 1], [4, 2, 0, 1])
+    contents = [json.dumps(record), "{", None, json.dumps({"notes": '{"text":"z"}'})]
+    assert [tuple(r.values()) for r in shred.note_batch([7, 8, 9, 10], contents).to_pylist()] == [(7, 0, 0, None, None, "a"), (7, 0, 1, "t", None, None), (10, 0, 0, None, None, "z")]
+    assert [(r["shard_id"], r["entry"], r["section"]) for r in shred.entry_batch([7, 8, 9, 10], contents).to_pylist()] == [(7, 0, None), (7, 2, "9"), (10, 0, None)]
+    assert shred.shred_batch([7], contents[:1], ("path", "marker"), True).column("path_is").to_pylist() == ["value", "value", "null", "absent"]
+
+
+def test_compaction_leaves_the_old_table_if_it_fails(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    a, b = (spark.createDataFrame([(x, k) for k in range(9)], "x string, y int") for x in "ab")
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert compaction.compact(a, path).count() == 9 and compaction.read_compacted(spark, path).select("x").distinct().first().x == "a"
+    with monkeypatch.context() as m:
+        m.setattr(compaction, "_point_to", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            compaction.compact(b, path)
+    assert compaction.read_compacted(spark, path).select("x").distinct().first().x == "a"
+    with monkeypatch.context() as m:
+        m.setattr(compaction, "checksum", lambda _, seen=iter(range(9)): {"n": next(seen)})
+        with pytest.raises(compaction.ChecksumMismatch):
+            compaction.compact(b, path)
+    assert compaction.read_compacted(spark, path).count() == 9
+    assert compaction.compact(b, path, 1 << 20).count() == 9 and {r.x for r in compaction.read_compacted(spark, path).collect()} == {"b"}
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == size
+    with pytest.raises(FileNotFoundError):
+        compaction.read_compacted(spark, str(tmp_path / "none"))
+
+
 values = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False), st.text()), lambda x: st.one_of(st.lists(x), st.dictionaries(st.text(), x)))
 
 
@@ -246,5 +283,6 @@ def test_full_provision_table(spark, sf):
     t = [r for r in spark.read.parquet(f"/root/testdata/{sf}/shard_file.parquet").select("shard_id", "content").collect() if r.content]
     place = {x[:3]: x for r in t for x in brute(r.shard_id, r.content)}
     leaves = {k: v for r in t for k, v in brute_leaves(r.shard_id, r.content).items()}
-    assert {tuple(r) for r in rows} == {place[k] + v for k, v in leaves.items()} and len(rows) == len(place) == len(leaves)
+    assert {tuple(r)[:-1] for r in rows} == {place[k] + v for k, v in leaves.items()} and len(rows) == len(place) == len(leaves)
+    assert {r.path_is for r in rows} <= {"value", "absent", "null"}
     assert sum(bool(r.text) for r in rows) > 0.5 * len(rows)
