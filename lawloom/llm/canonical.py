@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,28 +26,44 @@ from pyspark.sql import functions as F
 
 from lawloom.session import written
 
-# Letters whose glyph is that of a Latin letter.
+# Letters and marks whose glyph is that of a Latin letter or of plain punctuation, script by script.
 LOOK_ALIKES = {
-    **dict(zip("аеорсухіѕјһԁԛԝӏ", "aeopcyxisjhdqwl")),
-    **dict(zip("АВЕКМНОРСТУХІЅЈԌԚԜҮ", "ABEKMHOPCTYXISJGQWY")),
-    **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX")),
-    "ο": "o",
+    # Cyrillic
+    **dict(zip("аеорсухіѕјһԁԛԝӏүѵӕ", "aeopcyxisjhdqwlyvæ")),
+    **dict(zip("АВЕКМНОРСТУХІЅЈԌԚԜҮѴӔ", "ABEKMHOPCTYXISJGQWYVÆ")),
+    # Greek
+    **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿϹ", "ABEZHIKMNOPTYXJC")),
+    **dict(zip("ονϲϳ", "ovcj")),
+    # Armenian
+    **dict(zip("օոսհյզցՕՍԼ", "onuhjqgOUL")),
+    # Cherokee
+    **dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᎶᏃᏒᏔᏚᏙᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZRWSVLCPKB")),
+    # Latin letters of other use
+    **dict(zip("ɑɡᴄᴏᴠᴡᴢꜱᴜ", "agcovwzsu")),
+    # punctuation
     "‐": "-",
     "‑": "-",
+    "․": ".",
+    "ʼ": "’",
+    # a blank that is no separator
+    "\u2800": " ",
 }
-# Characters without a glyph.
-NO_GLYPH = "­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿"
+# Ranges of characters that are drawn as nothing (Default_Ignorable_Code_Point).
+NO_GLYPH = (
+    (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F),
+    (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+)
 #: Characters the JVM can pass at once; all are stable, which a test proves.
 PLAIN = r"\x09\x0A\x0D\x20-\x7E¡-¬®-ıĴ-ſ‒-―‘-‟†-•…"
 
-_invisible = re.compile(f"[{NO_GLYPH}]")
+_invisible = frozenset(p for a, b in NO_GLYPH for p in range(a, b + 1))
 
 
 def fold_char(c: str) -> str:
     """What one decomposed character becomes, before composition."""
     if c in LOOK_ALIKES:
         return LOOK_ALIKES[c]
-    if _invisible.match(c):
+    if ord(c) in _invisible:
         return ""
     category = unicodedata.category(c)
     if category == "Zs":
@@ -63,25 +80,25 @@ def fold_char(c: str) -> str:
 
 @lru_cache(maxsize=1)
 def _properties() -> tuple[re.Pattern, dict[int, str]]:
-    """Segments that the quick check cannot pass, and the fold of single characters."""
+    """Segments that the quick check cannot pass, and the fold of single characters; over all code points there are."""
     seconds: set[str] = set()
     fold: dict[int, str] = {}
-    unstable: list[int] = []
-    points = [p for p in range(0x80, 0x30000) if not 0xD800 <= p < 0xE000]
-    for p in points:
+    doubtful: list[int] = []
+    for p in chain(range(0x80, 0xD800), range(0xE000, 0x110000)):
         c = chr(p)
         d = unicodedata.decomposition(c)
         if d and d[0] != "<" and " " in d:
             seconds.update(chr(int(x, 16)) for x in d.split()[1:])
-        f = fold_char(c)
-        if f != c:
-            fold[p] = f
+        if d or p in _invisible or c in LOOK_ALIKES or unicodedata.category(c) == "Zs":
+            if (f := fold_char(c)) != c:
+                fold[p] = f
+            doubtful.append(p)
+        elif unicodedata.combining(c):
+            doubtful.append(p)
     seconds.update(map(chr, range(0x1161, 0x1176)))  # Hangul vowels and finals compose with what precedes
     seconds.update(map(chr, range(0x11A8, 0x11C3)))
-    for p in points:
-        c = chr(p)
-        if unicodedata.combining(c) or c in seconds or _whole(c, fold) != c:
-            unstable.append(p)
+    whole = {*doubtful, *map(ord, seconds)} - set(range(0x80))
+    unstable = sorted(p for p in whole if unicodedata.combining(chr(p)) or chr(p) in seconds or _whole(chr(p), fold) != chr(p))
     ranges: list[list[int]] = []
     for p in unstable:
         if ranges and ranges[-1][1] == p - 1:
@@ -136,11 +153,14 @@ def provision_rows(code_node: DataFrame, cfr_section: DataFrame) -> DataFrame:
     return nodes.unionByName(rules).where("id is not null")
 
 
-def same_look_pairs(rows: DataFrame) -> DataFrame:
-    """src, id_a, id_b of different strings with one form.
+#: Members of a group that one task pairs with others.
+GROUP_SLICE = 10_000
+
 
-    Texts are compared by two 64-bit hashes each. A form that only one string has cannot give a pair, and two strings of one form
-    cannot both be the form itself; so one side of the join are only the rows that were changed.
+def same_look_members(rows: DataFrame) -> DataFrame:
+    """src, f1, f2 (two hashes of the form), id, s1, s2 (two hashes of the string), changed, members: rows whose form more than one string has.
+
+    One row for each row of the input, however often a form comes; this is what scales. Texts travel no further than to be hashed.
     """
 
     def two(c: str) -> list[Column]:
@@ -152,8 +172,27 @@ def same_look_pairs(rows: DataFrame) -> DataFrame:
         "src", "id", f1.alias("f1"), f2.alias("f2"), s1.alias("s1"), s2.alias("s2"), (F.col("form") != F.col("parts")).alias("changed")
     )
     keyed = written(keyed, "forms")
-    a, b = keyed.where("changed").alias("a"), keyed.alias("b")
-    pairs = a.join(b, F.expr("a.src = b.src and a.f1 = b.f1 and a.f2 = b.f2 and a.id <> b.id and (a.s1 <> b.s1 or a.s2 <> b.s2)"))
+    form = ["src", "f1", "f2"]
+    groups = keyed.groupBy(*form).agg(F.count("*").alias("members"), F.min(F.struct("s1", "s2")).alias("least"), F.max(F.struct("s1", "s2")).alias("most"))
+    return keyed.join(groups.where("least <> most").drop("least", "most"), form)
+
+
+def same_look_groups(rows: DataFrame) -> DataFrame:
+    """Distinct src, id, form_id, string_id: rows with one form_id look the same; those with different string_id are different strings."""
+    return same_look_members(rows).select("src", "id", F.hex("f1").alias("form_id"), F.hex("s1").alias("string_id")).distinct()
+
+
+def same_look_pairs(rows: DataFrame) -> DataFrame:
+    """src, id_a, id_b of different strings with one form, from the groups.
+
+    Two strings of one form cannot both be the form itself, so one side of the join are only the rows that were changed. A large group
+    is joined in slices: each changed row meets every slice of the others.
+    """
+    members = same_look_members(rows).withColumn("slices", F.ceil(F.col("members") / GROUP_SLICE).cast("int"))
+    changed = members.where("changed").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    others = members.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    a, b = changed.alias("a"), others.alias("b")
+    pairs = a.join(b, F.expr("a.src = b.src and a.f1 = b.f1 and a.f2 = b.f2 and a.slice = b.slice and a.id <> b.id and (a.s1 <> b.s1 or a.s2 <> b.s2)"))
     return pairs.select("a.src", F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b")).distinct()
 
 

@@ -1,12 +1,13 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer, and decoding.
 
-A text is cut into pre-tokens at every place where the tokenizer's own pattern always cuts: before a space that a non-space follows,
-and around longer white space. Documents are taken in blocks of bounded size; a block keeps the positions of its pre-tokens as
-numbers of its own short word list. Only the word lists are shuffled: distinct words of all blocks are encoded once each, the ids are
-joined back to the (block, word number) pairs, and each block is put together again by position. What is moved thus grows with the
-vocabulary of a block and two bytes a position, not with the text.
+A text is cut into the tokenizer's own pre-tokens. Documents are taken in blocks of bounded size; a block keeps the positions of its
+pre-tokens as numbers of its own list of distinct ones. Only these lists are shuffled: distinct pre-tokens of all blocks are encoded once
+each, the ids are joined back to the (block, number) pairs, and each block is put together again by position. What is moved thus grows
+with the vocabulary of a block and two bytes a position, not with the text. A frequent pre-token stands once in the list of nearly every
+block; the join is salted by block, so no task meets all of them.
 
-Decoding joins the token-byte table (as many rows as the tokenizer has ids, a fixed size) and concatenates by position.
+Decoding explodes ids with their positions, joins the token-byte table on the id (as many rows as the tokenizer has ids, a fixed size)
+and concatenates by position.
 
 Defined results: null and empty texts have an empty list; every input row has one output row, repeated rows too; what looks like
 a special token is text; an id outside the table decodes to nothing; extra columns are ignored.
@@ -17,58 +18,77 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import regex
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawloom.session import spread, written
 
-#: Folder of the tokenizer files, installed on every node.
+#: Folder of the tokenizer files on the driver, which gives executors the one they need.
 TOKENIZERS = "/opt/tokenizers"
 #: Characters of text in one block, and the most documents.
 BLOCK_CHARS = 4 << 20
 BLOCK_DOCS = 50_000
+#: Parts in which the blocks' lists meet the encoded pre-tokens.
+SALTS = 4
+#: Stretches that a block remembers the pre-tokens of, before it starts over.
+MEMO = 500_000
 
 # Unicode White_Space, and the public pattern of this family of tokenizers.
 _WS = "\t-\r \x85\xa0  -     　"
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_pieces = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
+#: The same pattern with white space spelt out, as the tokenizer understands it.
+_PRETOKENS = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
+_stretches = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
 _spaced_out = re.compile(f" [{_WS}]|[{_WS}] |^ |^$| $").search
 
 
-def pieces(text: str) -> list[str]:
-    """Pre-tokens, or several of them that no white space parts. Their concatenation is the text."""
+def stretches(text: str) -> list[str]:
+    """Pieces that no white space parts, cut where a pre-token always begins. Their concatenation is the text."""
     if _spaced_out(text):
-        return _pieces(text)
+        return _stretches(text)
     first, *rest = text.split(" ")
     return [first, *[" " + x for x in rest]]
 
 
+def pretokens(text: str) -> list[str]:
+    """Pre-tokens, whose concatenation is the text."""
+    return [t for s in stretches(text) for t in _PRETOKENS(s)]
+
+
+class _Numbers(dict):
+    """Stretch to the numbers of its pre-tokens in the list of the block."""
+
+    def __init__(self, number: dict[str, int], before: str) -> None:
+        self.number, self.before = number, before
+
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
+        if len(self) >= MEMO:
+            self.clear()
+        n = self.number
+        found = self[stretch] = tuple(n.setdefault(t, len(n)) for t in _PRETOKENS(self.before + stretch))
+        return found
+
+
 class _Blocks:
     def __init__(self, partition: int) -> None:
-        self.partition, self.number = partition, 0
+        self.partition, self.count = partition, 0
         self.clear()
 
     def clear(self) -> None:
-        self.spaced = defaultdict()  # words after one space, without it
-        self.spaced.default_factory = lambda: self._code(True)
-        self.plain = defaultdict()
-        self.plain.default_factory = lambda: self._code(False)
-        self.kinds: list[bool] = []
+        self.number: dict[str, int] = {}
+        self.spaced, self.plain = _Numbers(self.number, " "), _Numbers(self.number, "")
         self.ids: list = []
         self.codes: list[np.ndarray] = []
         self.chars = 0
 
-    def _code(self, spaced: bool) -> int:
-        self.kinds.append(spaced)
-        return len(self.kinds) - 1
-
     def add(self, doc_id, text: str | None) -> None:
         self.ids.append(doc_id)
         if not text:
@@ -76,23 +96,19 @@ class _Blocks:
             return
         self.chars += len(text)
         if _spaced_out(text):
-            words = _pieces(text)
-            self.codes.append(np.fromiter(map(self.plain.__getitem__, words), np.uint32, len(words)))
+            found = map(self.plain.__getitem__, _stretches(text))
         else:
             first, *rest = text.split(" ")
-            codes = np.empty(len(rest) + 1, np.uint32)
-            codes[0] = self.plain[first]
-            codes[1:] = np.fromiter(map(self.spaced.__getitem__, rest), np.uint32, len(rest))
-            self.codes.append(codes)
+            found = chain((self.plain[first],), map(self.spaced.__getitem__, rest))
+        self.codes.append(np.fromiter(chain.from_iterable(found), np.uint32))
 
     def flush(self) -> pa.RecordBatch:
-        spaced, plain = iter(self.spaced), iter(self.plain)
-        words = [" " + next(spaced) if k else next(plain) for k in self.kinds]
+        words = list(self.number)
         codes = np.concatenate(self.codes)
         small = codes.astype(np.uint16) if len(words) < 1 << 16 else codes
         batch = pa.RecordBatch.from_arrays(
             [
-                pa.array([f"{self.partition}-{self.number}"]),
+                pa.array([f"{self.partition}-{self.count}"]),
                 pa.array([self.ids], pa.list_(pa.int64())),
                 pa.array([[len(c) for c in self.codes]], pa.list_(pa.int32())),
                 pa.array([small.tobytes()], pa.binary()),
@@ -100,7 +116,7 @@ class _Blocks:
             ],
             names=["block", "doc_ids", "lengths", "codes", "words"],
         )
-        self.number += 1
+        self.count += 1
         self.clear()
         return batch
 
@@ -122,20 +138,25 @@ def cut_blocks(documents: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFram
     return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, _BLOCK)
 
 
+def _ranks(ranks_file: str) -> dict[bytes, int]:
+    with open(ranks_file, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def _encoder(ranks_file: str):
     import tiktoken
 
-    with open(ranks_file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = _ranks(ranks_file)
     return tiktoken.Encoding("corpus", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def encode_words(words: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """word, ids of each row's word."""
-    ranks_file = os.path.join(folder, f"{vocabulary}.tiktoken")
+    name = f"{vocabulary}.tiktoken"
+    words.sparkSession.sparkContext.addFile(os.path.join(folder, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(ranks_file)
+        encode = _encoder(SparkFiles.get(name))
         for batch in batches:
             words = batch.column(0)
             ids = [encode(w) for w in words.to_pylist()]
@@ -165,23 +186,26 @@ def encode_corpus(
 ) -> DataFrame:
     """doc_id, ids."""
     blocks = written(cut_blocks(documents, block_chars), "blocks")
-    listed = blocks.select("block", F.posexplode("words").alias("code", "word"))
-    coded = encode_words(listed.select("word").distinct(), vocabulary, folder)
-    found = listed.join(coded, "word").select(F.col("block").alias("of_block"), "code", "ids")
+    salt = F.pmod(F.xxhash64("block"), F.lit(SALTS))
+    listed = blocks.select("block", salt.alias("salt"), F.posexplode("words").alias("code", "word"))
+    coded = encode_words(listed.select("word").distinct(), vocabulary, folder).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    found = listed.join(coded, ["word", "salt"]).select(F.col("block").alias("of_block"), "code", "ids")
     positions = blocks.select("block", "doc_ids", "lengths", "codes")
     return positions.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
 
 
 def token_bytes(spark: SparkSession, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """token_id, hex of its bytes."""
-    ranks = spark.read.text(f"file://{os.path.join(folder, vocabulary)}.tiktoken")
-    a, b = F.split("value", " ")[0], F.split("value", " ")[1]
-    return ranks.where("value <> ''").select(b.cast("int").alias("token_id"), F.hex(F.unbase64(a)).alias("hex"))
+    """token_id, hex of its bytes; as many rows as the tokenizer has ids."""
+    ranks = _ranks(os.path.join(folder, f"{vocabulary}.tiktoken"))
+    return spark.createDataFrame(pa.table({"token_id": pa.array(ranks.values(), pa.int32()), "hex": [b.hex().upper() for b in ranks]}))
 
 
 def decode_corpus(encoded: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """doc_id, text. The table travels as one row: a map of at most as many entries as the tokenizer has ids."""
+    """doc_id, text. Rows that are equal are decoded once."""
     table = token_bytes(encoded.sparkSession, vocabulary, folder)
-    whole = table.agg(F.sort_array(F.collect_list(F.struct("token_id", "hex"))).alias("t")).select(F.col("t.hex").alias("hexes"))
-    text = F.array_join(F.transform("ids", lambda i: F.get("hexes", i)), "", "")
-    return encoded.crossJoin(F.broadcast(whole)).select("doc_id", F.decode(F.unhex(text), "UTF-8").alias("text"))
+    rows = encoded.groupBy("doc_id", "ids").agg(F.count("*").alias("rows")).withColumn("key", F.struct("doc_id", F.xxhash64("ids"), F.xxhash64(F.lit(7), "ids")))
+    placed = rows.select("key", F.posexplode("ids").alias("pos", "token_id")).join(table, "token_id")
+    spelt = placed.groupBy("key").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "hex"))).getField("hex"), "").alias("hex"))
+    whole = rows.select("key", "rows").join(spelt, "key", "left")
+    text = F.decode(F.unhex(F.coalesce("hex", F.lit(""))), "UTF-8")
+    return whole.select(F.col("key.doc_id").alias("doc_id"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy")).drop("copy")

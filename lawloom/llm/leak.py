@@ -2,9 +2,10 @@
 
 Latent semantic retrieval over short windows of words, then exact checks:
 
-1. Every document becomes a sequence of word numbers of the evaluation vocabulary (0 for other words); the sequences are written once.
-2. Document frequencies are counted over all documents; the TF-IDF windows of the passages get a truncated SVD by a distributed
-   randomised range finder with one power step. Only sums per term of the vocabulary, whose size the evaluation set bounds, reach the driver.
+1. Every document becomes the sequence of the 64-bit hashes of its words; the sequences are written once, whatever is looked for.
+2. Items are taken in blocks of at most BLOCK_WORDS words. A block numbers its own words; document frequencies are counted over all
+   documents; the TF-IDF windows of the passages get a truncated SVD by a distributed randomised range finder with one power step. Only
+   sums per term of the block's vocabulary, which its size bounds, reach the driver.
 3. The latent vectors of terms are rounded to integers, so that windows with the same words have exactly the same latent vector. The
    candidates of a document window are the passage windows in its direction: the same signs in all latent coordinates, cosine above a
    threshold. Document windows begin at every WINDOW-th word, passage windows at every word: a run of 2 * WINDOW - 1 common words holds
@@ -14,7 +15,7 @@ Latent semantic retrieval over short windows of words, then exact checks:
    windows of a passage. For pairs with several candidate windows, a longest common subsequence and a search for the item's answer are
    made over the neighbourhood of each. Left out before are only stretches that hold too few of the passage's words for the share.
 
-Items are taken in blocks of ITEM_BLOCK, each against all documents.
+Passages longer than a block are looked for in pieces that overlap by a run; for paraphrases they are blocks of their own.
 
 Defined results: a word is a run of letters and digits of the canonical text in lower case; null, empty and short texts hold no
 passage; items whose passage is null or shorter than RUN words are never found; repeated rows count once; extra columns are ignored.
@@ -28,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ WINDOW = 8
 #: Latent coordinates, and the further ones of the range finder.
 RANK = 32
 EXTRA = 8
-#: Items of one block; a block's windows travel to the executors.
-ITEM_BLOCK = 4000
+#: Words of the passages of one block, which travel to the executors with 272 bytes each.
+BLOCK_WORDS = 200_000
 MIN_COSINE = 0.98
 #: Words of one block of a document; the neighbourhood of a candidate window reaches as far as the passage is long from its block.
 BLOCK = 16
@@ -56,43 +58,83 @@ def words(text: str | None) -> list[str]:
 
 
 class _Memo(dict):
-    """Chunk between white space to the numbers of its words."""
-
-    def __init__(self, number: dict[str, int]) -> None:
-        self.number = number
+    """Chunk between white space to the hashes of its words."""
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         if len(self) > MEMO:
             self.clear()
-        found = self[chunk] = tuple(self.number.get(w, 0) for w in words(chunk))
+        found = self[chunk] = tuple(map(word_hash, words(chunk)))
         return found
 
 
-def number_words(documents: DataFrame, number: dict[str, int]) -> DataFrame:
-    """doc_id and the words as 32-bit numbers."""
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def hash_words(documents: DataFrame) -> DataFrame:
+    """doc_id and the hashes of the words, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(number)
+        memo = _Memo()
         for b in batches:
-            codes = [np.fromiter(chain.from_iterable(map(memo.__getitem__, t.as_py().split())), np.int32).tobytes() for t in b.column(1)]
+            codes = [np.fromiter(chain.from_iterable(map(memo.__getitem__, t.as_py().split())), np.uint64).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], names=["doc_id", "words"])
 
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     return spread(texts, "doc_id").mapInArrow(run, "doc_id bigint, words binary")
 
 
-def document_frequency(numbered: DataFrame, terms: int) -> DataFrame:
+class Vocabulary:
+    """Numbers of the words of one block of items; 0 is any other word."""
+
+    BITS = 20
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+
+    def add(self, text: str | None) -> list[int]:
+        n = self.number
+        return [n.setdefault(w, len(n) + 1) for w in words(text)]
+
+    def close(self) -> Vocabulary:
+        hashes = np.array(list(map(word_hash, self.number)), np.uint64)
+        order = np.argsort(hashes)
+        self.size = len(hashes)
+        self.hashes, self.terms = hashes[order], (order + 1).astype(np.int32)
+        self.maybe = np.zeros(1 << self.BITS, bool)
+        self.maybe[hashes & np.uint64((1 << self.BITS) - 1)] = True
+        del self.number
+        return self
+
+    def numbers(self, column: pa.Array) -> list[np.ndarray]:
+        """The words of each document of a column, as 32-bit numbers."""
+        parts = [np.frombuffer(w.as_py(), np.uint64) for w in column]
+        if not parts:
+            return []
+        whole = np.concatenate(parts)
+        out = np.zeros(len(whole), np.int32)
+        if self.size:
+            at = np.flatnonzero(self.maybe[whole & np.uint64((1 << self.BITS) - 1)])
+            found = whole[at]
+            place = np.minimum(np.searchsorted(self.hashes, found), self.size - 1)
+            out[at] = np.where(self.hashes[place] == found, self.terms[place], 0)
+        return np.split(out, np.cumsum([len(p) for p in parts])[:-1])
+
+
+def document_frequency(hashed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """term, df over all documents."""
+    sent = hashed.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(terms + 1, np.int64)
+        v = sent.value
+        total = np.zeros(v.size + 1, np.int64)
         for b in batches:
-            for w in b.column(0):
-                total[np.unique(np.frombuffer(w.as_py(), np.int32))] += 1
+            for codes in v.numbers(b.column(0)):
+                total[np.unique(codes)] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "df"])
 
-    return numbered.select("words").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    return hashed.select("words").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def _windows(codes: np.ndarray) -> np.ndarray:
@@ -186,12 +228,11 @@ class Retriever:
         return length
 
 
-def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a batch with gaps between documents, the number of the document at each place, and window starts."""
+def _joined(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of documents with gaps between them, the number of the document at each place, and window starts."""
     gap = np.full(RUN, -2, np.int32)
     parts, doc, starts, at = [gap], [np.full(RUN, -1)], [], RUN
-    for k, w in enumerate(batch.column(1)):
-        codes = np.frombuffer(w.as_py(), np.int32)
+    for k, codes in enumerate(documents):
         starts.append(np.arange(at, at + len(codes) - WINDOW + 1, WINDOW))
         parts += [codes, gap]
         doc += [np.full(len(codes), k), np.full(RUN, -1)]
@@ -205,17 +246,20 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(k, 500)
 
 
-def exact_leaks(numbered: DataFrame, retriever: Retriever) -> DataFrame:
+def exact_leaks(hashed: DataFrame, vocabulary: Vocabulary, retriever: Retriever) -> DataFrame:
+    sent = hashed.sparkSession.sparkContext.broadcast((vocabulary, retriever))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, r = sent.value
         for b in _pieces(batches):
-            codes, doc, starts = _joined(b)
-            here, there = retriever.candidates(codes, starts)
-            hit = retriever.runs(codes, here, there) >= RUN
-            pairs = np.unique(np.stack([doc[here[hit]], retriever.owner[there[hit]]]), axis=1)
+            codes, doc, starts = _joined(v.numbers(b.column(1)))
+            here, there = r.candidates(codes, starts)
+            hit = r.runs(codes, here, there) >= RUN
+            pairs = np.unique(np.stack([doc[here[hit]], r.owner[there[hit]]]), axis=1)
             ids = b.column(0).to_numpy()[pairs[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(retriever.ids[pairs[1]], pa.int64())], names=["doc_id", "item_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(r.ids[pairs[1]], pa.int64())], names=["doc_id", "item_id"])
 
-    return numbered.mapInArrow(run, "doc_id bigint, item_id bigint")
+    return hashed.mapInArrow(run, "doc_id bigint, item_id bigint")
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -307,47 +351,51 @@ class Paraphrases:
             slot[terms] = -1
 
 
-def paraphrase_leaks(numbered: DataFrame, retriever: Retriever, answers: list[list[int]], min_windows: int, min_share: float) -> DataFrame:
+def paraphrase_leaks(hashed: DataFrame, vocabulary: Vocabulary, retriever: Retriever, answers: list[list[int]], min_windows: int, min_share: float) -> DataFrame:
     """doc_id, item_id, lcs_share, has_answer of pairs with several candidate windows."""
-    sent = numbered.sparkSession.sparkContext.broadcast(Paraphrases(retriever, answers, min_windows, min_share))
+    sent = hashed.sparkSession.sparkContext.broadcast((vocabulary, Paraphrases(retriever, answers, min_windows, min_share)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = sent.value
+        v, finder = sent.value
         for b in _pieces(batches):
             ids = b.column(0).to_pylist()
-            out = [(ids[d], int(finder.ids[k]), share, told) for d, k, share, told in finder.find([np.frombuffer(w.as_py(), np.int32) for w in b.column(1)])]
+            out = [(ids[d], int(finder.ids[k]), share, told) for d, k, share, told in finder.find(v.numbers(b.column(1)))]
             cols = list(zip(*out)) or [(), (), (), ()]
             types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "lcs_share", "has_answer"])
 
-    return numbered.mapInArrow(run, "doc_id bigint, item_id bigint, lcs_share double, has_answer boolean")
+    return hashed.mapInArrow(run, "doc_id bigint, item_id bigint, lcs_share double, has_answer boolean")
+
+
+Item = tuple[int, list[int], list[int]]
 
 
-def _blocks(eval_item: DataFrame) -> Iterator[list[tuple[int, str, str]]]:
-    """The stated items, block by block; none of the corpus."""
+def _blocks(eval_item: DataFrame, cut: bool) -> Iterator[tuple[Vocabulary, list[Item]]]:
+    """The stated items (id, words of the passage, words of the answer), block by block; none of the corpus. With ``cut``, long passages come in pieces."""
     rows = eval_item.where("item_id is not null and passage is not null").select("item_id", "passage", "answer").distinct()
-    block = []
+    vocabulary, block, held = Vocabulary(), [], 0
     for r in rows.orderBy("item_id", "passage", "answer").toLocalIterator():
-        block.append((r.item_id, r.passage, r.answer or ""))
-        if len(block) == ITEM_BLOCK:
-            yield block
-            block = []
+        text = words(r.passage)
+        step = BLOCK_WORDS - RUN + 1 if cut else max(1, len(text))
+        for at in range(0, max(1, len(text) - (RUN - 1 if cut else 0)), step):
+            piece = text[at : at + (BLOCK_WORDS if cut else len(text))]
+            if block and held + len(piece) > BLOCK_WORDS:
+                yield vocabulary.close(), block
+                vocabulary, block, held = Vocabulary(), [], 0
+            block.append((r.item_id, vocabulary.add(" ".join(piece)), vocabulary.add(r.answer)))
+            held += len(piece)
     if block:
-        yield block
+        yield vocabulary.close(), block
 
 
-def _prepared(documents: DataFrame, block: list[tuple[int, str, str]]):
-    spark = documents.sparkSession
-    number: dict[str, int] = {}
-    items = [(i, [number.setdefault(w, len(number) + 1) for w in words(p)], [number.setdefault(w, len(number) + 1) for w in words(a)]) for i, p, a in block]
-    numbered = written(number_words(documents, number), "words")
-    n = numbered.count()
-    idf = np.full(len(number) + 1, np.log(1.0 + n) + 1)
-    for r in document_frequency(numbered, len(number)).collect():  # as many rows as the block has terms
-        idf[r.term] = np.log((1 + n) / (1 + r.df)) + 1
-    passages = spark.createDataFrame([(c,) for _, c, _ in items], "words array<int>").repartition(4)
-    latent = latent_terms(passages, idf)
-    return numbered, Retriever([(i, c) for i, c, _ in items if len(c) >= WINDOW], latent), [a for _, c, a in items if len(c) >= WINDOW]
+def _prepared(hashed: DataFrame, documents: int, vocabulary: Vocabulary, block: list[Item]) -> tuple[Retriever, list[list[int]]]:
+    spark = hashed.sparkSession
+    idf = np.full(vocabulary.size + 1, np.log(1.0 + documents) + 1)
+    for r in document_frequency(hashed, vocabulary).collect():  # as many rows as the block has terms
+        idf[r.term] = np.log((1 + documents) / (1 + r.df)) + 1
+    passages = spark.createDataFrame([(c,) for _, c, _ in block], "words array<int>").repartition(4)
+    kept = [(i, c, a) for i, c, a in block if len(c) >= WINDOW]
+    return Retriever([(i, c) for i, c, _ in kept], latent_terms(passages, idf)), [a for *_, a in kept]
 
 
 def _union(spark, parts: list[DataFrame], schema: str) -> DataFrame:
@@ -359,18 +407,20 @@ def _union(spark, parts: list[DataFrame], schema: str) -> DataFrame:
 
 def find_leaks(documents: DataFrame, eval_item: DataFrame) -> DataFrame:
     """Distinct doc_id, item_id with a common run of RUN words."""
-    parts = []
-    for block in _blocks(eval_item):
-        numbered, retriever, _ = _prepared(documents, block)
-        parts.append(exact_leaks(numbered, retriever))
+    hashed = written(hash_words(documents), "words")
+    n, parts = hashed.count(), []
+    for vocabulary, block in _blocks(eval_item, True):
+        retriever, _ = _prepared(hashed, n, vocabulary, block)
+        parts.append(exact_leaks(hashed, vocabulary, retriever))
     return _union(documents.sparkSession, parts, "doc_id bigint, item_id bigint").distinct()
 
 
 def find_paraphrases(documents: DataFrame, eval_item: DataFrame, min_windows: int = 2, min_share: float = 0.6) -> DataFrame:
     """Distinct doc_id, item_id, lcs_share, has_answer of documents near an item in latent space that share most of its words in order."""
-    parts = []
-    for block in _blocks(eval_item):
-        numbered, retriever, answers = _prepared(documents, block)
-        parts.append(paraphrase_leaks(numbered, retriever, answers, min_windows, min_share))
+    hashed = written(hash_words(documents), "words")
+    n, parts = hashed.count(), []
+    for vocabulary, block in _blocks(eval_item, False):
+        retriever, answers = _prepared(hashed, n, vocabulary, block)
+        parts.append(paraphrase_leaks(hashed, vocabulary, retriever, answers, min_windows, min_share))
     schema = "doc_id bigint, item_id bigint, lcs_share double, has_answer boolean"
     return _union(documents.sparkSession, parts, schema).distinct()

@@ -22,6 +22,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_look_pairs(canonical.provision_rows(table(spark, d, "code_node"), table(spark, d, "cfr_section")))
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.same_look_groups(canonical.provision_rows(table(spark, d, "code_node"), table(spark, d, "cfr_section")))
+
+
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(canonical.provision_rows(table(spark, d, "code_node"), table(spark, d, "cfr_section")))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_clean": p3_clean,
     "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p4_forms": p4_forms,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,

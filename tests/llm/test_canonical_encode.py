@@ -30,6 +30,28 @@ def test_what_looks_alike_and_what_does_not():
         assert form(a) != form(b)
 
 
+def test_characters_without_a_glyph_and_letters_of_other_scripts():
+    form = canonical.canonical
+    for odd in ("a\U000e0100b", "a\U000e0041b", "a\u3164b", "a\u115fb", "a\u034fb", "a\u200bb", "a\ufe0fb"):
+        assert form(odd) == "ab", ascii(odd)
+    assert form("a\u2800b") == "a b" and form("\U0002f800") == "\u4e3d"
+    assert form("օ\u13a0νɑɡ") == "oDvag"
+    for p in range(0x80, 0x110000):  # every code point by itself: the quick check lets no unstable one pass
+        if not 0xD800 <= p < 0xE000 and unicodedata.category(chr(p)) != "Cn":
+            assert form("x" + chr(p)) == canonical.canonical_brute("x" + chr(p)), hex(p)
+
+
+def test_a_large_group_is_joined_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(canonical, "GROUP_SLICE", 3)
+    texts = ["stock phrase"] * 7 + ["stock\u00a0phrase"] * 4 + ["stock\u2003phrase"] * 2
+    rows = spark.createDataFrame([("t", k, [x]) for k, x in enumerate(texts)], "src string, id bigint, parts array<string>")
+    want = {(a, b) for a in range(13) for b in range(a + 1, 13) if texts[a] != texts[b]}
+    got = [tuple(r)[1:] for r in canonical.same_look_pairs(rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    groups = canonical.same_look_groups(rows.union(rows.limit(2))).collect()
+    assert len(groups) == 13 and len({r.form_id for r in groups}) == 1 and len({r.string_id for r in groups}) == 3
+
+
 def test_pairs(spark):
     node = spark.createDataFrame(
         [(1, "a b", 0), (1, "a b", 0), (2, "a b", 0), (3, "a b", 0), (4, "a b", 0), (5, "", 0), (6, None, 0), (None, "a　b", 0), (7, "a c", 0)],
@@ -57,12 +79,17 @@ spacey = st.text(st.one_of(st.characters(exclude_categories=["Cs", "Cn"]), st.sa
 
 @settings(max_examples=600, deadline=None)
 @given(spacey)
-def test_pieces_encode_like_the_whole(text):
-    global _enc
-    cuts = encode.pieces(text)
-    assert "".join(cuts) == text
-    whole = ENC(text)
-    assert [i for p in cuts for i in ENC(p)] == whole
+def test_pretokens_are_those_of_the_tokenizer(text):
+    cuts = encode.pretokens(text)
+    assert "".join(cuts) == text and cuts == encode._PRETOKENS(text)
+    assert [i for p in cuts for i in ENC(p)] == ENC(text)
+
+
+def test_every_character_is_cut_as_the_tokenizer_cuts_it():
+    chars = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    for k in range(0, len(chars), 4096):
+        text = " ".join(f"a{c}1{c}! {c}b" for c in chars[k : k + 4096])
+        assert [i for p in encode.pretokens(text) for i in ENC(p)] == ENC(text), hex(ord(chars[k]))
 
 
 ENC = encode._encoder(f"{encode.TOKENIZERS}/byte_bpe_50k.tiktoken")

@@ -42,6 +42,23 @@ def test_runs_of_every_length_and_alignment(spark):
     assert (202, 1) in brute(docs, items)
 
 
+def test_blocks_and_long_passages(spark, monkeypatch):
+    """Many small blocks, and passages longer than one, find what one block finds."""
+    monkeypatch.setattr(leak, "BLOCK_WORDS", 40)
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, "s", " ".join(rng.choices(vocabulary, k=n)), "q", "w1") for k, n in enumerate([20, 39, 40, 41, 150, 15, 14, 3])]
+    docs = []
+    for k in range(60):
+        w = rng.choice(items[:5])[2].split()
+        n, at = rng.choice([14, 15, 22]), rng.randrange(len(w))
+        docs.append((k, "y " + " ".join(w[at : at + n]) + " z", 0))
+    d, e = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
+    assert len(list(leak._blocks(e, True))) > 5
+    got = [tuple(r) for r in leak.find_leaks(d, e).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(docs, items) and got
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c", 0)], DOC)
     e = spark.createDataFrame([(1, "s", "a " * 20, "q", "a")], ITEM)
@@ -114,10 +131,11 @@ def test_paraphrases_of_stated_passages(spark):
     d, e = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
     got = {(r.doc_id, r.item_id) for r in leak.find_paraphrases(d, e).collect()}
     assert len(got & {(k, x[0]) for k, x in enumerate(items)}) >= 0.9 * len(items)
-    (block,) = leak._blocks(e)
-    _, retriever, _ = leak._prepared(d, block)
+    ((vocabulary, block),) = leak._blocks(e, False)
+    hashed = leak.hash_words(d)
+    retriever, _ = leak._prepared(hashed, hashed.count(), vocabulary, block)
     number = {}
-    for _, p, a in block:
+    for _, _, p, _, a in items:
         for w in leak.words(p) + leak.words(a):
             number.setdefault(w, len(number) + 1)
     assert got == brute_paraphrases([x[:2] for x in docs if x[1]], [(x[0], x[2]) for x in items], number, retriever)
