@@ -47,6 +47,8 @@ BLOCK_WORDS = 200_000
 MIN_COSINE = 0.98
 #: Words of one block of a document; the neighbourhood of a candidate window reaches as far as the passage is long from its block.
 BLOCK = 16
+#: Multiplications of a matrix product that linear algebra libraries do without starting threads.
+ONE_THREAD = 1 << 18
 #: Entries that a worker remembers before it starts over.
 MEMO = 1_000_000
 
@@ -275,6 +277,16 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def _bits(terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """At most 64 words, a bit for each, and by 8 bits the number of times that the words of a pattern stand in the passage."""
+    values = np.left_shift(np.uint64(1), np.arange(len(terms), dtype=np.uint64))
+    patterns = np.arange(256)
+    parts = []
+    for k in range(0, len(terms), 8):
+        parts.append(sum((((patterns >> j) & 1) * n for j, n in enumerate(times[k : k + 8].tolist())), np.zeros(256, np.int64)))
+    return terms, values, parts
+
+
 class Paraphrases:
     """Documents against every window of every passage of one block of items.
 
@@ -286,21 +298,58 @@ class Paraphrases:
     def __init__(self, retriever: Retriever, answers: list[list[int]], min_windows: int, min_share: float) -> None:
         self.latent, self.ids, self.answers = retriever.latent, retriever.ids, answers
         self.min_windows, self.min_share = min_windows, min_share
+        self.bit = np.zeros(len(self.latent), np.uint64)
         item = retriever.owner[retriever.at]
         norm = np.maximum(retriever.norm, 1e-300)[:, None]
         self.passages = []
         for k in range(len(self.ids)):
             codes = retriever.words[retriever.owner == k]
             mine = (item == k) & (retriever.norm > 0)
-            self.passages.append((codes, *np.unique(codes, return_counts=True), (retriever.vectors[mine] / norm[mine]).T))
+            terms, times = np.unique(codes, return_counts=True)
+            self.passages.append((codes, terms, times, (retriever.vectors[mine] / norm[mine]).T, [_bits(terms[k : k + 64], times[k : k + 64]) for k in range(0, len(terms), 64)]))
 
     def _near(self, flat: np.ndarray, last: np.ndarray, blocks: np.ndarray, passage: np.ndarray) -> np.ndarray:
         """The starts, in the given blocks, of windows near a window of the passage; ``last`` is the last start by block."""
-        starts = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        starts = starts[starts <= np.repeat(last[blocks], BLOCK)]
-        v = self.latent[flat[starts[:, None] + np.arange(WINDOW)]].sum(axis=1, dtype=np.int64).astype(np.float64)
+        starts = blocks[:, None] * BLOCK + np.arange(BLOCK)
+        sums = np.zeros((len(blocks), BLOCK + WINDOW, self.latent.shape[1]))
+        np.cumsum(self.latent[flat[blocks[:, None] * BLOCK + np.arange(BLOCK + WINDOW - 1)]], axis=1, out=sums[:, 1:])
+        here = starts <= last[blocks][:, None]
+        v, starts = (sums[:, WINDOW:] - sums[:, :-WINDOW])[here], starts[here]
         norm = np.linalg.norm(v, axis=1)
-        return starts[((v @ passage >= MIN_COSINE * norm[:, None] - 1e-9) & (norm > 0)[:, None]).any(axis=1)]
+        # products small enough to stay in one thread: the cores belong to other tasks
+        step = max(1, ONE_THREAD // passage.size)
+        best = np.concatenate([(v[k : k + step] @ passage).max(axis=1) for k in range(0, len(v), step)] or [norm])
+        return starts[(best >= MIN_COSINE * norm - 1e-9) & (norm > 0)]
+
+    def _rich(self, rows: np.ndarray, begin: np.ndarray, count: np.ndarray, length: int, words: list, least: float) -> np.ndarray:
+        """Blocks of the given documents (where they begin, how many blocks) in whose neighbourhood enough of a passage's words stand.
+
+        Of 64 words at a time, a bit each: the bits of a block, of the blocks within the reach of a window at it, and their weight.
+        ``rows`` has a column for each block.
+        """
+        before, after = -(-length // BLOCK), (BLOCK + WINDOW - 2 + length) // BLOCK
+        width = before + after + 1
+        # documents one behind the other, with room for a window between them
+        first = np.cumsum(count + width) - count
+        shift = np.repeat(first - np.cumsum(count) + count, count)
+        place = np.arange(count.sum()) + shift
+        blocks = place + np.repeat(begin - first, count)
+        codes = rows[:, blocks]
+        weight = np.zeros(len(blocks), np.int64)
+        for some, values, table in words:
+            self.bit[some] = values
+            held = np.zeros(first[-1] + count[-1] + 2 * width, np.uint64)
+            held[place] = np.bitwise_or.reduce(self.bit[codes], axis=0)
+            self.bit[some] = 0
+            reach = 1
+            while 2 * reach <= width:
+                held[: len(held) - reach] |= held[reach:]
+                reach *= 2
+            start = place - before
+            found = held[start] | held[start + width - reach]
+            for j, part in enumerate(table):
+                weight += part[(found >> np.uint64(8 * j)) & np.uint64(0xFF)]
+        return blocks[weight >= least]
 
     def find(self, documents: list[np.ndarray]) -> Iterator[tuple[int, int, float, bool]]:
         """(place of the document, place of the item, share, answer there)"""
@@ -315,26 +364,19 @@ class Paraphrases:
         owner = np.repeat(np.arange(len(documents)), count)
         end = begin * BLOCK + size
         last = (end - WINDOW)[owner]
-        rows = flat[: count.sum() * BLOCK].reshape(-1, BLOCK)
-        slot = np.full(len(self.latent), -1, np.int32)
-        for k, (codes, terms, times, passage) in enumerate(self.passages):
+        rows = np.ascontiguousarray(flat[: count.sum() * BLOCK].reshape(-1, BLOCK).T)
+        held = np.zeros(len(self.latent), bool)
+        for k, (codes, terms, times, passage, bits) in enumerate(self.passages):
             least = self.min_share * len(codes) - 1e-9
             able = np.flatnonzero(times @ here[terms] >= least)
             if not len(able) or not passage.size:
                 continue
-            slot[terms] = np.arange(len(terms))
-            blocks = np.concatenate([np.arange(begin[d], begin[d] + count[d]) for d in able])
-            at = slot[rows[blocks]]
-            held = np.zeros((len(terms) + 1, len(blocks) + 1), np.int32)  # the last row takes the words that the passage lacks
-            held[at, np.arange(1, len(blocks) + 1)[:, None]] = 1
-            held = np.cumsum(held[:-1], axis=1, dtype=np.int32)
-            n = count[able]
-            first, place = np.repeat(np.cumsum(n) - n, n), np.arange(len(blocks))
-            lo = np.maximum(first, place + -len(codes) // BLOCK)
-            hi = np.minimum(first + np.repeat(n, n), place + (BLOCK + WINDOW - 2 + len(codes)) // BLOCK + 1)
-            good = blocks[times @ (held[:, hi] > held[:, lo]) >= least]
+            good = self._rich(rows, begin[able], count[able], len(codes), bits, least)
+            if not len(good):
+                continue
             near = self._near(flat, last, good, passage)
             found = owner[near // BLOCK]
+            held[terms] = True
             for d in np.unique(found).tolist():
                 mine = near[found == d]
                 if len(mine) < self.min_windows and len(self._near(flat, last, np.arange(begin[d], begin[d] + count[d]), passage)) < self.min_windows:
@@ -342,13 +384,13 @@ class Paraphrases:
                 share, told = 0.0, False
                 for b in np.unique(mine // BLOCK).tolist():
                     near_by = flat[max(begin[d] * BLOCK, b * BLOCK - len(codes)) : min(end[d], (b + 1) * BLOCK + WINDOW - 1 + len(codes))]
-                    one = common_subsequence(codes.tolist(), near_by[slot[near_by] >= 0].tolist()) / len(codes)
+                    one = common_subsequence(codes.tolist(), near_by[held[near_by]].tolist()) / len(codes)
                     share = max(share, one)
                     if one * len(codes) >= least and self.answers[k] and not told:
                         told = f" {' '.join(map(str, self.answers[k]))} " in f" {' '.join(map(str, near_by.tolist()))} "
                 if share * len(codes) >= least:
                     yield d, k, round(share, 3), told
-            slot[terms] = -1
+            held[terms] = False
 
 
 def paraphrase_leaks(hashed: DataFrame, vocabulary: Vocabulary, retriever: Retriever, answers: list[list[int]], min_windows: int, min_share: float) -> DataFrame:
