@@ -127,7 +127,8 @@ def canonical_brute(text: str) -> str:
 
 
 def may_be_unstable(c: Column) -> Column:
-    return c.rlike(f"[^{PLAIN}]")
+    """What is of ASCII alone, as many bytes as characters, is stable; else characters are looked at."""
+    return (F.octet_length(c) != F.length(c)) & c.rlike(f"[^{PLAIN}]")
 
 
 def canonical_rows(rows: DataFrame) -> DataFrame:
@@ -164,8 +165,8 @@ def same_look_members(rows: DataFrame) -> DataFrame:
     """
 
     def two(c: str) -> list[Column]:
-        j = F.to_json(c)
-        return [F.xxhash64(j), F.xxhash64(F.lit(7), j)]
+        whole = F.transform(c, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("-")))  # a null element is no empty one
+        return [F.xxhash64(F.size(c), whole), F.xxhash64(F.lit(7), F.size(c), whole)]
 
     (f1, f2), (s1, s2) = two("form"), two("parts")
     keyed = canonical_rows(rows).select(
@@ -173,8 +174,9 @@ def same_look_members(rows: DataFrame) -> DataFrame:
     )
     keyed = written(keyed, "forms")
     form = ["src", "f1", "f2"]
-    groups = keyed.groupBy(*form).agg(F.count("*").alias("members"), F.min(F.struct("s1", "s2")).alias("least"), F.max(F.struct("s1", "s2")).alias("most"))
-    return keyed.join(groups.where("least <> most").drop("least", "most"), form)
+    groups = keyed.groupBy(*form).agg(F.count("*").alias("members"), *[g(s).alias(f"{n}_{s}") for s in ("s1", "s2") for n, g in (("least", F.min), ("most", F.max))])
+    several = groups.where("least_s1 <> most_s1 or least_s2 <> most_s2").select(*form, "members")
+    return keyed.join(several, form)
 
 
 def same_look_groups(rows: DataFrame) -> DataFrame:
