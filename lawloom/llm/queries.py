@@ -46,18 +46,20 @@ def p7_paraphrases(spark: SparkSession, d: str) -> DataFrame:
     return leak.find_paraphrases(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
-def _subjects(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    rules = subjects.fit_rules(documents, table(spark, d, "doc_label"), table(spark, d, "subject_area"))
-    return subjects.find_subjects(documents, rules)
+def _rules(spark: SparkSession, d: str) -> subjects.Rules:
+    return subjects.fit_rules(*(table(spark, d, n) for n in ("documents", "doc_label", "subject_area")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _subjects(spark, d)
+    return subjects.find_subjects(table(spark, d, "documents"), _rules(spark, d))
 
 
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.composition(_subjects(spark, d), table(spark, d, "documents"))
+    return subjects.composition(p8_found(spark, d), table(spark, d, "documents"))
+
+
+def p8_basis(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.basis_report(subjects.subjects_with_basis(table(spark, d, "documents"), _rules(spark, d)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -72,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_paraphrases": p7_paraphrases,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
+    "p8_basis": p8_basis,
 }
 
 ORACLES: dict[str, str] = {

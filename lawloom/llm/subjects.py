@@ -5,7 +5,9 @@
 2. Frequent patterns with their class counts are mined by parallel pattern growth: every transaction is cut into conditional
    transactions per group of items, each group grows its own patterns, so no task needs the whole sample.
 3. A pattern becomes a rule for its leading subject if its smoothed confidence suffices; a rule that does not beat a more
-   general rule of the same subject is redundant and goes. The evidence of a rule is its calibrated log lift.
+   general rule of the same subject is redundant and goes. Rules mined from four fifths of the sample are held against the rest: how
+   often rules of some confidence are right there, made monotonous, is the calibrated confidence. The evidence of a rule is the log
+   lift of its calibrated confidence.
 4. The rules are few and travel to all executors. There every sentence of every document is given to the subject with the most
    evidence, and a document has the subjects that a sixth or more of its sentences are about.
 
@@ -13,7 +15,8 @@ Only the sample for steps 1 to 3 is bounded (MAX_LABELLED documents, those of th
 whole texts without a shuffle.
 
 Defined results: null and blank texts have no row; a text in which no rule matches has the subject whose rules matched most over its
-words anywhere in it, and failing all evidence the most frequent subject of the sample; at most three subjects, ties to the more evidence,
+words anywhere in it, and failing all evidence the most frequent subject of the sample (``basis`` tells such guesses apart: share, most,
+words, prior); at most three subjects, ties to the more evidence,
 then the name; labels that are null or of unknown documents are ignored; repeated rows count once; extra columns are ignored.
 """
 
@@ -132,17 +135,20 @@ class Rules:
             return -1
         return self.subject(memo.of(s))
 
-    def document(self, text: str, memo: _Items) -> list[str]:
+    def document(self, text: str, memo: _Items) -> tuple[list[str], str]:
+        """Subjects, and what they rest on: the share of sentences, the most sentences, words anywhere, or the sample's most frequent one."""
         found = [self.sentence(s, memo) for s in sentences(text)]
         count = Counter(k for k in found if k >= 0)
         least = SHARE * len(found) - 1e-9
         names = [self.subjects[k] for k, n in sorted(count.items(), key=lambda x: (-x[1], x[0])) if n >= least][:MOST]
         if names:
-            return names
+            return names, "share"
         if count:
-            return [self.subjects[min(count, key=lambda k: (-count[k], k))]]
+            return [self.subjects[min(count, key=lambda k: (-count[k], k))]], "most"
         total = self.evidence(memo.of(text))
-        return [self.subjects[max(total, key=lambda k: (total[k], -k)) if total else self.prior]]
+        if total:
+            return [self.subjects[max(total, key=lambda k: (total[k], -k))]], "words"
+        return [self.subjects[self.prior]], "prior"
 
 
 def _sample(documents: DataFrame, doc_label: DataFrame, subjects: list[str], most: int) -> DataFrame:
@@ -277,23 +283,77 @@ def mine(transactions: DataFrame, classes: int, min_support: int = MIN_SUPPORT,
     return transactions.groupBy("grp").applyInArrow(run, "items array<int>, counts array<bigint>")
 
 
-def prune(patterns: list[tuple[tuple[int, ...], np.ndarray]], prior: np.ndarray, min_confidence: float = MIN_CONFIDENCE) -> dict:
-    """Rules without the redundant ones; evidence is the log lift of the confidence smoothed towards the prior."""
+def prune(patterns: list[tuple[tuple[int, ...], np.ndarray]], prior: np.ndarray, min_confidence: float = MIN_CONFIDENCE) -> dict[tuple[int, ...], tuple[int, float]]:
+    """Subject and confidence, smoothed towards the prior, of the rules without the redundant ones."""
     rules: dict[tuple[int, ...], tuple[int, float]] = {}
-    sure: dict[tuple[int, ...], tuple[int, float]] = {}
     for p, n in sorted(patterns, key=lambda x: (len(x[0]), x[0])):
         k = int(n.argmax())
-        confidence = (n[k] + prior[k]) / (n.sum() + 1)
+        confidence = float((n[k] + prior[k]) / (n.sum() + 1))
         if confidence < min_confidence:
             continue
-        general = [sure[q] for m in range(1, len(p)) for q in combinations(p, m) if q in sure]
+        general = [rules[q] for m in range(1, len(p)) for q in combinations(p, m) if q in rules]
         if any(c == k and f >= confidence - 0.02 for c, f in general):
             continue
-        sure[p] = (k, confidence)
-        rules[p] = (k, float(np.log(confidence / prior[k])))
+        rules[p] = (k, confidence)
     return rules
 
 
+#: Classes of confidence in which rules are calibrated.
+CLASSES = 20
+
+
+def monotonous(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The nearest values that never fall (pool adjacent violators)."""
+    pools: list[list[float]] = []
+    for v, w in zip(value.tolist(), weight.tolist()):
+        pools.append([v, w, 1])
+        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
+            b, a = pools.pop(), pools.pop()
+            w = a[1] + b[1]
+            pools.append([(a[0] * a[1] + b[0] * b[1]) / w if w else (a[0] + b[0]) / 2, w, a[2] + b[2]])
+    return np.repeat([p[0] for p in pools], [p[2] for p in pools])
+
+
+def _class_of(confidence: np.ndarray) -> np.ndarray:
+    return np.clip(((confidence - MIN_CONFIDENCE) / (1 - MIN_CONFIDENCE) * CLASSES).astype(int), 0, CLASSES - 1)
+
+
+def calibration(held_out: DataFrame, number: dict[str, int], subjects: list[str], formal: frozenset, rules: dict[tuple[int, ...], tuple[int, float]], told: Rules) -> np.ndarray:
+    """By class of confidence: how often rules are right in sentences they were not mined from. Classes seen seldom keep their confidence."""
+    index = {s: k for k, s in enumerate(subjects)}
+    first: dict[int, list[tuple[int, ...]]] = {}
+    for p in rules:
+        first.setdefault(p[0], []).append(p)
+    sent = held_out.sparkSession.sparkContext.broadcast((number, formal, rules, first, told))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, formal, rules, first, told = sent.value
+        memo = _Items(number)
+        tried, right = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        for b in batches:
+            for text, labels in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = {index[x] for x in labels}
+                for s in sentences(text):
+                    items = memo.of(s)
+                    label = next(iter(own)) if len(own) == 1 else told.subject(items)
+                    if label not in own or phrase(s) in formal:
+                        continue
+                    held = set(items)
+                    matched = [rules[p] for i in items for p in first.get(i, ()) if held.issuperset(p)]
+                    if matched:
+                        at = _class_of(np.array([c for _, c in matched]))
+                        np.add.at(tried, at, 1)
+                        np.add.at(right, at, [k == label for k, _ in matched])
+        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(tried), pa.array(right)], names=["k", "tried", "right"])
+
+    counted = held_out.select("text", "labels").mapInArrow(run, "k int, tried bigint, right bigint").groupBy("k").agg(F.sum("tried").alias("tried"), F.sum("right").alias("right"))
+    tried, right = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in counted.collect():  # CLASSES rows
+        tried[r.k], right[r.k] = r.tried, r.right
+    middle = MIN_CONFIDENCE + (np.arange(CLASSES) + 0.5) / CLASSES * (1 - MIN_CONFIDENCE)
+    return monotonous((right + 10 * middle) / (tried + 10), tried + 10)
+
+
 def fit_rules(documents: DataFrame, doc_label: DataFrame, subject_area: DataFrame, most: int = MAX_LABELLED) -> Rules:
     subjects = sorted({r.subject for r in subject_area.select("subject").where("subject is not null").distinct().collect()})
     sample = _sample(documents, doc_label, subjects, most).persist()
@@ -301,22 +361,30 @@ def fit_rules(documents: DataFrame, doc_label: DataFrame, subject_area: DataFram
         number = leaning_words(sample, subjects)
         formal = formal_phrases(sample, subjects)
         chunks = max((p.count(" ") + 4 for p in formal), default=0)
-        told = None
-        for _ in range(2):
-            patterns = [(tuple(r["items"]), np.array(r["counts"])) for r in mine(_transactions(sample, number, subjects, formal, told), len(subjects)).collect()]
+
+        def mined(part: DataFrame, told: Rules | None) -> tuple[dict[tuple[int, ...], tuple[int, float]], np.ndarray]:
+            patterns = [(tuple(r["items"]), np.array(r["counts"])) for r in mine(_transactions(part, number, subjects, formal, told), len(subjects)).collect()]
             single = sum((n for p, n in patterns if len(p) == 1), np.zeros(max(1, len(subjects))))
             prior = (single + 1) / (single.sum() + len(single))
-            rules = prune(patterns, prior)
-            joint = frozenset(i for p in rules if len(p) > 1 for i in p)
-            told = Rules(subjects, number, rules, int(prior.argmax()), joint, formal, chunks)
-        return told
+            return prune(patterns, prior), prior
+
+        def ready(rules: dict, prior: np.ndarray, calibrated: np.ndarray | None = None) -> Rules:
+            sure = lambda c: c if calibrated is None else float(calibrated[_class_of(np.array([c]))[0]])
+            lifted = {p: (k, float(np.log(sure(c) / prior[k]))) for p, (k, c) in rules.items()}
+            return Rules(subjects, number, lifted, int(prior.argmax()), frozenset(i for p in rules if len(p) > 1 for i in p), formal, chunks)
+
+        told = ready(*mined(sample, None))
+        final, prior = mined(sample, told)
+        fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0
+        part, _ = mined(sample.where(~fold), told)
+        return ready(final, prior, calibration(sample.where(fold), number, subjects, formal, part, told))
     finally:
         sample.unpersist()
 
 
-def find_subjects(documents: DataFrame, rules: Rules) -> DataFrame:
-    """Distinct doc_id, subject."""
-    schema = "doc_id bigint, subject string"
+def subjects_with_basis(documents: DataFrame, rules: Rules) -> DataFrame:
+    """Distinct doc_id, subject, basis."""
+    schema = "doc_id bigint, subject string, basis string"
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     if not rules.subjects:
         return documents.sparkSession.createDataFrame([], schema)
@@ -326,18 +394,29 @@ def find_subjects(documents: DataFrame, rules: Rules) -> DataFrame:
         r = sent.value
         memo = _Items(r.number)
         for b in batches:
-            ids, found = [], []
+            ids, found, rests = [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py()
                 if not text.isspace() and text:
-                    names = r.document(text, memo)
+                    names, basis = r.document(text, memo)
                     ids += [doc_id] * len(names)
                     found += names
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "subject"])
+                    rests += [basis] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(rests, pa.string())], names=["doc_id", "subject", "basis"])
 
     return spread(texts, "doc_id").mapInArrow(run, schema).distinct()
 
 
+def find_subjects(documents: DataFrame, rules: Rules) -> DataFrame:
+    """Distinct doc_id, subject."""
+    return subjects_with_basis(documents, rules).select("doc_id", "subject").distinct()
+
+
+def basis_report(found: DataFrame) -> DataFrame:
+    """basis, documents: how many documents' subjects rest on the share of their sentences, and how many are guesses."""
+    return found.groupBy("basis").agg(F.count_distinct("doc_id").alias("documents"))
+
+
 def composition(found: DataFrame, documents: DataFrame) -> DataFrame:
     """subject, documents, characters: what the corpus is made of."""
     sizes = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).dropDuplicates(["doc_id"])
