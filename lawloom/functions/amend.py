@@ -1007,9 +1007,3 @@ def uncovered(text: str, amendments: list[Amendment]) -> int:
     starts = [s for s, _ in spans]
     reach = list(_running_max(e for _, e in spans))
     return sum(not (k := bisect_right(starts, m.start())) or reach[k - 1] < m.start() for m in _verbs.finditer(text))
-
-
-def amendment_for(c: Citation, amendments: list[Amendment]) -> Amendment | None:
-    if c.via_amendment:
-        return next((a for a in amendments if a.id == c.via_amendment), None)
-    return next((a for a in amendments if a.target and a.target.id == c.id), None)

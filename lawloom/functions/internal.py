@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from lawloom.functions import markers as mk
 from lawloom.functions.citations import Citation
+from lawloom.functions.reading import first_marker
 from lawloom.functions.structure import Bill, Mark, Outline, Section
 
 
@@ -73,6 +74,15 @@ def locate(bill: Bill, outline: Outline, c: Citation) -> Place | None:
     return Place(min(hits, key=lambda p: abs(p - c.start)), s, guess or len(hits) > 1, guess)
 
 
+def _fate_in_block(text: str, c: Citation, p: Place | None) -> str:
+    """Of a reference in new law: found in its own block, above what the block begins with, or left alone."""
+    if p and c.inserted.start <= p.start < c.inserted.end:
+        return "inBlock"
+    leading = first_marker(text[c.inserted.start : c.inserted.end])
+    depth = mk.UNIT_DEPTH.get(c.ref_type or "")
+    return "headAbove" if leading and depth is not None and depth < mk.depth(leading) else "declined"
+
+
 def fates(bill: Bill, outline: Outline, cites: list[Citation]) -> Iterator[dict]:
     """What became of each internal reference that no composed citation displaced, and of those composed."""
     for c in cites:
@@ -80,5 +90,8 @@ def fates(bill: Bill, outline: Outline, cites: list[Citation]) -> Iterator[dict]
             yield {"cite_id": c.id, "fate": "composed", "start": None, "section": None, "ambiguous": False, "guess": False}
         elif c.kind == "internal":
             p = locate(bill, outline, c)
-            fate = "unresolved" if p is None else "inBlock" if c.inserted else "inBill"
+            if c.inserted and c.ref_type != "section":
+                fate = _fate_in_block(bill.text, c, p)
+            else:
+                fate = "inBill" if p else "unresolved"
             yield {"cite_id": c.id, "fate": fate, "start": p and p.start, "section": p and p.section.num, "ambiguous": bool(p and p.ambiguous), "guess": bool(p and p.guess)}

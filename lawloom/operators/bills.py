@@ -221,3 +221,10 @@ def rows(bills: DataFrame, name: str) -> DataFrame:
 def table(analysis: DataFrame, name: str) -> DataFrame:
     """doc_id and the rows of one of TABLES."""
     return analysis.select("doc_id", F.inline(name))
+
+
+def citation_amendments(analysis: DataFrame) -> DataFrame:
+    """doc_id, id, start, am_id: the amendment that a citation was composed in, else the one whose target it is; citations of none have no row."""
+    own = lambda c: lambda a: F.coalesce(a["id"] == c["via_amendment"], a["target"]["id"] == c["id"])
+    told = F.transform("all_citations", lambda c: F.struct(c["id"].alias("id"), c["start"].alias("start"), F.get(F.filter("amendments", own(c)), F.lit(0))["id"].alias("am_id")))
+    return analysis.select("doc_id", F.inline(told)).where("am_id is not null")
