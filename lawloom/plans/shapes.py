@@ -55,7 +55,7 @@ RECIPES: dict[str, Recipe] = {
         "doc_id, concat('Term', k, ' Act of 1994') as act_name",
     ),
     "citation_amendments": Recipe(
-        "orders", A, f"concat({HEAD}, '--\n  (1) in paragraph (7), by striking ', qo, old, qc, '.\n\nSection 9 of title 5, United States Code, stays. ', {LAW}, ' is repealed.')",
+        "orders", A, f"concat({HEAD}, '--\n  (1) in paragraph (7), by striking ', qo, old, qc, '.\n\nSee 9 U.S.C. 7; it stays. ', {LAW}, ' is repealed.')",
         lambda a, made: B.citation_amendments(a).select("doc_id", "start", "am_id"),
         "doc_id, unnest([strpos(text, concat('(', t, ' U.S.C.')), strpos(text, 'paragraph (7)') - 1, strpos(text, 'stays. ') + 6])::bigint as start, unnest(['a0', 'a0', 'a1']) as am_id",
     ),
