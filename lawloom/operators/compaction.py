@@ -164,3 +164,12 @@ def index_faults(packed: DataFrame, bundle_index: DataFrame) -> DataFrame:
     return both.select(F.coalesce("h.grp", "e.grp").alias("grp"), F.coalesce("h.stem", "e.stem").alias("stem"), fault.alias("fault")).where(
         "fault is not null"
     )
+
+
+def locate_records(bundle_index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Records (grp, stem) with where an earlier packing run put them: grp, stem, part, byte_offset, byte_length of each entry that lies in its part."""
+    at = bundle_index.dropDuplicates(["idx_id"]).select("grp", "parts", "part_bytes", F.explode("at_list").alias("x"))
+    k = F.col("x.part_no")
+    fits = (k >= 0) & (k < F.size("parts")) & (F.col("x.byte_offset") + F.col("x.byte_length") <= F.get("part_bytes", k))
+    held = at.where(fits).select("grp", F.col("x.stem").alias("stem"), F.get("parts", k).alias("part"), F.col("x.byte_offset").alias("byte_offset"), F.col("x.byte_length").alias("byte_length"))
+    return wanted.select("grp", "stem").distinct().join(held, ["grp", "stem"])

@@ -317,16 +317,25 @@ def narrow_law_sections(cites: DataFrame, plaw_section: DataFrame) -> DataFrame:
     return rows.where(keep).select("cite_key", "law_id", "number", "entry", "of", how.alias("narrowed_by"))
 
 
+def _unit_prefixes(path: Column) -> Column:
+    """Units from the outermost to each depth, as one string for each depth."""
+    labels = F.transform(path, unit_label)
+    return F.transform(F.sequence(F.lit(1), F.size(path)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(labels, F.lit(1), k), ">").alias("units")))
+
+
 def law_division(cites: DataFrame, plaw_toc: DataFrame, most: int = 20) -> DataFrame:
-    """Citations of a unit (cite_key, law_id, where_path) with its first provisions; a path deeper than the contents is shortened from the inside."""
-    prefixes = cites.where("size(where_path) > 0").select(
-        "cite_key", "law_id", F.size("where_path").alias("asked"), F.explode(F.sequence(F.lit(1), F.size("where_path"))).alias("depth"), "where_path"
-    ).withColumn("want", F.slice("where_path", F.lit(1), F.col("depth")))
-    rows = prefixes.join(plaw_toc.withColumnRenamed("where_path", "have"), "law_id").where(under_path(F.col("have"), F.col("want")))
-    deepest = rows.withColumn("best", F.max("depth").over(Window.partitionBy("cite_key"))).where("depth = best")
-    w = Window.partitionBy("cite_key").orderBy("seq")
-    listed = deepest.withColumns({"total": F.count("*").over(Window.partitionBy("cite_key")), "rank": F.row_number().over(w)})
-    return listed.where(F.col("rank") <= most).select("cite_key", "law_id", "num", "rank", "total", (F.col("asked") - F.col("depth")).alias("dropped_levels"))
+    """Citations of a unit (cite_key, law_id, where_path) with its first provisions; a path deeper than the contents is shortened from the inside.
+
+    Both sides meet on the law and the units down to a depth. How many provisions stand there is counted once for each, and only the
+    first ``most`` of them (a report's length) go to the citations.
+    """
+    wanted = cites.where("size(where_path) > 0").select("cite_key", "law_id", F.size("where_path").alias("asked"), F.explode(_unit_prefixes(F.col("where_path"))).alias("w")).select("cite_key", "law_id", "asked", "w.*")
+    held = plaw_toc.where("size(where_path) > 0").select("law_id", "num", "seq", F.explode(_unit_prefixes(F.col("where_path"))).alias("w")).select("law_id", "num", "seq", "w.units")
+    unit = Window.partitionBy("law_id", "units")
+    listed = held.withColumns({"total": F.count("*").over(unit), "rank": F.row_number().over(unit.orderBy("seq"))}).where(F.col("rank") <= most)
+    units = listed.where("rank = 1").select("law_id", "units")
+    deepest = wanted.join(units, ["law_id", "units"]).groupBy("cite_key").agg(F.max(F.struct("depth", "law_id", "units", "asked")).alias("x")).select("cite_key", "x.*")
+    return deepest.join(listed, ["law_id", "units"]).select("cite_key", "law_id", "num", "rank", "total", (F.col("asked") - F.col("depth")).alias("dropped_levels"))
 
 
 def title_hits(cites: DataFrame, code_section: DataFrame) -> DataFrame:
@@ -359,15 +368,20 @@ def flat_text(code_node: DataFrame) -> DataFrame:
     return rows.select("title", "slug", "entry", F.array_join("xs.line", "\n").alias("text"))
 
 
+def _prefixes(path: Column) -> Column:
+    """The path's prefixes, from none of it to all."""
+    ms = path_markers(path)
+    return F.transform(F.sequence(F.lit(0), F.size(ms)), lambda k: F.array_join(F.slice(ms, F.lit(1), k), ""))
+
+
 def default_scope(wanted: DataFrame, code_node: DataFrame) -> DataFrame:
-    """Rows (cite_key, title, slug, entry, path) with the scope to show: the parent, unless its text is too long."""
+    """Rows (cite_key, title, slug, entry, path) with the scope to show: the parent, unless its text is too long. Lengths are summed once for each provision."""
     marks = path_markers(F.col("path"))
     keyed = wanted.withColumn("parent", F.array_join(F.slice(marks, F.lit(1), F.greatest(F.size(marks) - 1, F.lit(0))), ""))
     size = F.length(F.trim(F.concat_ws(" ", F.coalesce("marker", F.lit("")), F.coalesce("text", F.lit("")))))
-    nodes = code_node.select("title", "slug", "entry", F.col("path").alias("node"), size.alias("chars"))
-    joined = keyed.join(nodes, ["title", "slug", "entry"], "left").where(F.col("node").isNull() | F.col("node").startswith(F.col("parent")))
-    sums = joined.groupBy("cite_key", "path", "parent").agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
-    return sums.select("cite_key", F.when(F.col("chars") > SCOPE_BUDGET, F.col("path")).otherwise(F.col("parent")).alias("scope"))
+    sums = code_node.where("path is not null").select("title", "slug", "entry", size.alias("chars"), F.explode(_prefixes(F.col("path"))).alias("parent")).groupBy("title", "slug", "entry", "parent").agg(F.sum("chars").alias("chars"))
+    met = keyed.join(sums, ["title", "slug", "entry", "parent"], "left")
+    return met.select("cite_key", F.when(F.coalesce("chars", F.lit(0)) > SCOPE_BUDGET, F.col("path")).otherwise(F.col("parent")).alias("scope"))
 
 
 def provision_view(wanted: DataFrame, code_node: DataFrame) -> DataFrame:
@@ -389,14 +403,45 @@ def clean_addition(text: Column) -> Column:
 
 
 def effects(ops: DataFrame, texts: DataFrame) -> DataFrame:
-    """Operations (am_id, op_seq, type, text, title, slug) with whether what they strike stands in the law's text (title, slug, text) now."""
+    """Operations (am_id, op_seq, type, text, title, slug) held against the law's text (title, slug, text) as it is now.
+
+    ``found`` tells whether what is struck stands there. ``status``: no_law (nothing to compare with), stands, gone, or read for
+    operations that strike nothing. ``unmatched`` tells of the whole amendment whether anything it strikes is gone.
+    """
 
     def flat(c: Column) -> Column:
         return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, "``|''|‘‘|’’|[“”]", '"'), r"\s+", " ")))
 
     met = ops.join(texts.select("title", "slug", flat(F.col("text")).alias("law_text")), ["title", "slug"], "left")
-    found = F.when(F.col("type") == "strike", F.coalesce(F.contains("law_text", flat(F.col("text"))), F.lit(False)))
-    return met.select("am_id", "op_seq", "type", found.alias("found"))
+    strikes, held = F.col("type") == "strike", F.col("law_text").isNotNull()
+    found = F.when(strikes, F.coalesce(F.contains("law_text", flat(F.col("text"))), F.lit(False)))
+    status = F.when(~held, "no_law").when(~strikes, "read").when(found, "stands").otherwise("gone")
+    out = met.select("am_id", "op_seq", "type", found.alias("found"), status.alias("status"))
+    return out.withColumn("unmatched", F.max((F.col("status") == "gone").cast("int")).over(Window.partitionBy("am_id")) == 1)
+
+
+def memoised(cites: DataFrame, resolve) -> DataFrame:
+    """Citations with what ``resolve`` tells of each distinct key: it sees every key once, whatever it is cited from, and its answers are joined back."""
+    keyed = cites.withColumn("cite_key", cite_key(cites.columns))
+    answers = resolve(keyed.dropDuplicates(["cite_key"]))
+    return keyed.join(answers, "cite_key", "left")
+
+
+def export_resolved(resolved: DataFrame, path: str, by: str = "kind") -> DataFrame:
+    """Write resolved citations as JSON, a folder for each value of ``by``; an unresolved one is a row with an error."""
+    resolved.withColumn("error", F.when(F.col("outcome").isNull(), "unresolved")).write.mode("overwrite").partitionBy(by).json(path)
+    return resolved.sparkSession.read.json(path)
+
+
+#: What a reader must be told of a resolved citation, in the order in which it is told.
+CARDS = (
+    "implied", "relative", "range", "via_act", "act_title", "also", "caveat", "whole_act", "act_range", "run_in", "head_level", "stub", "missing", "effect", "credit", "notes", "links", "as_of",
+)
+
+
+def context_cards(columns: list[str]) -> Column:
+    """Codes of CARDS whose column is there and true, in order."""
+    return F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in CARDS if c in columns]))
 
 
 # --- dispatch --------------------------------------------------------------------------------------------------------------------

@@ -63,3 +63,15 @@ def most_cited_laws(citation: DataFrame, most: int = 25) -> DataFrame:
 
 def internal_fates(located: DataFrame) -> DataFrame:
     return located.groupBy("doc_id", "fate").agg(F.count("*").alias("n"))
+
+
+def impact_rates(resolved: DataFrame) -> DataFrame:
+    """Distinct targets and what became of them: kind, targets, hits, no_section, no_subsection, provisions (distinct places reached).
+
+    Rows (kind, cite_key, outcome, place): outcome is hit, no_section or no_subsection.
+    """
+    rows = resolved.dropDuplicates(["kind", "cite_key"])
+    of = lambda name: F.count_if(F.col("outcome") == name)
+    return rows.groupBy("kind").agg(
+        F.count("*").alias("targets"), of("hit").alias("hits"), of("no_section").alias("no_section"), of("no_subsection").alias("no_subsection"), F.count_distinct(F.when(F.col("outcome") == "hit", F.col("place"))).alias("provisions")
+    )

