@@ -210,36 +210,49 @@ def formal_phrases(sample: DataFrame, subjects: list[str], min_docs: int = 4, mo
     return frozenset(r.phrase for r in spread.where((F.col("docs") >= min_docs) & (F.col("one") <= most * F.col("docs"))).collect())
 
 
-def _transactions(sample: DataFrame, number: dict[str, int], subjects: list[str], formal: frozenset, told: Rules | None) -> DataFrame:
-    """grp, items, label: the conditional transactions of each group. With ``told``, also sentences of documents with several labels."""
+def _sentence_items(sample: DataFrame, number: dict[str, int], subjects: list[str], formal: frozenset) -> DataFrame:
+    """doc_id, own (numbers of the document's labels), items: the sentences of the sample but for formal phrases. Read once for all rounds."""
     index = {s: k for k, s in enumerate(subjects)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Items(number)
         for b in batches:
-            groups, lists, classes = [], [], []
-            for text, labels in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = {index[x] for x in labels}
+            ids, owns, lists = [], [], []
+            for doc_id, text, labels in zip(*(b.column(k).to_pylist() for k in range(3))):
+                own = [index[x] for x in labels]
                 for s in sentences(text):
-                    if phrase(s) in formal:
-                        continue
-                    items = memo.of(s)
-                    label = told.subject(items) if told else next(iter(own)) if len(own) == 1 else -1
-                    if label not in own:
-                        continue
-                    seen = set()
-                    for k in range(len(items) - 1, -1, -1):
-                        g = items[k] % GROUPS
-                        if g not in seen:
-                            seen.add(g)
-                            groups.append(g)
-                            lists.append(items[: k + 1])
-                            classes.append(label)
+                    if phrase(s) not in formal:
+                        ids.append(doc_id)
+                        owns.append(own)
+                        lists.append(memo.of(s))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owns, pa.list_(pa.int32())), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "own", "items"])
+
+    return sample.select("doc_id", "text", "labels").mapInArrow(run, "doc_id bigint, own array<int>, items array<int>")
+
+
+def _transactions(split: DataFrame, told: Rules | None) -> DataFrame:
+    """grp, items, label: the conditional transactions of each group. With ``told``, also sentences of documents with several labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups, lists, classes = [], [], []
+            for own, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                label = told.subject(tuple(items)) if told else own[0] if len(own) == 1 else -1
+                if label not in own:
+                    continue
+                seen = set()
+                for k in range(len(items) - 1, -1, -1):
+                    g = items[k] % GROUPS
+                    if g not in seen:
+                        seen.add(g)
+                        groups.append(g)
+                        lists.append(items[: k + 1])
+                        classes.append(label)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(groups, pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array(classes, pa.int32())], names=["grp", "items", "label"]
             )
 
-    return sample.select("text", "labels").mapInArrow(run, "grp int, items array<int>, label int")
+    return split.select("own", "items").mapInArrow(run, "grp int, items array<int>, label int")
 
 
 def grow(base: dict[tuple[int, ...], np.ndarray], suffix: tuple[int, ...], wanted, min_support: int, max_words: int | None, out: list, worth=lambda n: True) -> None:
@@ -318,35 +331,28 @@ def _class_of(confidence: np.ndarray) -> np.ndarray:
     return np.clip(((confidence - MIN_CONFIDENCE) / (1 - MIN_CONFIDENCE) * CLASSES).astype(int), 0, CLASSES - 1)
 
 
-def calibration(held_out: DataFrame, number: dict[str, int], subjects: list[str], formal: frozenset, rules: dict[tuple[int, ...], tuple[int, float]], told: Rules) -> np.ndarray:
+def calibration(held_out: DataFrame, rules: dict[tuple[int, ...], tuple[int, float]], told: Rules) -> np.ndarray:
     """By class of confidence: how often rules are right in sentences they were not mined from. Classes seen seldom keep their confidence."""
-    index = {s: k for k, s in enumerate(subjects)}
     first: dict[int, list[tuple[int, ...]]] = {}
     for p in rules:
         first.setdefault(p[0], []).append(p)
-    sent = held_out.sparkSession.sparkContext.broadcast((number, formal, rules, first, told))
+    sent = held_out.sparkSession.sparkContext.broadcast((rules, first, told))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, formal, rules, first, told = sent.value
-        memo = _Items(number)
+        rules, first, told = sent.value
         tried, right = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for b in batches:
-            for text, labels in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = {index[x] for x in labels}
-                for s in sentences(text):
-                    items = memo.of(s)
-                    label = next(iter(own)) if len(own) == 1 else told.subject(items)
-                    if label not in own or phrase(s) in formal:
-                        continue
-                    held = set(items)
-                    matched = [rules[p] for i in items for p in first.get(i, ()) if held.issuperset(p)]
-                    if matched:
-                        at = _class_of(np.array([c for _, c in matched]))
-                        np.add.at(tried, at, 1)
-                        np.add.at(right, at, [k == label for k, _ in matched])
+            for own, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                label = own[0] if len(own) == 1 else told.subject(tuple(items))
+                held = set(items)
+                matched = [rules[p] for i in items for p in first.get(i, ()) if held.issuperset(p)]
+                if label in own and matched:
+                    at = _class_of(np.array([c for _, c in matched]))
+                    np.add.at(tried, at, 1)
+                    np.add.at(right, at, [k == label for k, _ in matched])
         yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(tried), pa.array(right)], names=["k", "tried", "right"])
 
-    counted = held_out.select("text", "labels").mapInArrow(run, "k int, tried bigint, right bigint").groupBy("k").agg(F.sum("tried").alias("tried"), F.sum("right").alias("right"))
+    counted = held_out.select("own", "items").mapInArrow(run, "k int, tried bigint, right bigint").groupBy("k").agg(F.sum("tried").alias("tried"), F.sum("right").alias("right"))
     tried, right = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counted.collect():  # CLASSES rows
         tried[r.k], right[r.k] = r.tried, r.right
@@ -357,13 +363,15 @@ def calibration(held_out: DataFrame, number: dict[str, int], subjects: list[str]
 def fit_rules(documents: DataFrame, doc_label: DataFrame, subject_area: DataFrame, most: int = MAX_LABELLED) -> Rules:
     subjects = sorted({r.subject for r in subject_area.select("subject").where("subject is not null").distinct().collect()})
     sample = _sample(documents, doc_label, subjects, most).persist()
+    split = None
     try:
         number = leaning_words(sample, subjects)
         formal = formal_phrases(sample, subjects)
         chunks = max((p.count(" ") + 4 for p in formal), default=0)
+        split = _sentence_items(sample, number, subjects, formal).persist()
 
         def mined(part: DataFrame, told: Rules | None) -> tuple[dict[tuple[int, ...], tuple[int, float]], np.ndarray]:
-            patterns = [(tuple(r["items"]), np.array(r["counts"])) for r in mine(_transactions(part, number, subjects, formal, told), len(subjects)).collect()]
+            patterns = [(tuple(r["items"]), np.array(r["counts"])) for r in mine(_transactions(part, told), len(subjects)).collect()]
             single = sum((n for p, n in patterns if len(p) == 1), np.zeros(max(1, len(subjects))))
             prior = (single + 1) / (single.sum() + len(single))
             return prune(patterns, prior), prior
@@ -373,13 +381,15 @@ def fit_rules(documents: DataFrame, doc_label: DataFrame, subject_area: DataFram
             lifted = {p: (k, float(np.log(sure(c) / prior[k]))) for p, (k, c) in rules.items()}
             return Rules(subjects, number, lifted, int(prior.argmax()), frozenset(i for p in rules if len(p) > 1 for i in p), formal, chunks)
 
-        told = ready(*mined(sample, None))
-        final, prior = mined(sample, told)
+        told = ready(*mined(split, None))
+        final, prior = mined(split, told)
         fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0
-        part, _ = mined(sample.where(~fold), told)
-        return ready(final, prior, calibration(sample.where(fold), number, subjects, formal, part, told))
+        part, _ = mined(split.where(~fold), told)
+        return ready(final, prior, calibration(split.where(fold), part, told))
     finally:
         sample.unpersist()
+        if split is not None:
+            split.unpersist()
 
 
 def subjects_with_basis(documents: DataFrame, rules: Rules) -> DataFrame:
