@@ -246,6 +246,11 @@ def _unit_head(text: str, at: int) -> Head | None:
 
 
 HEADS = {"section": _section_head, "each": _each_head, "such": _such_head, "unit": _unit_head}
+#: Kinds of head that a word can begin; any other of the words begins a unit within a section.
+_BEGINS = {
+    "section": ("section",), "each": ("each",), "the": ("unit",), "subchapter": ("unit",), "subtitle": ("unit",),
+    **dict.fromkeys(("title", "part", "chapter"), ("section", "unit")),
+}
 
 
 def heads(text: str) -> list[Head]:
@@ -254,8 +259,8 @@ def heads(text: str) -> list[Head]:
     free = dict.fromkeys(HEADS, 0)
     for m in _subject.finditer(text):
         if begins_clause(text, m.start()):
-            for kind, read in HEADS.items():
-                if m.start() >= free[kind] and (h := read(text, m.start())):
+            for kind in _BEGINS.get(m[0].lower(), ("section", "such")):
+                if m.start() >= free[kind] and (h := HEADS[kind](text, m.start())):
                     found.append(h)
                     free[kind] = h.end
     out: list[Head] = []

@@ -39,6 +39,12 @@ def words(ways: str, case: bool = False) -> re.Pattern:
     return re.compile("(?:" + "|".join(out) + ")", 0 if case else re.I)
 
 
+@lru_cache(maxsize=None)
+def _said(ways: str, case: bool) -> re.Pattern:
+    whole = words(ways, case)
+    return re.compile(rf"\s*({whole.pattern})", whole.flags)
+
+
 class Reader:
     """A place in a text, which moves on with each part taken, as far as ``end``."""
 
@@ -60,12 +66,12 @@ class Reader:
 
     def say(self, ways: str, case: bool = False) -> str | None:
         """One of the wordings, after white space if there is any; its words in small letters with one blank between."""
-        start = self.at
-        self.blanks()
-        if m := self.take(words(ways, case)):
-            return " ".join(m[0].lower().split())
-        self.at = start
-        return None
+        m = _said(ways, case).match(self.text, self.at, self.end)
+        if m is None:
+            return None
+        self.at = m.end()
+        said = m[1].lower()
+        return said if said.isalpha() else " ".join(said.split())
 
     def number(self) -> str:
         """A section number after white space."""

@@ -232,36 +232,25 @@ def resolve_code(cites: DataFrame, code_title: DataFrame, code_section: DataFram
     titles = code_title.select("title", F.lit(True).alias("have_title")).distinct()
     first = F.min_by(F.struct("heading", "lead", "notes"), "entry")
     sections = code_section.groupBy("title", "slug").agg(first.alias("sec"), F.count_distinct("entry").alias("entries"))
-    nodes = code_node.groupBy("title", "slug", "path").agg(F.min("ord").alias("ord"))
-    bodies = code_node.groupBy("title", "slug").agg(F.lit(True).alias("has_nodes"))
-    met = cites.join(titles, "title", "left").join(sections, ["title", "slug"], "left").join(bodies, ["title", "slug"], "left")
+    # the paths of a section, which bounds them; so each citation is answered where it meets its section, once
+    paths = code_node.groupBy("title", "slug").agg(F.collect_set("path").alias("paths"))
+    met = cites.join(titles, "title", "left").join(sections, ["title", "slug"], "left").join(paths, ["title", "slug"], "left")
     marks = path_markers(F.col("subsection"))
     n = F.size(marks)
     lead = F.coalesce(F.col("sec.lead"), F.lit(""))
+    held = F.coalesce("paths", F.array().cast("array<string>"))
     # candidates in the order of preference: the path itself, run-in levels dropped, the head's level dropped
     run_in = F.transform(
         F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda d: (d < n) & F.forall(F.slice(marks, F.lit(1), d), lambda m: F.instr(lead, m) > 0)),
-        lambda d: F.struct(d.alias("rank"), F.array_join(F.slice(marks, d + 1, n), "").alias("path"), F.lit("run_in").alias("how"), F.array_join(F.slice(marks, F.lit(1), d), "").alias("dropped")),
+        lambda d: F.struct(F.array_join(F.slice(marks, d + 1, n), "").alias("path"), F.lit("run_in").alias("how"), F.array_join(F.slice(marks, F.lit(1), d), "").alias("dropped")),
     )
-    direct = F.array(F.struct(F.lit(0).alias("rank"), F.col("subsection").alias("path"), F.lit("provision").alias("how"), F.lit("").alias("dropped")))
+    direct = F.array(F.struct(F.col("subsection").alias("path"), F.lit("provision").alias("how"), F.lit("").alias("dropped")))
     head = F.when(
-        F.col("from_head") & (n >= 2),
-        F.array(F.struct(F.lit(1000).alias("rank"), F.array_join(F.slice(marks, F.lit(2), n), "").alias("path"), F.lit("head_level").alias("how"), F.get(marks, F.lit(0)).alias("dropped"))),
+        F.col("from_head") & (n >= 2) & ~F.array_contains(held, F.get(marks, F.lit(0))),
+        F.array(F.struct(F.array_join(F.slice(marks, F.lit(2), n), "").alias("path"), F.lit("head_level").alias("how"), F.get(marks, F.lit(0)).alias("dropped"))),
     ).otherwise(F.slice(direct, 1, 0))
-    tries = (
-        met.where("subsection <> '' and sec is not null")
-        .select("cite_key", "title", "slug", F.get(marks, F.lit(0)).alias("top"), F.explode(F.concat(direct, run_in, head)).alias("t"))
-        .select("cite_key", "title", "slug", "top", "t.*")
-    )
-    tops = nodes.select("title", "slug", F.col("path").alias("top"), F.lit(True).alias("top_held"))
-    found = (
-        tries.join(nodes, ["title", "slug", "path"])
-        .join(tops, ["title", "slug", "top"], "left")
-        .where("how <> 'head_level' or top_held is null")
-        .groupBy("cite_key")
-        .agg(F.min_by(F.struct("path", "how", "dropped"), "rank").alias("focus"))
-    )
-    empty = F.col("has_nodes").isNull() & (F.trim(lead) == "")
+    met = met.withColumn("focus", F.when(F.coalesce("subsection", F.lit("")) != "", F.get(F.filter(F.concat(direct, run_in, head), lambda t: F.array_contains(held, t["path"])), F.lit(0))))
+    empty = F.col("paths").isNull() & (F.trim(lead) == "")
     moved = moved_to(F.col("title"), F.col("sec.heading"), F.col("sec.notes"))
     outcome = (
         F.when(F.col("sec").isNull() & F.col("have_title").isNull(), "title_absent")
@@ -272,8 +261,9 @@ def resolve_code(cites: DataFrame, code_title: DataFrame, code_section: DataFram
         .when(F.col("focus").isNotNull(), F.col("focus.how"))
         .otherwise("focus_missing")
     )
-    return met.join(found, "cite_key", "left").select(
-        "cite_key", outcome.alias("outcome"), F.col("focus.path").alias("focus_path"), F.col("focus.dropped").alias("dropped"),
+    known = F.col("sec").isNotNull()
+    return met.select(
+        "cite_key", outcome.alias("outcome"), F.when(known, F.col("focus.path")).alias("focus_path"), F.when(known, F.col("focus.dropped")).alias("dropped"),
         F.when(empty, moved).alias("moved_to"), "entries",
     )
 
