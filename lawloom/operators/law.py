@@ -375,16 +375,21 @@ def default_scope(wanted: DataFrame, code_node: DataFrame) -> DataFrame:
 
 
 def provision_view(wanted: DataFrame, code_node: DataFrame) -> DataFrame:
-    """Rows (cite_key, title, slug, entry, path) with every node of the section and how it is shown: focus, on_path, under or dimmed."""
-    nodes = code_node.select("title", "slug", "entry", "ord", F.col("path").alias("node"))
-    focus, node = F.col("path"), F.col("node")
-    how = (
-        F.when(node == focus, "focus")
-        .when((focus != "") & focus.startswith(node), "on_path")
-        .when((focus == "") | node.startswith(focus), "under")
-        .otherwise("dimmed")
-    )
-    return wanted.join(nodes, ["title", "slug", "entry"]).select("cite_key", "ord", "node", how.alias("how"))
+    """Rows (cite_key, title, slug, entry, path) with the nodes that are shown for them and how: on_path for those above, and of the scope, which is the parent's provision, focus, under or dimmed.
+
+    Wanted paths and nodes meet on the scope and on the paths above it, so a citation meets the nodes it shows and no others of the section.
+    """
+    key = ["title", "slug", "entry"]
+    nodes = code_node.where("path is not null").select(*key, "ord", F.col("path").alias("node")).distinct()
+    marks = path_markers(F.col("path"))
+    rows = wanted.select("cite_key", *key, F.col("path").alias("focus"), F.array_join(F.slice(marks, F.lit(1), F.greatest(F.size(marks) - 1, F.lit(0))), "").alias("scope"))
+    above = rows.select("cite_key", *key, F.explode(_prefixes(F.col("scope"))).alias("node")).join(nodes, [*key, "node"])
+    held = nodes.withColumn("scope", F.explode(_prefixes(F.col("node")))).where("node <> scope")
+    focus, node = F.col("focus"), F.col("node")
+    how = F.when(node == focus, "focus").when((focus == "") | node.startswith(focus), "under").otherwise("dimmed")
+    shown = rows.join(held, [*key, "scope"]).select("cite_key", "ord", "node", how.alias("how"))
+    whole = rows.where("focus = ''").join(nodes.where("node = ''"), key).select("cite_key", "ord", "node", F.lit("focus").alias("how"))
+    return above.where("node <> ''").select("cite_key", "ord", "node", F.lit("on_path").alias("how")).unionByName(shown).unionByName(whole)
 
 
 def clean_addition(text: Column) -> Column:

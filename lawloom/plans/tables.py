@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lawloom.functions import scan
+from lawloom.functions.citations import popular_names
 from lawloom.functions import markers as mk
 from lawloom.functions.text import act_slug, slug, squeeze_out, unify_newlines
 from lawloom.operators import bills as B
@@ -302,31 +303,75 @@ def issue_in_force(spark: SparkSession, d: str) -> DataFrame:
     return codified.issue_at(table(spark, d, "cfr_section"), wanted).select("key", "as_of")
 
 
-@query(f"""
-with w as ({_WANTED}), n as (select distinct title, slug, entry, ord, path from code_node)
-select cite_key, n.ord, n.path as node, case when n.path = w.path then 'focus' when w.path <> '' and starts_with(w.path, n.path) then 'on_path' when w.path = '' or starts_with(n.path, w.path) then 'under' else 'dimmed' end as how
-from w join n on n.title = w.title and n.slug = w.slug and n.entry = w.entry
+@query(rf"""
+with w as (select *, array_to_string(ms[1:len(ms) - 1], '') as scope from (select *, regexp_extract_all(path, '\([A-Za-z0-9]{{1,8}}\)') as ms from ({_WANTED}))),
+n as (select distinct title, slug, entry, ord, path from code_node where path is not null),
+v as (select cite_key, n.ord, n.path as node, case when n.path <> w.path and w.path <> '' and n.path <> '' and starts_with(w.path, n.path) then 'on_path' when n.path = w.path then 'focus'
+  when not starts_with(n.path, scope) or n.path = '' then null when w.path = '' or starts_with(n.path, w.path) then 'under' else 'dimmed' end as how
+  from w join n on n.title = w.title and n.slug = w.slug and n.entry = w.entry)
+select * from v where how is not null
 """)
 def provision_view(spark: SparkSession, d: str) -> DataFrame:
     return law.provision_view(_wanted(spark, d), table(spark, d, "code_node").select("title", "slug", "entry", "ord", "path").distinct())
 
 
-@query()
+_LAWS = (
+    "select '117-' || cast(p_partkey % 40 as string) as law_id, cast(p_partkey % 300 as string) as number, cast(p_partkey as int) as entry, "
+    "'DIVISION ' || chr(cast(65 + p_partkey % 5 as int)) || '—Harbor ' || p_brand || ' Renewal Act' as d1, 'TITLE ' || case p_partkey % 3 when 0 then 'I' when 1 then 'II' else 'V' end || '—' || p_type as d2 from part"
+)
+def _names_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(a.name)}, {quoted(a.title)}, {quoted(a.section)}, {quoted(a.range)}, {quoted(a.enacted_as)})" for a in popular_names())
+
+
+#: What a citation asks for beyond the columns of its table, made from the lengths of its keys.
+_ASKED = {
+    "act_section": "case when kind = 'act' then section when kind = 'publaw' and n % 2 = 0 then law end",
+    "act_title": "case when kind = 'act' and section is null then 'I' end",
+    "division": "case when kind in ('act', 'publaw') and n % 5 = 0 then chr(cast(65 + n % 7 as int)) end",
+    "short_title": "case when kind = 'publaw' and n % 4 = 1 then 'CLEAN AIR ACT' end",
+}
+
+
+def _dispatch_sql() -> str:
+    asked = ", ".join(f"{e} as {n}" for n, e in _ASKED.items())
+    return _ORIGIN + rf""", laws as ({_LAWS}),
+c as (select distinct doc_id, cite_id, kind, title, section, act_name, congress, law, length(cite_id) + length(doc_id) as n from citation),
+i as (select *, concat_ws('|', doc_id, cite_id) as cite_key, {asked} from c),
+names(act_name, head_title, head_section, act_range, act_enacted) as (values {_names_sql()}),
+j as (select i.*, m.head_title, m.head_section, s.head_title as short_no, s.head_section as short_section, case when kind = 'publaw' then 'Pub. L. ' || congress || '-' || law else m.act_enacted end as enacted,
+  case when kind = 'publaw' then congress || '-' || law else nullif(regexp_replace(regexp_extract(concat_ws(' ', m.act_enacted, m.act_range), 'Pub\. L\. (\d{{1,3}}[–—-]\d{{1,4}})', 1), '[–—-]', '-'), '') end as law_id,
+  case when division is not null and act_section is null then 'DIVISION ' || division end as unit
+  from i left join names m on m.act_name = i.act_name left join names s on lower(s.act_name) = lower(i.short_title)),
+k as (select *, regexp_replace(regexp_replace(lower(enacted), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') as act_key from j),
+known as (select act_key, act_section, min(title) as to_title, min(section) as to_section from o group by all having count(distinct title || ':' || section) = 1 and min(title) is not null),
+t as (select act_key, act_title, title, section, min(act_section) as act_section from o where act_title is not null group by all),
+opened as (select act_key, act_title, title as open_title, section as open_section from t qualify row_number() over (partition by act_key, act_title order by try_cast(regexp_extract(act_section, '^(\d+)', 1) as int) nulls last, regexp_extract(act_section, '^\d*(.*)$', 1), title, section) = 1),
+units as (select distinct law_id, upper(trim(split_part(d1, '—', 1))) as unit from laws), held as (select distinct law_id, number from laws),
+credits as (select title, slug, source_credit from code_section qualify row_number() over (partition by title, slug order by entry) = 1),
+r as (select k.*, known.to_title, known.to_section, opened.open_title, opened.open_section, units.unit is not null as unit_held, held.number is not null as text_held, credits.title is not null as has_credit, known.to_section is not null as has_slug,
+  regexp_extract(regexp_replace(string_split(regexp_replace(coalesce(credits.source_credit, ''), '^\s*\(', ''), ';')[1], ',\s*as\s+(?:added|amended|renumbered).*$', ''), 'div\.?\s+([A-Z]{{1,2}})', 1) as named
+  from k left join known on known.act_key = k.act_key and known.act_section = k.act_section left join opened on opened.act_key = k.act_key and opened.act_title = k.act_title left join units on units.law_id = k.law_id and units.unit = k.unit
+  left join held on held.law_id = k.law_id and held.number = k.act_section left join credits on credits.title = known.to_title and credits.slug = regexp_replace(lower(known.to_section), '[^a-z0-9]', '_', 'g')),
+w as (select *, case when kind = 'usc' then 'code' when kind = 'cfr' then 'regulation' when kind in ('act', 'publaw') and unit_held then 'law_division' when kind = 'act' and open_title is not null and act_section is null then 'act_title'
+  when to_title is not null and (kind = 'act' or (kind = 'publaw' and has_slug and (named = '' or coalesce(division = named, false)))) then 'act_section' when kind in ('act', 'publaw') and text_held then 'law_text'
+  when kind = 'act' and head_title is not null then 'act_head' when kind = 'publaw' and short_no is not null then 'act_head' when kind in ('publaw', 'stat') then 'outside' when kind = 'internal' then 'internal' else 'unknown' end as source from r)
+select cite_key, source, case when source in ('code', 'regulation') then title when source = 'act_section' then to_title when source = 'act_title' then open_title when source = 'act_head' then coalesce(head_title, short_no) end as to_title,
+  case when source in ('code', 'regulation') then section when source = 'act_section' then to_section when source = 'act_title' then open_section when source = 'act_head' then coalesce(head_section, short_section) end as to_section,
+  case when source in ('law_division', 'law_text', 'outside') then law_id end as law_id from w"""
+
+
+@query(_dispatch_sql())
 def citation_dispatch(spark: SparkSession, d: str) -> DataFrame:
     cites = table(spark, d, "citation").select("doc_id", "cite_id", "kind", "title", "section", "act_name", "congress", "law").distinct()
-    rows = cites.withColumn("cite_key", F.concat_ws("|", "doc_id", "cite_id")).withColumns(
-        {n: F.lit(None).cast("string") for n in ("act_title", "division", "short_title")} | {"act_section": F.when(F.col("kind") == "act", F.col("section")), "where": F.lit(None).cast("array<string>")}
-    )
+    rows = cites.withColumns({"cite_key": F.concat_ws("|", "doc_id", "cite_id"), "n": F.length("cite_id") + F.length("doc_id")})
+    rows = rows.withColumns({n: F.expr(e) for n, e in _ASKED.items()}).withColumn("where", F.when(F.col("n") % 2 == 0, F.array(F.concat(F.lit("DIVISION "), "division")))).drop("n")
     origins = law.section_origins(table(spark, d, "code_section"))
     laws = _laws(spark, d)
     toc = laws.select("law_id", F.col("ancestors").alias("where_path"))
     return law.dispatch(rows, law.popular_name_table(spark), law.act_sections(origins), law.act_titles(origins), table(spark, d, "code_section"), laws, toc)
 
 
-_LAWS = (
-    "select '117-' || cast(p_partkey % 40 as string) as law_id, cast(p_partkey % 300 as string) as number, cast(p_partkey as int) as entry, "
-    "'DIVISION ' || chr(cast(65 + p_partkey % 5 as int)) || '—Harbor ' || p_brand || ' Renewal Act' as d1, 'TITLE ' || case p_partkey % 3 when 0 then 'I' when 1 then 'II' else 'V' end || '—' || p_type as d2 from part"
-)
 _ASKS = (
     "select cast(s_suppkey as string) as cite_key, '117-' || cast(s_suppkey % 40 as string) as law_id, cast(s_suppkey % 300 as string) as number, "
     "'DIVISION ' || chr(cast(65 + s_suppkey % 7 as int)) as w1, 'TITLE V' as w2, s_suppkey % 2 as deep from supplier"

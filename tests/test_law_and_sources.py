@@ -174,7 +174,7 @@ def test_dispatch_follows_its_order(spark):
 
 
 def test_views_of_a_provision(spark):
-    nodes = spark.createDataFrame([("1", "2", 0, k, p) for k, p in enumerate(["(a)", "(a)(1)", "(a)(1)(A)", "(b)"])], "title string, slug string, entry int, ord int, path string")
+    nodes = spark.createDataFrame([("1", "2", 0, k, p) for k, p in enumerate(["(a)", "(a)(1)", "(a)(1)(A)", "(a)(2)", "(b)"])], "title string, slug string, entry int, ord int, path string")
     wanted = spark.createDataFrame([("c", "1", "2", 0, "(a)(1)")], "cite_key string, title string, slug string, entry int, path string")
     assert [r.how for r in law.provision_view(wanted, nodes).orderBy("ord").collect()] == ["on_path", "focus", "under", "dimmed"]
     added = spark.createDataFrame([("``(9) One.  \n    ``(A) Two.",)], "t string")
