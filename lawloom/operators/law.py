@@ -141,14 +141,14 @@ def division_agrees(division: Column, credit: Column) -> Column:
 
 
 def range_label(title: Column, span: Column) -> Column:
-    """A sentence on where an Act is codified; null for shapes that say nothing."""
+    """Where the sections of an Act stand; null for shapes that say nothing."""
     stop = lambda c: F.when(c.endswith("."), c).otherwise(F.concat(c, F.lit(".")))
     whole = F.regexp_extract(span, r"(?i)^title\s+([0-9]{1,2}[A-Za-z]?)\b", 1)
     return (
         F.when(span.isNull() | (span == "") | (span == "varies"), F.lit(None).cast("string"))
-        .when(whole != "", stop(F.concat(F.lit("The Act is codified throughout title "), whole)))
-        .when(span.rlike(r"^[0-9][A-Za-z0-9\-–—]*\s") & (title != ""), stop(F.concat(F.lit("The Act is codified throughout "), title, F.lit(" U.S.C. "), span)))
-        .when(span.rlike(r"(?i)^Pub\. L\.\s*\d{1,3}[–—-]\d{1,4}"), stop(F.concat(F.lit("The Act as a whole is "), span)))
+        .when(whole != "", stop(F.concat(F.lit("Its sections stand all over title "), whole)))
+        .when(span.rlike(r"^[0-9][A-Za-z0-9\-–—]*\s") & (title != ""), stop(F.concat(F.lit("Its sections begin at "), title, F.lit(" U.S.C. "), span)))
+        .when(span.rlike(r"(?i)^Pub\. L\.\s*\d{1,3}[–—-]\d{1,4}"), stop(F.concat(F.lit("It is "), span)))
     )
 
 
@@ -188,12 +188,16 @@ def law_links(congress: Column, law: Column) -> Column:
 
 # --- resolution ------------------------------------------------------------------------------------------------------------------
 
-# Phrasings of a moved section.
-_MOVED = (
-    (r"(?i)\beditorially\s+reclassified\s+as\s+(?:section|chapter)\s+([0-9]+[A-Za-z0-9–\-]*)\s+of\s+Title\s+([0-9]+[A-Z]?)",),
-    (r"(?i)\btransferred\s+to\s+section\s+([0-9]+[A-Za-z0-9–\-]*)\s+of\s+(?:this\s+title|Title\s+([0-9]+[A-Z]?))",),
-    (r"(?i)\brenumbered\s+section\s+([0-9]+[A-Za-z0-9–\-]*)\s+of\s+(?:this\s+title|Title\s+([0-9]+[A-Z]?))",),
-)
+# How a note says that a section has moved, in the order in which the ways are tried.
+MOVES = ("editorially reclassified as", "transferred to", "renumbered")
+
+
+def _move(way: str) -> str:
+    """``<way> section 77 of Title 9`` or ``of this title``: the number, then the title."""
+    words = r"\s+".join(way.split())
+    return rf"(?i)\b{words}\s+(?:section|chapter)\s+(\d+[A-Za-z0-9–-]*)\s+of\s+(?:this\s+title|title\s+(\d+[A-Z]?))"
+
+
 SCOPE_BUDGET = 6000
 KEY = ("kind", "title", "part", "section", "subsection", "congress", "law", "volume", "page", "act_name", "act_section", "division", "where", "short_title", "act_title")
 
@@ -216,7 +220,7 @@ def moved_to(title: Column, heading: Column, notes: Column) -> Column:
     """``title:section`` that an emptied section was moved to."""
     hay = F.concat_ws(" \n ", F.coalesce(heading, F.lit("")), F.transform(F.coalesce(notes, F.array()), lambda n: F.coalesce(n["text"], F.lit(""))))
     out = []
-    for (p,) in _MOVED:
+    for p in map(_move, MOVES):
         section = F.regexp_replace(F.regexp_extract(hay, p, 1), "–", "-")
         out.append(F.when(section != "", F.concat(F.coalesce(_or_null(F.regexp_extract(hay, p, 2)), title), F.lit(":"), section)))
     return F.coalesce(*out)

@@ -54,7 +54,7 @@ def test_labels_and_links(spark):
     assert got == [at + "5", at + "42/chapter-7/subchapter-XVIII/part-A", None, None, None, at + "16/chapter-1-2"]
     rows = spark.createDataFrame([("42", "7401 et seq."), ("26", "title 26 generally"), ("23", "Pub. L. 117-58"), ("10", "varies"), ("1", None)], "t string, r string")
     assert [r[0] for r in rows.select(law.range_label(F.col("t"), F.col("r"))).collect()] == [
-        "The Act is codified throughout 42 U.S.C. 7401 et seq.", "The Act is codified throughout title 26.", "The Act as a whole is Pub. L. 117-58.", None, None,
+        "Its sections begin at 42 U.S.C. 7401 et seq.", "Its sections stand all over title 26.", "It is Pub. L. 117-58.", None, None,
     ]
     topics = spark.createDataFrame([("effectiveDate",), ("somethingElseHere",), ("note",), (None,)], "t string")
     assert [r[0] for r in topics.select(law.topic_label(F.col("t"))).collect()] == ["Effective date", "Something else here", "Note", "Note"]
