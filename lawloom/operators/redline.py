@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lawloom.functions import redline as rl
 from lawloom.functions.text import slug
+from lawloom.session import spread
 
 _OUT = (
     "doc_id string, am_id string, title string, slug string, stale boolean, segments array<struct<path:string,kind:string,text:string>>, "
@@ -69,7 +70,8 @@ def draw_ops(amendments: DataFrame, code_section: DataFrame, code_node: DataFram
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(_OUT))
-    return met.select("doc_id", "am_id", "title", "slug", "lead", "nodes", "ops").mapInArrow(run, _OUT)
+    rows = met.select("doc_id", "am_id", "title", "slug", "lead", "nodes", "ops")
+    return spread(rows, "doc_id", amendments).mapInArrow(run, _OUT)
 
 
 def segments(drawn: DataFrame) -> DataFrame:

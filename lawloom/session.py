@@ -92,8 +92,8 @@ def ship(spark: SparkSession) -> None:
 SPREAD = "spark.lawloom.spread"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores before work that is heavy for its size; its rows are the same in any case, which a test shows.
+def spread(df: DataFrame, key: str, source: DataFrame | None = None) -> DataFrame:
+    """``df`` over all cores before work that is heavy for its size; its rows are the same in any case, which a test shows. ``source`` is where its rows come from, if not read as they are.
 
     The setting SPREAD decides. ``never`` leaves rows where they were read; that is also what ``auto`` does, except for inputs with fewer
     splits than there are cores (one small file is one split, whatever its rows cost). ``always`` shuffles.
@@ -101,7 +101,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     when = spark.conf.get(SPREAD, "auto")
     cores = spark.sparkContext.defaultParallelism
-    if when == "never" or (when == "auto" and splits(df) >= cores):
+    if when == "never" or (when == "auto" and splits(df if source is None else source) >= cores):
         return df
     return df.repartition(cores, key)
 
