@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lawloom.llm.canonical import canonical
@@ -210,6 +210,11 @@ def formal_phrases(sample: DataFrame, subjects: list[str], min_docs: int = 4, mo
     return frozenset(r.phrase for r in spread.where((F.col("docs") >= min_docs) & (F.col("one") <= most * F.col("docs"))).collect())
 
 
+def _held_out() -> Column:
+    """Sentences of a fifth of the sample's documents, which rules are held against."""
+    return F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0
+
+
 def _sentence_items(sample: DataFrame, number: dict[str, int], subjects: list[str], formal: frozenset) -> DataFrame:
     """doc_id, own (numbers of the document's labels), items: the sentences of the sample but for formal phrases. Read once for all rounds."""
     index = {s: k for k, s in enumerate(subjects)}
@@ -230,16 +235,17 @@ def _sentence_items(sample: DataFrame, number: dict[str, int], subjects: list[st
     return sample.select("doc_id", "text", "labels").mapInArrow(run, "doc_id bigint, own array<int>, items array<int>")
 
 
-def _transactions(split: DataFrame, told: Rules | None) -> DataFrame:
-    """grp, items, label: the conditional transactions of each group. With ``told``, also sentences of documents with several labels."""
+def _transactions(split: DataFrame, told: Rules | None, held_out: int = 0) -> DataFrame:
+    """grp, items, label: the conditional transactions of each group. With ``told``, also sentences of documents with several labels. Labels of sentences held out are raised by ``held_out``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             groups, lists, classes = [], [], []
-            for own, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for own, items, out in zip(*(b.column(k).to_pylist() for k in range(3))):
                 label = told.subject(tuple(items)) if told else own[0] if len(own) == 1 else -1
                 if label not in own:
                     continue
+                label += held_out * out
                 seen = set()
                 for k in range(len(items) - 1, -1, -1):
                     g = items[k] % GROUPS
@@ -252,7 +258,7 @@ def _transactions(split: DataFrame, told: Rules | None) -> DataFrame:
                 [pa.array(groups, pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array(classes, pa.int32())], names=["grp", "items", "label"]
             )
 
-    return split.select("own", "items").mapInArrow(run, "grp int, items array<int>, label int")
+    return split.select("own", "items", _held_out().cast("int")).mapInArrow(run, "grp int, items array<int>, label int")
 
 
 def grow(base: dict[tuple[int, ...], np.ndarray], suffix: tuple[int, ...], wanted, min_support: int, max_words: int | None, out: list, worth=lambda n: True) -> None:
@@ -281,16 +287,16 @@ def mixed(n: np.ndarray) -> bool:
     return np.count_nonzero(n) > 1
 
 
-def mine(transactions: DataFrame, classes: int, min_support: int = MIN_SUPPORT, max_words: int | None = None) -> DataFrame:
-    """items, counts by class; without the patterns that hold one of a single class, which would be redundant."""
+def mine(transactions: DataFrame, classes: int, min_support: int = MIN_SUPPORT, max_words: int | None = None, parts: int = 1) -> DataFrame:
+    """items, counts by class; without the patterns that hold one of a single class, which would be redundant. Of several ``parts``, whose labels follow one another, all counts are given."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         g = key[0].as_py()
         base: dict[tuple[int, ...], np.ndarray] = {}
         for items, label in zip(t.column("items").to_pylist(), t.column("label").to_pylist()):
-            base.setdefault(tuple(items), np.zeros(classes, np.int64))[label] += 1
+            base.setdefault(tuple(items), np.zeros(parts * classes, np.int64))[label] += 1
         out: list = []
-        grow(base, (), lambda i: i % GROUPS == g, min_support, max_words, out, mixed)
+        grow(base, (), lambda i: i % GROUPS == g, min_support, max_words, out, lambda n: mixed(n.reshape(parts, classes).sum(axis=0)))
         return pa.table({"items": pa.array([p for p, _ in out], pa.list_(pa.int32())), "counts": pa.array([n.tolist() for _, n in out], pa.list_(pa.int64()))})
 
     return transactions.groupBy("grp").applyInArrow(run, "items array<int>, counts array<bigint>")
@@ -370,9 +376,10 @@ def fit_rules(documents: DataFrame, doc_label: DataFrame, subject_area: DataFram
         chunks = max((p.count(" ") + 4 for p in formal), default=0)
         split = _sentence_items(sample, number, subjects, formal).persist()
 
-        def mined(part: DataFrame, told: Rules | None) -> tuple[dict[tuple[int, ...], tuple[int, float]], np.ndarray]:
-            patterns = [(tuple(r["items"]), np.array(r["counts"])) for r in mine(_transactions(part, told), len(subjects)).collect()]
-            single = sum((n for p, n in patterns if len(p) == 1), np.zeros(max(1, len(subjects))))
+        classes = max(1, len(subjects))
+
+        def pruned(patterns: list[tuple[tuple[int, ...], np.ndarray]]) -> tuple[dict[tuple[int, ...], tuple[int, float]], np.ndarray]:
+            single = sum((n for p, n in patterns if len(p) == 1), np.zeros(classes))
             prior = (single + 1) / (single.sum() + len(single))
             return prune(patterns, prior), prior
 
@@ -381,11 +388,12 @@ def fit_rules(documents: DataFrame, doc_label: DataFrame, subject_area: DataFram
             lifted = {p: (k, float(np.log(sure(c) / prior[k]))) for p, (k, c) in rules.items()}
             return Rules(subjects, number, lifted, int(prior.argmax()), frozenset(i for p in rules if len(p) > 1 for i in p), formal, chunks)
 
-        told = ready(*mined(split, None))
-        final, prior = mined(split, told)
-        fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0
-        part, _ = mined(split.where(~fold), told)
-        return ready(final, prior, calibration(split.where(fold), part, told))
+        told = ready(*pruned([(tuple(r["items"]), np.array(r["counts"])) for r in mine(_transactions(split, None), classes).collect()]))
+        # one round counts all sentences, and those that are not held out
+        both = [(tuple(r["items"]), np.array(r["counts"])) for r in mine(_transactions(split, told, classes), classes, parts=2).collect()]
+        final, prior = pruned([(p, n[:classes] + n[classes:]) for p, n in both])
+        part, _ = pruned([(p, n[:classes]) for p, n in both if n[:classes].sum() >= MIN_SUPPORT])
+        return ready(final, prior, calibration(split.where(_held_out()), part, told))
     finally:
         sample.unpersist()
         if split is not None:
