@@ -546,7 +546,8 @@ with g as ({_GLYPHS}), o as (select distinct doc_id, n, first_value(word) over w
 select doc_id, cast(1 as int) as page, string_agg(word || ' ' || more, chr(10) order by n) as text from o group by doc_id
 """)
 def pdf_rows(spark: SparkSession, d: str) -> DataFrame:
-    g = _sql(spark, d, _GLYPHS, "lineitem").groupBy("doc_id", "n").agg(F.min(F.struct("word", "more")).alias("w"))
+    # Lines meet by document, so that its pages need no second shuffle.
+    g = _sql(spark, d, _GLYPHS, "lineitem").repartition("doc_id").groupBy("doc_id", "n").agg(F.min(F.struct("word", "more")).alias("w"))
     y = (F.lit(700.0) - F.col("n") * 12).alias("y")
     cells = F.array(F.struct(F.lit(60.0).alias("x"), F.col("w.word").alias("s")), F.struct(F.lit(300.5).alias("x"), F.col("w.more").alias("s")))
     runs = g.select("doc_id", "n", y, F.posexplode(cells).alias("i", "c")).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,17 +11,36 @@ from pyspark.sql import functions as F
 from lawloom.functions.pdf import Run, page_text
 
 
-def _page(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    rows = sorted(t.select(["ord", "x", "y", "width", "str"]).to_pylist(), key=lambda r: r["ord"])
-    width = max((w for w in t.column("page_width").to_pylist() if w is not None), default=0)
-    text = page_text([Run(r["x"], r["y"], r["width"] or 0, r["str"]) for r in rows if r["x"] is not None and r["y"] is not None], width)
-    return pa.table({"doc_id": [key[0].as_py()], "page": pa.array([key[1].as_py()], pa.int32()), "text": [text]})
+#: Pages whose runs are Python objects at one time.
+AT_ONCE = 256
+
+
+def _texts(b: pa.RecordBatch) -> list[str]:
+    lists = b.column("runs")
+    ends, (_, *fields) = lists.offsets.to_pylist(), lists.flatten().flatten()
+    x, y, width, chars = (f.to_pylist() for f in fields)
+    first = ends[0]  # a slice keeps its offsets, but flatten gives its values only
+    texts = []
+    for start, end, page_width in zip(ends, ends[1:], b.column("page_width").to_pylist()):
+        here = range(start - first, end - first)
+        texts.append(page_text([Run(x[k], y[k], width[k] or 0, chars[k]) for k in here if x[k] is not None and y[k] is not None], page_width or 0))
+    return texts
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, page, page_width, runs) as rows (doc_id, page, text)."""
+    for b in batches:
+        texts = [t for k in range(0, b.num_rows, AT_ONCE) for t in _texts(b.slice(k, AT_ONCE))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("page"), pa.array(texts, pa.string())], ["doc_id", "page", "text"])
 
 
 def page_texts(glyphs: DataFrame) -> DataFrame:
-    """doc_id, page, text. A page is one group."""
-    named = glyphs.select("doc_id", F.col("page").cast("int").alias("page"), "ord", "x", "y", "width", "page_width", "str")
-    return named.groupBy("doc_id", "page").applyInArrow(_page, "doc_id string, page int, text string")
+    """doc_id, page, text. The runs of a page are one row; pages go to Python by batches, as a call for each costs more than its text."""
+    number = lambda name: F.col(name).cast("double").alias(name)
+    run = F.struct("ord", number("x"), number("y"), number("width"), "str")
+    pages = glyphs.groupBy(F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page"))
+    rows = pages.agg(F.max(number("page_width")).alias("page_width"), F.sort_array(F.collect_list(run)).alias("runs"))
+    return rows.mapInArrow(_pages, "doc_id string, page int, text string")
 
 
 def pdf_texts(glyphs: DataFrame) -> DataFrame:

@@ -182,3 +182,21 @@ def test_views_of_a_provision(spark):
     ops = spark.createDataFrame([("a", 0, "strike", "RED  kite", "1", "2"), ("a", 1, "strike", "gone", "1", "2"), ("a", 2, "insert", "x", "1", "2")], "am_id string, op_seq int, type string, text string, title string, slug string")
     texts = spark.createDataFrame([("1", "2", "A red\nkite.")], "title string, slug string, text string")
     assert [r.found for r in law.effects(ops, texts).orderBy("op_seq").collect()] == [True, False, None]
+
+
+def test_pages_go_to_python_by_batches(spark, monkeypatch):
+    monkeypatch.setattr(pdf, "AT_ONCE", 2)
+    runs = [(f"d{k}", page, ord_, x, 700.0 - 12 * (ord_ // 2), 20.0, 600.0, f"w{k}.{page}.{ord_}") for k in range(3) for page in (1, 2) for ord_, x in enumerate((60.0, 300.5, 60.0, 300.5))]
+    runs += [("d0", 3, 0, None, 700.0, 20.0, None, "lost"), ("d0", 4, 0, 60.0, 700.0, None, None, "kept"), ("d0", 4, 1, 300.0, 700.0, 5.0, None, None), (None, None, 0, 60.0, 700.0, 5.0, 600.0, "no page")]
+    glyphs = spark.createDataFrame(runs, "doc_id string, page int, ord int, x double, y double, width double, page_width double, str string")
+    want = {(f"d{k}", page): f"w{k}.{page}.0 w{k}.{page}.1\nw{k}.{page}.2 w{k}.{page}.3" for k in range(3) for page in (1, 2)} | {("d0", 3): "", ("d0", 4): "kept", (None, None): "no page"}
+    pages = pdf.page_texts(glyphs.repartition(1))
+    assert {(r.doc_id, r.page): r.text for r in pages.collect()} == want
+    assert "FlatMapGroupsInArrow" not in pages._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_lines_are_shuffled_once(spark):
+    from lawloom.plans import tables
+
+    plan = tables.pdf_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1, plan
