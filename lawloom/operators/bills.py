@@ -162,6 +162,10 @@ def analyse(bills: DataFrame, depth: int = ALL) -> DataFrame:
     return (texts if texts.isStreaming else spread(texts, "doc_id")).mapInArrow(run, out)
 
 
+#: Tables that need more or less of the instructions than the walk.
+_DEPTHS = {"amendments": amend.TARGET, "ops": amend.ALL}
+
+
 def _found(text: str, name: str) -> list[tuple[object, dict]]:
     """What one of TABLES holds of a text, with the fields that the object itself lacks; nothing else is read."""
     if name == "blocks":
@@ -170,11 +174,11 @@ def _found(text: str, name: str) -> list[tuple[object, dict]]:
         return [(m, {}) for m in structure.Outline(text).marks]
     if name == "citations":
         return [(c, {}) for c in citations.extract(text)]
-    bill = structure.parse_bill(text)
     if name in ("divisions", "sections"):
-        return [(x, {"seq": k}) for k, x in enumerate(getattr(bill, name))]
+        return [(x, {"seq": k}) for k, x in enumerate(getattr(structure.parse_bill(text), name))]
+    bill = structure.parse_bill(text) if name == "located" or amend.declares_tax_code(text) else structure.Bill(text)
     cites = citations.extract(text)
-    ams = amend.extract(text, cites, bill)
+    ams = amend.extract(text, cites, bill, _DEPTHS.get(name, amend.WALK))
     if name == "amendments":
         return [(a, {}) for a in ams]
     if name == "ops":
@@ -190,11 +194,11 @@ def _found(text: str, name: str) -> list[tuple[object, dict]]:
     return [(None, x) for x in internal.fates(bill, structure.Outline(text), both)]
 
 
-def _plainly(value):
+def _plainly(value, kind: pa.DataType | None = None):
     if isinstance(value, (structure.Block, structure.Division)):
         return vars(value)
     if isinstance(value, citations.Citation):
-        return _citation(value)
+        return {f.name: getattr(value, f.name) for f in kind} if kind else _citation(value)
     return [_plainly(x) for x in value] if isinstance(value, list) else value
 
 
@@ -205,7 +209,7 @@ def rows(bills: DataFrame, name: str) -> DataFrame:
     width = 512
 
     def column(field, pairs: list[tuple[object, dict]]) -> pa.Array:
-        return pa.array([_plainly(more[field.name] if field.name in more else getattr(x, field.name, None)) for x, more in pairs], field.type)
+        return pa.array([_plainly(more[field.name] if field.name in more else getattr(x, field.name, None), field.type) for x, more in pairs], field.type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lawloom.operators import bills as B
 from lawloom.operators import metrics as M
-from lawloom.session import table
+from lawloom.session import spread, table
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ class Recipe:
         return f"select {', '.join(f'{e} as {n}' for n, e in self.columns.items())} from {self.source}"
 
     def made(self, spark: SparkSession, d: str) -> DataFrame:
-        rows = table(spark, d, self.source).selectExpr(*[f"{e} as {n}" for n, e in self.columns.items()])
+        rows = spread(table(spark, d, self.source), F.expr(self.columns["doc_id"])).selectExpr(*[f"{e} as {n}" for n, e in self.columns.items()])
         return rows.withColumn("text", F.expr(self.text))
 
     def query(self, spark: SparkSession, d: str) -> DataFrame:

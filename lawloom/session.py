@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _made: set[str] = set()
 
@@ -92,20 +92,28 @@ def ship(spark: SparkSession) -> None:
 SPREAD = "spark.lawloom.spread"
 
 
-def spread(df: DataFrame, key: str, source: DataFrame | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str | Column, source: DataFrame | None = None) -> DataFrame:
     """``df`` over all cores before work that is heavy for its size; its rows are the same in any case, which a test shows. ``source`` is where its rows come from, if not read as they are.
 
     The setting SPREAD decides. ``never`` leaves rows where they were read; that is also what ``auto`` does, except for inputs with fewer
-    splits than there are cores (one small file is one split, whatever its rows cost). ``always`` shuffles.
+    splits than there are cores (one small file is one split, whatever its rows cost). ``always`` shuffles. Rows that were spread before they
+    got further columns stay where they are: long texts needn't move if what they are made of did.
     """
     spark = df.sparkSession
     when = spark.conf.get(SPREAD, "auto")
     cores = spark.sparkContext.defaultParallelism
-    if when == "never" or (when == "auto" and splits(df if source is None else source) >= cores):
+    if when == "never" or _is_spread(df) or (when == "auto" and splits(df if source is None else source) >= cores):
         return df
     return df.repartition(cores, key)
 
 
+def _is_spread(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() == "RepartitionByExpression"
+
+
 def splits(df: DataFrame) -> int:
     """In how many pieces the files of ``df`` are read at least."""
     spark = df.sparkSession

@@ -232,3 +232,42 @@ def test_counts_of_real_bills(spark, name, want):
     got = [m["chars"], m["sections"], m["divisions"], m["citations"], kinds, f"{m['amendments']}/{m['targeted']}", m["distributed"], f"{m['steps']}/{m['refs']}/{m['relative']}", ops, m["opSpans"], m["uncoveredVerbs"]]
     assert [str(x) for x in got] == want[: len(got)]
     assert m["badOffsets"] == m["overlaps"] == m["badOpOffsets"] == 0
+
+
+def test_matches_are_those_of_the_expression():
+    import re
+
+    from lawloom.functions import reading
+
+    for text in ("Strike, STRIKING and ſtrıKing, strik; İ striking\n striking", "striking “x” é5 ٣ 42 x9 7_8 10", "ﬁ ß ẞ Σς striking K", "", "strikstriking"):
+        assert len(reading.folded(text)) == len(text)
+        for end in (None, 9, 20):
+            stop = len(text) if end is None else end
+            assert [m.span() for m in reading.matches(amend._striking, "strik", text, 2, end)] == [m.span() for m in amend._striking.finditer(text, 2, stop)]
+        assert reading.numbers(text) == [m.start() for m in re.finditer(r"\b\d", text)]
+        assert [m.span() for at in reading.places(text, ("strik",)) if (m := amend._striking.match(text, at))] == [m.span() for m in amend._striking.finditer(text)]
+
+
+def test_verbs_are_those_of_the_expression():
+    text = "is amended  is \n amended. It are repealed, this amended, is is redesignated xis amended are\tamendedly"
+    for at in range(len(text)):
+        got, want = amend.next_verb(text, at), amend._verb.search(text, at)
+        assert (got and got.span()) == (want and want.span())
+
+
+def test_amendments_are_told_without_their_operations(monkeypatch):
+    """Long texts without instructions in them aren't searched for operations where nobody asks."""
+    from lawloom.operators import bills as B
+
+    text = "Section 5(a) of the Kite Act (5 U.S.C. 1(a)) is amended by striking ``red'' and inserting ``blue''. " + "More words. " * 300 + "\n\nEach of the following provisions is repealed:\n  (A) Section 7 of title 5, United States Code.\n"
+    want = [(a.id, a.start, a.end, a.section, a.subsection, a.target.section, a.distributed) for a, _ in B._found(text, "amendments")]
+
+    def never(*_):
+        raise AssertionError("read")
+
+    for reader in ("quoted_and_marks", "others", "replacements"):
+        monkeypatch.setattr(amend.Body, reader, never)
+    monkeypatch.setattr(amend, "Walk", never)
+    monkeypatch.setattr(structure, "parse_bill", never)
+    assert [(a.id, a.start, a.end, a.section, a.subsection, a.target.section, a.distributed) for a, _ in B._found(text, "amendments")] == want and len(want) == 2
+    assert want[0][2] == text.index(" is amended") + 11 + amend.MAX_BODY and want[1][6]

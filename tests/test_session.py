@@ -41,3 +41,10 @@ def test_scratch_tables_can_be_freed(spark):
     assert df.count() == 5 and os.path.exists(path)
     session.drop_scratch(spark)
     assert not os.path.exists(path) and path not in session._made
+
+
+def test_long_texts_stay_where_they_are_made(spark):
+    from lawloom.plans import shapes
+
+    plan = shapes.RECIPES["amend_bounds"].query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and " AS text#" in plan and " AS text#" not in plan[plan.index("Exchange ") :]
