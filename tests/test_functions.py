@@ -271,3 +271,21 @@ def test_amendments_are_told_without_their_operations(monkeypatch):
     monkeypatch.setattr(structure, "parse_bill", never)
     assert [(a.id, a.start, a.end, a.section, a.subsection, a.target.section, a.distributed) for a, _ in B._found(text, "amendments")] == want and len(want) == 2
     assert want[0][2] == text.index(" is amended") + 11 + amend.MAX_BODY and want[1][6]
+
+
+def test_walk_is_read_without_operations_that_bring_no_references(monkeypatch):
+    from lawloom.operators import bills as B
+
+    head = "Section 5(a) of the Harbor Act (5 U.S.C. 5(a)) is amended--\n  (1) in paragraph (2)(A)--\n    (A) in clause (iii), by striking ``x''"
+    assert [x.path for x, _ in B._found(head + " and inserting after paragraph (8) the following:\n  ``(9) See paragraph (7).''.", "nav") if x.inserted]
+    want = ["(a)(2)(A)", "(a)(2)(A)(iii)"]
+    monkeypatch.setattr(amend.Body, "quoted_and_marks", lambda *_: pytest.fail("read"))
+    assert [x.path for x, _ in B._found(head + ".", "nav")] == want
+
+
+def test_phrases_begin_where_the_expression_finds_units():
+    text = "In paragraph (1), sub-paragraphs  (2) and (3), xclause (iv), _item (a), subparagraphs\n(A) of Clause (i); subsubparagraphs (B), paragraph(4) item (1)"
+    want = [m.start() for m in amend._unit_word.finditer(text)]
+    assert [p.start for p in amend.phrases(text)] == [k for k in want if not text[:k].endswith("of ")]
+    assert [p.start for p in amend.phrases(text, before=10)] == want[:1]
+    assert [p.start for p in amend.phrases(text, 5)] == [m.start() for m in amend._unit_word.finditer(text, 5) if not text[: m.start()].endswith("of ")]
